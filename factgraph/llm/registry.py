@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from factgraph.llm.bpe import op1_bpe
+from factgraph.llm.langid import op3_langid
+from factgraph.llm.linechunks import op7_line_dedup
+from factgraph.llm.minhash import op9_minhash
 from factgraph.llm.packing import op6_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_langid": op3_langid,
     "op6_packing": op6_packing,
+    "op7_line_dedup": op7_line_dedup,
+    "op9_minhash": op9_minhash,
 }
 
 #: None of the ten can be said in SQL as a whole; tests/llm holds each against a brute-force version.
