@@ -6,9 +6,9 @@ coordinate, gives all coordinates of the signature: those of one shingle lie sid
 agree in a band of coordinates share a bucket.
 
 In a bucket, its smallest class is compared with all others; what they do not settle is found in further rounds, in
-which only classes of different components meet: in small buckets all of these at once, in larger ones from one
-further centre a round.  So no link between two components is left out, and no bucket gives all its pairs.  Every
-link is confirmed on the full sets.  Shingles are known by 64-bit hashes, classes by 128-bit hashes of their sets.
+which only classes of different components meet: about CENTRES of a bucket's classes meet all its others in a round,
+then leave it.  So no link between two components is left out, and no large bucket gives all its pairs.  Every link
+is confirmed on the full sets.  Shingles are known by 64-bit hashes, classes by 128-bit hashes of their sets.
 
 Rows: null, empty or blank text has no set and is linked with nothing.  A null doc_id never becomes the id of a
 component that has another id; rows of null id in a component without ids have a null component_id and are kept.
@@ -34,8 +34,8 @@ COORDINATES = 144
 MISS = 2e-5
 #: Places of the ring.
 RING = 1 << 22
-#: A bucket with so many unsettled classes at most compares all that are of different components at once.
-SMALL = 16
+#: How many of a bucket's unsettled classes meet its others in one round, about.
+CENTRES = 128
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -182,22 +182,24 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     # what is unsettled: buckets with classes of more than one component; the first centres have met all others
     tested = pairs
     live = shared.where("cid <> u").select("h", "cid", "n")
+    turn = 0
     while True:
         live = live.join(label.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        open_ = live.groupBy("h").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("cid").alias("u")).where("low <> high")
-        live = stored(live.join(open_.select("h", "size", "u"), "h"), "unsettled")
+        open_ = live.groupBy("h").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        chosen = F.pmod(F.xxhash64("cid", F.lit(turn)), F.ceil(F.col("size") / CENTRES)) == 0
+        live = stored(live.join(open_.select("h", "size"), "h").withColumn("chosen", chosen), "unsettled")
         if live.isEmpty():
             break
-        few = live.where(F.col("size") <= SMALL).select("h", F.col("cid").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu"))
-        many = live.where(F.col("size") > SMALL)
-        first = many.where("cid = u").select("h", F.col("cid").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu"))
-        other = live.select("h", F.col("cid").alias("v"), F.col("n").alias("nv"), F.col("label").alias("lv"))
-        crossing = union_all([few.join(other, "h").where("u < v"), first.join(other, "h").where("u <> v")]).where("lu <> lv").where(_similar_size(percent))
+        first = live.where("chosen").select("h", F.col("cid").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu"))
+        other = live.select("h", F.col("cid").alias("v"), F.col("n").alias("nv"), F.col("label").alias("lv"), F.col("chosen").alias("both"))
+        crossing = first.join(other, "h").where("lu <> lv AND (u < v OR NOT both)").where(_similar_size(percent))
         fresh = stored(crossing.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
-        links.append(stored(_confirmed(fresh, sets, percent), "confirmed"))
-        tested = tested.union(fresh)
-        label = stored(components(union_all(links)), "labels")
-        live = many.where("cid <> u").select("h", "cid", "n")
+        found = stored(_confirmed(fresh, sets, percent), "confirmed")
+        live = live.where("NOT chosen").select("h", "cid", "n")
+        tested, turn = tested.union(fresh), turn + 1
+        if not found.isEmpty():
+            links.append(found)
+            label = stored(components(union_all(links)), "labels")
 
     root = classes.join(label.withColumnRenamed("id", "cid"), "cid", "left").select("class", "rep", F.coalesce("label", "cid").alias("component"))
     named = root.join(root.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("class", "component", "component_id")
