@@ -11,12 +11,14 @@ from factgraph.llm.langid import op3_langid
 from factgraph.llm.linechunks import op7_line_dedup
 from factgraph.llm.minhash import op9_minhash
 from factgraph.llm.packing import op6_packing
+from factgraph.llm.pii import op4_pii
 from factgraph.llm.secretscan import op2_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_secrets": op2_secrets,
     "op3_langid": op3_langid,
+    "op4_pii": op4_pii,
     "op6_packing": op6_packing,
     "op7_line_dedup": op7_line_dedup,
     "op9_minhash": op9_minhash,
