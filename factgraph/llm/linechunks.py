@@ -51,8 +51,8 @@ def chunks(text: str) -> list[tuple[int, int]]:
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, chunk (from 0), h: the chunks of each document, but those that are blank."""
-    src = docs.where("doc_id IS NOT NULL").select("doc_id", "text_key", "text")
+    """id_key, text_key, chunk (from 0), h: the chunks of each document, but those that are blank."""
+    src = docs.where("doc_id IS NOT NULL").select("id_key", "text_key", "text")
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         row, no, h = [], [], []
@@ -65,9 +65,9 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                     no.append(c)
                     h.append(xxhash.xxh3_128_digest(body.encode("utf-8", "surrogatepass")))
         row = pa.array(row, pa.int64())
-        return pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(no, pa.int32()), pa.array(h, pa.binary())], names=["doc_id", "text_key", "chunk", "h"])
+        return pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(no, pa.int32()), pa.array(h, pa.binary())], names=["id_key", "text_key", "chunk", "h"])
 
-    return src.mapInArrow(by_batch(one), T.StructType([src.schema["doc_id"], T.StructField("text_key", T.LongType()), T.StructField("chunk", T.IntegerType()), T.StructField("h", T.BinaryType())]))
+    return src.mapInArrow(by_batch(one), T.StructType([src.schema["id_key"], T.StructField("text_key", T.LongType()), T.StructField("chunk", T.IntegerType()), T.StructField("h", T.BinaryType())]))
 
 
 def _bodies(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -107,15 +107,23 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.drop("n_lines", "n_removed")
     own = [c for c in docs.columns if c not in ("doc_id", "text")]
-    # other columns travel in one struct, so that their names clash with none of ours
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text", F.struct(*[F.col(f"`{c}`") for c in own], F.lit(0).alias("_")).alias("own"))
+    # other columns travel in one struct, so that their names clash with none of ours; rows without id meet no key
+    keyed = docs.select(
+        F.coalesce("doc_id", F.lit(0)).alias("id_key"),
+        F.xxhash64("text", F.col("doc_id").isNull()).alias("text_key"),
+        "doc_id",
+        "text",
+        F.struct(*[F.col(f"`{c}`") for c in own], F.lit(0).alias("_")).alias("own"),
+    )
+    key = ["id_key", "text_key"]
     at = stored(_occurrences(keyed), "chunks")
-    kept = stored(at.groupBy("h").agg(F.min(F.struct("doc_id", "text_key", "chunk")).alias("k"), F.count("*").alias("n")).where("n > 1").select("h", "k.*"), "kept-chunks")
-    asked = kept.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("chunk", "h")).alias("asked"))
-    bodies = keyed.join(asked, ["doc_id", "text_key"]).select("text", "asked").mapInArrow(by_batch(_bodies), "h binary, body string").dropDuplicates(["h"])
-    others = at.join(kept.select("h", F.struct("doc_id", "text_key", "chunk").alias("k")), "h").where(F.struct("doc_id", "text_key", "chunk") != F.col("k")).select("doc_id", "text_key", "chunk", "h").distinct()
-    repeats = others.join(bodies, "h").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("chunk", "body")).alias("repeats"))
-    joined = keyed.join(repeats, ["doc_id", "text_key"], "left").select("doc_id", "text", "repeats", "own")
+    kept = stored(at.groupBy("h").agg(F.min(F.struct(*key, "chunk")).alias("k"), F.count("*").alias("n")).where("n > 1").select("h", "k.*"), "kept-chunks")
+    asked = kept.groupBy(*key).agg(F.collect_list(F.struct("chunk", "h")).alias("asked"))
+    # both joins below take the same columns of `keyed`, so that the texts are shuffled once
+    bodies = keyed.join(asked.hint("merge"), key).drop(*key).mapInArrow(by_batch(_bodies), "h binary, body string").dropDuplicates(["h"])
+    others = at.join(kept.select("h", F.struct(*key, "chunk").alias("k")), "h").where(F.struct(*key, "chunk") != F.col("k")).select(*key, "chunk", "h").distinct()
+    repeats = others.join(bodies.hint("merge"), "h").groupBy(*key).agg(F.collect_list(F.struct("chunk", "body")).alias("repeats"))
+    joined = keyed.join(repeats.hint("merge"), key, "left").select("doc_id", "text", "repeats", "own")
     schema = T.StructType([joined.schema["doc_id"], joined.schema["own"], joined.schema["text"], T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     out = joined.mapInArrow(by_batch(_without), schema)
     return out.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"own.`{c}`").alias(c) for c in docs.columns], F.col("n_lines").alias("n_lines"), F.col("n_removed").alias("n_removed"))
