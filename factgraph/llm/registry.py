@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factgraph.llm.annsearch import op8_ann
 from factgraph.llm.bpe import op1_bpe
 from factgraph.llm.langid import op3_langid
 from factgraph.llm.linechunks import op7_line_dedup
@@ -13,6 +14,7 @@ from factgraph.llm.minhash import op9_minhash
 from factgraph.llm.packing import op6_packing
 from factgraph.llm.pii import op4_pii
 from factgraph.llm.secretscan import op2_secrets
+from factgraph.llm.topk import op10_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
@@ -21,7 +23,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op6_packing": op6_packing,
     "op7_line_dedup": op7_line_dedup,
+    "op8_ann": op8_ann,
     "op9_minhash": op9_minhash,
+    "op10_topk": op10_topk,
 }
 
 #: None of the ten can be said in SQL as a whole; tests/llm holds each against a brute-force version.
