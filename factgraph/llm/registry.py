@@ -12,6 +12,7 @@ from factgraph.llm.langid import op3_langid
 from factgraph.llm.linechunks import op7_line_dedup
 from factgraph.llm.minhash import op9_minhash
 from factgraph.llm.packing import op6_packing
+from factgraph.llm.pagetext import op5_html
 from factgraph.llm.pii import op4_pii
 from factgraph.llm.secretscan import op2_secrets
 from factgraph.llm.topk import op10_topk
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_langid": op3_langid,
     "op4_pii": op4_pii,
+    "op5_html": op5_html,
     "op6_packing": op6_packing,
     "op7_line_dedup": op7_line_dedup,
     "op8_ann": op8_ann,
