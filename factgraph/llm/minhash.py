@@ -6,8 +6,11 @@ coordinate, gives all coordinates of the signature: those of one shingle lie sid
 agree in a band of coordinates share a bucket.
 
 In a bucket, its smallest class is compared with all others; what they do not settle is found in further rounds, in
-which only classes of different components meet: about CENTRES of a bucket's classes meet all its others in a round,
-then leave it.  So no link between two components is left out, and no large bucket gives all its pairs.  Every link
+which only classes of different components meet.  First meet those that share a rare shingle, which few unsettled
+classes have.  Two classes that share none can have no more in common than the shingles that are not rare, which
+bounds their similarity before they meet; most that are merely akin part here.  Of what is left, all but the classes
+of a bucket's largest component meet its others, about CENTRES of them in the first round and eight times as many in
+each further one, then leave it.  So no link between two components is left out, and no large bucket gives all its pairs.  Every link
 is confirmed on the full sets.  Shingles are known by 64-bit hashes, classes by 128-bit hashes of their sets.
 
 Rows: null, empty or blank text has no set and is linked with nothing.  A null doc_id never becomes the id of a
@@ -34,8 +37,10 @@ COORDINATES = 144
 MISS = 2e-5
 #: Places of the ring.
 RING = 1 << 22
-#: How many of a bucket's unsettled classes meet its others in one round, about.
-CENTRES = 128
+#: How many of a bucket's unsettled classes meet its others in the first round, about, and in any round at most.
+CENTRES, MOST_CENTRES = 12, 512
+#: A shingle is rare if so many unsettled classes have it at most.
+RARE = 8
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -153,6 +158,26 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_sets.select("u", "v", "set_u", "set_v").mapInArrow(by_batch(one), "u bigint, v bigint")
 
 
+def _open(live: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows (h, cid, ...) of buckets with classes of several components, with label, the label that
+    most of the bucket's classes have, and how many others there are."""
+    live = live.join(label.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    each = live.groupBy("h", "label").agg(F.count("*").alias("n"))
+    open_ = each.groupBy("h").agg((F.sum("n") - F.max("n")).alias("others"), F.max_by("label", F.struct("n", "label")).alias("most")).where("others > 0")
+    return live.join(open_, "h")
+
+
+def _rare(sets: DataFrame, of: DataFrame) -> DataFrame:
+    """cid, s, n: the rare shingles of each class of `of`, and how many of these classes have them."""
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))), pa.array(np.concatenate(found))], names=["cid", "s"])
+
+    each = sets.join(of, "cid", "left_semi").select("cid", "set").mapInArrow(by_batch(one), "cid bigint, s bigint")
+    return each.join(each.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") <= RARE), "s").select("cid", "s", "n")
+
+
 def _similar_size(percent: int):
     return F.expr(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
 
@@ -181,21 +206,35 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     label = stored(components(links[0]), "labels")
     # what is unsettled: buckets with classes of more than one component; the first centres have met all others
     tested = pairs
-    live = shared.where("cid <> u").select("h", "cid", "n")
+    live = stored(_open(shared.where("cid <> u").select("h", "cid", "n"), label), "unsettled")
+    if not live.isEmpty():
+        rare = stored(_rare(sets, live.select("cid").distinct()), "rare")
+        x, y = (rare.where("n > 1").select("s", F.col("cid").alias(c)) for c in "uv")
+        of = live.select("cid", "n", "label").distinct()
+        both = x.join(y, "s").where("u < v").select("u", "v").distinct()
+        for c in "uv":
+            both = both.join(of.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("label").alias(f"l{c}")), c)
+        fresh = stored(both.where("lu <> lv").where(_similar_size(percent)).select("u", "v").join(tested, ["u", "v"], "left_anti"), "pairs")
+        links.append(stored(_confirmed(fresh, sets, percent), "confirmed"))
+        tested = tested.union(fresh)
+        label = stored(components(union_all(links)), "labels")
+        rest = rare.groupBy("cid").agg(F.count("*").alias("rare"))
+        live = live.select("h", "cid", "n").join(rest, "cid", "left").withColumn("c", F.col("n") - F.coalesce("rare", F.lit(0))).where(f"100 * c >= {percent} * n").drop("rare")
     turn = 0
     while True:
-        live = live.join(label.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        open_ = live.groupBy("h").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        chosen = F.pmod(F.xxhash64("cid", F.lit(turn)), F.ceil(F.col("size") / CENTRES)) == 0
-        live = stored(live.join(open_.select("h", "size"), "h").withColumn("chosen", chosen), "unsettled")
+        live = stored(_open(live, label), "unsettled") if "c" in live.columns else live
         if live.isEmpty():
             break
-        first = live.where("chosen").select("h", F.col("cid").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu"))
-        other = live.select("h", F.col("cid").alias("v"), F.col("n").alias("nv"), F.col("label").alias("lv"), F.col("chosen").alias("both"))
-        crossing = first.join(other, "h").where("lu <> lv AND (u < v OR NOT both)").where(_similar_size(percent))
+        live = live.join(live.groupBy("cid").agg(F.array_sort(F.collect_list("h")).alias("all")), "cid")  # at most one a band
+        first = live.where((F.col("label") != F.col("most")) & (F.pmod(F.xxhash64("cid", F.lit(turn)), F.ceil(F.col("others") / min(MOST_CENTRES, CENTRES * 8**turn))) == 0))
+        first = first.select("h", F.col("cid").alias("u"), F.col("n").alias("nu"), F.col("c").alias("cu"), F.col("label").alias("lu"), F.col("all").alias("hu"))
+        other = live.select("h", F.col("cid").alias("v"), F.col("n").alias("nv"), F.col("c").alias("cv"), F.col("label").alias("lv"), F.col("all").alias("hv"))
+        likely = F.expr(f"100 * least(cu, cv) >= {percent} * (nu + nv - least(cu, cv))")
+        once = F.expr("element_at(array_intersect(hu, hv), 1) = h")  # of the buckets that two classes share, in the first alone
+        crossing = first.join(other, "h").where((F.col("lu") != F.col("lv")) & likely & once)
         fresh = stored(crossing.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
         found = stored(_confirmed(fresh, sets, percent), "confirmed")
-        live = live.where("NOT chosen").select("h", "cid", "n")
+        live = live.join(first.select("h", F.col("u").alias("cid")), ["h", "cid"], "left_anti").select("h", "cid", "n", "c")
         tested, turn = tested.union(fresh), turn + 1
         if not found.isEmpty():
             links.append(found)
