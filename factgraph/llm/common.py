@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one Arrow batch: texts may be long, so that few rows travel together.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,7 @@ def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterab
         for b in batches:
             if b.num_rows:
                 yield fn(b)
+        pa.default_memory_pool().release_unused()
 
     return run
 

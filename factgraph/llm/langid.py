@@ -129,11 +129,12 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample: in
         lang_of = b.column(1).to_pylist()
         names, grams, times = [], [], []
         for x in sorted(set(lang_of)):
-            own = [np.unique(ngrams(t)) for t, y in zip(texts(b), lang_of, strict=True) if x == y]
-            g, n = np.unique(np.concatenate(own), return_counts=True)
-            names += [x] * (len(g) + 1)
-            grams.append(np.r_[g.astype(np.int64), 0])  # gram 0: the documents
-            times.append(np.r_[n, len(own)])
+            own = [t for t, y in zip(texts(b), lang_of, strict=True) if x == y]
+            for at in range(0, len(own), 50):
+                g, n = np.unique(np.concatenate([np.unique(ngrams(t)) for t in own[at : at + 50]]), return_counts=True)
+                names += [x] * (len(g) + 1)
+                grams.append(np.r_[g.astype(np.int64), 0])  # gram 0: the documents
+                times.append(np.r_[n, len(own[at : at + 50])])
         return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(grams), pa.int64()), pa.array(np.concatenate(times), pa.int64())], names=["lang", "gram", "n"])
 
     seen = chosen.mapInArrow(by_batch(one), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

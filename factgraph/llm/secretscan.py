@@ -42,7 +42,7 @@ SAMPLE, WINDOWS, WIDTH, ROUNDS = 20_000, 1000, 20, 60
 #: A word beside a token is a feature if the windows have it so often.
 NAMED = 25
 NEVER = -1e4
-CACHE = 200_000
+CACHE = 100_000
 
 
 def base_spans(text: str, longest: int | None = None) -> tuple[list[Span], list[tuple[int, int]]]:
@@ -322,15 +322,14 @@ def scan(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 
 def without_secrets(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with [kind] in place of each secret of its text."""
-    found = scan(docs, model)
-    own = [c for c in found.columns if c not in ("base", "spans")]
+    small_batches(docs.sparkSession)
+    i = docs.columns.index("text")
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        i = own.index("text")
-        clean = [redacted(t, s) if s else t for t, s in zip(b.column(i).to_pylist(), b.column(len(own)).to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(clean, pa.string()) if k == i else b.column(k) for k in range(len(own))], names=own)
+        clean = [redacted(t, as_rows(s)) if t and (s := spans_of(t, model)[1]) else t for t in b.column(i).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(clean, pa.string()) if k == i else b.column(k) for k in range(b.num_columns)], names=docs.columns)
 
-    return found.select(*[F.col(f"`{c}`") for c in own], "spans").mapInArrow(by_batch(one), T.StructType([found.schema[c] for c in own]))
+    return docs.mapInArrow(by_batch(one), docs.schema)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
