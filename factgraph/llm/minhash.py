@@ -222,10 +222,12 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
         live = live.select("h", "cid", "n").join(rest, "cid", "left").withColumn("c", F.col("n") - F.coalesce("rare", F.lit(0))).where(f"100 * c >= {percent} * n").drop("rare")
     turn = 0
     while True:
-        live = stored(_open(live, label), "unsettled") if "c" in live.columns else live
+        if "c" in live.columns:
+            live = _open(live, label)
+            all_ = live.groupBy("cid").agg(F.array_sort(F.collect_list("h")).alias("all"))  # at most one a band
+            live = stored(live.join(all_, "cid"), "unsettled")
         if live.isEmpty():
             break
-        live = live.join(live.groupBy("cid").agg(F.array_sort(F.collect_list("h")).alias("all")), "cid")  # at most one a band
         first = live.where((F.col("label") != F.col("most")) & (F.pmod(F.xxhash64("cid", F.lit(turn)), F.ceil(F.col("others") / min(MOST_CENTRES, CENTRES * 8**turn))) == 0))
         first = first.select("h", F.col("cid").alias("u"), F.col("n").alias("nu"), F.col("c").alias("cu"), F.col("label").alias("lu"), F.col("all").alias("hu"))
         other = live.select("h", F.col("cid").alias("v"), F.col("n").alias("nv"), F.col("c").alias("cv"), F.col("label").alias("lv"), F.col("all").alias("hv"))
