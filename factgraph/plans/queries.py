@@ -308,17 +308,23 @@ q_w5 AS (SELECT DISTINCT a.run_id, a.source_key, b.target_key AS at_, a.kind, b.
 q_pair AS (SELECT DISTINCT run_id, source_key, at_ AS target_key FROM (SELECT * FROM q_w2 UNION ALL SELECT * FROM q_w3 UNION ALL SELECT * FROM q_w4 UNION ALL SELECT * FROM q_w5) WHERE shown AND source_key <> at_)
 SELECT p.run_id, p.source_key, p.target_key FROM q_pair p WHERE NOT EXISTS (SELECT 1 FROM q_way w WHERE w.run_id = p.run_id AND w.source_key = p.source_key AND w.target_key = p.target_key) ORDER BY 1, 2, 3 LIMIT 200""")
 def qry14_lifted_edges(t: Tables) -> DataFrame:
-    return reach.lifted_edges(t.nodes.where("kind IN ('ENDPOINT', 'TABLE')"), t.edges).select("run_id", "source_key", "target_key")
+    nodes, edges = reach.shared_table(t.nodes.select("run_id", "stable_key", "kind"), "nodes"), reach.shared_table(t.edges.select("run_id", "source_key", "target_key", "kind"), "edges")
+    return reach.lifted_edges(nodes.where("kind IN ('ENDPOINT', 'TABLE')"), edges).select("run_id", "source_key", "target_key")
+
+
+def _graph(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges, written once: the search reads them in every round."""
+    return reach.shared_table(t.all_nodes.drop("properties", "label", "fact_ids"), "nodes"), reach.shared_table(t.edges.drop("properties"), "edges")
 
 
 @query()
 def sc1_scenario_members(t: Tables) -> DataFrame:
-    members, _ = reach.scenario_members(t.all_nodes, t.edges)
+    members, _ = reach.scenario_members(*_graph(t))
     return members.select("run_id", "entry_key", "member_key", "kind", "depth", "position", "confidence")
 
 
 @query()
 def sc3_scenario_model(t: Tables) -> DataFrame:
-    members, flags = reach.scenario_members(t.all_nodes, t.edges)
+    members, flags = reach.scenario_members(*_graph(t))
     model = reach.scenario_model(members, flags)
     return model.select("run_id", "entry_key", F.size("async_boundaries").alias("n_async"), F.size("unresolved").alias("n_unresolved"), F.size("members_by_kind").alias("n_kinds"), "confidence", "truncated")
