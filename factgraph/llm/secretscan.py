@@ -323,13 +323,14 @@ def scan(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 def without_secrets(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with [kind] in place of each secret of its text."""
     small_batches(docs.sparkSession)
-    i = docs.columns.index("text")
+    own, schema = docs.columns, docs.schema
+    i = own.index("text")
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         clean = [redacted(t, as_rows(s)) if t and (s := spans_of(t, model)[1]) else t for t in b.column(i).to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array(clean, pa.string()) if k == i else b.column(k) for k in range(b.num_columns)], names=docs.columns)
+        return pa.RecordBatch.from_arrays([pa.array(clean, pa.string()) if k == i else b.column(k) for k in range(b.num_columns)], names=own)
 
-    return docs.mapInArrow(by_batch(one), docs.schema)
+    return docs.mapInArrow(by_batch(one), schema)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
