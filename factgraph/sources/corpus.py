@@ -86,10 +86,9 @@ def file_language(path: Column, first_line: Column) -> Column:
 def technology_tags(files: DataFrame, rules: DataFrame) -> DataFrame:
     """path, tag_kind, tag, evidence_type, confidence: rules (file_pattern, text_pattern, ...) that a file meets.
 
-    The rules are a small table of our own; they are joined by the file's name, so that a text is searched only by the
-    rules for files of that name.
+    The rules are joined by the file's name, so that a text is searched only by the rules for files of that name.
     """
-    named = files.withColumn("file_name", _name(F.col("path"))).join(F.broadcast(rules.hint("broadcast")), "file_name")
+    named = files.withColumn("file_name", _name(F.col("path"))).join(rules, "file_name")
     return named.where(F.col("text_pattern").isNull() | F.expr("regexp_like(text, text_pattern)")).select("path", "component", "tag_kind", "tag", "evidence_type", "confidence")
 
 
