@@ -15,6 +15,7 @@ class Tables:
     """Facts, evidence, nodes, edges, reviews, spans and tasks over the tables of one folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")  # other queries of a session may have set it for long texts
         self.spark, self.views = spark, bridge.views(spark, sf_dir)
 
     def __getattr__(self, name: str) -> DataFrame:
