@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the passages of several lines that an earlier document has; documents of which nothing is left go."""
     found = linechunks.without_repeats(docs)
-    return _with_length(found.where("n_removed = 0 OR text <> ''").select(docs.columns))
+    return _with_length(found.where(r"n_removed = 0 OR text RLIKE '\\S'").select(docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,19 +1,19 @@
 """Operator 7: removal of multi-line passages that repeat anywhere in the corpus, by content-defined line chunks.
 
-A hash rolls over the hashes of the last lines of a document; where it meets a mask, a chunk ends, so that the same
-passage is cut alike wherever it stands.  A chunk has two lines at least; what is left at the end joins the chunk
-before it.  Of equal chunks the one with the smallest (doc_id, text hash, place) stays; the others go once their bytes
-are found equal to the bytes of that one.  What goes through shuffles besides hashes are the texts, once, and the kept
-one of each repeated chunk.
-
-Rows: null text stays null; texts of one line, and chunks of blank lines alone, stay as they are.  Rows without id
+Each line that is not blank makes a chunk with the next such line and the blank lines between.  Where a chunk begins and
+ends depends on these two lines alone, and chunks overlap by a line, so that the same passage of two lines or more is cut
+alike wherever it stands, and its equal chunks together reach from its first line to its last.  Of equal chunks the one
+with the smallest (doc_id, text hash, place) stays; the lines of the others go once their bytes are found equal to the
+bytes of that one.  A line that goes has a copy at an earlier place, so that one copy of each line stays.  What goes
+through shuffles besides hashes are the texts, once, and the kept one of each repeated chunk.
+
+Rows: null text stays null; texts of one line, and blank lines outside of chunks, stay as they are.  Rows without id
 stay as they are.  Repeated rows (same doc_id and text) count as one document and stay alike.  Other columns, of any
 name, come back as they were.  No rows give no rows.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -22,36 +22,15 @@ from pyspark.sql import types as T
 
 from factgraph.llm.common import by_batch, small_batches, stored, table, texts
 
-#: Lines under the rolling hash; one boundary in so many lines, about; lines of a chunk at least and at most.
-WINDOW, ONE_IN, LEAST, MOST = 2, 3, 2, 64
-
 
 def chunks(text: str) -> list[tuple[int, int]]:
     """(first line, line after the last) of each chunk; none for a single line."""
-    lines = text.split("\n")
-    n = len(lines)
-    if n < LEAST:
-        return []
-    h = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines], np.uint64)
-    roll = h.copy()
-    for k in range(1, WINDOW):
-        roll[k:] = roll[k:] * np.uint64(0x9E3779B97F4A7C15) + h[:-k]
-    ends = ((roll >> np.uint64(33)) % np.uint64(ONE_IN) == 0).tolist()
-    out, at = [], 0
-    for i, end in enumerate(ends):
-        if (end and i + 1 - at >= LEAST) or i + 1 - at == MOST:
-            out.append((at, i + 1))
-            at = i + 1
-    if at < n:
-        if out and n - at < LEAST:
-            out[-1] = (out[-1][0], n)
-        else:
-            out.append((at, n))
-    return out
+    full = [i for i, x in enumerate(text.split("\n")) if x.strip()]
+    return [(x, y + 1) for x, y in zip(full, full[1:])]
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """id_key, text_key, chunk (from 0), h: the chunks of each document, but those that are blank."""
+    """id_key, text_key, chunk (from 0), h: the chunks of each document."""
     src = docs.where("doc_id IS NOT NULL").select("id_key", "text_key", "text")
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -60,10 +39,9 @@ def _occurrences(docs: DataFrame) -> DataFrame:
             found = chunks(text)
             lines = text.split("\n") if found else ()
             for c, (x, y) in enumerate(found):
-                if (body := "\n".join(lines[x:y])).strip():
-                    row.append(k)
-                    no.append(c)
-                    h.append(xxhash.xxh3_128_digest(body.encode("utf-8", "surrogatepass")))
+                row.append(k)
+                no.append(c)
+                h.append(xxhash.xxh3_128_digest("\n".join(lines[x:y]).encode("utf-8", "surrogatepass")))
         row = pa.array(row, pa.int64())
         return pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(no, pa.int32()), pa.array(h, pa.binary())], names=["id_key", "text_key", "chunk", "h"])
 

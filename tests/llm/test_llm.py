@@ -103,6 +103,29 @@ def test_line_dedup_against_plain(spark):
     assert got[900] is None and got[901] == "" and got[902] == "one line"
 
 
+def test_line_dedup_against_all_repeated_runs(spark):
+    rnd = random.Random(7)
+    line = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(6))
+    passages = [[line() for _ in range(n)] for n in (2, 3, 4, 5, 6, 8, 10) for _ in range(6)]
+    passages[3][1:1] = ["", " "]
+    texts = [[line() for _ in range(rnd.randint(1, 4))] + p + [line() for _ in range(rnd.randint(1, 4))] for _ in range(2) for p in passages]
+    texts += [passages[0] + passages[9], ["a b", "a b", "a b"], [line(), passages[5][0], line()]]
+    got = {r.doc_id: r.text for r in linechunks.without_repeats(docs(spark, [(i, "\n".join(t)) for i, t in enumerate(texts)])).collect()}
+    seen, n = set(), 0
+    for i, lines in enumerate(texts):
+        gone = set()
+        for a in range(len(lines)):
+            for b in range(a + 2, len(lines) + 1):
+                if lines[a].strip() and lines[b - 1].strip():
+                    run = tuple(lines[a:b])
+                    if run in seen:
+                        gone.update(range(a, b))
+                    seen.add(run)
+        n += len(gone)
+        assert got[i] == "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    assert n == sum(map(len, passages)) + len(passages[0] + passages[9]) + 2
+
+
 def shingled(t, k):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
