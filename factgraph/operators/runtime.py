@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factgraph.operators.reach import shared_table
+
 SPAN_KEY = ["run_id", "trace_id", "span_id"]
 
 
@@ -16,11 +18,11 @@ def span_hash(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
 
 
-def dedup_spans(spans: DataFrame, stored: DataFrame | None = None, quota: int = 100_000) -> DataFrame:
+def dedup_spans(spans: DataFrame, stored: DataFrame | None = None, quota: int | None = 100_000) -> DataFrame:
     """spans with verdict: `new` (one of each key), `duplicate` (same hash), `conflict` (another hash), `over_quota`.
 
     The first of a key by upload, then hash, is the one that others are held against; a stored one comes before all.
-    stored: run_id, trace_id, span_id, span_hash.
+    stored: run_id, trace_id, span_id, span_hash.  Without a quota, no span is over it.
     """
     first = spans.groupBy(*SPAN_KEY).agg(F.min(F.struct("upload", "span_hash")).alias("first"))
     out = spans.join(first, SPAN_KEY)
@@ -33,10 +35,20 @@ def dedup_spans(spans: DataFrame, stored: DataFrame | None = None, quota: int =
     out = out.withColumn("turn", F.row_number().over(same))
     verdict = F.when(F.col("span_hash") != base, "conflict").when(F.col("stored_hash").isNotNull() | (F.col("turn") > 1), "duplicate").otherwise("new")
     out = out.withColumn("verdict", verdict).drop("first", "stored_hash", "turn")
-    # the quota counts keys; only runs that may exceed it are ranked
+    if quota is None:
+        return out
+    # the quota counts keys; only runs that exceed it are dealt into ranges, and only the range with the cut is ranked
     full = out.where("verdict = 'new'").groupBy("run_id").agg(F.count("*").alias("n")).where(F.col("n") > quota).select("run_id")
-    over = out.where("verdict = 'new'").join(full, "run_id", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy("upload", "trace_id", "span_id"))).where(F.col("place") > quota).select(*SPAN_KEY, F.lit(True).alias("over"))
-    out = out.join(over, SPAN_KEY, "left")
+    new = out.where("verdict = 'new'").join(full, "run_id", "left_semi").select("run_id", "upload", "trace_id", "span_id")
+    ranges = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = shared_table(new.repartitionByRange(ranges, "run_id", "upload", "trace_id", "span_id").withColumn("range", F.spark_partition_id()), "span-ranges")
+    earlier = Window.partitionBy("run_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("run_id", "range").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    placed = dealt.join(counts, ["run_id", "range"])
+    behind = placed.where(F.col("before") >= quota).select(*SPAN_KEY)
+    cut = placed.where((F.col("before") < quota) & (F.col("before") + F.col("n") > quota))
+    cut = cut.withColumn("place", F.row_number().over(Window.partitionBy("run_id", "range").orderBy("upload", "trace_id", "span_id"))).where(F.col("before") + F.col("place") > quota).select(*SPAN_KEY)
+    out = out.join(behind.union(cut).withColumn("over", F.lit(True)), SPAN_KEY, "left")
     return out.withColumn("verdict", F.when((F.col("verdict") == "new") & F.coalesce("over", F.lit(False)), "over_quota").otherwise(F.col("verdict"))).drop("over")
 
 

@@ -70,7 +70,8 @@ class Tables:
 
     @cached_property
     def judged(self) -> DataFrame:
-        return runtime.dedup_spans(self.spans)
+        # b_span has every event in one run, and the queries' SQL knows no quota
+        return runtime.dedup_spans(self.spans, quota=None)
 
     @cached_property
     def span_nodes(self) -> DataFrame:

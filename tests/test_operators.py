@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factgraph.functions import expressions as E
 from factgraph.functions import semantics as S
-from factgraph.operators import diff, graph, projections, reach, validate
+from factgraph.operators import diff, graph, projections, reach, runtime, validate
 from factgraph.sources import corpus, facts
 
 
@@ -107,6 +107,21 @@ def test_evidence_reasons(spark):
     assert got == sorted(["None", "SNIPPET_HASH_MISMATCH", "PATH_ESCAPE", "SOURCE_NOT_REGULAR_FILE", "INVALID_RANGE", "INVALID_RANGE", "INVALID_COLUMN_RANGE"])
 
 
+def test_span_quota(spark):
+    rows = [(u, f"r{r}", f"t{i % 7}", f"s{i:03}", f"h{i}") for r, n in ((1, 90), (2, 20), (3, 41)) for i in range(n) for u in ((1, 2) if i % 9 == 0 else (1 + i % 2,))]
+    spans = spark.createDataFrame(rows, "upload int, run_id string, trace_id string, span_id string, span_hash string")
+    for quota in (0, 20, 40, 89, None):
+        want, used = {}, {}
+        for u, r, t, s, _ in sorted(rows):
+            if (r, t, s) in {k[1:] for k in want}:
+                want[u, r, t, s] = "duplicate"
+            else:
+                used[r] = used.get(r, 0) + 1
+                want[u, r, t, s] = "over_quota" if quota is not None and used[r] > quota else "new"
+        got = runtime.dedup_spans(spans, quota=quota).collect()
+        assert {(x.upload, x.run_id, x.trace_id, x.span_id): x.verdict for x in got} == want and len(got) == len(rows)
+
+
 def test_payload_rejects(spark):
     df = spark.createDataFrame([('{"a":1}',), ('{"a":1,"a":2}',), ('{"a":1} x',)], "p string")
     assert [r[0] for r in df.select(validate.strict_json("p")).collect()] == [None, "DUPLICATE_KEY", "INVALID_JSON"]

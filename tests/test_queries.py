@@ -28,3 +28,17 @@ def test_same_rows(spark, duck, name):
     assert sorted(names) == columns
     want = sorted(tuple(str(dict(zip(names, r))[c]) for c in columns) for r in found.fetchall())
     assert sorted(tuple(str(r[c]) for c in columns) for r in got.collect()) == want
+
+
+def test_spans_of_more_events_than_a_quota(spark, duck, tmp_path):
+    for f in os.listdir(SF):
+        os.symlink(f"{SF}/{f}", tmp_path / f) if f != "events.parquet" else None
+    events = duck.execute(f"SELECT * FROM read_parquet('{SF}/events.parquet') LIMIT 1")
+    columns = [d[0] for d in events.description]
+    n, m = 120_000, duck.execute("SELECT count(*) FROM events").fetchone()[0]
+    own = ", ".join("i AS event_id" if c == "event_id" else f"e.{c}" for c in columns)
+    duck.execute(f"COPY (SELECT {own} FROM range({n}) t(i) JOIN (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS place FROM events) e ON e.place = i % {m}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    verdicts = {r.verdict: r["count"] for r in queries.QUERIES["rt2_dedup_spans"](spark, str(tmp_path)).groupBy("verdict").count().collect()}
+    repeats = len(range(0, n, 23))
+    assert verdicts == {"new": n, "duplicate": repeats - len(range(0, n, 230)), "conflict": len(range(0, n, 230))}
+    assert queries.QUERIES["rt6_runtime_summary"](spark, str(tmp_path)).first().spans == n
