@@ -94,10 +94,8 @@ def blocks(page: str) -> list[tuple[str, float, str]]:
             if stack[i][0] in scope:
                 return
 
-    at, skip = 0, 0
-    for m in MARKUP.finditer(page):
-        if m.start() < skip:
-            continue
+    at = 0
+    while m := MARKUP.search(page, at):  # from where a raw element ends, so that nothing in it counts as markup
         if m.start() > at:
             parts.append(page[at : m.start()])
         at = m.end()
@@ -111,7 +109,7 @@ def blocks(page: str) -> list[tuple[str, float, str]]:
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
-            at = skip = end.end() if end else len(page)
+            at = end.end() if end else len(page)
             parts.append(" ")
         elif tag in BLOCKS:
             flush()

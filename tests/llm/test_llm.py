@@ -215,6 +215,11 @@ def test_page_text(spark):
     assert got == [(1, "H & x\n\na b c\n\nd e"), (2, ""), (3, ""), (4, "bare text"), (4, "bare text")]
 
 
+def test_scripts_hide_no_markup():
+    page = "<script>for(i=0;i<n ;i++){} // don't</script><article><p>It's the story</p><p>and its end</p></article><style>a<b 'c</style><footer>it's f</footer>"
+    assert pagetext.blocks(page) == [("/article/p", pagetext.TEXT_ROLE, "It's the story"), ("/article/p", pagetext.TEXT_ROLE, "and its end"), ("/footer", pagetext.NOISE_ROLE, "it's f")]
+
+
 def test_what_all_pages_say_goes(spark):
     rows = [(i, "http://h.example/", f"<div><p>own words {i} of {i * 7}</p><section>Read our terms.</section></div>") for i in range(30)]
     got = {r.text for r in pagetext.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
