@@ -40,41 +40,65 @@ ENDS_P = BLOCKS - {"html", "head", "body", "title", "label", "button", "legend"}
 ALIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "body": {"head", "title"}}
 SCOPE = frozenset("html body article main section nav header footer aside div ul ol dl table form td th".split())
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption summary address".split())
-NOISE = frozenset("head title nav footer aside form fieldset legend label button dialog menu search".split())
+NOISE = frozenset("head title nav footer aside legend label button dialog menu search".split())
+HINTS = frozenset("form fieldset".split())
+WHOLE = frozenset("html body main".split())
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer header "
     "masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related replies reply share sharing sidebar "
     "signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
-NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 WORDS = re.compile(r"[a-z]+|[0-9]+")
 
-#: What a role says by itself: text of an article, other parts of one, parts of no role, menus and the like.
-TEXT_ROLE, PART_ROLE, NO_ROLE, NOISE_ROLE = 0.6, 0.3, 0.01, -0.6
+#: What a role says by itself: text of an article, other parts of one, parts of no role, what has hints of noise, and menus
+#: and the like.  Importance less one half, below 0.5 either way, is added: over 16 pages or more it may turn all but the last.
+TEXT_ROLE, PART_ROLE, NO_ROLE, HINT_ROLE, NOISE_ROLE = 0.4, 0.3, 0.01, -0.4, -0.6
 #: So many pages with a node pull its importance as hard as the doubt about it.
 DOUBT = 4
 
 
-def _node(tag: str, attrs: str) -> tuple[str, bool, bool]:
-    """The name of a node, and whether it is noise or the main part of a page."""
-    name, noise, main = tag, tag in NOISE, tag in ("article", "main")
+class _Node:
+    """An open element: its place, the noise it is, and how much of the page's main part it is or holds."""
+
+    __slots__ = ("tag", "path", "up", "noise", "hint", "main", "within", "tops", "articles", "role")
+
+    def __init__(self, tag: str, attrs: str, up: "_Node | None"):
+        name, self.noise, self.hint, self.main = _node(tag, attrs)
+        self.tag, self.path, self.up = tag, f"{up.path if up else ''}/{name}", up
+        self.within = up is not None and (up.main or up.within)
+        self.tops = self.articles = 0
+        # a header outside of an article is the page's; one of an article has its headline
+        self.hint = self.hint or (tag == "header" and not self.within)
+        if self.main:
+            at: _Node | None = self
+            while at:
+                at.tops += not self.within
+                at.articles += tag != "main"
+                at = at.up
+
+
+def _node(tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
+    """The name of a node, and whether it is noise, has hints of it, or is the main part of a page."""
+    name, noise, hint, main = tag, tag in NOISE, tag in HINTS, tag in ("article", "main")
     if attrs and not attrs.isspace():
         for m in ATTRIBUTE.finditer(attrs):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key == "role":
-                noise, main = noise or value in NOISE_ROLES, main or value in ("main", "article")
+                noise, hint, main = noise or value in NOISE_ROLES, hint or value in HINTS, main or value in ("main", "article")
             elif key == "hidden":
                 noise = True
             else:
                 name += ("." if key == "class" else "#") + value
-                noise = noise or not NOISE_WORDS.isdisjoint(WORDS.findall(value))
-    return name, noise, main
+                hint = hint or (tag not in WHOLE and not NOISE_WORDS.isdisjoint(WORDS.findall(value)))
+    return name, noise, hint, main
 
 
 def blocks(page: str) -> list[tuple[str, float, str]]:
     """(path, what its role says, text) of each block of text, in page order."""
-    out: list[tuple[str, float, str]] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, within noise, within the main part
+    out: list[tuple[_Node | None, str]] = []
+    stack: list[_Node] = []
+    nodes: list[_Node] = []  # all of the page, each after the one around it
     parts: list[str] = []
 
     def flush() -> None:
@@ -82,16 +106,15 @@ def blocks(page: str) -> list[tuple[str, float, str]]:
             raw = "".join(parts)
             parts.clear()
             if text := " ".join((entities.unescape(raw) if "&" in raw else raw).split()):
-                tag, path, noise, main = stack[-1] if stack else ("", "", False, False)
-                out.append((path, NOISE_ROLE if noise else NO_ROLE if not main else TEXT_ROLE if tag in TEXT else PART_ROLE, text))
+                out.append((stack[-1] if stack else None, text))
 
     def close(tags, scope) -> None:
         """Ends the innermost open one of `tags`, with all in it, unless one of `scope` lies between."""
         for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
+            if stack[i].tag in tags:
                 del stack[i:]
                 return
-            if stack[i][0] in scope:
+            if stack[i].tag in scope:
                 return
 
     at = 0
@@ -117,18 +140,21 @@ def blocks(page: str) -> list[tuple[str, float, str]]:
                 close({"p"}, SCOPE)
             if tag in ALIKE:
                 close(ALIKE[tag], SCOPE - {"td", "th"} if tag == "tr" else SCOPE)
-            name, noise, main = _node(tag, m["attrs"] or m["attrs2"] or "")
-            _, path, in_noise, in_main = stack[-1] if stack else ("", "", False, False)
-            # a header outside of an article is the page's; one of an article has its headline
-            noise = noise or in_noise or (tag == "header" and not in_main)
-            if not (m["attrs"] or m["attrs2"] or "").endswith("/"):
-                stack.append((tag, f"{path}/{name}", noise, in_main or main))
+            attrs = m["attrs"] or m["attrs2"] or ""
+            if not attrs.endswith("/"):
+                stack.append(_Node(tag, attrs, stack[-1] if stack else None))
+                nodes.append(stack[-1])
         elif tag in ("br", "hr", "img"):
             parts.append(" ")
     if at < len(page):
         parts.append(page[at:])
     flush()
-    return out
+    tops, articles = sum(x.main and not x.within for x in nodes), sum(x.main and x.tag != "main" for x in nodes)
+    for x in nodes:
+        around = x.tops == tops > 0 or (x.within and x.articles == articles > 0)
+        own = NOISE_ROLE if x.noise else HINT_ROLE if x.hint and not around else 0.0
+        x.role = min(own, x.up.role) if x.up else own
+    return [(x.path, x.role or (NO_ROLE if not (x.main or x.within) else TEXT_ROLE if x.tag in TEXT else PART_ROLE), t) if x else ("", NO_ROLE, t) for x, t in out]
 
 
 def path_hash(path: str) -> int:
@@ -165,13 +191,13 @@ def host_of(url: Column) -> Column:
 
 
 def importance(said: DataFrame) -> DataFrame:
-    """host, path, role, importance of each node of the hosts' trees.  said: host, page (a hash), path, role, said."""
+    """host, path, least and most (of its roles), importance of each node of the hosts' trees.  said: host, page (a hash), path, role, said."""
     once = said.select("host", "page", "path", "role", "said").distinct()
-    same = once.groupBy("host", "path", "said").agg(F.count("*").alias("n"), F.min("role").alias("role"))
-    node = same.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.min("role").alias("role"))
+    same = once.groupBy("host", "path", "said").agg(F.count("*").alias("n"), F.min("role").alias("least"), F.max("role").alias("most"))
+    node = same.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.min("least").alias("least"), F.max("most").alias("most"))
     spread = F.when(F.col("pages") > 1, 1 - F.col("nlogn") / (F.col("pages") * F.log("pages"))).otherwise(F.lit(1.0))
     sure = F.col("pages") / (F.col("pages") + DOUBT)
-    return node.select("host", "path", "role", (0.5 + (spread - 0.5) * sure).alias("importance"))
+    return node.select("host", "path", "least", "most", (0.5 + (spread - 0.5) * sure).alias("importance"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -180,9 +206,14 @@ def main_text(pages: DataFrame) -> DataFrame:
     src = pages.select("page_id", "url", "html").withColumn("key", F.xxhash64("page_id", "url", "html"))
     keyed = src.select("key", host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html")
     said = stored(keyed.mapInArrow(by_batch(_content), "key bigint, host string, page bigint, path bigint, role double, said bigint"), "nodes")
-    turned = importance(said).where((F.col("role") + F.col("importance") - 0.5 > 0) != (F.col("role") > 0)).select("host", "path")
+
+    def turns(role: str) -> Column:
+        return (F.col(role) + F.col("importance") - 0.5 > 0) != (F.col(role) > 0)
+
+    # a node may have another role on another page
+    turned = importance(said).where(turns("least") | turns("most") | (F.col("least") != F.col("most"))).select("host", "path", "importance")
     # a file of its own, so that Spark knows its size before it chooses the join
-    by_page = stored(said.select("key", "host", "path").join(turned, ["host", "path"]).groupBy("key").agg(F.collect_set("path").alias("turned")), "turned")
+    by_page = stored(said.select("key", "host", "path", "role").join(turned, ["host", "path"]).where(turns("role")).groupBy("key").agg(F.collect_set("path").alias("turned")), "turned")
     schema = T.StructType([src.schema["page_id"], src.schema["url"], T.StructField("text", T.StringType())])
     return src.join(by_page, "key", "left").select("page_id", "url", "html", "turned").mapInArrow(by_batch(_texts), schema)
 

@@ -226,6 +226,20 @@ def test_what_all_pages_say_goes(spark):
     assert got == {f"own words {i} of {i * 7}" for i in range(30)}
 
 
+def test_hints_yield_to_the_main_part_and_to_importance(spark):
+    around = ['<body class="post with-sidebar"><article>{}</article>', '<div id="header-wrap"><main>{}</main></div>', "<form><div><article>{}</article></div></form>", '<main><article class="post share">{}</article></main>']
+    rows = [(k, f"http://h{k}.example/", x.format("<h1>H</h1><p>own</p>") + '<div class="related"><p>other</p></div><footer>f</footer>') for k, x in enumerate(around)]
+    # a page-wide form on many pages: what each says of its own stays, what all say and a distinct footer go
+    rows += [(100 + i, "http://f.example/", f'<form><div class="x">own {i}</div><div class="y">Search here.</div></form><footer>at {i}</footer>') for i in range(30)]
+    rows += [(200 + i, "http://n.example/", f'<article><p>own {i}</p><p class="z">Please subscribe.</p></article><div class="ad">Buy.</div>') for i in range(30)]
+    # the same place with another role where a second article stands outside of it
+    rows += [(300 + i, "http://r.example/", f'<div id="header-wrap"><article><p>own {i}</p></article></div>' + "<article><h2>H</h2></article>" * (i == 0)) for i in range(30)]
+    got = {r.page_id: r.text for r in pagetext.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got.pop(300) == "own 0\n\nH" and all(got.pop(300 + i) == f"own {i}" for i in range(1, 30))
+    assert got == {k: "H\n\nown" for k in range(4)} | {100 + i: f"own {i}" for i in range(30)} | {200 + i: f"own {i}" for i in range(30)}
+    assert [r for _, r, _ in pagetext.blocks('<main><p>a</p></main><div class="related"><article><p>b</p></article></div>')] == [pagetext.TEXT_ROLE, pagetext.HINT_ROLE]
+
+
 def test_vector_searches(spark):
     r = sorted(spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect())
     ids, x = np.array([v.vec_id for v in r]), np.array([v.embedding for v in r], np.float64)
