@@ -5,8 +5,8 @@ n-gram's places, and-ed, give the bitmask of every language that contains it.  A
 language; each count is corrected for the filter's false positives, and the largest one decides.
 
 A language contains an n-gram that at least MIN_SHARE of its documents have, and at least MIN_RATIO as large a share
-as any other language's documents.  Shares come from a sample of at most about SAMPLE labelled documents a language,
-chosen by a hash of the text; this bounds the filter, which is sent to all tasks.
+as any other language's documents.  Shares come from a sample of at most about SAMPLE different labelled texts a
+language, chosen by a hash of the text; copies count once.  This bounds the filter, which is sent to all tasks.
 
 Rows: `und` with score 0 for null text, text without a letter, or where nothing could be learned.  A text with letters
 of which no n-gram is known gets the most frequent language with score 0.  Ties go to the language first in order.
@@ -119,11 +119,14 @@ def build(known: dict[str, np.ndarray], counts: dict[str, int]) -> Filters:
 def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Filters:
     """Filters of every non-null value of `lang`."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = {x["lang"]: x["n"] for x in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.withColumn("h", F.xxhash64("text", F.lit(3)))
+    found = rows.groupBy("lang", "h").agg(F.count("*").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("own")).collect()
+    counts = {x["lang"]: x["n"] for x in found}
     if not counts:
         return build({}, {})
-    part = F.create_map(*[F.lit(y) for x, n in counts.items() for y in (x, min(1.0, sample / n))])
-    chosen = rows.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1_000_000)) < part[F.col("lang")] * 1_000_000)
+    # copies of a text count once, both for the share that is drawn and in what is drawn
+    part = F.create_map(*[F.lit(y) for x in found for y in (x["lang"], min(1.0, sample / x["own"]))])
+    chosen = rows.where(F.pmod("h", F.lit(1_000_000)) < part[F.col("lang")] * 1_000_000).dropDuplicates(["lang", "h"]).select("text", "lang")
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         lang_of = b.column(1).to_pylist()

@@ -76,6 +76,13 @@ def test_language_of_held_out_documents(spark):
     assert [r.lang_pred for r in empty.orderBy("doc_id").collect()] == ["und"] * 3
 
 
+def test_copies_do_not_change_what_is_learned(spark):
+    rnd = random.Random(3)
+    rows = [(i, " ".join("".join(rnd.choice(letters) for _ in range(5)) for _ in range(20)), x) for x, letters in (("aa", "abcdefgh"), ("bb", "efghijkl")) for i in range(300)]
+    learned = [langid.learn(spark.createDataFrame(r, "doc_id bigint, text string, lang string"), sample=100) for r in (rows, rows + [rows[0]] * 2000 + [rows[7]] * 2000)]
+    assert learned[0].langs == learned[1].langs and all((a == b).all() for a, b in zip(learned[0].slices, learned[1].slices, strict=True))
+
+
 def test_filters_have_no_false_negatives():
     rnd = np.random.default_rng(2)
     own = {x: rnd.integers(0, 2**63, 500).astype(np.uint64) for x in "abcdefghij"}
