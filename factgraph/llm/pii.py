@@ -2,7 +2,7 @@
 
 A text is cut into islands: runs of tokens with a digit or an at-sign, with little between them.  Elsewhere nothing
 can be personal data.  Within an island, segments of up to MOST tokens are candidates for each type; features of the
-whole span (its form, digits, check digit, what stands before it) score them, and a dynamic program over the island
+whole span (its form, digits, check digit; not the words around it) score them, and a dynamic program over the island
 chooses boundaries and types together.  The weights are the maximum of the penalised likelihood on at most ISLANDS
 islands of about SAMPLE texts, whose labels are what the fixed patterns find.
 

@@ -3,8 +3,9 @@
 A dimension is a term whose weight may be negative.  A block of vectors is ordered so that alike ones lie together and
 is cut into ranges of RANGE.  A range keeps the largest and the smallest weight of each term; summed with a query's
 weights they bound the score of every vector in it.  A query scores ranges through their forward index (the rows of
-the range), those of the highest bounds first, until the next bound falls below its kth score.  The bound holds for
-every vector, so that the result is exact.
+the range), first the FIRST ones of its own highest bounds; then all ranges are visited in one order, shared by the
+queries of a block (by the largest bound of any), and a query skips those whose bound is below its kth score.  The
+bound holds for every vector, so that the result is exact.
 
 Rows: vectors that are null or hold a null or non-finite component, and rows of null id, take no part; empty vectors
 score 0.  Of queries with the same id the smallest vector asks once; every other row is a candidate, repeated ones
