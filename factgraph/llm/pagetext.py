@@ -1,16 +1,19 @@
 """Operator 5: the main text of web pages, by a site style tree.
 
-The pages of a host are merged into one tree, whose nodes are the paths of block elements with their classes and ids.
-A node's importance is the entropy of its content over the host's different pages: near 0 where the pages say the same
-there, near 1 where each says its own.  It is pulled towards one half where few pages have the node, and added to what
-the node's role on the page says by itself (article text, neutral, or menus, adverts, forms and the like).  Nodes whose
-sum is not above 0 are removed with all that is in them.
+The pages of a host are merged into one tree.  A node is the path of a block element with its classes and ids; where
+pages differ in what blocks it holds, these sequences are its styles.  Over the host's different pages a node has two
+entropies, each from 0 (all alike) to 1 (each its own): that of its styles, if it holds blocks, and that of its own
+text, if it has some.  Their mean is the node's importance.  That of a branch is the mean over all its nodes by the
+pages that have them, in which each level down counts GAMMA times.  It is pulled towards one half where few pages have
+the node, and added to what the node's role on the page says by itself (article text, neutral, or menus, adverts, forms
+and the like).  Text of nodes whose sum is not above 0 is removed: a branch in which no sum is above 0 goes as a whole.
 
 Only nodes that importance decides otherwise than the role alone travel back to the pages; as a rule these are few,
 so that Spark can broadcast them after a check of their size, and else shuffles.  No host is ever gathered in one task.
 
 Rows: null or empty html gives an empty text of 0 characters; a null or odd url is a host of its own name.  Repeated
-rows give repeated rows.  Other columns are not read.  No rows give no rows.
+rows give repeated rows.  Elements nested deeper than DEEPEST count as the one at that depth.  Other columns are not
+read.  No rows give no rows.
 """
 
 from __future__ import annotations
@@ -24,14 +27,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factgraph.llm.common import by_batch, small_batches, stored, table, texts
+from factgraph.llm.common import by_batch, stored, table, texts
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<end2>/?)(?P<tag2>[A-Za-z][^\s/>]*+)(?P<attrs2>[^>]*+)>|<[!?][^>]*+>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE)
 
 # The names of HTML's elements by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea svg math object canvas select".split())
+RAW = frozenset("script style noscript template iframe textarea svg object canvas select".split())
 BLOCKS = frozenset(
     "html head body title article main section nav header footer aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption "
     "thead tbody tfoot tr td th blockquote pre figure figcaption address form fieldset legend label button dialog menu details summary center hgroup search".split()
@@ -44,10 +47,17 @@ NOISE = frozenset("head title nav footer aside legend label button dialog menu s
 HINTS = frozenset("form fieldset".split())
 WHOLE = frozenset("html body main".split())
 NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer header "
-    "masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related replies reply share sharing sidebar "
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies copyright disclaimer footer header "
+    "masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related share sharing sidebar "
     "signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: What readers write is distinct on each page, so that these words rule as elements of noise do.
+READERS = frozenset("comment comments disqus replies reply".split())
+#: Words that may stand beside those of noise in a name; any other word means that the name says something else (share-price).
+BESIDE = frozenset(
+    "area article articles bar block bottom box button buttons center col column container content entry form global group icons inner item items "
+    "left link links list main outer page panel post posts primary right secondary section site slot thread top unit wrap wrapper".split()
+)
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 WORDS = re.compile(r"[a-z]+|[0-9]+")
 
@@ -56,17 +66,28 @@ WORDS = re.compile(r"[a-z]+|[0-9]+")
 TEXT_ROLE, PART_ROLE, NO_ROLE, HINT_ROLE, NOISE_ROLE = 0.4, 0.3, 0.01, -0.4, -0.6
 #: So many pages with a node pull its importance as hard as the doubt about it.
 DOUBT = 4
+#: What a level down counts in the importance of a branch.
+GAMMA = 0.9
+#: Levels of the tree.
+DEEPEST = 64
 
 
 class _Node:
     """An open element: its place, the noise it is, and how much of the page's main part it is or holds."""
 
-    __slots__ = ("tag", "path", "up", "noise", "hint", "main", "within", "tops", "articles", "role")
+    __slots__ = ("tag", "place", "chain", "up", "noise", "hint", "main", "within", "tops", "articles", "role", "kids")
 
     def __init__(self, tag: str, attrs: str, up: "_Node | None"):
-        name, self.noise, self.hint, self.main = _node(tag, attrs)
-        self.tag, self.path, self.up = tag, f"{up.path if up else ''}/{name}", up
         self.within = up is not None and (up.main or up.within)
+        name, self.noise, self.hint, self.main = _node(tag, attrs, self.within)
+        self.tag, self.up, self.kids = tag, up, []
+        if up and len(up.chain) == DEEPEST:
+            self.place, self.chain = up.place, up.chain
+        else:
+            self.place = text_hash(f"{up.place if up else ''}/{name}")
+            self.chain = (self.place, *(up.chain if up else ()))
+        if up:
+            up.kids.append(name)
         self.tops = self.articles = 0
         # a header outside of an article is the page's; one of an article has its headline
         self.hint = self.hint or (tag == "header" and not self.within)
@@ -78,9 +99,17 @@ class _Node:
                 at = at.up
 
 
-def _node(tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
+def _named(value: str, words: frozenset[str]) -> bool:
+    """Whether one of the names in a class or id is made of these words, and of such as may stand beside them."""
+    parts = [set(WORDS.findall(x)) for x in value.split()]
+    return any(not words.isdisjoint(x) and x <= words | BESIDE for x in parts)
+
+
+def _node(tag: str, attrs: str, within: bool) -> tuple[str, bool, bool, bool]:
     """The name of a node, and whether it is noise, has hints of it, or is the main part of a page."""
-    name, noise, hint, main = tag, tag in NOISE, tag in HINTS, tag in ("article", "main")
+    # an aside of an article may be a quote from it
+    noise, hint, main = tag in NOISE and not (tag == "aside" and within), tag in HINTS or tag == "aside", tag in ("article", "main")
+    name = tag
     if attrs and not attrs.isspace():
         for m in ATTRIBUTE.finditer(attrs):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -90,15 +119,21 @@ def _node(tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
                 noise = True
             else:
                 name += ("." if key == "class" else "#") + value
-                hint = hint or (tag not in WHOLE and not NOISE_WORDS.isdisjoint(WORDS.findall(value)))
+                if tag not in WHOLE:
+                    noise = noise or _named(value, READERS)
+                    hint = hint or _named(value, NOISE_WORDS)
     return name, noise, hint, main
 
 
-def blocks(page: str) -> list[tuple[str, float, str]]:
-    """(path, what its role says, text) of each block of text, in page order."""
+def text_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def parsed(page: str) -> tuple[list[_Node], list[tuple[_Node | None, str]]]:
+    """The block elements of a page, each after the one around it, and the blocks of text with the element that has each."""
     out: list[tuple[_Node | None, str]] = []
     stack: list[_Node] = []
-    nodes: list[_Node] = []  # all of the page, each after the one around it
+    nodes: list[_Node] = []
     parts: list[str] = []
 
     def flush() -> None:
@@ -154,27 +189,42 @@ def blocks(page: str) -> list[tuple[str, float, str]]:
         around = x.tops == tops > 0 or (x.within and x.articles == articles > 0)
         own = NOISE_ROLE if x.noise else HINT_ROLE if x.hint and not around else 0.0
         x.role = min(own, x.up.role) if x.up else own
-    return [(x.path, x.role or (NO_ROLE if not (x.main or x.within) else TEXT_ROLE if x.tag in TEXT else PART_ROLE), t) if x else ("", NO_ROLE, t) for x, t in out]
+    for x in nodes:  # children have taken what their parents are
+        x.role = x.role or (NO_ROLE if not (x.main or x.within) else TEXT_ROLE if x.tag in TEXT else PART_ROLE)
+    return nodes, out
+
+
+def blocks(page: str) -> list[tuple[int, float, str]]:
+    """(place in the tree, what its role says, text) of each block of text, in page order."""
+    return [(x.place, x.role, t) if x else (0, NO_ROLE, t) for x, t in parsed(page)[1]]
 
 
-def path_hash(path: str) -> int:
-    return xxhash.xxh3_64_intdigest(path.encode("utf-8", "surrogatepass")) - (1 << 63)
+SAID = "key bigint, host string, page bigint, path bigint, chain array<bigint>, role double, said bigint, style bigint"
 
 
 def _content(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """A row for each page and node with text: what its role says, and a hash of its text."""
-    row, path, role, said = [], [], [], []
+    """A row for each page and node: its place and those around it, its role, hashes of its text and of what it holds."""
+    row, path, chain, role, said, style = [], [], [], [], [], []
     for k, page in enumerate(texts(batch, "html")):
-        nodes: dict[str, tuple[float, list[str]]] = {}
-        for p, r, text in blocks(page):
-            nodes.setdefault(p, (r, []))[1].append(text)
-        for p, (r, own) in nodes.items():
-            row.append(k)
-            path.append(path_hash(p))
-            role.append(r)
-            said.append(path_hash("\n".join(own)))
+        nodes, found = parsed(page)
+        own: dict[int, tuple[tuple[int, ...], float, list[str], list[str]]] = {}
+        for x in nodes:
+            at = own.setdefault(x.place, (x.chain, x.role, [], []))
+            if x.kids:
+                at[3].append(" ".join(x.kids))
+        for x, text in found:
+            own.setdefault(x.place if x else 0, ((0,), NO_ROLE, [], []))[2].append(text)
+        for p, (c, r, t, kids) in own.items():
+            if t or kids:
+                row.append(k)
+                path.append(p)
+                chain.append(c)
+                role.append(r)
+                said.append(text_hash("\n".join(t)) if t else None)
+                style.append(text_hash("\n".join(kids)) if kids else None)
     row = pa.array(row, pa.int64())
-    return pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(3)), pa.array(path, pa.int64()), pa.array(role, pa.float64()), pa.array(said, pa.int64())], names=["key", "host", "page", "path", "role", "said"])
+    made = [pa.array(path, pa.int64()), pa.array(chain, pa.list_(pa.int64())), pa.array(role, pa.float64()), pa.array(said, pa.int64()), pa.array(style, pa.int64())]
+    return pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(3)), *made], names=["key", "host", "page", "path", "chain", "role", "said", "style"])
 
 
 def _texts(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -182,7 +232,7 @@ def _texts(batch: pa.RecordBatch) -> pa.RecordBatch:
     made = []
     for page, turned in zip(texts(batch, "html"), batch.column(3).to_pylist(), strict=True):
         turned = set(turned or ())
-        made.append("\n\n".join([t for p, r, t in blocks(page) if (r > 0) != (bool(turned) and path_hash(p) in turned)]))
+        made.append("\n\n".join([t for p, r, t in blocks(page) if (r > 0) != (p in turned)]))
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -191,29 +241,43 @@ def host_of(url: Column) -> Column:
 
 
 def importance(said: DataFrame) -> DataFrame:
-    """host, path, least and most (of its roles), importance of each node of the hosts' trees.  said: host, page (a hash), path, role, said."""
-    once = said.select("host", "page", "path", "role", "said").distinct()
-    same = once.groupBy("host", "path", "said").agg(F.count("*").alias("n"), F.min("role").alias("least"), F.max("role").alias("most"))
-    node = same.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.min("least").alias("least"), F.max("most").alias("most"))
-    spread = F.when(F.col("pages") > 1, 1 - F.col("nlogn") / (F.col("pages") * F.log("pages"))).otherwise(F.lit(1.0))
+    """host, path, least and most (of its roles), importance of each node of the hosts' trees.
+
+    said: host, page (a hash), path, chain (the node and those around it, up to the root), role, said, style (hashes, or
+    null).  Only aggregates over a node's different texts and styles meet, then one row of each node.
+    """
+    once = said.select("host", "page", "path", "chain", "role", "said", "style").distinct()
+    kinds = F.array(F.struct(F.lit(True).alias("text"), F.col("said").alias("value")), F.struct(F.lit(False).alias("text"), F.col("style").alias("value")))
+    each = once.select("host", "path", "chain", "role", F.explode(kinds).alias("x")).select("host", "path", "chain", "role", "x.*").where("value IS NOT NULL")
+    same = each.groupBy("host", "path", "text", "value").agg(F.count("*").alias("n"), F.min("role").alias("least"), F.max("role").alias("most"), F.first("chain").alias("chain"))
+    sums = [F.sum(F.when(F.col("text") == text, x)).alias(f"{name}_{text}") for text in (True, False) for name, x in (("n", F.col("n")), ("nlogn", F.col("n") * F.log("n")))]
+    node = same.groupBy("host", "path").agg(*sums, F.min("least").alias("least"), F.max("most").alias("most"), F.first("chain").alias("chain"))
+
+    def entropy(text: bool) -> Column:
+        n = F.col(f"n_{text}")
+        return F.when(n > 1, 1 - F.col(f"nlogn_{text}") / (n * F.log(n))).when(n == 1, 1.0)
+
+    own = F.coalesce((entropy(True) + entropy(False)) / 2, entropy(True), entropy(False))
+    node = stored(node.select("host", "path", "least", "most", "chain", F.greatest("n_True", "n_False").alias("pages"), own.alias("own")), "tree")
+    part = node.select("host", F.posexplode("chain").alias("down", "at"), "pages", "own").withColumn("w", F.col("pages") * F.pow(F.lit(GAMMA), F.col("down")))
+    branch = part.groupBy("host", F.col("at").alias("path")).agg((F.sum(F.col("w") * F.col("own")) / F.sum("w")).alias("branch"))
     sure = F.col("pages") / (F.col("pages") + DOUBT)
-    return node.select("host", "path", "least", "most", (0.5 + (spread - 0.5) * sure).alias("importance"))
+    return node.drop("chain").join(branch, ["host", "path"]).select("host", "path", "least", "most", (0.5 + (F.col("branch") - 0.5) * sure).alias("importance"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text of every row of `pages` (page_id, url, html)."""
-    small_batches(pages.sparkSession, 500)
     src = pages.select("page_id", "url", "html").withColumn("key", F.xxhash64("page_id", "url", "html"))
     keyed = src.select("key", host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html")
-    said = stored(keyed.mapInArrow(by_batch(_content), "key bigint, host string, page bigint, path bigint, role double, said bigint"), "nodes")
+    said = stored(keyed.mapInArrow(by_batch(_content), SAID), "nodes")
 
     def turns(role: str) -> Column:
         return (F.col(role) + F.col("importance") - 0.5 > 0) != (F.col(role) > 0)
 
-    # a node may have another role on another page
-    turned = importance(said).where(turns("least") | turns("most") | (F.col("least") != F.col("most"))).select("host", "path", "importance")
-    # a file of its own, so that Spark knows its size before it chooses the join
-    by_page = stored(said.select("key", "host", "path", "role").join(turned, ["host", "path"]).where(turns("role")).groupBy("key").agg(F.collect_set("path").alias("turned")), "turned")
+    # a node may have another role on another page; tables of their own, so that Spark knows sizes before it chooses a join
+    turned = stored(importance(said).where(turns("least") | turns("most") | (F.col("least") != F.col("most"))).select("host", "path", "importance"), "unlike")
+    texts_ = said.where("said IS NOT NULL").select("key", "host", "path", "role")
+    by_page = stored(texts_.join(turned, ["host", "path"]).where(turns("role")).groupBy("key").agg(F.collect_set("path").alias("turned")), "turned")
     schema = T.StructType([src.schema["page_id"], src.schema["url"], T.StructField("text", T.StringType())])
     return src.join(by_page, "key", "left").select("page_id", "url", "html", "turned").mapInArrow(by_batch(_texts), schema)
 
