@@ -2,10 +2,13 @@
 
 A dimension is a term whose weight may be negative.  A block of vectors is ordered so that alike ones lie together and
 is cut into ranges of RANGE.  A range keeps the largest and the smallest weight of each term; summed with a query's
-weights they bound the score of every vector in it.  A query scores ranges through their forward index (the rows of
-the range), first the FIRST ones of its own highest bounds; then all ranges are visited in one order, shared by the
-queries of a block (by the largest bound of any), and a query skips those whose bound is below its kth score.  The
-bound holds for every vector, so that the result is exact.
+weights they bound the score of every vector in it.  Each query visits ranges in its own order, the largest bound
+first, and scores them through their forward index (the rows of the range), FIRST ranges at first and twice as many in
+each further turn.  Before a turn it leaves out the ranges whose bounds are below its kth score, which is also carried
+from block to block, and it stops when none is left.  Within a turn, the queries that visit a range score it together.
+
+The bound holds for every vector, so that the result is exact.  What is skipped hangs on the data: of vectors in
+clusters most ranges are, of vectors in all directions alike in many dimensions none, as no bound is below the kth.
 
 Rows: vectors that are null or hold a null or non-finite component, and rows of null id, take no part; empty vectors
 score 0.  Of queries with the same id the smallest vector asks once; every other row is a candidate, repeated ones
@@ -24,8 +27,10 @@ from pyspark.sql import functions as F
 from factgraph.llm.common import table
 from factgraph.llm.vectors import best_of, one_query_each, search_in_blocks, usable
 
-#: Vectors of a range, ranges that a query scores before its kth score is first known, pivots that order a block.
+#: Vectors of a range, ranges of a query's first turn, pivots that order a block.
 RANGE, FIRST, PIVOTS = 32, 4, 64
+#: Below every score.
+NONE = np.iinfo(np.int64).min
 
 
 def _ordered(x: np.ndarray) -> np.ndarray:
@@ -38,51 +43,54 @@ def _ordered(x: np.ndarray) -> np.ndarray:
     return np.lexsort((near.argmax(axis=1), first))
 
 
-def search(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, *, k: int) -> tuple[list, list, list]:
-    """Scores are counted in doubles while those hold every partial sum exactly, else in 64-bit integers."""
+def search(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, least: np.ndarray, *, k: int, told: list | None = None) -> tuple[list, list, list]:
+    """Scores are counted in doubles while those hold every partial sum exactly, else in 64-bit integers.
+
+    least: what each query's kth score is at least.  told: takes how many pairs of query and range were scored, of how many.
+    """
     n, d = x.shape
     order = _ordered(x)
     ids, x = ids[order], x[order]
     exact = d * max(1.0, np.abs(x).max(initial=0)) * max(1.0, np.abs(q).max(initial=0)) < 2.0**53
-    if not exact:
-        x, q = x.astype(np.int64), q.astype(np.int64)
     starts = np.arange(0, n, RANGE)
     high, low = np.maximum.reduceat(x, starts, axis=0), np.minimum.reduceat(x, starts, axis=0)
-    plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-    bound = (plus @ high.T + minus @ low.T).astype(np.float64)
+    bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
     if not exact:
+        x, q = x.astype(np.int64), q.astype(np.int64)
         bound[:] = np.inf  # sums that may wrap around bound nothing
-    first = np.argpartition(-bound, min(FIRST, len(starts)) - 1, axis=1)[:, :FIRST]
-    turn = np.argsort(-bound.max(axis=0), kind="stable")
-    top: list[tuple[np.ndarray, np.ndarray]] = []
-    kth = np.full(len(q), -np.inf)
-
-    def add(j: int, vec: np.ndarray, score: np.ndarray) -> None:
-        other = vec != qids[j]
-        v, s = np.concatenate([top[j][0], vec[other]]), np.concatenate([top[j][1], score[other]])
-        best = best_of(v, s, k)
-        top[j] = v[best], s[best]
-        if len(best) == k:
-            kth[j] = s[best[-1]]
-
-    for j in range(len(q)):
-        top.append((ids[:0], x[:0, 0] if d else np.zeros(0)))
-        rows = (first[j][:, None] * RANGE + np.arange(RANGE)).ravel()
-        rows = rows[rows < n]
-        add(j, ids[rows], x[rows] @ q[j])
-    done = np.zeros(bound.shape, bool)
-    np.put_along_axis(done, first, True, axis=1)
-    for r in turn.tolist():
-        # a bound equal to the kth score may hide an equal score of a smaller id
-        open_ = np.flatnonzero((bound[:, r] >= kth) & ~done[:, r])
-        if len(open_):
-            rows = slice(starts[r], starts[r] + RANGE)
-            scores = q[open_] @ x[rows].T
-            better = scores.max(axis=1) >= kth[open_]
-            for j, s in zip(open_[better].tolist(), scores[better], strict=True):
-                add(j, ids[rows], s)
-    out_q = [qid for qid, (v, _) in zip(qids.tolist(), top, strict=True) for _ in v]
-    return out_q, [i for v, _ in top for i in v.tolist()], [int(i) for _, s in top for i in s.tolist()]
+    turns = np.argsort(-bound, axis=1, kind="stable")
+    score = np.full((len(q), n), NONE, np.int64)
+    kth, open_ = least.copy(), np.arange(len(q))
+    at, step, scored = 0, FIRST, 0
+    while at < len(starts) and len(open_):
+        asked = turns[open_, at : at + step]
+        row, _ = np.nonzero(wanted := np.take_along_axis(bound[open_], asked, axis=1) >= kth[open_, None])
+        who, what = open_[row], asked[wanted]
+        by = np.argsort(what, kind="stable")
+        who, what = who[by], what[by]
+        cuts = np.flatnonzero(np.diff(what)) + 1
+        for r, some in zip(what[np.r_[0, cuts]] if len(what) else (), np.split(who, cuts), strict=False):
+            own = slice(starts[r], starts[r] + RANGE)
+            found = (q[some] @ x[own].T).astype(np.int64)
+            found[ids[own] == qids[some, None]] = NONE
+            score[some, own] = found
+        scored += len(what)
+        at, step = at + step, step * 2
+        if n > k and len(open_):
+            own = np.partition(score[open_], n - k, axis=1)[:, n - k]
+            kth[open_] = np.maximum(kth[open_], np.where(own == NONE, -np.inf, own))
+        if at < len(starts):  # a bound equal to the kth score may hide an equal score of a smaller id
+            open_ = open_[bound[open_, turns[open_, at]] >= kth[open_]]
+    if told is not None:
+        told.append((scored, bound.size))
+    out_q, out_v, out_s = [], [], []
+    for j, qid in enumerate(qids.tolist()):
+        some = np.flatnonzero((score[j] != NONE) & (score[j] >= kth[j]))
+        some = some[best_of(ids[some], score[j, some], k)]
+        out_q += [qid] * len(some)
+        out_v += ids[some].tolist()
+        out_s += score[j, some].tolist()
+    return out_q, out_v, out_s
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -98,3 +106,17 @@ def whole_numbers(vector, scale: int = 256):
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("bigint").alias("vec_id"), whole_numbers(F.col("embedding")).alias("embedding"))
     return top_k(good, one_query_each(good, 50), 5)
+
+
+ORACLE_SQL = """
+WITH v AS (
+  SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import small_batches, stored
+from factgraph.llm.common import stored
 
-#: Vectors of a block, and queries of one, about.
-BLOCK, QUERIES = 4096, 2048
+#: Vectors of a block, and queries of a part, about.
+BLOCK, QUERIES = 4096, 1024
+#: Parts of queries whose kth scores a worker remembers.
+REMEMBERED = 64
 
-Searcher = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[list, list, list]]
+#: ids, vectors, query ids, queries, the score that each query's kth best has at least -> query ids, ids, scores
+Searcher = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[list, list, list]]
 
 
 def usable(vector: Column) -> Column:
@@ -39,34 +43,46 @@ def _same_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, b))
 
 
+def _raised(least: np.ndarray, qids: np.ndarray, found: tuple[list, list, list], k: int) -> np.ndarray:
+    """`least` raised to the kth score of the queries that found k vectors; each query's come together, best first."""
+    asked, scores = np.array(found[0], np.int64), np.array(found[2], np.float64)
+    own, start, n = np.unique(asked, return_index=True, return_counts=True)
+    full = n >= k
+    at = np.searchsorted(qids, own[full])
+    least[at] = np.maximum(least[at], scores[start[full] + k - 1])
+    return least
+
+
 def search_in_blocks(vectors: DataFrame, queries: DataFrame, search: Searcher, k: int, score: str) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of what `search` finds in each pair of a block of vectors and one of
-    queries, best first, ties to the smaller vec_id.
+    """query_id, rank, vec_id, score: the k best of what `search` finds in each pair of a block of vectors and a part of
+    the queries, best first, ties to the smaller vec_id.
 
-    vectors, queries: vec_id, embedding.  Both are dealt into blocks by a hash of the id, so that a block's size is
-    bounded; each block of queries goes to every block of vectors, k rows of each query come back from each, and are
-    cut to k before and after the shuffle.
+    vectors, queries: vec_id, embedding; queries have one row of each id.  Vectors are dealt into blocks by a hash of
+    their place, so that repeated ids don't gather in one; each part of the queries goes to every block, k rows of each
+    query come back from each, and are cut to k before and after the shuffle.  A worker carries what the kth score of
+    a query is at least from one block to its next.
     """
-    spark = vectors.sparkSession
-    small_batches(spark, 1)  # one pair of blocks at a time
     blocks = 1 + vectors.count() // BLOCK
     parts = 1 + queries.count() // QUERIES
     item = F.collect_list(F.struct("vec_id", "embedding"))
-    held = vectors.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).agg(item.alias("items"))
-    asked = stored(queries.groupBy(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).alias("part")).agg(item.alias("asked")), "queries")
-    pairs = asked.select("asked", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block")).join(held, "block").select("items", "asked")
+    held = vectors.groupBy(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).alias("block")).agg(item.alias("items"))
+    asked = stored(queries.groupBy(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).alias("part")).agg(F.array_sort(item).alias("asked")), "queries")
+    pairs = asked.select("part", "asked", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block")).join(held, "block").select("items", "asked", "part")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: OrderedDict[int, np.ndarray] = OrderedDict()
         for b in batches:
             for r in range(b.num_rows):
-                (ids, x), (qids, q) = _matrix(b.column(0), r), _matrix(b.column(1), r)
+                (ids, x), (qids, q), part = _matrix(b.column(0), r), _matrix(b.column(1), r), b.column(2)[r].as_py()
                 x, q = _same_width(x, q)
-                found = search(ids, x, qids, q)
+                least = known.pop(part, np.full(len(q), -np.inf))
+                found = search(ids, x, qids, q, least)
+                known[part] = _raised(least, qids, found, k)
+                if len(known) > REMEMBERED:
+                    known.popitem(last=False)
                 yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.int64() if score == "bigint" else pa.float64())], names=["query_id", "vec_id", "score"])
 
     best = pairs.mapInArrow(run, f"query_id bigint, vec_id bigint, score {score}")
-    from pyspark.sql import Window
-
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
