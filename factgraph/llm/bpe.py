@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factgraph.llm.common import by_batch, small_batches, table, texts
+from factgraph.llm.common import by_batch, table, texts
 
 #: How the byte-level vocabulary cuts a text into words (a fixed value of that vocabulary).
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -175,7 +175,6 @@ def vocabulary(path: str) -> ByteBpe:
 
 
 def _run(df: DataFrame, keys: list[str], column: str, add: dict[str, T.DataType], fn) -> DataFrame:
-    small_batches(df.sparkSession)
     src = df.select(*keys, column)
     schema = T.StructType([*(src.schema[k] for k in keys), *(T.StructField(k, t) for k, t in add.items())])
     kinds = {T.BinaryType(): pa.binary(), T.StringType(): pa.string()}

@@ -5,12 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from functools import lru_cache
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch: texts may be long, so that few rows travel together.
-BATCH_ROWS = 500
+#: What a function is given at once: texts may be long, so that few rows are worked on together.
+SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,32 +21,86 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only on a single machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="factgraph-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _own_dir()
+
+
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="factgraph-")
+
+
+#: The paths that the open shelves hold, innermost last.
+_shelves: list[list[str]] = []
+#: The path of each stored table, by the table's own id.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: the plan before it is cut and no executor's loss undoes it."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _shelves:
+        _shelves[-1].append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    path = _paths.pop(df)
+    for held in _shelves:
+        if path in held:
+            held.remove(path)
+    _delete(df.sparkSession, path)
+
+
+def kept_beyond(df: DataFrame) -> DataFrame:
+    """A stored table that outlives the innermost shelf."""
+    _shelves[-1].remove(_paths[df])
+    if len(_shelves) > 1:
+        _shelves[-2].append(_paths[df])
+    return df
+
+
+@contextmanager
+def shelf(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was stored within it."""
+    _shelves.append([])
+    try:
+        yield
+    finally:
+        for path in _shelves.pop():
+            _delete(spark, path)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of SLICE_ROWS rows and SLICE_BYTES bytes at most; a longer row is a part of its own."""
+    if batch.num_rows > 1 and (batch.num_rows > SLICE_ROWS or batch.nbytes > SLICE_BYTES):
+        half = batch.num_rows // 2
+        yield from slices(batch.slice(0, half))
+        yield from slices(batch.slice(half))
+    elif batch.num_rows:
+        yield batch
 
 
 def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function from a function of one batch."""
+    """A mapInArrow function from a function of one slice of a batch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                yield fn(b)
+            yield from map(fn, slices(b))
         pa.default_memory_pool().release_unused()
 
     return run

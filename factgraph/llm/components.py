@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import stored
+from factgraph.llm.common import dropped, stored
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -29,23 +27,21 @@ def _small(links: DataFrame) -> DataFrame:
     return hung.where("u <> v").distinct()
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether every node either has others hanging on it or hangs on one node alone."""
+    ends = links.select(F.col("u").alias("id"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")).union(links.select("v", F.lit(1), F.lit(0)))
+    return ends.groupBy("id").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where("hangs + holds > 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, label) of every node of `links` (u, v: long, no nulls): label is the smallest id that it is connected with.
 
     Every round halves the depth of each tree at least; hub nodes cost what their links cost, as minima are summed
-    before the shuffle and a join on a hub can be split.  Only a count and a sum of hashes reach the driver.
+    before the shuffle and a join on a hub can be split.  Only whether all is settled reaches the driver.
     """
     now = stored(links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
-    before = None
-    while True:
-        sign = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % (1 << 31)).alias("h")).first()
-        if not sign["n"] or sign == before:
-            break
-        before = sign
-        now = stored(_small(_large(now)), "links")
+    while not _settled(now):
+        now, before = stored(_small(_large(now)), "links"), now
+        dropped(before)
     roots = now.select("u").distinct().select(F.col("u").alias("id"), F.col("u").alias("label"))
     return now.select(F.col("v").alias("id"), F.col("u").alias("label")).union(roots)
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.union, parts)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factgraph.llm.common import by_batch, small_batches, table, texts
+from factgraph.llm.common import by_batch, table, texts
 from factgraph.llm.minhash import mix
 
 #: Lengths of the n-grams, in letters; the gap between words counts as one.
@@ -152,7 +152,6 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample: in
 
 def identify(docs: DataFrame, model: Filters, *, text: str = "text") -> DataFrame:
     """`docs` with lang_pred, score and share_known, columns of these names replaced."""
-    small_batches(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("lang_pred", "score", "share_known")]
     src = docs.select(*[F.col(f"`{c}`") for c in own])
     at = own.index(text)

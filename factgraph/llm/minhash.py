@@ -5,13 +5,19 @@ cost one row.  A first permutation spreads a set over a ring of places; a second
 coordinate, gives all coordinates of the signature: those of one shingle lie side by side in one array.  Classes that
 agree in a band of coordinates share a bucket.
 
-In a bucket, its smallest class is compared with all others; what they do not settle is found in further rounds, in
-which only classes of different components meet.  First meet those that share a rare shingle, which few unsettled
-classes have.  Two classes that share none can have no more in common than the shingles that are not rare, which
-bounds their similarity before they meet; most that are merely akin part here.  Of what is left, all but the classes
-of a bucket's largest component meet its others, about CENTRES of them in the first round and eight times as many in
-each further one, then leave it.  So no link between two components is left out, and no large bucket gives all its pairs.  Every link
-is confirmed on the full sets.  Shingles are known by 64-bit hashes, classes by 128-bit hashes of their sets.
+Links are sought in three rounds, and after the first only between classes of different components:
+
+1.  In every bucket its smallest class and one drawn by a hash meet all others (two stars).
+2.  In buckets that still hold several components ("open" ones), classes that share a rare shingle meet.  A shingle is
+    rare if at most RARE of the open classes have it, so that these pairs are few.  Also a few classes of each bucket's
+    largest component meet its other classes.
+3.  All other pairs of different components in a bucket.  They share no rare shingle, so that no more is common to them
+    than the rest, counted by PLACES groups of hashes: the sum of the smaller counts bounds what is common.  Only
+    pairs whose bound reaches the threshold go on, once each, though they share several buckets.
+
+So no link between two components is left out, while a bucket of many akin classes that are not linked costs a
+comparison of two short rows a pair and no set.  Every link is confirmed on the full sets.  Shingles are known by
+64-bit hashes, classes by 128-bit hashes of their sets.
 
 Rows: null, empty or blank text has no set and is linked with nothing.  A null doc_id never becomes the id of a
 component that has another id; rows of null id in a component without ids have a null component_id and are kept.
@@ -28,8 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import by_batch, small_batches, stored, table, texts
-from factgraph.llm.components import components, union_all
+from factgraph.llm.common import by_batch, kept_beyond, shelf, stored, table, texts
+from factgraph.llm.components import components
 
 #: Coordinates of a signature, at most.
 COORDINATES = 144
@@ -37,10 +43,12 @@ COORDINATES = 144
 MISS = 2e-5
 #: Places of the ring.
 RING = 1 << 22
-#: How many of a bucket's unsettled classes meet its others in the first round, about, and in any round at most.
-CENTRES, MOST_CENTRES = 12, 512
-#: A shingle is rare if so many unsettled classes have it at most.
+#: A shingle is rare if so many open classes have it at most.
 RARE = 8
+#: Groups of hashes by which shingles that are not rare are counted.
+PLACES = 64
+#: Classes of an open bucket's largest component that meet the bucket's others in the second round.
+CENTRES = 4
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -117,7 +125,6 @@ def _class(found: np.ndarray) -> bytes | None:
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, class (a hash of the set; null if it is empty), bands (a hash of each)."""
-    small_batches(docs.sparkSession)
     src = docs.select("doc_id", "text")
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -143,107 +150,135 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of classes whose sets are as similar as asked for: 100 * common >= percent * all."""
+    """(lu, lv) of the pairs (u, v, lu, lv) whose sets are as similar as asked for: 100 * common >= percent * all."""
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        u, v = b.column(2).to_pylist(), b.column(3).to_pylist()
         ok = []
-        for x, y in zip(u, v, strict=True):
+        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             common = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
             ok.append(100 * common >= percent * (len(x) + len(y) - common))
-        return b.filter(pa.array(ok, pa.bool_())).select(["u", "v"])
+        return b.filter(pa.array(ok, pa.bool_())).select(["lu", "lv"])
+
+    for c in "uv":
+        pairs = pairs.join(sets.select(F.col("cid").alias(c), F.col("set").alias(f"set_{c}")), c)
+    return pairs.select("lu", "lv", "set_u", "set_v").mapInArrow(by_batch(one), "lu bigint, lv bigint")
+
 
-    with_sets = pairs.join(sets.select(F.col("cid").alias("u"), F.col("set").alias("set_u")), "u").join(sets.select(F.col("cid").alias("v"), F.col("set").alias("set_v")), "v")
-    return with_sets.select("u", "v", "set_u", "set_v").mapInArrow(by_batch(one), "u bigint, v bigint")
+def _joined_up(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (cid, label) once the labels that `links` (lu, lv) connect are one, the smallest of them."""
+    to = components(links.select(F.col("lu").alias("u"), F.col("lv").alias("v"))).select(F.col("id").alias("label"), F.col("label").alias("to"))
+    return stored(label.join(to, "label", "left").select("cid", F.coalesce("to", "label").alias("label")), "labels")
 
 
-def _open(live: DataFrame, label: DataFrame) -> DataFrame:
-    """The rows (h, cid, ...) of buckets with classes of several components, with label, the label that
-    most of the bucket's classes have, and how many others there are."""
-    live = live.join(label.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    each = live.groupBy("h", "label").agg(F.count("*").alias("n"))
-    open_ = each.groupBy("h").agg((F.sum("n") - F.max("n")).alias("others"), F.max_by("label", F.struct("n", "label")).alias("most")).where("others > 0")
-    return live.join(open_, "h")
+def _open(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """Of `rows` (h, cid, ...) those in buckets with classes of several components, with label and most: the label that
+    most of the bucket's classes have."""
+    rows = rows.drop("label", "most").join(label, "cid")
+    each = rows.groupBy("h", "label").agg(F.count("*").alias("n"))
+    several = each.groupBy("h").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("most")).where("labels > 1")
+    # a table of its own, so that Spark can split a large bucket when it meets the rows again
+    return stored(rows.join(stored(several.select("h", "most"), "open"), "h"), "open-rows")
 
 
 def _rare(sets: DataFrame, of: DataFrame) -> DataFrame:
-    """cid, s, n: the rare shingles of each class of `of`, and how many of these classes have them."""
+    """The columns of `of` (cid, ...) and s: the rare shingles of each of its classes."""
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         found = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))), pa.array(np.concatenate(found))], names=["cid", "s"])
 
-    each = sets.join(of, "cid", "left_semi").select("cid", "set").mapInArrow(by_batch(one), "cid bigint, s bigint")
-    return each.join(each.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") <= RARE), "s").select("cid", "s", "n")
+    each = sets.join(of.select("cid"), "cid", "left_semi").select("cid", "set").mapInArrow(by_batch(one), "cid bigint, s bigint")
+    few = each.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") <= RARE).select("s")
+    return each.join(few, "s").join(of, "cid")
+
+
+def _frequent(sets: DataFrame, of: DataFrame, rare: DataFrame) -> DataFrame:
+    """cid, c, counts: how many shingles that are not rare each class of `of` has, in all and by groups of hashes."""
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        c, counts = [], []
+        for found, out in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            found = np.setdiff1d(np.frombuffer(found, np.uint64), np.array(out or (), np.int64).view(np.uint64), assume_unique=True)
+            c.append(len(found))
+            counts.append(np.bincount((mix(found) % np.uint64(PLACES)).astype(np.int64), minlength=PLACES).astype(np.int32).tobytes())
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(c, pa.int64()), pa.array(counts, pa.binary())], names=["cid", "c", "counts"])
+
+    own = rare.groupBy("cid").agg(F.collect_list("s").alias("out"))  # no more than a text has
+    return sets.join(of.select("cid"), "cid", "left_semi").join(own, "cid", "left").select("cid", "set", "out").mapInArrow(by_batch(one), "cid bigint, c bigint, counts binary")
+
+
+def _within_bound(pairs: DataFrame, percent: int) -> DataFrame:
+    """(u, v, lu, lv) of the pairs whose counts allow the similarity."""
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.int32).reshape(-1, PLACES) for i in (6, 7))
+        common = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+        both = b.column(4).to_numpy(zero_copy_only=False) + b.column(5).to_numpy(zero_copy_only=False)
+        return b.filter(pa.array(100 * common >= percent * (both - common))).select(["u", "v", "lu", "lv"])
+
+    return pairs.select("u", "v", "lu", "lv", "nu", "nv", "gu", "gv").mapInArrow(by_batch(one), "u bigint, v bigint, lu bigint, lv bigint")
 
 
-def _similar_size(percent: int):
-    return F.expr(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
+def _side(rows: DataFrame, side: str, *more: str) -> DataFrame:
+    """The columns of one side of a pair: cid u, n nu, label lu, c cu, counts gu, all hu."""
+    names = {"cid": side, "n": f"n{side}", "label": f"l{side}", "c": f"c{side}", "counts": f"g{side}", "all": f"h{side}"}
+    return rows.select(*more, *[F.col(a).alias(b) for a, b in names.items() if a in rows.columns])
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component (a number; null for an empty set), component_id, kept of every row of `docs`."""
     bands, rows = banding(percent / 100)
+    similar_size = F.expr(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
+    apart = F.col("lu") != F.col("lv")
     sig = stored(signatures(docs, words, bands, rows), "signatures")
     classes = stored(
         sig.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).withColumn("cid", F.monotonically_increasing_id()),
         "classes",
     )
-    member = classes.select("cid", "n", F.explode("bands").alias("h"))
-    centre = member.groupBy("h").agg(F.min("cid").alias("u"), F.count("*").alias("size")).where("size > 1").select("h", "u")
-    shared = stored(member.join(centre, "h").select("h", "cid", "n", "u"), "buckets")  # only classes that meet another one
-    size = shared.select(F.col("cid").alias("u"), F.col("n").alias("nu")).distinct()
-    pairs = stored(shared.where("cid <> u").select("u", F.col("cid").alias("v"), F.col("n").alias("nv")).distinct().join(size, "u").where(_similar_size(percent)).select("u", "v"), "pairs")
-
-    # the sets of classes that share a bucket, from one document each
-    meet = shared.select("cid").distinct()
-    wanted = classes.join(meet, "cid", "left_semi").select("cid", "class", "rep")
-    texts_of = docs.select("doc_id", "text").join(wanted.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = stored(_sets(texts_of, words).join(wanted.select("class", "cid"), "class").dropDuplicates(["cid"]).select("cid", "set"), "sets")
-
-    links = [stored(_confirmed(pairs, sets, percent), "confirmed")]
-    label = stored(components(links[0]), "labels")
-    # what is unsettled: buckets with classes of more than one component; the first centres have met all others
-    tested = pairs
-    live = stored(_open(shared.where("cid <> u").select("h", "cid", "n"), label), "unsettled")
-    if not live.isEmpty():
-        rare = stored(_rare(sets, live.select("cid").distinct()), "rare")
-        x, y = (rare.where("n > 1").select("s", F.col("cid").alias(c)) for c in "uv")
-        of = live.select("cid", "n", "label").distinct()
-        both = x.join(y, "s").where("u < v").select("u", "v").distinct()
-        for c in "uv":
-            both = both.join(of.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("label").alias(f"l{c}")), c)
-        fresh = stored(both.where("lu <> lv").where(_similar_size(percent)).select("u", "v").join(tested, ["u", "v"], "left_anti"), "pairs")
-        links.append(stored(_confirmed(fresh, sets, percent), "confirmed"))
-        tested = tested.union(fresh)
-        label = stored(components(union_all(links)), "labels")
-        rest = rare.groupBy("cid").agg(F.count("*").alias("rare"))
-        live = live.select("h", "cid", "n").join(rest, "cid", "left").withColumn("c", F.col("n") - F.coalesce("rare", F.lit(0))).where(f"100 * c >= {percent} * n").drop("rare")
-    turn = 0
-    while True:
-        if "c" in live.columns:
+    with shelf(docs.sparkSession):  # what is stored here goes at its end, but for the labels
+        member = classes.select("cid", "n", F.explode("bands").alias("h"))
+        own = F.struct("cid", "n")
+        # tables of their own, so that Spark can split a large bucket when it meets the rows again
+        several = stored(member.groupBy("h").agg(F.count("*").alias("size")).where("size > 1").select("h"), "several")
+        rows_ = stored(member.join(several, "h"), "buckets")  # only classes that meet another one
+        shared = rows_.join(stored(rows_.groupBy("h").agg(F.min(own).alias("a"), F.min_by(own, F.xxhash64("cid", "h")).alias("b")), "centres"), "h")
+        star = shared.select(F.col("cid").alias("v"), F.col("n").alias("nv"), F.explode(F.array("a", "b")).alias("x")).select(F.col("x.cid").alias("u"), F.col("x.n").alias("nu"), "v", "nv")
+        pairs = stored(star.where("u <> v").where(similar_size).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().withColumns({"lu": F.col("u"), "lv": F.col("v")}), "pairs")
+
+        # the sets of classes that share a bucket, from one document each
+        meet = rows_.select("cid").distinct()
+        wanted = classes.join(meet, "cid", "left_semi").select("cid", "class", "rep")
+        texts_of = docs.select("doc_id", "text").join(wanted.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+        sets = stored(_sets(texts_of, words).join(wanted.select("class", "cid"), "class").dropDuplicates(["cid"]).select("cid", "set"), "sets")
+
+        label = _joined_up(meet.withColumn("label", F.col("cid")), stored(_confirmed(pairs, sets, percent), "links"))
+        live = _open(rows_, label)
+        if not live.isEmpty():
+            of = stored(live.select("cid", "n", "label").distinct(), "open-classes")
+            rare = stored(_rare(sets, of), "rare")
+            kin = _side(rare, "u", "s").join(_side(rare, "v", "s"), "s").where(F.col("u") < F.col("v")).where(apart & similar_size)
+            # the others can only be similar by shingles that are not rare
+            likely = F.expr(f"100 * least(cu, cv) >= {percent} * (nu + nv - least(cu, cv))")
+            live = stored(live.join(_frequent(sets, of, rare), "cid").where(f"100 * c >= {percent} * n"), "likely")
+            most = live.where("label = most").select("h", F.struct("cid", "n", "c", "label").alias("x"))
+            few = stored(most.groupBy("h").agg(*[F.max_by("x", F.xxhash64("x.cid", F.lit(i))).alias(f"x{i}") for i in range(CENTRES)]), "few")
+            near = _side(live.where("label <> most"), "v", "h").join(few.select("h", F.explode(F.array_distinct(F.array(*[f"x{i}" for i in range(CENTRES)]))).alias("x")), "h")
+            near = near.select("v", "nv", "cv", "lv", *[F.col(f"x.{a}").alias(b) for a, b in (("cid", "u"), ("n", "nu"), ("c", "cu"), ("label", "lu"))]).where(apart & likely)
+            cross = [x.select("u", "v", "lu", "lv") for x in (kin, near)]
+            label = _joined_up(label, stored(_confirmed(stored(cross[0].union(cross[1]).distinct(), "pairs"), sets, percent), "links"))
             live = _open(live, label)
             all_ = live.groupBy("cid").agg(F.array_sort(F.collect_list("h")).alias("all"))  # at most one a band
-            live = stored(live.join(all_, "cid"), "unsettled")
-        if live.isEmpty():
-            break
-        first = live.where((F.col("label") != F.col("most")) & (F.pmod(F.xxhash64("cid", F.lit(turn)), F.ceil(F.col("others") / min(MOST_CENTRES, CENTRES * 8**turn))) == 0))
-        first = first.select("h", F.col("cid").alias("u"), F.col("n").alias("nu"), F.col("c").alias("cu"), F.col("label").alias("lu"), F.col("all").alias("hu"))
-        other = live.select("h", F.col("cid").alias("v"), F.col("n").alias("nv"), F.col("c").alias("cv"), F.col("label").alias("lv"), F.col("all").alias("hv"))
-        likely = F.expr(f"100 * least(cu, cv) >= {percent} * (nu + nv - least(cu, cv))")
-        once = F.expr("element_at(array_intersect(hu, hv), 1) = h")  # of the buckets that two classes share, in the first alone
-        crossing = first.join(other, "h").where((F.col("lu") != F.col("lv")) & likely & once)
-        fresh = stored(crossing.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
-        found = stored(_confirmed(fresh, sets, percent), "confirmed")
-        live = live.join(first.select("h", F.col("u").alias("cid")), ["h", "cid"], "left_anti").select("h", "cid", "n", "c")
-        tested, turn = tested.union(fresh), turn + 1
-        if not found.isEmpty():
-            links.append(found)
-            label = stored(components(union_all(links)), "labels")
-
-    root = classes.join(label.withColumnRenamed("id", "cid"), "cid", "left").select("class", "rep", F.coalesce("label", "cid").alias("component"))
-    named = root.join(root.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("class", "component", "component_id")
+            live = stored(live.join(all_, "cid"), "open-all")
+            once = F.expr("element_at(array_intersect(hu, hv), 1) = h")  # of the buckets that two classes share, in the first alone
+            # of two of a bucket's others, the smaller one asks
+            ask = apart & likely & once & ((F.col("lv") == F.col("most")) | (F.col("u") < F.col("v")))
+            rest = _side(live.where("label <> most"), "u", "h", "most").join(_side(live, "v", "h"), "h").where(ask)
+            label = _joined_up(label, stored(_confirmed(stored(_within_bound(rest, percent), "pairs"), sets, percent), "links"))
+        label = kept_beyond(label)
+
+    root = classes.join(label, "cid", "left").select("class", "rep", F.coalesce("label", "cid").alias("component"))
+    named = stored(root.join(root.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("class", "component", "component_id"), "named")
     out = sig.drop("bands").join(named, "class", "left")
     name = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", "component", name.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

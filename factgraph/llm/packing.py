@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factgraph.llm.bpe import ODD_SPACE, Recent, byte_letters
-from factgraph.llm.common import by_batch, small_batches, table, texts
+from factgraph.llm.common import by_batch, table, texts
 
 CAPACITY = 4096
 END = 1
@@ -141,7 +141,6 @@ PIECES = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("s
 
 def pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the ids of each document, cut where they are more than `capacity`."""
-    small_batches(docs.sparkSession)
     src = docs.select("doc_id", "text")
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:

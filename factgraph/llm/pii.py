@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factgraph.llm.common import by_batch, small_batches, table, texts
+from factgraph.llm.common import by_batch, table, texts
 from factgraph.llm.spans import SPANS, SPANS_ARROW, Span, as_rows, count_of, free_of, joined
 
 # The patterns of the four kinds.  A match of IP from within a run of digits would also be one from the
@@ -252,7 +252,6 @@ def spans_of(text: str, model: Model) -> tuple[list[Span], list[Span]]:
 
 def find(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """`docs` with base and spans: arrays of (kind, start, end)."""
-    small_batches(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("base", "spans")]
     src = docs.select(*[F.col(f"`{c}`") for c in own])
     at = own.index(text)

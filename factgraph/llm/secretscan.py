@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factgraph.llm.common import by_batch, small_batches, table, texts
+from factgraph.llm.common import by_batch, table, texts
 from factgraph.llm.spans import SPANS, SPANS_ARROW, Span, as_rows, count_of, free_of, joined, redacted
 
 # The patterns of the three kinds and the least length of what they find.
@@ -307,7 +307,6 @@ def spans_of(text: str, model: Model) -> tuple[list[Span], list[Span]]:
 
 def scan(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """`docs` with base and spans: arrays of (kind, start, end)."""
-    small_batches(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("base", "spans")]
     src = docs.select(*[F.col(f"`{c}`") for c in own])
     at = own.index(text)
@@ -322,7 +321,6 @@ def scan(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 
 def without_secrets(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with [kind] in place of each secret of its text."""
-    small_batches(docs.sparkSession)
     own, schema = docs.columns, docs.schema
     i = own.index("text")
 
