@@ -2,15 +2,18 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from factgraph.llm import annsearch, bpe, components, langid, linechunks, minhash, packing, pagetext, pii, secretscan, topk
+from factgraph.llm import annsearch, bpe, components, langid, linechunks, minhash, packing, pagetext, pii, secretscan, topk, vectors
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -224,7 +227,55 @@ def test_page_text(spark):
 
 def test_scripts_hide_no_markup():
     page = "<script>for(i=0;i<n ;i++){} // don't</script><article><p>It's the story</p><p>and its end</p></article><style>a<b 'c</style><footer>it's f</footer>"
-    assert pagetext.blocks(page) == [("/article/p", pagetext.TEXT_ROLE, "It's the story"), ("/article/p", pagetext.TEXT_ROLE, "and its end"), ("/footer", pagetext.NOISE_ROLE, "it's f")]
+    assert [x[1:] for x in pagetext.blocks(page)] == [(pagetext.TEXT_ROLE, "It's the story"), (pagetext.TEXT_ROLE, "and its end"), (pagetext.NOISE_ROLE, "it's f")]
+
+
+def test_names_and_inline_elements():
+    page = '<article><p class="share-price">x <math>b+c</math> y</p><aside>quote</aside><section class="menu-engineering"><p>dishes</p></section><div class="post-comments"><p>me too</p></div><div class="share-buttons">go</div></article><aside>bar</aside>'
+    assert [x[1:] for x in pagetext.blocks(page)] == [(pagetext.TEXT_ROLE, "x b+c y"), (pagetext.HINT_ROLE, "quote"), (pagetext.TEXT_ROLE, "dishes"), (pagetext.NOISE_ROLE, "me too"), (pagetext.HINT_ROLE, "go"), (pagetext.NOISE_ROLE, "bar")]
+    deep = pagetext.blocks("<div>" * 500 + "in" + "</div>" * 500)
+    assert [t for _, _, t in deep] == ["in"]
+
+
+def test_style_tree_against_plain(spark):
+    """Entropies and the importance of branches, of hosts small enough to count by hand."""
+    rnd = random.Random(5)
+    part = lambda: "".join(f"<{t}>{rnd.choice('abc')}</{t}>" for t in rnd.choices(["p", "h2"], k=rnd.randint(1, 3)))
+    pages = [(f"h{rnd.randrange(3)}", f"<div>{part()}<section>{part()}t{rnd.randrange(2)}</section></div><p>{k % 4}</p>") for k in range(40)]
+    pages.append(pages[0])
+    rows = [(k, f"http://{h}/", t) for k, (h, t) in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").select(F.xxhash64("page_id").alias("key"), pagetext.host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html")
+    said = df.mapInArrow(pagetext.by_batch(pagetext._content), pagetext.SAID)
+    got = {(r.host, r.path): r.importance for r in pagetext.importance(said).collect()}
+    values, chains = {}, {}
+    for h, t in set(pages):
+        nodes, found = pagetext.parsed(t)
+        for place in {x.place for x in nodes}:
+            chains[h, place] = next(x.chain for x in nodes if x.place == place)
+            own, kids = [y for x, y in found if x.place == place], [tuple(x.kids) for x in nodes if x.place == place and x.kids]
+            for kind, v in (("text", tuple(own)), ("style", tuple(kids))):
+                if v:
+                    values.setdefault((h, place), {}).setdefault(kind, []).append(v)
+
+    def entropy(vs):
+        n = len(vs)
+        return 1.0 if n == 1 else -sum(c / n * math.log(c / n, n) for c in Counter(vs).values())
+
+    own = {at: np.mean([entropy(v) for v in kinds.values()]) for at, kinds in values.items()}
+    n = {at: max(map(len, kinds.values())) for at, kinds in values.items()}
+    assert got.keys() == own.keys()
+    for h, place in own:
+        below = [(at, chains[at].index(place)) for at in own if at[0] == h and place in chains[at]]
+        w = [n[at] * pagetext.GAMMA**down for at, down in below]
+        branch = sum(x * own[at] for x, (at, _) in zip(w, below, strict=True)) / sum(w)
+        assert got[h, place] == pytest.approx(0.5 + (branch - 0.5) * n[h, place] / (n[h, place] + pagetext.DOUBT))
+
+
+def test_branches_go_as_wholes_and_hints_yield(spark):
+    rows = [(i, "http://b.example/", f'<div class="promo"><p>own words {i} of {i * 7}</p></div><section><h3>Terms</h3><div><p>Read them.</p><p>All of them.</p></div></section><p>more {i}</p>') for i in range(60)]
+    got = {r.page_id: r.text for r in pagetext.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"own words {i} of {i * 7}\n\nmore {i}" for i in range(60)}
+    assert pagetext.main_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
 def test_what_all_pages_say_goes(spark):
@@ -267,9 +318,62 @@ def test_vector_searches(spark):
 
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (20, None), (40, [0.0, 0.0]), (60, [float("nan"), 1.0]), (80, [1.0, None]), (100, [2.0]), (100, [2.0]), (1, [3.0, 1.0]), (None, [1.0, 1.0])]
-    good = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").where(annsearch.usable(annsearch.F.col("embedding")) & annsearch.F.col("vec_id").isNotNull())
-    got = topk.top_k(good.select("vec_id", topk.whole_numbers(annsearch.F.col("embedding"), 1).alias("embedding")), topk.one_query_each(good, 100), 3)
+    all_ = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    good = all_.where(annsearch.usable(F.col("embedding")) & F.col("vec_id").isNotNull())
+    got = topk.top_k(good.select("vec_id", topk.whole_numbers(F.col("embedding"), 1).alias("embedding")), topk.one_query_each(good, 100), 3)
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got.orderBy("query_id", "rank").collect()] == [(0, 1, 1, 5), (0, 2, 100, 2), (0, 3, 100, 2), (100, 1, 1, 6), (100, 2, 0, 2), (100, 3, 40, 0)]
+    near = annsearch.nearest(good.where(F.exists("embedding", lambda c: c != 0)), topk.one_query_each(good.where("vec_id <> 40"), 100), 3)
+    assert [(r.query_id, r.vec_id, r.score) for r in near.orderBy("query_id", "rank").collect()] == [(0, 1, 5.0), (0, 100, 2.0), (0, 100, 2.0), (100, 1, 6.0), (100, 0, 2.0)]
+    for none in (annsearch.nearest, topk.top_k):
+        assert none(good.where("false"), good.where("false"), 3).count() == 0
+
+
+def _clusters(seed, n, centres, spread):
+    rnd = np.random.default_rng(seed)
+    c = rnd.standard_normal((centres, 32))
+    x = c[rnd.integers(0, centres, n)] + spread * rnd.standard_normal((n, 32))
+    x[1::97] = x[0]  # equal vectors, so that ties go to the smaller id
+    return x
+
+
+def _found(rows):
+    out: dict = {}
+    for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    return out
+
+
+@pytest.mark.parametrize("spread", [0.1, 5.0])
+def test_several_blocks_of_vectors_and_queries(spark, monkeypatch, spread):
+    """At least three blocks and parts, of vectors in clusters and in all directions alike, against brute force."""
+    monkeypatch.setattr(vectors, "BLOCK", 500)
+    monkeypatch.setattr(vectors, "QUERIES", 40)
+    x = _clusters(1, 2000, 12, spread)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(6)
+    near = _found(annsearch.nearest(df, topk.one_query_each(df, 20), 20).collect())
+    y = np.floor(256 * x)
+    best = _found(topk.top_k(df.select("vec_id", topk.whole_numbers(F.col("embedding")).alias("embedding")), topk.one_query_each(df, 20).select("vec_id", topk.whole_numbers(F.col("embedding")).alias("embedding")), 5).collect())
+    hits = []
+    for i in range(0, 2000, 20):
+        s = (x * x[i]).sum(axis=1)
+        want = [j for j in np.lexsort((np.arange(2000), -s)) if j != i][:20]
+        hits.append(len({v for v, _ in near[i]} & set(want)) / 20)
+        assert all(c == s[v] for v, c in near[i]) and near[i] == sorted(near[i], key=lambda t: (-t[1], t[0])) and len(near[i]) == 20
+        s = y @ y[i]
+        want = [j for j in np.lexsort((np.arange(2000), -s)) if j != i][:5]
+        assert best[i] == [(j, s[j]) for j in want]
+    assert np.mean(hits) >= 0.9
+
+
+def test_what_pruning_spares():
+    x, ids = _clusters(2, 4096, 50, 0.1), np.arange(4096)
+    sel = ids[::50]
+    told: list = []
+    topk.search(ids, np.floor(256 * x), sel, np.floor(256 * x[sel]), np.full(len(sel), -np.inf), k=5, told=told)
+    assert told[0][0] < 0.5 * told[0][1]  # ranges scored
+    told.clear()
+    annsearch.search(ids, x, sel, x[sel], np.full(len(sel), -np.inf), k=20, told=told)
+    assert told[0][2] < 0.2 * told[0][3]  # vectors verified
 
 
 def test_pipeline_stages(spark):
