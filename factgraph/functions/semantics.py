@@ -32,7 +32,17 @@ def has_prop(props: Column, key: str) -> Column:
 
 
 def is_true(props: Column, key: str) -> Column:
-    return F.coalesce(prop(props, key) == "true", F.lit(False))
+    return _is_boolean(props, key, "true")
+
+
+def is_false(props: Column, key: str) -> Column:
+    return _is_boolean(props, key, "false")
+
+
+def _is_boolean(props: Column, key: str, value: str) -> Column:
+    """Whether a property is this Boolean; its name as a text is not."""
+    typed = F.schema_of_variant(F.try_variant_get(F.try_parse_json(props), f"$['{key}']", "variant")) == "BOOLEAN"
+    return F.coalesce((prop(props, key) == value) & typed, F.lit(False))
 
 
 def list_size(props: Column, key: str) -> Column:
@@ -40,7 +50,7 @@ def list_size(props: Column, key: str) -> Column:
 
 
 def _without(props: Column, keys: tuple[str, ...]) -> Column:
-    own = F.from_json(canonical_json(props), "map<string,variant>")
+    own = F.try_variant_get(F.try_parse_json(props), "$", "map<string,variant>")  # with its keys sorted
     condition = F.map_contains_key(own, F.lit("normalizedCondition"))
     return F.to_json(F.map_filter(own, lambda k, _: ~k.isin(*keys) & ~(condition & k.isin("condition", "sourceExpression"))))
 
@@ -50,17 +60,17 @@ def behavioral(props: Column) -> Column:
     return _without(props, V.PRESENTATION)
 
 
-def _kind_hash(kind: Column, props: Column) -> Column:
+def kind_hash(kind: Column, props: Column) -> Column:
     return text_hash(F.concat(F.lit('{"kind":'), F.to_json(F.array(kind)), F.lit(',"properties":'), props, F.lit("}")))
 
 
 def fingerprint(kind: Column, props: Column) -> Column:
-    return _kind_hash(kind, behavioral(props))
+    return kind_hash(kind, behavioral(props))
 
 
 def structural(kind: Column, props: Column) -> Column:
     """A fingerprint that a rename or a move to another owner leaves as it is."""
-    return _kind_hash(kind, _without(props, (*V.PRESENTATION, "ownerKey", "symbolSignature")))
+    return kind_hash(kind, _without(props, (*V.PRESENTATION, "ownerKey", "symbolSignature")))
 
 
 def node_kind(kind: Column, props: Column) -> Column:
@@ -92,7 +102,7 @@ def origin_order(origin: Column) -> Column:
 def confidence_ceiling(origin: Column, reported: Column, props: Column, partial: Column) -> Column:
     """The confidence that an origin allows: less if unresolved, ambiguous or of partial coverage, never more than reported."""
     top = _case(origin, V.ORIGIN_CEILING, V.OTHER_CEILING)
-    top = F.when(F.coalesce(prop(props, "resolved") == "false", F.lit(False)), F.least(top, F.lit(0.45))).otherwise(top)
+    top = F.when(is_false(props, "resolved"), F.least(top, F.lit(0.45))).otherwise(top)
     top = top - F.least(F.lit(0.3), list_size(props, "ambiguities") * 0.1) - F.when(partial, 0.1).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(top, reported))
 

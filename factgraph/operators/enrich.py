@@ -113,3 +113,121 @@ def business_label(nodes: DataFrame, rules: list[tuple[str, str, str]]) -> DataF
         hit = text.rlike(pattern)
         made, sub = F.when(hit, F.lit(t)).otherwise(made), F.when(hit, F.lit(s)).otherwise(sub)
     return nodes.withColumn("subtitle", sub).withColumn("title", F.coalesce("title", made))
+
+
+#: What marks a made-up title as one that shouldn't be shown.
+BAD_TITLES = (r"missing required field", r"identify missing", r"\b(?:table|column|database schema)\b", r"service:\s*\w+", r"\b(?:validation|entity validation|resource path validation)\b", r"\b(?:service method)\b")
+#: What each HTTP method does to one entity, and to one without a name of its own.
+VERBS = {"POST": "Create", "PUT": "Update", "PATCH": "Update", "DELETE": "Delete"}
+
+
+def is_bad_title(title: Column) -> Column:
+    """Whether a title is empty or speaks of diagnostics and schemas."""
+    bad = F.trim(F.coalesce(title, F.lit(""))) == ""
+    for pattern in BAD_TITLES:
+        bad = bad | title.rlike(f"(?i){pattern}")
+    return F.coalesce(bad, F.lit(True))
+
+
+def endpoint_title(title: Column, method: Column, path: Column, name: Column, *, methods: dict[str, str] | None = None, paths: list[tuple[str, str]] | None = None, entities: dict[str, tuple[str, str]] | None = None) -> Column:
+    """The title of an endpoint: its enrichment's if usable, else by the handler's name, else by the first pattern of
+    paths that fits, else the verb with the last part of the path that isn't a parameter.
+
+    methods, paths, entities: the deployment's own words (handler -> title, pattern -> title, part -> one and many).
+    """
+    verb = F.upper(F.coalesce(method, F.lit("GET")))
+    parts = F.filter(F.split(F.coalesce(path, F.lit("")), "/"), lambda x: (x != "") & ~x.isin("api", "v1"))
+    detail = F.coalesce(F.startswith(F.try_element_at(parts, F.lit(-1)), F.lit("{")), F.lit(False))
+    last = F.coalesce(F.lower(F.try_element_at(F.filter(parts, lambda x: ~F.startswith(x, F.lit("{"))), F.lit(-1))), F.lit("data"))
+
+    def named(many: bool) -> Column:
+        out = F.lit(None).cast("string")
+        for part, words in (entities or {}).items():
+            out = F.when(last == part, F.lit(words[many])).otherwise(out)
+        return F.coalesce(out, last)
+
+    made = F.when(detail, F.concat(F.initcap(named(False)), F.lit(" details"))).otherwise(F.concat(F.lit("List of "), named(True)))
+    for m, word in VERBS.items():
+        made = F.when(verb == m, F.concat(F.lit(f"{word}: "), named(False))).otherwise(made)
+    for pattern, text in reversed(paths or []):
+        made = F.when(path.rlike(pattern), F.lit(text)).otherwise(made)
+    for m, text in (methods or {}).items():
+        made = F.when(name == m, F.lit(text)).otherwise(made)
+    return F.when(~is_bad_title(title), F.trim(title)).otherwise(made)
+
+
+#: Categories and fields of an enrichment, and what a claim may not hold.
+CATEGORIES = ("BUSINESS_RULE", "VALIDATION_RULE", "AUTHORIZATION_RULE", "DATA_RULE", "SIDE_EFFECT", "UNKNOWN")
+FIELDS = tuple(
+    "name symbolSignature entryPointKey actors roles security authorization normalizedCondition condition resolvedConstants constants trueOutcomes falseOutcomes outcome "
+    "preconditions callPath dataReads dataWrites externalEffects exceptions relatedTests status statuses httpMethod path table column ownerKey enclosingMethod enclosingDeclaration".split()
+)
+INJECTION = r"(?is)(ignore|disregard|override).{0,60}(instruction|prompt)|(?:system|developer|assistant)\s*:|execute\s+(?:command|shell)|run\s+(?:command|shell)|powershell|curl\s+https?://"
+LISTS = ("actors", "businessSteps", "businessRules", "errorScenarios")
+RESPONSE = "title string, businessPurpose string, category string, " + ", ".join(f"{x} array<string>" for x in LISTS) + ", supportedFactIds array<string>, claims array<struct<factId:string,field:string,value:string>>"
+
+
+def fallback_enrichment(facts: DataFrame) -> DataFrame:
+    """run_id, node_key and a record made of the facts alone: title, purpose, category and the four lists.
+
+    facts: run_id, node_key, fact_id, properties; of several facts of a node the last by id names method and path, the
+    first its handler.  All is one aggregate of a node's facts.
+    """
+    p, by = F.col("properties"), F.col("fact_id")
+
+    def values(key: str) -> Column:
+        """A property that is a list or a single text, as a list."""
+        x = S.prop(p, key)
+        return F.coalesce(F.from_json(F.when(F.startswith(x, F.lit("[")), x), "array<string>"), F.when(x.isNotNull() & (x != ""), F.array(x)), F.array().cast("array<string>"))
+
+    name = S.prop(p, "name")
+    one = facts.select(
+        "run_id", "node_key", by, S.prop(p, "httpMethod").alias("method"), S.prop(p, "path").alias("path"), F.when(~F.contains(name, F.lit(" ")), name).alias("name"),
+        F.concat(values("table"), values("dataReads"), values("dataWrites")).alias("tables"), values("exceptions").alias("exceptions"), S.prop(p, "normalizedCondition").isNotNull().alias("conditions"),
+    )
+    out = one.groupBy("run_id", "node_key").agg(
+        F.coalesce(F.max_by("method", F.when(F.col("method").isNotNull(), by)), F.lit("")).alias("method"),
+        F.coalesce(F.max_by("path", F.when(F.col("path").isNotNull(), by)), F.lit("")).alias("path"),
+        F.min_by("name", F.when(F.col("name").isNotNull(), by)).alias("name"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("tables")))).alias("tables"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("exceptions")))).alias("exceptions"),
+        F.bool_or("conditions").alias("conditions"),
+        F.array_sort(F.collect_set("fact_id")).alias("supportedFactIds"),
+    )
+    c, lit = F.col, F.lit
+    read = c("method") == "GET"
+    verb = F.when(c("method") == "", "HTTP").otherwise(c("method"))
+    title = endpoint_title(lit(None).cast("string"), c("method"), c("path"), c("name"))
+    work = F.when(F.size("tables") > 0, F.concat(lit("Work on the database ("), F.array_join("tables", ", "), lit(")"))).otherwise("Work of the service")
+    http = F.array(*[lit(x) for x in ("400: parameters out of form", "401, 403: not allowed", "404: not found", "500: failure of the service")])
+    return out.select(
+        "run_id", "node_key", title.alias("title"), F.concat(title, lit(" by "), verb, lit(" "), c("path")).alias("businessPurpose"), F.when(read, "BUSINESS_RULE").otherwise("SIDE_EFFECT").alias("category"),
+        F.array_compact(F.array(F.when(read, "User").otherwise("Administrator or client"), F.when(c("path").rlike("/(internal|system)/"), "Internal service"))).alias("actors"),
+        F.array(F.concat(lit("Take and check the parameters of "), verb, lit(" "), c("path")), lit("Check what the caller may do"), work, lit("Answer the caller")).alias("businessSteps"),
+        F.array_compact(F.array(lit("The caller is known"), F.when(c("conditions"), "Bounds and identifiers are checked"), F.when(F.contains("path", lit("{")), "What is asked for exists"))).alias("businessRules"),
+        F.when(F.size("exceptions") > 0, c("exceptions")).otherwise(http).alias("errorScenarios"), "supportedFactIds",
+    )
+
+
+def validate_enrichment(responses: DataFrame, facts: DataFrame) -> DataFrame:
+    """Responses (run_id, node_key, response) as records, each with what it lacks from fallback_enrichment(facts).
+
+    A response that is no JSON object is replaced as a whole (origin HEURISTIC).  Titles under three characters, empty
+    purposes and empty lists are filled; unknown categories become UNKNOWN; of the facts it names those of the node
+    count, all if none is; claims stay that name a fact of the node and a known field, and hold no instructions.
+    """
+    raw = F.regexp_replace(F.trim("response"), r"^```(?:json)?\s*|\s*```$", "")
+    r = responses.select("run_id", "node_key", F.when(F.startswith(raw, F.lit("{")) & F.try_parse_json(raw).isNotNull(), F.from_json(raw, RESPONSE)).alias("r"))
+    out = fallback_enrichment(facts).join(r, ["run_id", "node_key"])
+    c, has = F.col, F.col("r").isNotNull()
+    title, purpose = F.trim(F.coalesce("r.title", F.lit(""))), F.trim(F.coalesce("r.businessPurpose", F.lit("")))
+    claims = F.coalesce(F.filter("r.claims", lambda x: F.array_contains("supportedFactIds", x["factId"]) & x["field"].isin(*FIELDS) & ~x["value"].rlike(INJECTION)), F.from_json(F.lit("[]"), "array<struct<factId:string,field:string,value:string>>"))
+    named = F.array_intersect(F.coalesce("r.supportedFactIds", F.array().cast("array<string>")), "supportedFactIds")
+    supported = F.array_sort(F.array_union(F.when(F.size(named) > 0, named).otherwise(c("supportedFactIds")), F.transform(claims, lambda x: x["factId"])))
+    known = F.when(F.col("r.category").isin(*CATEGORIES), c("r.category")).otherwise("UNKNOWN")
+    return out.select(
+        "run_id", "node_key", F.when(has & (F.length(title) >= 3), title).otherwise(c("title")).alias("title"), F.when(has & (purpose != ""), purpose).otherwise(c("businessPurpose")).alias("businessPurpose"),
+        F.when(has, known).otherwise(c("category")).alias("category"), *[F.when(F.coalesce(F.size(f"r.{x}") > 0, F.lit(False)), c(f"r.{x}")).otherwise(c(x)).alias(x) for x in LISTS],
+        F.when(has, supported).otherwise(c("supportedFactIds")).alias("supportedFactIds"), F.when(has, claims).otherwise(F.array()).alias("claims"),
+        F.lit("UNVERIFIED").alias("trust"), F.when(has, "LLM_ENRICHMENT").otherwise("HEURISTIC").alias("origin"),
+    )

@@ -1,7 +1,8 @@
 """Graph construction: facts fold into nodes, edges and rules.
 
 facts: run_id, execution_id, analyzer, origin, confidence, kind, stable_key, fact_id, properties (JSON text),
-evidence_ids.  All groupings are aggregates with partial sums, so that no key is gathered before it is folded.
+evidence_ids; with_prints() adds the hashes of their properties once, and what takes facts without them adds them.
+Groupings are aggregates with partial sums; what a key keeps whole are the ids of its facts and evidence.
 """
 
 from __future__ import annotations
@@ -16,16 +17,26 @@ from factgraph.functions import vocabulary as V
 RUN_KEY = ("run_id", "stable_key")
 
 
+def with_prints(facts: DataFrame) -> DataFrame:
+    """facts with content, behaves and fingerprint: hashes of all properties, and of those that say what a fact does
+    without and with its kind.  The JSON text is parsed here and nowhere else."""
+    if "fingerprint" in facts.columns:
+        return facts
+    out = facts.withColumn("_canonical", S.canonical_json(F.col("properties"))).withColumn("_behaves", S.behavioral(F.col("_canonical")))
+    out = out.withColumn("content", S.text_hash(F.col("_canonical"))).withColumn("behaves", S.text_hash(F.col("_behaves")))
+    return out.withColumn("fingerprint", S.kind_hash(F.col("kind"), F.col("_behaves"))).drop("_canonical", "_behaves")
+
+
 def fact_order() -> Column:
-    """The order in which facts of one key are believed, whatever the order of their arrival."""
-    return F.struct(S.origin_order(F.col("origin")).alias("o"), "analyzer", "execution_id", "fact_id", S.fingerprint(F.col("kind"), F.col("properties")).alias("f"))
+    """The order in which facts of one key are believed, whatever the order of their arrival; facts have their prints."""
+    return F.struct(S.origin_order(F.col("origin")).alias("o"), "analyzer", "execution_id", "fact_id", F.col("fingerprint").alias("f"))
 
 
 def ordered_facts(facts: DataFrame, executions: DataFrame | None = None) -> DataFrame:
     """Facts of known executions with their place among those of the same key."""
     if executions is not None:
         facts = facts.join(executions.select("execution_id", "component_path", "frameworks", "languages"), "execution_id")
-    return facts.withColumn("place", F.row_number().over(Window.partitionBy(*RUN_KEY).orderBy(fact_order())))
+    return with_prints(facts).withColumn("place", F.row_number().over(Window.partitionBy(*RUN_KEY).orderBy(fact_order())))
 
 
 def with_provenance(facts: DataFrame) -> DataFrame:
@@ -46,15 +57,15 @@ def merge_provenance(facts: DataFrame) -> DataFrame:
 def merge_nodes(facts: DataFrame) -> DataFrame:
     """One node of each key: kind and properties of the first fact, ids of all, the least confidence; facts that behave
     otherwise than the first make a conflict, which is kept beside it and bounds the confidence."""
-    own = facts.where((F.col("kind") != "RELATION") & (F.size("evidence_ids") > 0))
-    own = own.withColumn("ceiling", S.confidence_ceiling(F.col("origin"), F.col("confidence"), F.col("properties"), F.lit(False))).withColumn("behaves", S.behavioral(F.col("properties")))
+    own = with_prints(facts.where((F.col("kind") != "RELATION") & (F.size("evidence_ids") > 0)))
+    own = own.withColumn("ceiling", S.confidence_ceiling(F.col("origin"), F.col("confidence"), F.col("properties"), F.lit(False)))
     first = F.min_by(F.struct(S.node_kind(F.col("kind"), F.col("properties")).alias("kind"), "properties", "behaves"), fact_order())
     folded = own.groupBy(*RUN_KEY).agg(
         first.alias("first"),
         F.min("ceiling").alias("confidence"),
         F.array_sort(F.collect_set("fact_id")).alias("fact_ids"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_ids")))).alias("evidence_ids"),
-        F.collect_set(F.struct(S.content_hash(F.col("properties")).alias("hash"), "behaves")).alias("variants"),
+        F.collect_set(F.struct(F.col("content").alias("hash"), "behaves")).alias("variants"),
         F.count("*").alias("n_facts"),
     )
     other = F.filter("variants", lambda x: x["behaves"] != F.col("first.behaves"))
@@ -94,7 +105,7 @@ def finish_nodes(nodes: DataFrame, evidence_prints: DataFrame) -> DataFrame:
 
 def derive_edges(facts: DataFrame) -> DataFrame:
     """Edges of relation facts, and of owners to what they own, one row a fact."""
-    own = facts.where(F.size("evidence_ids") > 0)
+    own = with_prints(facts.where(F.size("evidence_ids") > 0))
     p = F.col("properties")
     rest = ["run_id", "confidence", "evidence_ids", "properties", fact_order().alias("fact_order")]
     relation = own.where("kind = 'RELATION'").select(S.prop(p, "sourceKey").alias("source_key"), S.prop(p, "targetKey").alias("target_key"), F.coalesce(S.prop(p, "edgeKind"), F.lit("DEPENDS_ON")).alias("kind"), *rest)

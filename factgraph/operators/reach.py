@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,16 +12,26 @@ from pyspark.sql import functions as F
 from factgraph.functions import vocabulary as V
 
 
-def shared_table(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read again: cuts the plan, and no lost executor undoes it."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only on a single machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="factgraph-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = _own_dir()
+    return where.rstrip("/")
+
+
+def shared_table(df: DataFrame, tag: str) -> DataFrame:
+    """df written to the shared folder and read again: cuts the plan, and no lost executor undoes it."""
+    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="factgraph-")
 
 
 def scenario_members(nodes: DataFrame, edges: DataFrame, max_depth: int = 8, max_nodes: int = 120) -> tuple[DataFrame, DataFrame]:

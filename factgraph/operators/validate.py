@@ -44,7 +44,8 @@ def check_fact_schema(lines: DataFrame) -> DataFrame:
         first_reason(
             (F.col("oversized"), "LINE_TOO_LARGE"),
             (F.col("invalid_utf8"), "INVALID_UTF8"),
-            (v.isNull() | keys.isNull(), "INVALID_JSON"),
+            # as the one item of a list, so that nothing may follow the object
+            (v.isNull() | keys.isNull() | ~F.json_array_length(F.concat(F.lit("["), F.col("raw"), F.lit("]"))).eqNullSafe(F.lit(1)), "INVALID_JSON"),
             (F.contains("raw", F.lit("\\u0000")), "INVALID_NULL_CHARACTER"),
             (F.size(F.array_except(keys, F.array(*map(F.lit, ENVELOPE)))) > 0, "SCHEMA_VALIDATION_FAILED"),
             (F.size(F.array_except(F.array(*map(F.lit, ENVELOPE)), keys)) > 0, "SCHEMA_VALIDATION_FAILED"),
@@ -78,52 +79,78 @@ def normal_path(path: Column) -> Column:
 
 
 def check_evidence(evidence: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Each piece of evidence with its snippet and the first reason against its path, range, columns or hash.
+    """Each piece of evidence with its snippet and the first reason against its path, range, lines, columns or hash.
 
     corpus: file_path, text.  Lines end at a line feed, before which one carriage return is dropped; columns count
-    UTF-16 units.  The join brings evidence to its file, whose lines are cut once for each piece.
+    UTF-16 units; a hash is `sha256:` and 64 hex digits.  A line up to the range's end that is not UTF-8 or too long
+    refuses the range.  Texts are cut into lines once; each distinct range, of MAX_SPAN lines at most, meets its lines
+    one by one, so that no text travels with a citation.
     """
     e = evidence.withColumn("file_path", normal_path(F.col("file_path")))
-    joined = e.join(corpus.select("file_path", F.col("text").alias("source")), "file_path", "left")
-    lines = F.transform(F.split("source", "\n"), lambda x: F.regexp_replace(x, "\r$", ""))
-    out = joined.withColumn("n_lines", F.size(F.split("source", "\n")))
-    out = out.withColumn("cited", F.when((F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line")) & (F.col("end_line") <= F.col("n_lines")), F.slice(lines, F.col("start_line"), F.col("end_line") - F.col("start_line") + 1)))
-    out = out.withColumn("snippet", F.array_join("cited", "\n"))
-
-    def units(line: Column) -> Column:
-        return F.octet_length(F.encode(line, "UTF-16BE")) / 2
-
-    path, first, last = F.col("file_path"), F.element_at("cited", 1), F.element_at("cited", -1)
+    lines = corpus.select("file_path", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = lines.select("file_path", (F.col("at") + 1).alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line"))
+    odd = (F.octet_length("line") > MAX_LINE) | ~F.is_valid_utf8("line")
+    files = lines.groupBy("file_path").agg(F.max("line_no").alias("n_lines"), F.min(F.when(odd, F.col("line_no"))).alias("first_odd"))
+    start, end = F.col("start_line"), F.col("end_line")
+    ranges = e.select("file_path", "start_line", "end_line").distinct().where((start >= 1) & (end >= start) & (end - start < MAX_SPAN))
+    # whether a range lies within its file is known before its lines are
+    within = (end <= F.col("n_lines")) & (F.col("first_odd").isNull() | (F.col("first_odd") > end))
+    ranges = ranges.join(files, "file_path").where(within).select("file_path", "start_line", "end_line", F.explode(F.sequence(start, end)).alias("line_no"))
+    cited = F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("cited")
+    snippets = ranges.join(lines, ["file_path", "line_no"]).groupBy("file_path", "start_line", "end_line").agg(cited)
+
+    def units(at: int) -> Column:
+        return F.octet_length(F.encode(F.element_at("cited", at)["line"], "UTF-16BE")) / 2
+
+    text = F.array_join(F.transform("cited", lambda x: x["line"]), "\n").alias("snippet")
+    snippets = snippets.select("file_path", "start_line", "end_line", units(1).alias("first_units"), units(-1).alias("last_units"), text)
+    out = e.join(files, "file_path", "left").join(snippets, ["file_path", "start_line", "end_line"], "left")
+    path = F.col("file_path")
+    outside = start.isNull() | end.isNull() | (end - start + 1 > MAX_SPAN) | (F.least("start_column", "end_column") < 1) | (start < 1) | (end < start) | (end > F.col("n_lines"))
     reason = first_reason(
         (path.rlike(r"^/|^[A-Za-z]:|(^|/)\.\.(/|$)"), "PATH_ESCAPE"),
         (path.isNull() | (F.trim(path) == ""), "EVIDENCE_PATH_MISSING"),
-        (F.col("source").isNull(), "SOURCE_NOT_REGULAR_FILE"),
-        ((F.col("end_line") - F.col("start_line") + 1 > MAX_SPAN) | (F.least("start_column", "end_column") < 1) | F.col("cited").isNull(), "INVALID_RANGE"),
-        ((F.col("start_column") > units(first) + 1) | (F.col("end_column") > units(last) + 1), "INVALID_COLUMN_RANGE"),
-        (F.exists("cited", lambda x: F.octet_length(x) > MAX_LINE), "SOURCE_ENCODING_OR_LINE_LIMIT"),
+        (F.col("n_lines").isNull(), "SOURCE_NOT_REGULAR_FILE"),
+        (outside, "INVALID_RANGE"),
+        (F.col("first_odd") <= end, "SOURCE_ENCODING_OR_LINE_LIMIT"),
+        ((F.col("start_column") > F.col("first_units") + 1) | (F.col("end_column") > F.col("last_units") + 1), "INVALID_COLUMN_RANGE"),
         (F.octet_length("snippet") > MAX_SNIPPET, "SNIPPET_LIMIT"),
-        (F.regexp_replace("snippet_hash", "^sha256:", "") != F.sha2("snippet", 256), "SNIPPET_HASH_MISMATCH"),
+        (F.col("snippet_hash").isNull() | (F.col("snippet_hash") != F.concat(F.lit("sha256:"), F.sha2("snippet", 256))), "SNIPPET_HASH_MISMATCH"),
     )
-    return out.withColumn("reason", reason).drop("source", "cited", "n_lines")
+    return out.withColumn("reason", reason).select(*e.columns, "snippet", "reason")
 
 
-def dedup_facts(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Facts (execution_id, fact_id, line_number, fingerprint, bad) -> those kept and those quarantined with a reason.
+def judge_facts(facts: DataFrame) -> DataFrame:
+    """Facts (execution_id, fact_id, line_number, fingerprint, bad) with a verdict.
 
-    A fact with bad evidence goes as a whole; of the others the first line of an id stays, an equal one after it goes
-    silently, a different one is a conflict.
+    INVALID_EVIDENCE for a bad one as a whole; of the others of an id the first line is KEPT, one after it that says the
+    same a DUPLICATE, which goes silently, and one that says something else a DUPLICATE_ID_CONFLICT.
     """
-    good = facts.where("NOT bad")
-    first = good.groupBy("execution_id", "fact_id").agg(F.min(F.struct("line_number", "fingerprint")).alias("first"))
-    judged = good.join(first, ["execution_id", "fact_id"])
-    kept = judged.where(F.col("line_number") == F.col("first.line_number")).drop("first")
-    conflict = judged.where(F.col("fingerprint") != F.col("first.fingerprint")).select("execution_id", "line_number", "fact_id", F.lit("DUPLICATE_ID_CONFLICT").alias("reason"))
-    return kept, conflict.union(facts.where("bad").select("execution_id", "line_number", "fact_id", F.lit("INVALID_EVIDENCE").alias("reason")))
+    first = facts.where("NOT bad").groupBy("execution_id", "fact_id").agg(F.min(F.struct("line_number", "fingerprint")).alias("first"))
+    verdict = (
+        F.when(F.col("bad"), "INVALID_EVIDENCE")
+        .when(F.col("line_number") == F.col("first.line_number"), "KEPT")
+        .when(F.col("fingerprint") == F.col("first.fingerprint"), "DUPLICATE")
+        .otherwise("DUPLICATE_ID_CONFLICT")
+    )
+    return facts.join(first, ["execution_id", "fact_id"], "left").withColumn("verdict", verdict).drop("first")
+
+
+def dedup_facts(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of judge_facts(), the facts that are kept, and the lines that are quarantined with a reason."""
+    judged = judge_facts(facts)
+    out = judged.where(F.col("verdict").isin("INVALID_EVIDENCE", "DUPLICATE_ID_CONFLICT"))
+    return judged.where("verdict = 'KEPT'").drop("verdict"), out.select("execution_id", "line_number", "fact_id", F.col("verdict").alias("reason"))
+
+
+def sealed_runs(run_ids: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the runs that already have nodes."""
+    return run_ids.select("run_id").join(nodes.select("run_id"), "run_id", "left_semi")
 
 
 def reject_if_sealed(run_ids: DataFrame, nodes: DataFrame) -> None:
     """Raises if one of the runs already has nodes."""
-    if not nodes.join(run_ids.select("run_id"), "run_id", "left_semi").isEmpty():
+    if not sealed_runs(run_ids, nodes).isEmpty():
         raise ValueError("RUN_SEALED: a run with nodes takes no more facts")
 
 

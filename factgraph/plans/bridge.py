@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations")
 
-#: Each view may use those before it.  {sha256} and {sha256_arg} differ by engine.
+#: Each view may use those before it.  Words in braces differ by engine.
 VIEWS = """
 WITH b_run AS (
   SELECT * FROM (VALUES ('R1', ''), ('R2', 'R1')) AS t(run_id, baseline_id)
@@ -26,9 +26,11 @@ b_entity AS (
 ),
 b_relation AS (
   SELECT DISTINCT 'order:' || l_orderkey AS source_key, 'part:' || l_partkey AS target_key,
-    CASE l_returnflag WHEN 'A' THEN 'READS' WHEN 'N' THEN 'CALLS' ELSE 'WRITES' END AS edge_kind FROM lineitem
+    CASE l_returnflag WHEN 'A' THEN 'READS' WHEN 'N' THEN 'CALLS' ELSE 'WRITES' END AS edge_kind, l_orderkey AS k,
+    (l_orderkey * 100000000 + l_partkey) * 16 + CASE l_returnflag WHEN 'A' THEN 8 WHEN 'N' THEN 9 ELSE 10 END AS line FROM lineitem
   UNION ALL
-  SELECT DISTINCT 'part:' || l_partkey, 'supplier:' || l_suppkey, 'READS' FROM lineitem WHERE l_linenumber = 1
+  SELECT DISTINCT 'part:' || l_partkey, 'supplier:' || l_suppkey, 'READS', l_partkey, (l_partkey * 100000000 + l_suppkey) * 16 + 11
+  FROM lineitem WHERE l_linenumber = 1
 ),
 b_fact_raw AS (
   SELECT r.run_id, 'alpha' AS analyzer, 'STATIC_EXACT' AS origin, CAST(1.0 AS DOUBLE) AS confidence, e.kind,
@@ -36,32 +38,87 @@ b_fact_raw AS (
     e.name, e.owner_key,
     CASE WHEN e.src = 'part' AND e.k % 10 = 9 THEN 'sym::part:' || (e.k - 1) ELSE 'sym::' || e.stable_key END AS symbol,
     CASE WHEN e.src <> 'orders' THEN 0 WHEN r.run_id = 'R2' AND e.k % 11 = 0 THEN 300 ELSE 500 END AS threshold,
-    '' AS source_key, '' AS target_key, '' AS edge_kind, e.k AS doc_key
+    '' AS source_key, '' AS target_key, '' AS edge_kind, e.k AS doc_key,
+    e.k * 16 + CASE e.src WHEN 'region' THEN 0 WHEN 'nation' THEN 1 WHEN 'customer' THEN 2 WHEN 'orders' THEN 3 WHEN 'part' THEN 4 ELSE 5 END AS line_number
   FROM b_run r CROSS JOIN b_entity e
   WHERE NOT (r.run_id = 'R2' AND e.src = 'orders' AND e.k % 17 = 3)
   UNION ALL
   SELECT r.run_id, 'beta', 'STATIC_SYNTAX', CAST(0.8 AS DOUBLE), e.kind, e.stable_key, e.name, e.owner_key, 'sym::' || e.stable_key,
-    CASE WHEN e.k % 14 = 0 THEN 499 ELSE 500 END, '', '', '', e.k
+    CASE WHEN e.k % 14 = 0 THEN 499 ELSE 500 END, '', '', '', e.k, e.k * 16 + 3
   FROM b_run r CROSS JOIN b_entity e WHERE e.src = 'orders' AND e.k % 7 = 0
   UNION ALL
   SELECT r.run_id, 'alpha', 'STATIC_TYPED', CAST(1.0 AS DOUBLE), 'RELATION',
     'relation:' || x.edge_kind || ':' || x.source_key || '->' || x.target_key, x.edge_kind, '', '', 0,
-    x.source_key, x.target_key, x.edge_kind, CAST(0 AS BIGINT)
+    x.source_key, x.target_key, x.edge_kind, x.k, x.line
   FROM b_run r CROSS JOIN b_relation x
 ),
 b_fact AS (
   SELECT run_id, run_id || ':' || analyzer AS execution_id, analyzer, origin, confidence, kind, stable_key, name, owner_key, symbol, threshold,
-    source_key, target_key, edge_kind, doc_key, stable_key AS fact_id,
-    row_number() OVER (PARTITION BY run_id, analyzer ORDER BY stable_key, kind) AS line_number
+    source_key, target_key, edge_kind, doc_key, stable_key AS fact_id, line_number
   FROM b_fact_raw
 ),
+b_shape AS (
+  SELECT execution_id, fact_id, source_key, target_key, owner_key, CASE WHEN doc_key % 53 = 1 THEN '2.0' ELSE '1.0' END AS contract_version,
+    CAST(doc_key % 40 AS INTEGER) AS evidence_count, CASE WHEN doc_key % 59 = 2 THEN 1.5 ELSE confidence END AS confidence,
+    CASE WHEN doc_key % 61 = 3 THEN repeat(stable_key, 60) WHEN doc_key % 67 = 4 THEN ' ' ELSE stable_key END AS stable_key
+  FROM b_fact
+),
+b_line AS (
+  SELECT execution_id, line_number, CAST(doc_key % 101 AS INTEGER) AS flaw,
+    '{"contractVersion":"1.0","factId":' || CASE doc_key % 101 WHEN 4 THEN '7' ELSE '"' || fact_id || '"' END || ',"kind":"' || kind || '","stableKey":"' || stable_key
+    || '","subject":{"kind":"S","stableKey":"s"},"properties":{' || CASE WHEN kind = 'RELATION' AND doc_key % 101 <> 7
+      THEN '"sourceKey":"' || source_key || '","targetKey":"' || target_key || '","edgeKind":"' || edge_kind || '"' ELSE '"name":"' || name || '"' END
+    || '},' || CASE doc_key % 101 WHEN 3 THEN '' WHEN 5 THEN '"origin":"GUESSED",' ELSE '"origin":"' || origin || '",' END || CASE doc_key % 101 WHEN 2 THEN '"more":1,' ELSE '' END
+    || '"confidence":0.9,"evidence":[{"filePath":"a","startLine":1,"startColumn":1,"endLine":1,"endColumn":1,"snippetHash":"sha256:'
+    || CASE doc_key % 101 WHEN 6 THEN 'none' ELSE {sha256}(fact_id{sha256_arg}) END || '"}]}' || CASE doc_key % 101 WHEN 1 THEN '}' ELSE '' END AS raw
+  FROM b_fact WHERE run_id = 'R1'
+),
+b_rule AS (
+  SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN 'AUTHORIZATION_RULE' WHEN 1 THEN 'TECHNICAL_GUARD' WHEN 2 THEN 'VALIDATION_RULE' WHEN 3 THEN 'BUSINESS_RULE' ELSE 'CONDITION' END AS kind,
+    CAST(o_orderkey % 5 AS INTEGER) AS cond, CAST(o_orderkey % 4 AS INTEGER) AS outcome, o_orderkey % 7 = 0 AS entered, CAST(o_orderkey % 3 AS INTEGER) AS vocabulary,
+    o_orderkey % 11 = 0 AS writes, CAST(o_orderkey % 13 % 5 AS INTEGER) AS ambiguities, o_orderkey % 17 = 0 AS typed FROM orders
+),
+b_exec AS (
+  SELECT o_orderkey AS execution_id, 'R' || (o_orderkey % 200) AS run_id, 'org' || (o_custkey % 25) AS org_id, 'p' || (o_custkey % 40) AS project_id,
+    CASE WHEN o_orderkey % 10 = 0 THEN 10 ELSE 0 END AS exit_code, CASE o_orderstatus WHEN 'P' THEN 'PARTIALLY_SUCCEEDED' ELSE 'SUCCEEDED' END AS manifest_status,
+    CASE WHEN o_orderkey % 17 = 0 THEN 'other' ELSE 'java' END AS analyzer_id, CASE WHEN o_orderkey % 19 = 0 THEN 'd2' ELSE 'd1' END AS digest,
+    CAST(o_orderkey % 30 AS INTEGER) AS files_discovered, CAST(o_orderkey % 30 - CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS files_parsed,
+    CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS files_failed, CAST(o_orderkey % 4 AS INTEGER) AS asked, CAST(o_orderkey % 3 AS INTEGER) AS done,
+    CASE WHEN o_orderkey % 23 = 0 THEN 'ERROR' WHEN o_orderkey % 5 = 0 THEN 'WARNING' END AS severity, o_orderdate AS created_at, o_custkey AS k
+  FROM orders
+),
+b_raw_span AS (
+  SELECT event_id, CASE WHEN event_id % 31 = 1 THEN '00000000000000000000000000000000' WHEN event_id % 31 = 2 THEN 'xyz' ELSE md5('t' || user_id) END AS trace_id,
+    CASE WHEN event_id % 37 = 1 THEN 'short' ELSE substr(md5('s' || event_id), 1, 16) END AS span_id,
+    CASE WHEN event_id % 41 = 1 THEN substr(md5('s' || event_id), 1, 16) WHEN event_id % 41 = 2 THEN '0000000000000000' WHEN event_id % 2 = 0 THEN substr(md5('p' || event_id), 1, 16) END AS parent_span_id,
+    CASE WHEN event_id % 43 = 1 THEN ' ' ELSE event_type END AS name, CASE WHEN event_id % 47 = 1 THEN '18446744073709551616' ELSE CAST(1000 + event_id AS STRING) END AS start_nanos,
+    CASE WHEN event_id % 53 = 1 THEN '999' ELSE CAST(2000 + event_id AS STRING) END AS end_nanos,
+    CASE event_id % 59 WHEN 1 THEN 'SPAN_KIND_SERVER' WHEN 2 THEN '9' WHEN 3 THEN 'ODD' ELSE '1' END AS kind,
+    CASE event_id % 61 WHEN 1 THEN 'STATUS_CODE_ERROR' WHEN 2 THEN '7' END AS status, CAST(event_id % 67 * 2 AS INTEGER) AS n_events, CAST(event_id % 71 * 2 AS INTEGER) AS n_links
+  FROM events
+),
+b_step AS (
+  SELECT 'order:' || l_orderkey AS scenario_key, 'part:' || l_partkey || ':' || l_linenumber AS stable_key, CASE WHEN l_returnflag = 'A' THEN 'DATABASE_READ' WHEN l_returnflag = 'N' THEN 'METHOD' ELSE 'VALIDATION_RULE' END AS kind,
+    'src/' || CASE l_linenumber % 5 WHEN 0 THEN 'controller' WHEN 1 THEN 'service' WHEN 2 THEN 'repository' WHEN 3 THEN 'validator' ELSE 'other' END || '/F' || (l_suppkey % 7) || '.java' AS file_path,
+    CAST(l_quantity AS INTEGER) * 10 + l_linenumber AS start_line, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(l_extendedprice AS BIGINT) END AS call_line, l_linenumber AS place, l_suppkey AS k
+  FROM lineitem
+),
 b_source AS (
-  SELECT doc_id, 'docs/' || source || '/' || doc_id || '.txt' AS file_path, text, split_part(text, chr(10), 1) AS first_line FROM documents
+  SELECT doc_id, 'docs/' || source || '/' || doc_id || '.txt' AS file_path, text, {lines} AS lines FROM documents
+),
+b_cite AS (
+  SELECT s.doc_id, s.file_path, s.lines, j.j, (s.doc_id * 3 + j.j) % 23 AS flaw, 1 + (s.doc_id + j.j) % {size}(s.lines) AS first_line,
+    least({size}(s.lines), 1 + (s.doc_id + j.j) % {size}(s.lines) + j.j) AS last_line
+  FROM b_source s CROSS JOIN (VALUES (0), (1), (2)) AS j(j) WHERE s.text IS NOT NULL
 ),
 b_evidence AS (
-  SELECT f.run_id, f.execution_id, f.fact_id, s.file_path, 1 AS start_line, 1 AS end_line, 1 AS start_column, 1 AS end_column,
-    {sha256}(CASE WHEN f.doc_key % 97 = 5 THEN 'stale text' ELSE s.first_line END{sha256_arg}) AS snippet_hash
-  FROM b_fact f JOIN b_source s ON s.doc_id = f.doc_key % 200
+  SELECT 'R1' AS run_id, 'order:' || doc_id AS fact_id, doc_id || ':' || j AS evidence_id,
+    CASE flaw WHEN 1 THEN '../' || file_path WHEN 2 THEN file_path || '.gone' ELSE file_path END AS file_path,
+    CAST(CASE flaw WHEN 7 THEN 0 ELSE first_line END AS INTEGER) AS start_line,
+    CAST(CASE flaw WHEN 3 THEN {size}(lines) + 1 ELSE last_line END AS INTEGER) AS end_line,
+    CASE flaw WHEN 6 THEN 0 ELSE 1 END AS start_column, CASE flaw WHEN 4 THEN 1000000 ELSE 1 END AS end_column,
+    CASE flaw WHEN 5 THEN '' ELSE 'sha256:' END || {sha256}(CASE flaw WHEN 0 THEN 'stale text' ELSE {cited} END{sha256_arg}) AS snippet_hash
+  FROM b_cite
 ),
 b_span_once AS (
   SELECT 'R1' AS run_id, md5('t' || user_id || ':' || (event_id - event_id % 500)) AS trace_id,
@@ -100,18 +157,23 @@ b_file AS (
 """
 
 
-def _sql(name: str, arg: str) -> str:
-    return VIEWS.strip().replace("{sha256}", name).replace("{sha256_arg}", arg)
+#: What the two engines call by other names.
+SPARK = {"sha256": "sha2", "sha256_arg": ", 256", "lines": r"split(text, '\n')", "size": "size", "cited": r"array_join(slice(lines, first_line, last_line - first_line + 1), '\n')"}
+DUCKDB = {"sha256": "sha256", "sha256_arg": "", "lines": "string_split(text, chr(10))", "size": "len", "cited": "array_to_string(list_slice(lines, first_line, last_line), chr(10))"}
+
+
+def _sql(words: dict[str, str]) -> str:
+    return re.sub(r"\{(\w+)\}", lambda m: words[m[1]], VIEWS.strip())
 
 
 def duckdb(query: str) -> str:
     """A query over the views, for DuckDB."""
     rest = query.strip()
-    return _sql("sha256", "") + (",\n" + rest[5:] if rest[:5].upper() == "WITH " else "\n" + rest)
+    return _sql(DUCKDB) + (",\n" + rest[5:] if rest[:5].upper() == "WITH " else "\n" + rest)
 
 
 def _views() -> list[tuple[str, str]]:
-    found = re.split(r"(?:^WITH |^)(b_\w+) AS \(\n", _sql("sha2", ", 256"), flags=re.MULTILINE)
+    found = re.split(r"(?:^WITH |^)(b_\w+) AS \(\n", _sql(SPARK), flags=re.MULTILINE)
     return [(name, re.sub(r"\n\),?\s*$", "", body)) for name, body in zip(found[1::2], found[2::2], strict=True)]
 
 

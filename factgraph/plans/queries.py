@@ -2,38 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factgraph.functions import semantics as S
 from factgraph.functions import vocabulary as V
 from factgraph.operators import diff, graph, projections, reach, reports, runtime, validate
-from factgraph.plans import bridge
+from factgraph.plans.base import in_list as _in
+from factgraph.plans.base import query
 from factgraph.plans.tables import Tables
 from factgraph.sources import corpus
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            ORACLES[f.__name__] = bridge.duckdb(sql)
-        return f
-
-    return add
-
-
-def _in(kinds: tuple[str, ...]) -> str:
-    return "(" + ", ".join(f"'{k}'" for k in kinds) + ")"
-
-
 #: Nodes, edges, latest reviews and titles in SQL; each uses those before it.
-NODE = """WITH q_node AS (
+NODE = """WITH q_node AS MATERIALIZED (
   SELECT run_id, stable_key, CASE max(kind) WHEN 'DATA_READ' THEN 'DATABASE_READ' WHEN 'DATA_WRITE' THEN 'DATABASE_WRITE' ELSE max(kind) END AS kind,
     min(name) AS label, min(owner_key) AS owner_key, max(symbol) AS symbol, max(CASE WHEN analyzer = 'alpha' THEN threshold END) AS threshold,
     CASE WHEN count(DISTINCT threshold) > 1 THEN 1 ELSE 0 END AS fact_conflict, count(*) AS n_facts,
@@ -42,20 +23,20 @@ NODE = """WITH q_node AS (
   FROM b_fact WHERE kind <> 'RELATION' GROUP BY run_id, stable_key
 )"""
 EDGE = NODE + """,
-q_end AS (
+q_end AS MATERIALIZED (
   SELECT run_id, source_key, target_key, edge_kind AS kind, confidence FROM b_fact WHERE kind = 'RELATION'
   UNION ALL SELECT run_id, owner_key, stable_key, 'CONTAINS', confidence FROM b_fact WHERE kind <> 'RELATION' AND owner_key <> ''
 ),
-q_missing AS (
+q_missing AS MATERIALIZED (
   SELECT DISTINCT run_id, stable_key FROM (SELECT run_id, source_key AS stable_key FROM q_end UNION ALL SELECT run_id, target_key FROM q_end) x
-  WHERE NOT EXISTS (SELECT 1 FROM q_node n WHERE n.run_id = x.run_id AND n.stable_key = x.stable_key)
+  ANTI JOIN q_node n ON n.run_id = x.run_id AND n.stable_key = x.stable_key
 ),
-q_edge AS (
+q_edge AS MATERIALIZED (
   SELECT e.run_id, e.source_key, e.target_key, e.kind, count(*) AS n_facts, CASE WHEN max(CASE WHEN m.stable_key IS NOT NULL OR o.stable_key IS NOT NULL THEN 1 ELSE 0 END) = 1 THEN 0.0 ELSE min(confidence) END AS confidence
   FROM q_end e LEFT JOIN q_missing m ON m.run_id = e.run_id AND m.stable_key = e.source_key LEFT JOIN q_missing o ON o.run_id = e.run_id AND o.stable_key = e.target_key GROUP BY e.run_id, e.source_key, e.target_key, e.kind
 )"""
 ALL = EDGE + """,
-q_all AS (
+q_all AS MATERIALIZED (
   SELECT run_id, stable_key, kind, confidence, label, fact_conflict, 0 AS unresolved FROM q_node
   UNION ALL SELECT run_id, stable_key, 'UNRESOLVED_SYMBOL', 0.0, stable_key, 0, 1 FROM q_missing
 ),
@@ -69,7 +50,13 @@ q_two AS (
   SELECT min(b.stable_key) AS before_key, s.after_key, 2 AS tier FROM q_b b JOIN q_sym s ON s.kind = b.kind AND s.symbol = b.symbol
   WHERE b.stable_key NOT IN (SELECT before_key FROM q_one) AND s.after_key NOT IN (SELECT after_key FROM q_one) GROUP BY s.after_key
 ),
-q_match AS (SELECT * FROM q_one UNION ALL SELECT * FROM q_two)"""
+q_old AS (SELECT kind, first_threshold AS shape, min(stable_key) AS before_key FROM q_b GROUP BY ALL HAVING count(*) = 1),
+q_new AS (SELECT kind, first_threshold AS shape, min(stable_key) AS after_key FROM q_a ANTI JOIN (SELECT stable_key AS sk FROM q_b) x ON x.sk = stable_key GROUP BY ALL HAVING count(*) = 1),
+q_three AS (
+  SELECT before_key, after_key, 3 AS tier FROM q_old JOIN q_new USING (kind, shape)
+  WHERE before_key NOT IN (SELECT before_key FROM q_one UNION ALL SELECT before_key FROM q_two) AND after_key NOT IN (SELECT after_key FROM q_one UNION ALL SELECT after_key FROM q_two)
+),
+q_match AS MATERIALIZED (SELECT * FROM q_one UNION ALL SELECT * FROM q_two UNION ALL SELECT * FROM q_three)"""
 SPANS = NODE + """,
 q_first AS (SELECT * FROM b_span QUALIFY row_number() OVER (PARTITION BY run_id, trace_id, span_id ORDER BY upload) = 1),
 q_symbol AS (SELECT symbol, count(*) AS n, min(stable_key) AS node_key FROM q_node WHERE run_id = 'R1' GROUP BY symbol),
@@ -87,10 +74,30 @@ def gb6_merge_nodes(t: Tables) -> DataFrame:
     return t.nodes.select("run_id", "stable_key", "kind", F.col("fact_conflict").cast("int").alias("fact_conflict"), "n_facts", F.round(F.col("confidence") * 100).cast("long").alias("confidence"))
 
 
-@query(NODE + " SELECT run_id, count(*) AS endpoints, owner_key FROM q_node WHERE kind = 'ENDPOINT' GROUP BY run_id, owner_key")
-def qry19_endpoints_by_owner(t: Tables) -> DataFrame:
-    own = t.nodes.where("kind = 'ENDPOINT'").withColumn("owner_key", S.prop(F.col("properties"), "ownerKey"))
-    return own.groupBy("run_id", "owner_key").agg(F.count("*").alias("endpoints"))
+def contained(t: Tables) -> DataFrame:
+    """What entry points contain, in the shape of scenario members one step deep."""
+    ends = t.nodes.where("kind = 'ENDPOINT'").select("run_id", F.col("stable_key").alias("source_key"))
+    inside = t.edges.where("kind = 'CONTAINS'").join(ends, ["run_id", "source_key"], "left_semi")
+    of = t.nodes.select("run_id", F.col("stable_key").alias("target_key"), F.col("kind").alias("member_kind"), "confidence", "evidence_ids")
+    found = inside.select("run_id", "source_key", "target_key").join(of, ["run_id", "target_key"])
+    flags = (F.lit(1).alias("depth"), (F.col("member_kind") == "CONDITION").alias("unresolved"), "confidence", "evidence_ids")
+    return found.select("run_id", F.col("source_key").alias("entry_key"), F.col("target_key").alias("member_key"), F.col("member_kind").alias("kind"), *flags)
+
+
+@query(EDGE + """, q_in AS (
+  SELECT e.run_id, e.source_key, count(*) AS steps, count(*) FILTER (WHERE n.kind = 'CONDITION') AS unresolved FROM q_edge e
+  JOIN q_node n ON n.run_id = e.run_id AND n.stable_key = e.target_key JOIN q_node o ON o.run_id = e.run_id AND o.stable_key = e.source_key AND o.kind = 'ENDPOINT' WHERE e.kind = 'CONTAINS' GROUP BY ALL
+), q_told AS (SELECT DISTINCT run_id, stable_key FROM b_enrichment)
+SELECT n.run_id, n.owner_key, count(*) AS endpoints, CAST(sum(coalesce(steps, 0)) AS BIGINT) AS steps, CAST(sum(coalesce(unresolved, 0)) AS BIGINT) AS unresolved,
+  count(*) FILTER (WHERE t.stable_key IS NOT NULL) AS ready, count(*) FILTER (WHERE t.stable_key IS NULL AND coalesce(steps, 0) > 0) AS static_ready
+FROM q_node n LEFT JOIN q_in i ON i.run_id = n.run_id AND i.source_key = n.stable_key LEFT JOIN q_told t ON t.run_id = n.run_id AND t.stable_key = n.stable_key
+WHERE n.kind = 'ENDPOINT' GROUP BY n.run_id, n.owner_key""")
+def qry19_controllers_rollup(t: Tables) -> DataFrame:
+    """Endpoints by owner; what an endpoint contains stands for its steps, conditions among them for unresolved ones."""
+    ends = t.nodes.where("kind = 'ENDPOINT'").withColumn("owner_key", S.prop(F.col("properties"), "ownerKey"))
+    out = projections.controllers_rollup(ends, contained(t), t.b_enrichment)
+    own = out.withColumn("unresolved", F.aggregate("endpoint_list", F.lit(0).cast("long"), lambda a, e: a + e["unresolved"]))
+    return own.select("run_id", "owner_key", "endpoints", "steps", "unresolved", "ready", "static_ready")
 
 
 @query(EDGE + " SELECT run_id, source_key, target_key, kind, n_facts, CAST(round(confidence * 100) AS BIGINT) AS confidence FROM q_edge")
@@ -119,15 +126,40 @@ def gb12_assertions(t: Tables) -> DataFrame:
     return rules.select("run_id", "stable_key", "rule_kind", F.get_json_object("condition", "$.right.value").cast("int").alias("threshold"))
 
 
-@query("SELECT fact_id, execution_id, CASE kind WHEN 'VALIDATION_RULE' THEN kind ELSE 'UNKNOWN_RULE' END AS category, CAST(20 AS BIGINT) AS score, CASE kind WHEN 'VALIDATION_RULE' THEN 100 ELSE 45 END AS ceiling FROM b_fact WHERE kind IN ('CONDITION', 'VALIDATION_RULE')")
+@query("""WITH q_x AS (
+  SELECT *, outcome IN (1, 3) AS impact, cond = 2 AS plumbing, NOT (outcome IN (1, 3)) AND (cond IN (0, 2) OR kind = 'TECHNICAL_GUARD') AS technical, kind = 'AUTHORIZATION_RULE' OR cond = 4 AS auth FROM b_rule
+), q_y AS (
+  SELECT *, CASE WHEN technical THEN 'TECHNICAL_GUARD' WHEN auth THEN 'AUTHORIZATION_RULE' WHEN kind LIKE '%_RULE' THEN kind WHEN impact THEN 'BUSINESS_CONSTRAINT' ELSE 'UNKNOWN_RULE' END AS category,
+    20 + CASE WHEN entered THEN 12 ELSE 0 END + CASE vocabulary WHEN 1 THEN 8 ELSE 0 END + CASE WHEN typed THEN 10 ELSE 0 END + CASE WHEN impact THEN 35 ELSE 0 END + CASE WHEN writes THEN 12 ELSE 0 END
+    + CASE WHEN auth THEN 30 ELSE 0 END - CASE WHEN technical THEN 65 WHEN plumbing THEN 15 ELSE 0 END - CASE WHEN cond = 3 THEN 25 ELSE least(30, 10 * ambiguities) END AS points FROM q_x
+)
+SELECT k, category, CAST(greatest(0, least(100, points)) AS BIGINT) AS score, CASE WHEN cond = 3 OR category = 'UNKNOWN_RULE' THEN 45 WHEN category <> kind AND kind <> 'BUSINESS_RULE' THEN 85 ELSE 100 END AS ceiling FROM q_y""")
 def gb4_classify_rules(t: Tables) -> DataFrame:
-    rules = graph.assertion_ceiling(graph.classify_rules(t.facts.where(F.col("kind").isin(*V.RULE_KINDS))))
-    return rules.select("fact_id", "execution_id", "category", F.round(F.col("score") * 100).cast("long").alias("score"), F.round(F.col("ceiling") * 100).cast("int").alias("ceiling"))
-
-
-@query("SELECT e.run_id, e.execution_id, e.fact_id, CASE WHEN e.snippet_hash <> sha256(s.first_line) THEN 'SNIPPET_HASH_MISMATCH' ELSE 'OK' END AS reason FROM b_evidence e JOIN b_source s USING (file_path)")
+    """Rules of every shape: null checks, comparisons, log guards, texts and role checks, with outcomes that matter or not."""
+    c, when = F.col, F.when
+    null = '{"type":"BINARY","operator":"EQUAL","left":{"type":"REFERENCE"},"right":{"type":"LITERAL","value":null}}'
+    less = '{"type":"BINARY","operator":"LESS_THAN","left":{"type":"REFERENCE"},"right":{"type":"LITERAL","value":5}}'
+    trees = (null, less, '{"type":"CALL","method":"isDebugEnabled"}', '"a < b"', '{"type":"ROLE_CHECK"}')
+    tree = when(c("cond") == 0, trees[0]).when(c("cond") == 1, trees[1]).when(c("cond") == 2, trees[2]).when(c("cond") == 3, trees[3]).otherwise(trees[4])
+    outcome = when(c("outcome") == 1, '["REJECT"]').when(c("outcome") == 2, '[{"kind":"THROW","exception":"NullPointerException"}]').when(c("outcome") == 3, '[{"kind":"CONDITIONAL","falseOutcomes":["DENY"]}]').otherwise("[]")
+    parts = [
+        F.concat(F.lit('"condition":'), tree), F.concat(F.lit('"trueOutcomes":'), outcome), when(c("entered"), '"entryPointKey":"e"'), when(c("typed"), '"domainType":"D"'), when(c("writes"), '"dataWrites":["t"]'),
+        when(c("vocabulary") == 1, '"businessVocabulary":true').when(c("vocabulary") == 2, '"businessVocabulary":"true"'),
+        F.concat(F.lit('"ambiguities":['), F.array_join(F.array_repeat(F.lit("1"), c("ambiguities")), ","), F.lit("]")),
+    ]
+    rules = graph.assertion_ceiling(graph.classify_rules(t.b_rule.withColumn("properties", F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")))))
+    return rules.select("k", "category", F.round(c("score") * 100).cast("long").alias("score"), F.round(c("ceiling") * 100).cast("int").alias("ceiling"))
+
+
+@query("""SELECT e.evidence_id, CASE WHEN e.file_path LIKE '../%' THEN 'PATH_ESCAPE' WHEN s.doc_id IS NULL THEN 'SOURCE_NOT_REGULAR_FILE'
+  WHEN start_line < 1 OR end_line < start_line OR end_line > len(lines) OR least(start_column, end_column) < 1 THEN 'INVALID_RANGE'
+  WHEN list_max([octet_length(encode(x)) for x in list_slice(lines, 1, end_line)]) > 65536 THEN 'SOURCE_ENCODING_OR_LINE_LIMIT'
+  WHEN start_column > length(lines[start_line]) + 1 OR end_column > length(lines[end_line]) + 1 THEN 'INVALID_COLUMN_RANGE'
+  WHEN octet_length(encode(array_to_string(list_slice(lines, start_line, end_line), chr(10)))) > 65536 THEN 'SNIPPET_LIMIT'
+  WHEN snippet_hash <> 'sha256:' || sha256(array_to_string(list_slice(lines, start_line, end_line), chr(10))) THEN 'SNIPPET_HASH_MISMATCH' ELSE 'OK' END AS reason
+FROM b_evidence e LEFT JOIN b_source s USING (file_path)""")
 def val5_check_evidence(t: Tables) -> DataFrame:
-    return validate.check_evidence(t.b_evidence, t.b_source).select("run_id", "execution_id", "fact_id", F.coalesce("reason", F.lit("OK")).alias("reason"))
+    return validate.check_evidence(t.b_evidence, t.b_source).select("evidence_id", F.coalesce("reason", F.lit("OK")).alias("reason"))
 
 
 @query("""WITH q_first AS (SELECT run_id, fact_id, min(line_number * 10 + CASE analyzer WHEN 'alpha' THEN 0 ELSE 1 END) AS line FROM b_fact WHERE doc_key % 97 <> 5 GROUP BY run_id, fact_id),
@@ -137,31 +169,32 @@ FROM q_x x LEFT JOIN q_first f ON f.run_id = x.run_id AND f.fact_id = x.fact_id
 WHERE x.doc_key % 97 = 5 OR x.line = f.line OR x.threshold <> y.threshold""")
 def val6_dedup_facts(t: Tables) -> DataFrame:
     line = F.col("line_number") * 10 + F.when(F.col("analyzer") == "alpha", 0).otherwise(1)
-    one = t.facts.select(F.col("run_id").alias("execution_id"), "fact_id", line.alias("line_number"), S.fingerprint(F.col("kind"), F.col("properties")).alias("fingerprint"), (F.col("doc_key") % 97 == 5).alias("bad"))
-    kept, out = validate.dedup_facts(one)
-    cols = [F.col("execution_id").alias("run_id"), "fact_id", F.col("line_number").alias("line")]
-    return kept.select(*cols, F.lit("KEPT").alias("verdict")).union(out.select(*cols, F.col("reason").alias("verdict")))
+    one = t.facts.select(F.col("run_id").alias("execution_id"), "fact_id", line.alias("line_number"), "fingerprint", (F.col("doc_key") % 97 == 5).alias("bad"))
+    judged = validate.judge_facts(one).where("verdict <> 'DUPLICATE'")
+    return judged.select(F.col("execution_id").alias("run_id"), "fact_id", F.col("line_number").alias("line"), "verdict")
 
 
-@query("SELECT execution_id, fact_id, CASE WHEN length(stable_key) > 28 THEN 'FACT_KEY_LIMIT' ELSE 'OK' END AS reason FROM b_fact WHERE false UNION ALL SELECT execution_id, fact_id, 'OK' FROM b_fact")
+@query("""SELECT execution_id, fact_id, CASE WHEN contract_version <> '1.0' THEN 'CONTRACT_VERSION_MISMATCH' WHEN evidence_count NOT BETWEEN 1 AND 32 THEN 'EVIDENCE_REQUIRED_OR_LIMIT'
+  WHEN confidence NOT BETWEEN 0 AND 1 OR trim(stable_key) = '' THEN 'INVALID_FACT_FIELDS'
+  WHEN greatest(length(stable_key), length(fact_id), length(source_key), length(target_key), length(owner_key)) > 512 THEN 'FACT_KEY_LIMIT' ELSE 'OK' END AS reason FROM b_shape""")
 def val2_fact_fields(t: Tables) -> DataFrame:
-    shaped = t.b_fact.select("execution_id", "fact_id", "confidence", "stable_key", "source_key", "target_key", "owner_key", F.lit("1.0").alias("contract_version"), F.lit(1).alias("evidence_count"))
-    return validate.check_fact_fields(shaped).select("execution_id", "fact_id", F.coalesce("reason", F.lit("OK")).alias("reason"))
+    return validate.check_fact_fields(t.b_shape).select("execution_id", "fact_id", F.coalesce("reason", F.lit("OK")).alias("reason"))
 
 
 @query("SELECT execution_id, kind, count(*) AS n FROM b_fact GROUP BY ALL")
-def op4_facts_by_kind(t: Tables) -> DataFrame:
+def ops4_facts_by_kind(t: Tables) -> DataFrame:
     return reports.facts_by_kind(t.facts)
 
 
 def _runs(t: Tables) -> tuple[DataFrame, DataFrame]:
-    shaped = t.nodes.select("run_id", "stable_key", "kind", "properties", "confidence", S.fingerprint(F.col("kind"), F.col("properties")).alias("fingerprint"), S.structural(F.col("kind"), F.col("properties")).alias("structural_fingerprint"), F.lit(None).cast("string").alias("evidence_fingerprint"))
+    none = F.lit(None).cast("string").alias("evidence_fingerprint")
+    shaped = t.nodes.select("run_id", "stable_key", "kind", "properties", "confidence", "fingerprint", "structural_fingerprint", none)
     return tuple(shaped.where(F.col("run_id") == r).drop("run_id") for r in ("R1", "R2"))
 
 
 @query(PAIRS + " SELECT before_key, after_key, tier FROM q_match")
 def df1_match_nodes(t: Tables) -> DataFrame:
-    return diff.match_nodes(*_runs(t)).where("tier < 3")
+    return diff.match_nodes(*_runs(t))
 
 
 @query(PAIRS + """, q_both AS (
@@ -175,7 +208,7 @@ UNION ALL SELECT stable_key, 'REMOVED', kind || '_REMOVED' FROM q_b WHERE stable
 UNION ALL SELECT stable_key, 'ADDED', kind || '_ADDED' FROM q_a WHERE stable_key NOT IN (SELECT after_key FROM q_match)""")
 def df6_diff_nodes(t: Tables) -> DataFrame:
     before, after = _runs(t)
-    return diff.diff_nodes(before, after, diff.match_nodes(before, after).where("tier < 3")).select("stable_key", "change_type", "impact")
+    return diff.diff_nodes(before, after, diff.match_nodes(before, after)).select("stable_key", "change_type", "impact")
 
 
 @query(EDGE + """, q_b AS (SELECT * FROM q_edge WHERE run_id = 'R1'), q_a AS (SELECT * FROM q_edge WHERE run_id = 'R2')
@@ -194,7 +227,7 @@ def df7_carry_reviews(t: Tables) -> DataFrame:
     before, after = _runs(t)
     latest = projections.latest(t.b_review.where("run_id = 'R1'"), "decision").drop("run_id")
     own = projections.latest(t.b_review.where("run_id = 'R2'"), "decision").drop("run_id")
-    return diff.carry_reviews(latest, diff.match_nodes(before, after).where("tier < 3"), before, after, own).select("stable_key", "decision")
+    return diff.carry_reviews(latest, diff.match_nodes(before, after), before, after, own).select("stable_key", "decision")
 
 
 @query(ALL + " SELECT n.run_id, n.stable_key, coalesce(r.decision, 'UNREVIEWED') AS decision FROM q_all n LEFT JOIN q_review r ON r.run_id = n.run_id AND r.stable_key = n.stable_key")
@@ -235,9 +268,11 @@ def qry25_search_nodes(t: Tables) -> DataFrame:
 
 
 @query(ALL + f""" SELECT n.run_id, count(*) AS nodes, count(*) FILTER (WHERE kind IN {_in(V.RULE_KINDS)}) AS rules, count(*) FILTER (WHERE kind IN ('DATABASE_READ', 'DATABASE_WRITE')) AS data_effects,
-count(*) FILTER (WHERE confidence < 0.7 OR unresolved = 1) AS risks, count(e.title) AS enriched, count(*) AS grounded, CAST(100 AS BIGINT) AS grounded_percent FROM q_all n LEFT JOIN q_title e ON e.run_id = n.run_id AND e.stable_key = n.stable_key GROUP BY n.run_id""")
+count(*) FILTER (WHERE confidence < 0.7 OR unresolved = 1) AS risks, count(e.title) AS enriched, count(*) FILTER (WHERE kind <> 'TABLE') AS grounded, CAST(floor(count(*) FILTER (WHERE kind <> 'TABLE') * 100 / count(*)) AS BIGINT) AS grounded_percent FROM q_all n LEFT JOIN q_title e ON e.run_id = n.run_id AND e.stable_key = n.stable_key GROUP BY n.run_id""")
 def qry28_overview_metrics(t: Tables) -> DataFrame:
-    return projections.overview_metrics(t.titled)
+    # tables stand for nodes that have lost their evidence
+    own = F.when(F.col("kind") != "TABLE", F.col("evidence_ids")).otherwise(F.array().cast("array<string>"))
+    return projections.overview_metrics(t.titled.withColumn("evidence_ids", own))
 
 
 @query(ALL + """ SELECT n.run_id, n.stable_key, CASE WHEN e.title IS NULL THEN 0 ELSE 5 END + 10 * (CASE WHEN contains(lower(label || ' ' || n.stable_key || ' ' || kind || coalesce(' ' || title, '')), 'urgent') THEN 1 ELSE 0 END + CASE WHEN contains(lower(label || ' ' || n.stable_key || ' ' || kind || coalesce(' ' || title, '')), 'the') THEN 1 ELSE 0 END) + CAST(floor(confidence * 10) AS INTEGER) AS score
@@ -282,13 +317,13 @@ def rt9_span_page(t: Tables) -> DataFrame:
 
 
 @query("""SELECT t.task_id FROM b_task t WHERE status = 'PENDING' AND NOT EXISTS (SELECT 1 FROM b_task d WHERE d.task_id = t.depends_on AND d.status <> 'SUCCEEDED' AND NOT (t.accept_failed AND d.status = 'FAILED_PERMANENTLY'))""")
-def op6_ready_tasks(t: Tables) -> DataFrame:
+def ops6_ready_tasks(t: Tables) -> DataFrame:
     return reports.ready_tasks(t.b_task, t.b_task.select("task_id", "depends_on")).select("task_id")
 
 
 @query("""SELECT count(*) FILTER (WHERE status = 'PENDING') AS pending, count(*) FILTER (WHERE status = 'RUNNING') AS running,
 count(*) FILTER (WHERE status = 'FAILED_PERMANENTLY' AND created_at > m - INTERVAL 1 HOUR) AS failed_last_hour, count(*) FILTER (WHERE status = 'SUCCEEDED' AND created_at > m - INTERVAL 1 HOUR) AS done_last_hour FROM b_task, (SELECT max(created_at) AS m FROM b_task)""")
-def op7_last_hour_metrics(t: Tables) -> DataFrame:
+def ops7_last_hour_metrics(t: Tables) -> DataFrame:
     now = t.b_task.agg(F.max("created_at").alias("now"))
     # one row, by its aggregate
     return reports.last_hour_metrics(t.b_task.join(F.broadcast(now), how="inner"), F.col("now")).drop("mean_seconds")
@@ -299,7 +334,7 @@ def src9_file_inventory(t: Tables) -> DataFrame:
     return corpus.area_rollup(corpus.file_inventory(t.b_file.select("path", F.col("text"), F.encode("text", "UTF-8").alias("content")))).select("area", "files", "bytes")
 
 
-@query(EDGE + """, q_vis AS (SELECT run_id, stable_key FROM q_node WHERE kind IN ('ENDPOINT', 'TABLE')), q_way AS (SELECT DISTINCT e.run_id, e.source_key, e.target_key, e.kind, v.stable_key IS NOT NULL AS shown FROM q_edge e LEFT JOIN q_vis v ON v.run_id = e.run_id AND v.stable_key = e.target_key),
+@query(EDGE + """, q_vis AS MATERIALIZED ((SELECT run_id, stable_key FROM q_node WHERE run_id = 'R1' AND kind = 'ENDPOINT' ORDER BY stable_key LIMIT 125) UNION ALL (SELECT run_id, stable_key FROM q_node WHERE run_id = 'R1' AND kind = 'TABLE' ORDER BY stable_key LIMIT 125)), q_way AS MATERIALIZED (SELECT DISTINCT e.run_id, e.source_key, e.target_key, e.kind, v.stable_key IS NOT NULL AS shown FROM q_edge e LEFT JOIN q_vis v ON v.run_id = e.run_id AND v.stable_key = e.target_key),
 q_w1 AS (SELECT DISTINCT w.run_id, w.source_key, w.target_key AS at_, w.kind FROM q_way w JOIN q_vis v ON v.run_id = w.run_id AND v.stable_key = w.source_key WHERE NOT shown),
 q_w2 AS (SELECT DISTINCT a.run_id, a.source_key, b.target_key AS at_, a.kind, b.shown FROM q_w1 a JOIN q_way b ON b.run_id = a.run_id AND b.source_key = a.at_),
 q_w3 AS (SELECT DISTINCT a.run_id, a.source_key, b.target_key AS at_, a.kind, b.shown FROM q_w2 a JOIN q_way b ON b.run_id = a.run_id AND b.source_key = a.at_ WHERE NOT a.shown),
@@ -308,23 +343,19 @@ q_w5 AS (SELECT DISTINCT a.run_id, a.source_key, b.target_key AS at_, a.kind, b.
 q_pair AS (SELECT DISTINCT run_id, source_key, at_ AS target_key FROM (SELECT * FROM q_w2 UNION ALL SELECT * FROM q_w3 UNION ALL SELECT * FROM q_w4 UNION ALL SELECT * FROM q_w5) WHERE shown AND source_key <> at_)
 SELECT p.run_id, p.source_key, p.target_key FROM q_pair p WHERE NOT EXISTS (SELECT 1 FROM q_way w WHERE w.run_id = p.run_id AND w.source_key = p.source_key AND w.target_key = p.target_key) ORDER BY 1, 2, 3 LIMIT 200""")
 def qry14_lifted_edges(t: Tables) -> DataFrame:
-    nodes, edges = reach.shared_table(t.nodes.select("run_id", "stable_key", "kind"), "nodes"), reach.shared_table(t.edges.select("run_id", "source_key", "target_key", "kind"), "edges")
-    return reach.lifted_edges(nodes.where("kind IN ('ENDPOINT', 'TABLE')"), edges).select("run_id", "source_key", "target_key")
-
-
-def _graph(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges, written once: the search reads them in every round."""
-    return reach.shared_table(t.all_nodes.drop("properties", "label", "fact_ids"), "nodes"), reach.shared_table(t.edges.drop("properties"), "edges")
+    shown = t.nodes.where("run_id = 'R1'").select("run_id", "stable_key", "kind")
+    page = projections.page(shown.where("kind = 'ENDPOINT'"), ["stable_key"], 125).union(projections.page(shown.where("kind = 'TABLE'"), ["stable_key"], 125))
+    return reach.lifted_edges(page, t.edges).select("run_id", "source_key", "target_key")
 
 
 @query()
 def sc1_scenario_members(t: Tables) -> DataFrame:
-    members, _ = reach.scenario_members(*_graph(t))
-    return members.select("run_id", "entry_key", "member_key", "kind", "depth", "position", "confidence")
+    """By the budgets of a run; tests hold it against a plain search, and sc1_one_step against SQL."""
+    return t.members.select("run_id", "entry_key", "member_key", "kind", "depth", "position", "confidence")
 
 
 @query()
 def sc3_scenario_model(t: Tables) -> DataFrame:
-    members, flags = reach.scenario_members(*_graph(t))
-    model = reach.scenario_model(members, flags)
-    return model.select("run_id", "entry_key", F.size("async_boundaries").alias("n_async"), F.size("unresolved").alias("n_unresolved"), F.size("members_by_kind").alias("n_kinds"), "confidence", "truncated")
+    model = reach.scenario_model(t.members, t.scenario_flags)
+    sizes = [F.size(c).alias(f"n_{n}") for c, n in (("async_boundaries", "async"), ("unresolved", "unresolved"), ("members_by_kind", "kinds"))]
+    return model.select("run_id", "entry_key", *sizes, "confidence", "truncated")

@@ -2,81 +2,128 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.operators import graph, projections, runtime
+from factgraph.functions import semantics as S
+from factgraph.operators import graph, projections, reach, runtime
 from factgraph.plans import bridge
 
+#: Tables that are already written, by application, folder and name.
+_written: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def written(make: Callable[["Tables"], DataFrame]) -> property:
+    """A table that is written once for all queries of an application over a folder, as a run's graph is stored once."""
+
+    @wraps(make)
+    def get(t: "Tables") -> DataFrame:
+        key = (t.spark.sparkContext.applicationId, t.sf_dir, make.__name__)
+        if key not in _written:
+            _written[key] = reach.shared_table(make(t), make.__name__)
+        return _written[key]
+
+    return property(get)
+
 
 class Tables:
     """Facts, evidence, nodes, edges, reviews, spans and tasks over the tables of one folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")  # other queries of a session may have set it for long texts
-        self.spark, self.views = spark, bridge.views(spark, sf_dir)
+        self.spark, self.sf_dir, self.views = spark, sf_dir, bridge.views(spark, sf_dir)
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("b_"):
             return self.views[name]
         raise AttributeError(name)
 
-    @cached_property
+    @written
     def facts(self) -> DataFrame:
-        text = lambda c: F.when(F.col(c) != "", F.col(c))
-        condition = F.when(F.col("threshold") != 0, F.struct(F.lit("COMPARISON").alias("type"), F.lit("LESS_THAN").alias("operator"), F.struct(F.lit("LITERAL").alias("type"), F.col("threshold").alias("value")).alias("right")))
+        """Facts as ingestion stores them, with the hashes of their properties."""
+
+        def text(c: str):
+            return F.when(F.col(c) != "", F.col(c))
+
+        right = F.struct(F.lit("LITERAL").alias("type"), F.col("threshold").alias("value"))
+        condition = F.when(F.col("threshold") != 0, F.struct(F.lit("COMPARISON").alias("type"), F.lit("LESS_THAN").alias("operator"), right.alias("right")))
         own = F.struct(
-            text("name").alias("name"), text("owner_key").alias("ownerKey"), text("symbol").alias("symbolSignature"), condition.alias("normalizedCondition"),
-            text("source_key").alias("sourceKey"), text("target_key").alias("targetKey"), text("edge_kind").alias("edgeKind"),
-        )
-        return self.b_fact.select(
-            "run_id", "execution_id", "analyzer", "origin", "confidence", "kind", "stable_key", "fact_id", "line_number", "doc_key",
-            F.to_json(own).alias("properties"), F.array(F.concat_ws("|", "execution_id", "fact_id")).alias("evidence_ids"),
+            text("name").alias("name"),
+            text("owner_key").alias("ownerKey"),
+            text("symbol").alias("symbolSignature"),
+            condition.alias("normalizedCondition"),
+            text("source_key").alias("sourceKey"),
+            text("target_key").alias("targetKey"),
+            text("edge_kind").alias("edgeKind"),
         )
+        keys = ["run_id", "execution_id", "analyzer", "origin", "confidence", "kind", "stable_key", "fact_id", "line_number", "doc_key"]
+        evidence = F.array(F.concat_ws("|", "execution_id", "fact_id")).alias("evidence_ids")
+        return graph.with_prints(self.b_fact.select(*keys, F.to_json(own).alias("properties"), evidence))
 
-    @cached_property
+    @written
     def nodes(self) -> DataFrame:
-        return graph.merge_nodes(self.facts)
+        """Merged nodes with their prints."""
+        kind, p = F.col("kind"), F.col("properties")
+        return graph.merge_nodes(self.facts).withColumn("fingerprint", S.fingerprint(kind, p)).withColumn("structural_fingerprint", S.structural(kind, p))
 
-    @cached_property
+    @property
     def edge_facts(self) -> DataFrame:
         return graph.derive_edges(self.facts)
 
-    @cached_property
+    @written
     def missing(self) -> DataFrame:
         return graph.missing_nodes(self.edge_facts, self.nodes)
 
-    @cached_property
+    @written
     def edges(self) -> DataFrame:
         return graph.merge_edges(self.edge_facts, self.missing)
 
-    @cached_property
+    @property
     def all_nodes(self) -> DataFrame:
         """Resolved and unresolved nodes with label and flags."""
-        known = self.nodes.select("run_id", "stable_key", "kind", "confidence", "evidence_ids", "fact_ids", "properties", F.coalesce(F.get_json_object("properties", "$.name"), F.col("stable_key")).alias("label"), "fact_conflict", F.lit(False).alias("unresolved"))
-        lost = self.missing.select("run_id", "stable_key", "kind", "confidence", "evidence_ids", F.array().cast("array<string>").alias("fact_ids"), F.lit("{}").alias("properties"), F.col("stable_key").alias("label"), F.lit(False).alias("fact_conflict"), F.lit(True).alias("unresolved"))
+        keys = ["run_id", "stable_key", "kind", "confidence", "evidence_ids"]
+        name = F.coalesce(S.prop(F.col("properties"), "name"), F.col("stable_key")).alias("label")
+        known = self.nodes.select(*keys, "fact_ids", "properties", name, "fact_conflict", F.lit(False).alias("unresolved"))
+        none = F.array().cast("array<string>").alias("fact_ids")
+        lost = self.missing.select(*keys, none, F.lit("{}").alias("properties"), F.col("stable_key").alias("label"), F.lit(False).alias("fact_conflict"), F.lit(True).alias("unresolved"))
         return known.unionByName(lost).withColumn("framework_internal", F.lit(False))
 
-    @cached_property
+    @property
     def titled(self) -> DataFrame:
         return projections.latest_enrichment(self.all_nodes, self.b_enrichment)
 
-    @cached_property
+    @property
     def spans(self) -> DataFrame:
         renamed = self.b_span.withColumnRenamed("attr_stable_key", "stable_key").withColumnRenamed("attr_symbol", "symbol")
         return renamed.withColumn("span_hash", runtime.span_hash(["trace_id", "span_id", "parent_span_id", "name", "start_nanos", "stable_key", "symbol"]))
 
-    @cached_property
+    @written
     def judged(self) -> DataFrame:
         # b_span has every event in one run, and the queries' SQL knows no quota
         return runtime.dedup_spans(self.spans, quota=None)
 
-    @cached_property
+    @property
     def span_nodes(self) -> DataFrame:
-        return self.nodes.where("run_id = 'R1'").select("run_id", F.col("stable_key").alias("node_key"), F.array(F.get_json_object("properties", "$.symbolSignature")).alias("symbols"), F.lit(False).alias("unresolved"))
+        symbols = F.array(S.prop(F.col("properties"), "symbolSignature")).alias("symbols")
+        return self.nodes.where("run_id = 'R1'").select("run_id", F.col("stable_key").alias("node_key"), symbols, F.lit(False).alias("unresolved"))
 
-    @cached_property
+    @written
     def matched(self) -> DataFrame:
         return runtime.match_spans(self.judged.where("verdict = 'new'"), self.span_nodes)
+
+    @property
+    def graph(self) -> tuple[DataFrame, DataFrame]:
+        return self.all_nodes.drop("properties", "label", "fact_ids"), self.edges.drop("properties")
+
+    @written
+    def members(self) -> DataFrame:
+        return reach.scenario_members(*self.graph)[0]
+
+    @written
+    def scenario_flags(self) -> DataFrame:
+        return reach.scenario_members(*self.graph)[1]

@@ -8,17 +8,30 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factgraph.operators import validate
+
 MAX_LINE, MAX_FACTS = 1 << 20, 250_000
 
 
 def read_fact_lines(spark: SparkSession, path: str) -> DataFrame:
     """execution, line_number, raw, oversized, invalid_utf8 of every line of newline-delimited files that isn't blank.
 
-    Lines are numbered within their file, by the block that they were read from and their order in it; blank ones count.
+    A line ends at a line feed, not at a lone carriage return.  Lines are numbered within their file, by the block that
+    they were read from and their order in it; blank ones count.  Only the counts of blocks are summed over a file.
     """
-    lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("raw"), F.col("_metadata.file_name").alias("execution"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    numbered = lines.withColumn("line_number", F.row_number().over(Window.partitionBy("execution").orderBy("block", "at")))
-    return numbered.where("trim(raw) <> ''").select("execution", "line_number", "raw", (F.octet_length("raw") > MAX_LINE).alias("oversized"), (~F.is_valid_utf8("raw")).alias("invalid_utf8"))
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.regexp_replace("value", "\r$", "").alias("raw"),
+        F.col("_metadata.file_name").alias("execution"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    blocks = lines.groupBy("execution", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    earlier = Window.partitionBy("execution").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    # within a block, ids follow each other
+    numbered = lines.join(before, ["execution", "block"]).withColumn("line_number", F.col("before") + F.col("at") - F.col("first") + 1)
+    flags = ((F.octet_length("raw") > MAX_LINE).alias("oversized"), (~F.is_valid_utf8("raw")).alias("invalid_utf8"))
+    return numbered.where("trim(raw) <> ''").select("execution", "line_number", "raw", *flags)
 
 
 def bound_facts(lines: DataFrame, most: int = MAX_FACTS) -> tuple[DataFrame, DataFrame]:
@@ -33,19 +46,39 @@ def read_analyzer_output(spark: SparkSession, path: str, schema: str) -> tuple[D
     return rows.where("_corrupt_record IS NULL").drop("_corrupt_record"), rows.where("_corrupt_record IS NOT NULL").select("_corrupt_record")
 
 
-def read_otlp(spark: SparkSession, path: str) -> DataFrame:
-    """One row of each span of OTLP JSON payloads, with the attributes of its resource and scope as JSON."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("upload"), F.col("value").alias("payload")).where(F.octet_length("payload") <= MAX_LINE)
-    schema = "array<struct<resource:struct<attributes:variant>,scopeSpans:array<struct<scope:struct<name:string,version:string,attributes:variant>,schemaUrl:string,spans:array<struct<traceId:string,spanId:string,parentSpanId:string,name:string,kind:string,startTimeUnixNano:string,endTimeUnixNano:string,attributes:variant,status:struct<code:string,message:string>,events:array<variant>,links:array<variant>>>>>>>"
-    r = raw.select("upload", F.explode(F.from_json("payload", f"resourceSpans {schema}")["resourceSpans"]).alias("r"))
+OTLP = """resourceSpans array<struct<resource:struct<attributes:variant>,scopeSpans:array<struct<
+scope:struct<name:string,version:string,attributes:variant>,schemaUrl:string,spans:array<struct<traceId:string,spanId:string,
+parentSpanId:string,name:string,kind:string,startTimeUnixNano:string,endTimeUnixNano:string,attributes:variant,
+status:struct<code:string,message:string>,events:array<variant>,links:array<variant>>>>>>>"""
+#: Resources and scopes of a payload, and spans, at most.
+MAX_RESOURCES, MAX_SPANS = 100, 500
+
+
+def parse_otlp(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """upload, payload -> one row of each span with its resource's and scope's attributes as JSON, and the payloads that
+    are refused as a whole, with the reason: too large, no strict JSON, no spans, or more than the bounds."""
+    size = F.octet_length("payload")
+    p = payloads.withColumn("reason", F.when(F.col("payload").isNull() | (size == 0), "EMPTY_PAYLOAD").when(size > MAX_LINE, "PAYLOAD_TOO_LARGE"))
+    p = p.withColumn("reason", F.coalesce("reason", validate.strict_json(F.when(F.col("reason").isNull(), F.col("payload")).otherwise("{}"))))
+    p = p.withColumn("r", F.when(F.col("reason").isNull(), F.from_json("payload", OTLP)["resourceSpans"]))
+    scopes = F.flatten(F.transform("r", lambda r: F.coalesce(r["scopeSpans"], F.array())))
+    spans = F.aggregate(scopes, F.lit(0), lambda n, s: n + F.coalesce(F.size(s["spans"]), F.lit(0)))
+    bound = F.when(F.col("r").isNull(), "NO_RESOURCE_SPANS").when((F.size("r") > MAX_RESOURCES) | (F.size(scopes) > MAX_RESOURCES), "TOO_MANY_SCOPES").when(spans > MAX_SPANS, "TOO_MANY_SPANS")
+    p = p.withColumn("reason", F.coalesce("reason", bound))
+    refused = p.where("reason IS NOT NULL").select("upload", "reason", F.substring("payload", 1, 4096).alias("payload"))
+    r = p.where("reason IS NULL").select("upload", F.explode("r").alias("r"))
     s = r.select("upload", F.to_json("r.resource.attributes").alias("resource_attributes"), F.explode("r.scopeSpans").alias("s"))
-    x = s.select("upload", "resource_attributes", F.col("s.scope.name").alias("scope_name"), F.col("s.scope.version").alias("scope_version"), F.to_json("s.scope.attributes").alias("scope_attributes"), F.col("s.schemaUrl").alias("schema_url"), F.explode("s.spans").alias("x"))
-    return x.select(
-        "upload", "resource_attributes", "scope_name", "scope_version", "scope_attributes", "schema_url",
-        F.col("x.traceId").alias("trace_id"), F.col("x.spanId").alias("span_id"), F.col("x.parentSpanId").alias("parent_span_id"), F.col("x.name").alias("name"), F.col("x.kind").alias("kind"),
-        F.col("x.status.code").alias("status"), F.col("x.startTimeUnixNano").alias("start_nanos"), F.col("x.endTimeUnixNano").alias("end_nanos"), F.to_json("x.attributes").alias("attributes"),
-        F.coalesce(F.size("x.events"), F.lit(0)).alias("n_events"), F.coalesce(F.size("x.links"), F.lit(0)).alias("n_links"),
-    )
+    scope = (F.col("s.scope.name").alias("scope_name"), F.col("s.scope.version").alias("scope_version"), F.to_json("s.scope.attributes").alias("scope_attributes"), F.col("s.schemaUrl").alias("schema_url"))
+    x = s.select("upload", "resource_attributes", *scope, F.explode("s.spans").alias("x"))
+    named = {"traceId": "trace_id", "spanId": "span_id", "parentSpanId": "parent_span_id", "name": "name", "kind": "kind", "status.code": "status", "startTimeUnixNano": "start_nanos", "endTimeUnixNano": "end_nanos"}
+    counts = [F.coalesce(F.size(f"x.{c}"), F.lit(0)).alias(f"n_{c}") for c in ("events", "links")]
+    return x.select(*x.columns[:-1], *[F.col(f"x.{a}").alias(b) for a, b in named.items()], F.to_json("x.attributes").alias("attributes"), *counts), refused
+
+
+def read_otlp(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """parse_otlp() of files, one payload each."""
+    raw = spark.read.text(path, wholetext=True)
+    return parse_otlp(raw.select(F.col("_metadata.file_name").alias("upload"), F.col("value").alias("payload")))
 
 
 def append_new(rows: DataFrame, path: str, keys: list[str]) -> None:

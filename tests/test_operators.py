@@ -30,6 +30,11 @@ def test_confidence(spark):
     assert [round(x.c, 2) for x in df.collect()] == [0.65, 0.30, 0.45]
 
 
+def test_texts_are_no_booleans(spark):
+    df = spark.createDataFrame([('{"a": true}',), ('{"a": "true"}',), ('{"b": 1}',), ("no json",)], "p string")
+    assert [r[0] for r in df.select(S.is_true(F.col("p"), "a")).collect()] == [True, False, False, False]
+
+
 def test_hash_ignores_key_order_and_presentation(spark):
     rows = [('{"a": 1, "b": {"y": 1, "x": 2}, "name": "n"}', '{"b": {"x": 2, "y": 1}, "a": 1, "name": "m"}')]
     r = spark.createDataFrame(rows, "p string, q string").select((S.fingerprint(F.lit("K"), F.col("p")) == S.fingerprint(F.lit("K"), F.col("q"))).alias("same"), (S.content_hash(F.col("p")) == S.content_hash(F.col("q"))).alias("all")).first()
@@ -97,14 +102,14 @@ def test_scenarios_match_the_search(spark):
 
 
 def test_evidence_reasons(spark):
-    corpus_ = spark.createDataFrame([("a.txt", "one\r\ntwo\nthree")], "file_path string, text string")
+    corpus_ = spark.createDataFrame([("a.txt", "one\r\ntwo\nthree"), ("big.txt", "x\n" + "y" * 70_000 + "\nz")], "file_path string, text string")
     import hashlib
 
     ok = hashlib.sha256(b"one\ntwo").hexdigest()
-    rows = [("a.txt", 1, 2, 1, 4, "sha256:" + ok), ("a.txt", 1, 2, 1, 4, "sha256:00"), ("../a.txt", 1, 1, 1, 1, ""), ("b.txt", 1, 1, 1, 1, ""), ("a.txt", 2, 1, 1, 1, ""), ("a.txt", 1, 9, 1, 1, ""), ("a.txt", 1, 1, 1, 9, "")]
+    rows = [("a.txt", 1, 2, 1, 4, "sha256:" + ok), ("a.txt", 1, 2, 1, 4, ok), ("big.txt", 1, 1, 1, 1, ""), ("big.txt", 3, 3, 1, 1, ""), ("a.txt", 1, 2, 1, 4, "sha256:00"), ("../a.txt", 1, 1, 1, 1, ""), ("b.txt", 1, 1, 1, 1, ""), ("a.txt", 2, 1, 1, 1, ""), ("a.txt", 1, 9, 1, 1, ""), ("a.txt", 1, 1, 1, 9, "")]
     e = spark.createDataFrame(rows, "file_path string, start_line int, end_line int, start_column int, end_column int, snippet_hash string")
     got = sorted(str(r.reason) for r in validate.check_evidence(e, corpus_).collect())
-    assert got == sorted(["None", "SNIPPET_HASH_MISMATCH", "PATH_ESCAPE", "SOURCE_NOT_REGULAR_FILE", "INVALID_RANGE", "INVALID_RANGE", "INVALID_COLUMN_RANGE"])
+    assert got == sorted(["None", "SNIPPET_HASH_MISMATCH", "SNIPPET_HASH_MISMATCH", "SNIPPET_HASH_MISMATCH", "SOURCE_ENCODING_OR_LINE_LIMIT", "PATH_ESCAPE", "SOURCE_NOT_REGULAR_FILE", "INVALID_RANGE", "INVALID_RANGE", "INVALID_COLUMN_RANGE"])
 
 
 def test_span_quota(spark):
