@@ -118,7 +118,7 @@ def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
 def default_baseline(runs: DataFrame) -> DataFrame:
     """run_id, project_id, created_at, completed -> each run with the latest completed one before it."""
     w = Window.partitionBy("project_id").orderBy("created_at").rangeBetween(Window.unboundedPreceding, -1)
-    at = runs.withColumn("created_at", F.unix_micros("created_at"))
+    at = runs.withColumn("created_at", F.unix_micros(F.col("created_at").cast("timestamp")))
     return at.select("run_id", "project_id", F.max(F.when(F.col("completed"), F.struct("created_at", "run_id"))).over(w)["run_id"].alias("baseline_id"))
 
 

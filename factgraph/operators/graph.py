@@ -50,7 +50,7 @@ def merge_provenance(facts: DataFrame) -> DataFrame:
     p = F.collect_set(F.struct(F.sha2(F.to_json("provenance"), 256).alias("hash"), "provenance"))
     out = facts.groupBy(*RUN_KEY).agg(F.array_sort(p).alias("p")).withColumn("provenance", F.transform("p", lambda x: x["provenance"])).drop("p")
     for name, c in (("analyzers", "analyzer"), ("origins", "origin"), ("component_paths", "component_path")):
-        out = out.withColumn(name, F.array_sort(F.array_distinct(F.transform("provenance", lambda x, c=c: x[c]))))
+        out = out.withColumn(name, F.array_sort(F.array_distinct(F.col(f"provenance.{c}"))))
     return out.withColumn("frameworks", F.array_sort(F.array_distinct(F.flatten(F.transform("provenance", lambda x: x["frameworks"])))))
 
 

@@ -109,6 +109,26 @@ def induced_edges(edges: DataFrame, chosen: DataFrame, limit: int = 2000) -> Dat
     return out.orderBy("run_id", "source_key", "target_key", "kind").limit(limit)
 
 
+def layer_rank(path: Column, kind: Column) -> Column:
+    """Where a step stands between the caller and the data, by its file's path and its kind: entry, checks, services,
+    data access, all else."""
+    path = F.lower(F.coalesce(path, F.lit("")))
+    return (
+        F.when(path.rlike(r"controller|resource|handler|/api/") | kind.isin(*V.ENTRY_KINDS), 0)
+        .when(path.rlike(r"validat|guard|security|filter") | kind.isin("VALIDATION_RULE", "AUTHORIZATION_RULE", "SECURITY_RULE"), 1)
+        .when(path.rlike(r"service|usecase|facade"), 2)
+        .when(path.rlike(r"repository|dao|mapper|persistence") | kind.isin("DATABASE_READ", "DATABASE_WRITE"), 3)
+        .otherwise(4)
+    )
+
+
+def call_line(steps: DataFrame, calls: DataFrame) -> DataFrame:
+    """steps (scenario_key, stable_key, ...) with call_line, the first line of the scenario that calls each.
+    calls: scenario_key, target_key, start_line."""
+    first = calls.groupBy("scenario_key", F.col("target_key").alias("stable_key")).agg(F.min("start_line").alias("call_line"))
+    return steps.drop("call_line").join(first, ["scenario_key", "stable_key"], "left")
+
+
 def pipeline_spine(steps: DataFrame) -> DataFrame:
     """scenario_key, stable_key, layer_rank, call_line, file_path, start_line -> FLOWS_TO edges between steps in order."""
     w = Window.partitionBy("scenario_key").orderBy("layer_rank", F.col("call_line").asc_nulls_last(), "file_path", "start_line", "stable_key")
@@ -147,16 +167,29 @@ def controllers_rollup(endpoints: DataFrame, members: DataFrame, enrichments: Da
     told = latest(enrichments, "title")
     out = endpoints.join(steps, KEY, "left").join(told, KEY, "left").na.fill(0, ["steps", "side_effects", "unresolved"])
     story = F.when(F.col("title").isNotNull(), "READY").when(F.col("steps") > 0, "STATIC_READY").otherwise("DISCOVERED")
-    one = F.struct("stable_key", "steps", "side_effects", "unresolved", story.alias("story"))
+    method = F.upper("method") if "method" in endpoints.columns else F.lit(None).cast("string")
+    one = F.struct("stable_key", method.alias("method"), "steps", "side_effects", "unresolved", story.alias("story"))
     return out.groupBy("run_id", "owner_key").agg(F.count("*").alias("endpoints"), F.sum("steps").alias("steps"), F.sum("side_effects").alias("side_effects"), F.count_if(story == "READY").alias("ready"), F.count_if(story == "STATIC_READY").alias("static_ready"), F.array_sort(F.collect_set(one)).alias("endpoint_list"))
 
 
-def node_detail(nodes: DataFrame, facts: DataFrame, reviews: DataFrame, facts_most: int = 100, reviews_most: int = 50) -> DataFrame:
-    """Each node with its first facts and latest reviews as arrays."""
+def node_detail(nodes: DataFrame, facts: DataFrame, reviews: DataFrame, rules: DataFrame, members: DataFrame, enrichments: DataFrame, facts_most: int = 100, reviews_most: int = 50) -> DataFrame:
+    """Each node with its first facts, latest reviews, rules, the scenarios it is in, its own members by depth, and its
+    latest title and description.
+
+    rules: run_id, stable_key, rule_kind, condition; members: run_id, entry_key, member_key, depth.
+    """
     by = Window.partitionBy(*KEY)
-    f = facts.withColumn("place", F.row_number().over(by.orderBy("fact_id", "execution_id"))).where(F.col("place") <= facts_most).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("fact_id", "execution_id", "kind"))).alias("facts"))
-    r = reviews.withColumn("place", F.row_number().over(by.orderBy(F.desc("seq"), F.desc("decision")))).where(F.col("place") <= reviews_most).groupBy(*KEY).agg(F.reverse(F.array_sort(F.collect_list(F.struct("seq", "decision")))).alias("reviews"))
-    return nodes.join(f, KEY, "left").join(r, KEY, "left")
+    f = facts.withColumn("place", F.row_number().over(by.orderBy("fact_id", "execution_id"))).where(F.col("place") <= facts_most)
+    f = f.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("fact_id", "execution_id", "kind"))).alias("facts"))
+    r = reviews.withColumn("place", F.row_number().over(by.orderBy(F.desc("seq"), F.desc("decision")))).where(F.col("place") <= reviews_most)
+    r = r.groupBy(*KEY).agg(F.reverse(F.array_sort(F.collect_list(F.struct("seq", "decision")))).alias("reviews"))
+    a = rules.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("rule_kind", "condition"))).alias("rules"))
+    of = members.groupBy("run_id", F.col("entry_key").alias("stable_key")).agg(F.array_sort(F.collect_list(F.struct("depth", "member_key"))).alias("members"))
+    within = members.groupBy("run_id", F.col("member_key").alias("stable_key")).agg(F.array_sort(F.collect_set("entry_key")).alias("scenarios"))
+    out = nodes
+    for part in (f, r, a, of, within, latest(enrichments, "title", "description")):
+        out = out.join(part, KEY, "left")
+    return out
 
 
 def evidence_of(subjects: DataFrame, evidence: DataFrame, most: int = 200) -> DataFrame:
@@ -180,6 +213,23 @@ def page(rows: DataFrame, order: list, limit: int = 100, offset: int = 0, most:
     return rows.orderBy(*order).offset(max(0, offset)).limit(min(most, max(1, limit)))
 
 
+def quarantine_page(quarantine: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
+    return page(quarantine, ["execution_id", "line_number"], limit, offset)
+
+
+def unresolved_page(nodes: DataFrame, run_id: str, limit: int = 100, offset: int = 0) -> DataFrame:
+    return page(nodes.where((F.col("run_id") == run_id) & F.col("unresolved")), ["stable_key"], limit, offset)
+
+
+def fact_page(facts: DataFrame, run_id: str, limit: int = 100, offset: int = 0) -> DataFrame:
+    return page(facts.where(F.col("run_id") == run_id), ["kind", "stable_key", "fact_id", "execution_id"], limit, offset)
+
+
+def list_runs(runs: DataFrame) -> DataFrame:
+    """The newest 200 runs."""
+    return page(runs, [F.desc("created_at"), F.desc("run_id")], 200)
+
+
 def review_queue(nodes: DataFrame, reviews: DataFrame, limit: int = 200) -> DataFrame:
     """Rules and scenarios that await a decision, the least sure first."""
     kinds = F.col("kind").isin(*V.RULE_KINDS, "BUSINESS_SCENARIO")
@@ -240,7 +290,9 @@ def rank_insights(nodes: DataFrame, terms: list[str]) -> DataFrame:
     return nodes.where(hits > 0).withColumn("score", score).withColumn("trust", trust).orderBy(F.desc("score"), "run_id", "stable_key")
 
 
-def endpoint_catalog(rollup: DataFrame, text: str = "", ready_only: bool = False) -> DataFrame:
+def endpoint_catalog(rollup: DataFrame, text: str = "", ready_only: bool = False, method: str | None = None) -> DataFrame:
+    """The endpoints of controllers_rollup() one by one, by text, story and HTTP method."""
     out = rollup.select("run_id", "owner_key", F.explode("endpoint_list").alias("e")).select("run_id", "owner_key", "e.*")
     out = out.where("story = 'READY'") if ready_only else out
+    out = out.where(F.col("method") == method.upper()) if method else out
     return out.where(S.contains_ci(F.col("owner_key"), F.col("stable_key"), text)) if text else out

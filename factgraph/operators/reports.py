@@ -45,25 +45,48 @@ def coverage_counts(files: DataFrame, capabilities: DataFrame) -> tuple[DataFram
     return counts, by.withColumn("status", status).drop("bad", "good")
 
 
-def ready_tasks(tasks: DataFrame, dependencies: DataFrame, active_runs: DataFrame | None = None) -> DataFrame:
-    """Pending tasks that no unfinished dependency holds up; a failed one does not where the task accepts that.
+def ready_tasks(tasks: DataFrame, dependencies: DataFrame, active_runs: DataFrame | None = None, now: Column | None = None) -> DataFrame:
+    """Pending tasks that are due, have attempts left, and that no unfinished dependency holds up; a failed one does not
+    where the task accepts that.  In the order in which they would be taken.
 
-    tasks: task_id, run_id, status, accept_failed, created_at; dependencies: task_id, depends_on.
+    tasks: task_id, run_id, status, accept_failed, created_at, and where they are kept, priority, available_at, attempt
+    and max_attempts; dependencies: task_id, depends_on.
     """
     pending = tasks.where("status = 'PENDING'")
+    if "available_at" in tasks.columns:
+        pending = pending.where(F.col("available_at") <= (F.current_timestamp() if now is None else now))
+    if "attempt" in tasks.columns:
+        pending = pending.where("attempt < max_attempts")
     if active_runs is not None:
         pending = pending.join(active_runs.select("run_id"), "run_id", "left_semi")
     state = tasks.select(F.col("task_id").alias("depends_on"), F.col("status").alias("other"))
     held = pending.select("task_id", "accept_failed").join(dependencies.where("depends_on IS NOT NULL"), "task_id").join(state, "depends_on")
-    blocking = held.where("other <> 'SUCCEEDED' AND NOT (accept_failed AND other = 'FAILED_PERMANENTLY')")
-    return pending.join(blocking.select("task_id"), "task_id", "left_anti").orderBy("created_at", "task_id")
+    blocking = held.where("other IN ('PENDING', 'RUNNING') OR (NOT accept_failed AND other <> 'SUCCEEDED')")
+    order = [c for c in ("priority", "available_at", "created_at", "task_id") if c in tasks.columns]
+    return pending.join(blocking.select("task_id"), "task_id", "left_anti").orderBy(*order)
 
 
-def last_hour_metrics(tasks: DataFrame, now: Column) -> DataFrame:
-    """Counts of all tasks, and figures of those of the last hour; a mean of nothing stays null."""
-    recent = (F.col("created_at") > now - F.expr("INTERVAL 1 HOUR")) & (F.col("created_at") <= now)
-    done = recent & (F.col("status") == "SUCCEEDED")
-    return tasks.agg(F.count_if(F.col("status") == "PENDING").alias("pending"), F.count_if(F.col("status") == "RUNNING").alias("running"), F.count_if(recent & (F.col("status") == "FAILED_PERMANENTLY")).alias("failed_last_hour"), F.count_if(done).alias("done_last_hour"), F.round(F.avg(F.when(done, F.col("seconds"))), 4).alias("mean_seconds"))
+def last_hour_metrics(tasks: DataFrame, now: Column, calls: DataFrame | None = None) -> DataFrame:
+    """One row: tasks pending and running, analyzer seconds and failures of the last hour, and tokens, cost and latency
+    of the model calls of the last hour; what nothing counts for stays null.
+
+    tasks: status, task_type, created_at, finished_at, seconds; calls: created_at, input_tokens, output_tokens, cost,
+    latency_ms.
+    """
+
+    def recent(c: str) -> Column:
+        return (F.col(c) > now - F.expr("INTERVAL 1 HOUR")) & (F.col(c) <= now)
+
+    run = recent("finished_at") & (F.col("task_type") == "RUN_ANALYZER")
+    out = tasks.agg(
+        F.count_if(F.col("status") == "PENDING").alias("pending"), F.count_if(F.col("status") == "RUNNING").alias("running"),
+        F.avg(F.when(run, F.col("seconds"))).alias("analyzer_seconds"), F.count_if(run & (F.col("status") == "FAILED_PERMANENTLY")).alias("analyzer_failed"),
+    )
+    if calls is None:
+        return out
+    own = calls.where(recent("created_at"))
+    sums = own.agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("cost").alias("cost"), F.avg("latency_ms").alias("latency"))
+    return out.crossJoin(F.broadcast(sums))  # one row each, by their aggregates
 
 
 def org_quota(runs: DataFrame, now: Column, active_most: int, hourly_most: int) -> DataFrame:
@@ -71,12 +94,26 @@ def org_quota(runs: DataFrame, now: Column, active_most: int, hourly_most: int)
     return counts.withColumn("admitted", (F.col("active") < active_most) & (F.col("last_hour") < hourly_most))
 
 
-def expire_sources(evidence: DataFrame, runs: DataFrame, policy: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """Evidence whose run has outlived its organization's retention loses its text, not its hash; with an audit row each."""
-    old = runs.where("finished_at IS NOT NULL").join(policy, "org_id").where(F.col("finished_at") < now - F.make_dt_interval(F.col("retention_days"))).select("run_id", "org_id")
-    out = evidence.join(old.select("run_id", F.lit(True).alias("expired")), "run_id", "left").withColumn("expired", F.coalesce("expired", F.lit(False)))
-    out = out.withColumn("snippet", F.when(~F.col("expired"), F.col("snippet"))).withColumn("source_available", F.col("source_available") & ~F.col("expired")).drop("expired")
-    return out, old.select("org_id", "run_id", F.lit("SOURCE_EXPIRED").alias("action"))
+TERMINAL = ("SUCCEEDED", "PARTIALLY_SUCCEEDED", "FAILED", "CANCELLED")
+
+
+def expire_sources(evidence: DataFrame, quarantine: DataFrame, runs: DataFrame, policy: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Evidence and quarantined lines of ended runs that have outlived their organization's retention lose their text,
+    not their hashes; with an audit row for each such run.
+
+    runs: run_id, org_id, status, finished_at; policy: org_id, retention_days.
+    """
+    ended = runs.where(F.col("status").isin(*TERMINAL)).join(policy, "org_id")
+    old = ended.where(F.col("finished_at") < now - F.make_dt_interval(F.col("retention_days"))).select("run_id", "org_id")
+    mark = old.select("run_id", F.lit(True).alias("expired"))
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.join(mark, "run_id", "left").withColumn("expired", F.coalesce("expired", F.lit(False)))
+
+    out = marked(evidence).withColumn("snippet", F.when(F.col("expired"), "").otherwise(F.col("snippet")))
+    out = out.withColumn("source_available", F.col("source_available") & ~F.col("expired")).drop("expired")
+    lines = marked(quarantine).withColumn("raw", F.when(F.col("expired"), "").otherwise(F.col("raw"))).drop("expired")
+    return out, lines, old.select("org_id", "run_id", F.lit("SOURCE_EXPIRED").alias("action"))
 
 
 def audit_page(events: DataFrame, org_id: str, limit: int = 100) -> DataFrame:

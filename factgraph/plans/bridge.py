@@ -103,6 +103,16 @@ b_step AS (
     CAST(l_quantity AS INTEGER) * 10 + l_linenumber AS start_line, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(l_extendedprice AS BIGINT) END AS call_line, l_linenumber AS place, l_suppkey AS k
   FROM lineitem
 ),
+b_repo AS (
+  SELECT p_partkey AS k, CAST(p_partkey % 12 AS INTEGER) AS what, CASE WHEN p_partkey % 12 IN (0, 2, 3, 4, 8, 10) THEN 'c' || p_partkey ELSE 'c' || (p_partkey - p_partkey % 12) END AS component,
+    CASE p_partkey % 12 WHEN 0 THEN 'c' || p_partkey || '/pom.xml' WHEN 2 THEN 'c' || p_partkey || '/package.json' WHEN 3 THEN 'c' || p_partkey || '/package.json' WHEN 4 THEN 'c' || p_partkey || '/build.gradle'
+      WHEN 8 THEN 'c' || p_partkey || '/go.mod' WHEN 10 THEN 'c' || p_partkey || '/Cargo.toml' ELSE 'c' || (p_partkey - p_partkey % 12) || '/src/' || CASE p_partkey % 12 WHEN 1 THEN 'A' || p_partkey || '.java' WHEN 5 THEN 'f.py'
+      WHEN 6 THEN 'migration/V1__x.sql' WHEN 7 THEN 'run' WHEN 9 THEN 'readme.md' ELSE 'x.ts' END END AS path,
+    CASE p_partkey % 12 WHEN 0 THEN '<project><dependency><groupId>org.postgresql</groupId><artifactId>postgresql</artifactId></dependency></project>' WHEN 1 THEN 'import org.springframework.web.' || p_name
+      WHEN 2 THEN '{"dependencies":{"react":"1","' || p_name || '":"2"},"devDependencies":{"vite":"3"}}' WHEN 3 THEN '{"dependencies":[' || p_partkey || ']' WHEN 4 THEN 'implementation "org.flywaydb:core:' || p_partkey || '"'
+      WHEN 5 THEN 'from Django import x' || p_partkey WHEN 7 THEN '#!/usr/bin/env python3' || chr(10) || p_name WHEN 8 THEN 'require gorm.io/gorm v' || p_partkey ELSE 'text ' || p_partkey || ' ' || p_name END AS text
+  FROM part
+),
 b_source AS (
   SELECT doc_id, 'docs/' || source || '/' || doc_id || '.txt' AS file_path, text, {lines} AS lines FROM documents
 ),

@@ -316,17 +316,30 @@ def rt9_span_page(t: Tables) -> DataFrame:
     return runtime.span_page(t.spans.where("upload = 1"), 50, 10).select("trace_id", "span_id", F.col("place").cast("long").alias("place"))
 
 
-@query("""SELECT t.task_id FROM b_task t WHERE status = 'PENDING' AND NOT EXISTS (SELECT 1 FROM b_task d WHERE d.task_id = t.depends_on AND d.status <> 'SUCCEEDED' AND NOT (t.accept_failed AND d.status = 'FAILED_PERMANENTLY'))""")
+@query("""SELECT t.task_id FROM b_task t, (SELECT max(created_at) AS m FROM b_task) WHERE status = 'PENDING' AND created_at + INTERVAL 1 DAY <= m AND task_id % 5 < 3 AND run_id <> 'R3'
+AND NOT EXISTS (SELECT 1 FROM b_task d WHERE d.task_id = t.depends_on AND (d.status IN ('PENDING', 'RUNNING') OR NOT t.accept_failed AND d.status <> 'SUCCEEDED'))""")
 def ops6_ready_tasks(t: Tables) -> DataFrame:
-    return reports.ready_tasks(t.b_task, t.b_task.select("task_id", "depends_on")).select("task_id")
-
-
-@query("""SELECT count(*) FILTER (WHERE status = 'PENDING') AS pending, count(*) FILTER (WHERE status = 'RUNNING') AS running,
-count(*) FILTER (WHERE status = 'FAILED_PERMANENTLY' AND created_at > m - INTERVAL 1 HOUR) AS failed_last_hour, count(*) FILTER (WHERE status = 'SUCCEEDED' AND created_at > m - INTERVAL 1 HOUR) AS done_last_hour FROM b_task, (SELECT max(created_at) AS m FROM b_task)""")
+    """Tasks are due a day after they were made, have three attempts, and run R3 has ended."""
+    at = t.b_task.agg(F.max("created_at").alias("now"))  # one row, by its aggregate
+    more = {"available_at": F.col("created_at") + F.expr("INTERVAL 1 DAY"), "attempt": F.col("task_id") % 5, "max_attempts": F.lit(3)}
+    tasks = t.b_task.withColumns(more).join(F.broadcast(at))
+    active = t.b_task.where("run_id <> 'R3'").select("run_id").distinct()
+    return reports.ready_tasks(tasks, t.b_task.select("task_id", "depends_on"), active, F.col("now")).select("task_id")
+
+
+@query("""WITH m AS (SELECT max(created_at) AS m FROM b_task), c AS (SELECT created_at, task_id % 1000 AS i, task_id % 300 AS o, (task_id % 50) * 0.25 AS cost, task_id % 7 AS l FROM b_task WHERE status = 'RUNNING')
+SELECT count(*) FILTER (WHERE status = 'PENDING') AS pending, count(*) FILTER (WHERE status = 'RUNNING') AS running,
+  round(avg(seconds) FILTER (WHERE created_at > m - INTERVAL 1 HOUR AND task_id % 2 = 0), 6) AS analyzer_seconds, count(*) FILTER (WHERE status = 'FAILED_PERMANENTLY' AND created_at > m - INTERVAL 1 HOUR AND task_id % 2 = 0) AS analyzer_failed,
+  (SELECT CAST(sum(i) AS BIGINT) FROM c, m WHERE created_at > m - INTERVAL 1 HOUR) AS input_tokens, (SELECT CAST(sum(o) AS BIGINT) FROM c, m WHERE created_at > m - INTERVAL 1 HOUR) AS output_tokens,
+  (SELECT CAST(sum(cost) AS DOUBLE) FROM c, m WHERE created_at > m - INTERVAL 1 HOUR) AS cost, (SELECT round(avg(l), 6) FROM c, m WHERE created_at > m - INTERVAL 1 HOUR) AS latency FROM b_task, m""")
 def ops7_last_hour_metrics(t: Tables) -> DataFrame:
-    now = t.b_task.agg(F.max("created_at").alias("now"))
-    # one row, by its aggregate
-    return reports.last_hour_metrics(t.b_task.join(F.broadcast(now), how="inner"), F.col("now")).drop("mean_seconds")
+    """Even tasks ran an analyzer; running ones stand for calls of a model."""
+    at = t.b_task.agg(F.max("created_at").alias("now"))  # one row, by its aggregate
+    tasks = t.b_task.withColumns({"finished_at": F.col("created_at"), "task_type": F.when(F.col("task_id") % 2 == 0, "RUN_ANALYZER").otherwise("OTHER")})
+    i = F.col("task_id")
+    calls = t.b_task.where("status = 'RUNNING'").select("created_at", (i % 1000).alias("input_tokens"), (i % 300).alias("output_tokens"), (i % 50 * 0.25).alias("cost"), (i % 7).alias("latency_ms"))
+    out = reports.last_hour_metrics(tasks.join(F.broadcast(at)), F.col("now"), calls.join(F.broadcast(at)))
+    return out.withColumns({c: F.round(c, 6) for c in ("analyzer_seconds", "latency")})
 
 
 @query("SELECT split_part(path, '/', 1) AS area, count(*) AS files, sum(octet_length(encode(text))) AS bytes FROM b_file GROUP BY 1")
