@@ -22,7 +22,7 @@ def dedup_spans(spans: DataFrame, stored: DataFrame | None = None, quota: int |
     """spans with verdict: `new` (one of each key), `duplicate` (same hash), `conflict` (another hash), `over_quota`.
 
     The first of a key by upload, then hash, is the one that others are held against; a stored one comes before all.
-    stored: run_id, trace_id, span_id, span_hash.  Without a quota, no span is over it.
+    stored: run_id, trace_id, span_id, span_hash, which count against a run's quota.  Without a quota, no span is over it.
     """
     first = spans.groupBy(*SPAN_KEY).agg(F.min(F.struct("upload", "span_hash")).alias("first"))
     out = spans.join(first, SPAN_KEY)
@@ -37,17 +37,23 @@ def dedup_spans(spans: DataFrame, stored: DataFrame | None = None, quota: int |
     out = out.withColumn("verdict", verdict).drop("first", "stored_hash", "turn")
     if quota is None:
         return out
-    # the quota counts keys; only runs that exceed it are dealt into ranges, and only the range with the cut is ranked
-    full = out.where("verdict = 'new'").groupBy("run_id").agg(F.count("*").alias("n")).where(F.col("n") > quota).select("run_id")
+    # the quota counts keys, stored ones first; only runs that exceed it are dealt into ranges, and only the range with
+    # the cut is ranked
+    n_new = out.where("verdict = 'new'").groupBy("run_id").agg(F.count("*").alias("n"))
+    used = F.lit(0).cast("long")
+    if stored is not None:
+        n_new = n_new.join(stored.groupBy("run_id").agg(F.count("*").alias("used")), "run_id", "left")
+        used = F.coalesce("used", used)
+    full = n_new.select("run_id", "n", F.greatest(F.lit(quota) - used, F.lit(0)).alias("room")).where(F.col("n") > F.col("room")).select("run_id", "room")
     new = out.where("verdict = 'new'").join(full, "run_id", "left_semi").select("run_id", "upload", "trace_id", "span_id")
     ranges = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = shared_table(new.repartitionByRange(ranges, "run_id", "upload", "trace_id", "span_id").withColumn("range", F.spark_partition_id()), "span-ranges")
     earlier = Window.partitionBy("run_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("run_id", "range").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    placed = dealt.join(counts, ["run_id", "range"])
-    behind = placed.where(F.col("before") >= quota).select(*SPAN_KEY)
-    cut = placed.where((F.col("before") < quota) & (F.col("before") + F.col("n") > quota))
-    cut = cut.withColumn("place", F.row_number().over(Window.partitionBy("run_id", "range").orderBy("upload", "trace_id", "span_id"))).where(F.col("before") + F.col("place") > quota).select(*SPAN_KEY)
+    placed = dealt.join(counts, ["run_id", "range"]).join(full, "run_id")
+    behind = placed.where(F.col("before") >= F.col("room")).select(*SPAN_KEY)
+    cut = placed.where((F.col("before") < F.col("room")) & (F.col("before") + F.col("n") > F.col("room")))
+    cut = cut.withColumn("place", F.row_number().over(Window.partitionBy("run_id", "range").orderBy("upload", "trace_id", "span_id"))).where(F.col("before") + F.col("place") > F.col("room")).select(*SPAN_KEY)
     out = out.join(behind.union(cut).withColumn("over", F.lit(True)), SPAN_KEY, "left")
     return out.withColumn("verdict", F.when((F.col("verdict") == "new") & F.coalesce("over", F.lit(False)), "over_quota").otherwise(F.col("verdict"))).drop("over")
 

@@ -28,35 +28,37 @@ def first_reason(*tests: tuple[Column, str]) -> Column:
 
 
 def check_fact_schema(lines: DataFrame) -> DataFrame:
-    """Raw lines -> parsed `fact` and reason: JSON, required keys and their types, no unknown keys, relation ends."""
-    v = F.try_parse_json("raw")
-    keys = F.json_object_keys("raw")
-
-    def text(key: str) -> Column:
-        return F.try_variant_get(v, f"$.{key}", "string")
-
-    relation = F.get_json_object("raw", "$.kind") == "RELATION"
-    ends = [F.get_json_object("raw", f"$.properties.{k}") for k in ("sourceKey", "targetKey", "edgeKind")]
-    evidence = F.from_json("raw", FACT_SCHEMA)["evidence"]
-    bad_evidence = F.exists(evidence, lambda e: e["filePath"].isNull() | (e["filePath"] == "") | e["startLine"].isNull() | e["endLine"].isNull() | e["snippetHash"].isNull() | ~e["snippetHash"].rlike("^sha256:[0-9a-f]{64}$"))
-    out = lines.withColumn(
-        "reason",
-        first_reason(
-            (F.col("oversized"), "LINE_TOO_LARGE"),
-            (F.col("invalid_utf8"), "INVALID_UTF8"),
-            # as the one item of a list, so that nothing may follow the object
-            (v.isNull() | keys.isNull() | ~F.json_array_length(F.concat(F.lit("["), F.col("raw"), F.lit("]"))).eqNullSafe(F.lit(1)), "INVALID_JSON"),
-            (F.contains("raw", F.lit("\\u0000")), "INVALID_NULL_CHARACTER"),
-            (F.size(F.array_except(keys, F.array(*map(F.lit, ENVELOPE)))) > 0, "SCHEMA_VALIDATION_FAILED"),
-            (F.size(F.array_except(F.array(*map(F.lit, ENVELOPE)), keys)) > 0, "SCHEMA_VALIDATION_FAILED"),
-            (F.array_contains(F.array(*[F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")) == "STRING" for k in ("contractVersion", "factId", "kind", "stableKey", "origin")]), F.lit(False)), "SCHEMA_VALIDATION_FAILED"),
-            ((text("factId") == "") | (text("kind") == "") | (text("stableKey") == ""), "SCHEMA_VALIDATION_FAILED"),
-            (~text("origin").isin(*V.ORIGINS), "SCHEMA_VALIDATION_FAILED"),
-            (evidence.isNull() | bad_evidence, "SCHEMA_VALIDATION_FAILED"),
-            (relation & (ends[0].isNull() | ends[1].isNull() | ends[2].isNull()), "SCHEMA_VALIDATION_FAILED"),
-        ),
+    """Raw lines -> parsed `fact` and reason: JSON, required keys and their types, no unknown keys, relation ends.
+
+    A line is parsed once as an open value and once by the schema; all tests read these two.
+    """
+    c, v = F.col, F.col("_v")
+    # as the one item of a list, so that nothing may follow the object
+    alone = F.json_array_length(F.concat(F.lit("["), c("raw"), F.lit("]"))).eqNullSafe(F.lit(1))
+    parsed = lines.withColumn("_v", F.when(alone, F.try_parse_json("raw"))).withColumn("fact", F.from_json("raw", FACT_SCHEMA))
+    parsed = parsed.withColumn("_keys", F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")))
+
+    def is_text(key: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant")).eqNullSafe(F.lit("STRING"))
+
+    known = F.array(*map(F.lit, ENVELOPE))
+    texts = [is_text(k) for k in ("contractVersion", "factId", "kind", "stableKey", "origin")]
+    blank = (c("fact.factId") == "") | (c("fact.kind") == "") | (c("fact.stableKey") == "")
+    evidence = c("fact.evidence")
+    hashed = r"^sha256:[0-9a-f]{64}$"
+    bad_evidence = F.exists(evidence, lambda e: e["filePath"].isNull() | (e["filePath"] == "") | e["startLine"].isNull() | e["endLine"].isNull() | e["snippetHash"].isNull() | ~e["snippetHash"].rlike(hashed))
+    ends = [F.try_variant_get(v, f"$.properties.{k}", "string") for k in ("sourceKey", "targetKey", "edgeKind")]
+    relation = (c("fact.kind") == "RELATION") & (ends[0].isNull() | ends[1].isNull() | ends[2].isNull())
+    reason = first_reason(
+        (c("oversized"), "LINE_TOO_LARGE"),
+        (c("invalid_utf8"), "INVALID_UTF8"),
+        (v.isNull() | c("_keys").isNull(), "INVALID_JSON"),
+        (F.contains("raw", F.lit("\\u0000")), "INVALID_NULL_CHARACTER"),
+        ((F.size(F.array_except("_keys", known)) > 0) | (F.size(F.array_except(known, "_keys")) > 0), "SCHEMA_VALIDATION_FAILED"),
+        (~F.least(*texts) | blank | ~c("fact.origin").isin(*V.ORIGINS), "SCHEMA_VALIDATION_FAILED"),
+        (evidence.isNull() | bad_evidence | relation, "SCHEMA_VALIDATION_FAILED"),
     )
-    return out.withColumn("fact", F.from_json("raw", FACT_SCHEMA))
+    return parsed.withColumn("reason", reason).select(*lines.columns, "reason", "fact")
 
 
 def fact_field_reason(version: Column, evidence_count: Column, confidence: Column, stable_key: Column, fact_id: Column, others: list[Column]) -> Column:
@@ -120,6 +122,11 @@ def check_evidence(evidence: DataFrame, corpus: DataFrame) -> DataFrame:
     return out.withColumn("reason", reason).select(*e.columns, "snippet", "reason")
 
 
+def fact_print(*columns: Column) -> Column:
+    """The hash of what a fact states, for telling a repeated line from one that says something else."""
+    return F.sha2(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)])), 256)
+
+
 def judge_facts(facts: DataFrame) -> DataFrame:
     """Facts (execution_id, fact_id, line_number, fingerprint, bad) with a verdict.
 

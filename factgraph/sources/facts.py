@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,9 +42,11 @@ def bound_facts(lines: DataFrame, most: int = MAX_FACTS) -> tuple[DataFrame, Dat
 
 
 def read_analyzer_output(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Documents of a schema, and those that do not fit it."""
-    rows = spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path, multiLine=True)
-    return rows.where("_corrupt_record IS NULL").drop("_corrupt_record"), rows.where("_corrupt_record IS NOT NULL").select("_corrupt_record")
+    """Documents of a schema, one a file, and the texts that do not fit it."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_odd"}
+    rows = spark.read.text(path, wholetext=True).select("value", F.from_json("value", schema + ", _odd string", options).alias("d"))
+    odd = F.col("d").isNull() | F.col("d._odd").isNotNull()
+    return rows.where(~odd).select("d.*").drop("_odd"), rows.where(odd).select("value")
 
 
 OTLP = """resourceSpans array<struct<resource:struct<attributes:variant>,scopeSpans:array<struct<
@@ -81,16 +84,30 @@ def read_otlp(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parse_otlp(raw.select(F.col("_metadata.file_name").alias("upload"), F.col("value").alias("payload")))
 
 
-def append_new(rows: DataFrame, path: str, keys: list[str]) -> None:
-    """Appends the rows whose keys the table at path lacks; the same call twice writes once."""
-    spark = rows.sparkSession
-    fresh = rows.dropDuplicates(keys)
+def stored_rows(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at path, None where there is none yet."""
     try:
-        fresh = fresh.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-    fresh.write.mode("append").parquet(path)
+        return None
+
+
+def append_new(rows: DataFrame, path: str, keys: list[str], by: str | None = None) -> None:
+    """Appends the rows whose keys the table at path lacks; the same call twice writes once.
+
+    by: one of the keys, by which the table is kept in folders, so that only those of the rows are read again.  A task
+    that is lost leaves no rows, as files appear when the whole write commits; two writers need a table format with
+    transactions.
+    """
+    fresh = rows.dropDuplicates(keys)
+    old = stored_rows(rows.sparkSession, path)
+    if old is not None:
+        old = old.select(*[F.col(k).cast(rows.schema[k].dataType).alias(k) for k in keys])
+        fresh = fresh.join(old, keys, "left_anti")
+    out = fresh.write.mode("append")
+    (out.partitionBy(by) if by else out).parquet(path)
 
 
 def replay_events(events: DataFrame, run_id: str, cursor: int, page: int = 500) -> DataFrame:

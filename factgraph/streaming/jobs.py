@@ -6,38 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from factgraph.operators import runtime, validate
-from factgraph.sources.facts import append_new
+from factgraph.operators import runtime
+from factgraph.operators.ingest import ingest
+from factgraph.sources.facts import append_new, stored_rows
 
 
-def stream_facts(lines: DataFrame, facts_path: str, quarantine_path: str, checkpoint: str) -> DataStreamWriter:
+def stream_facts(lines: DataFrame, corpus: DataFrame, facts_path: str, quarantine_path: str, checkpoint: str) -> DataStreamWriter:
     """A stream of raw lines (execution, line_number, raw, oversized, invalid_utf8) into a table of facts and one of
-    quarantined lines, by the batch rules; a batch that is run again writes nothing twice."""
+    quarantined lines, by ingest(): a fact that restates one of an earlier batch otherwise is quarantined, and a batch
+    that is run again writes nothing twice."""
 
     def each(batch: DataFrame, _: int) -> None:
-        judged = validate.check_fact_schema(batch)
-        fact = F.col("fact")
-        good = judged.where("reason IS NULL").select(F.col("execution").alias("execution_id"), fact["factId"].alias("fact_id"), "line_number", F.sha2("raw", 256).alias("fingerprint"), F.lit(False).alias("bad"), fact["kind"].alias("kind"), fact["stableKey"].alias("stable_key"), "raw")
-        kept, conflict = validate.dedup_facts(good)
-        append_new(kept, facts_path, ["execution_id", "fact_id"])
-        bad = judged.where("reason IS NOT NULL").select(F.col("execution").alias("execution_id"), "line_number", "reason", "raw")
-        bad = bad.unionByName(conflict.select("execution_id", "line_number", "reason", F.lit(None).cast("string").alias("raw")))
-        append_new(validate.quarantine_rows(bad), quarantine_path, ["execution_id", "line_number", "reason"])
+        ingest(batch, corpus, facts_path, quarantine_path)
 
     return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
 
 
-def stream_spans(spans: DataFrame, table_path: str, rejects_path: str, checkpoint: str) -> DataStreamWriter:
-    """New spans into a table; spans that restate a stored key otherwise, or exceed the quota, into another."""
+def stream_spans(spans: DataFrame, table_path: str, rejects_path: str, checkpoint: str, quota: int | None = 100_000) -> DataStreamWriter:
+    """New spans into a table; spans that restate a stored key otherwise, or exceed the quota of their run over all
+    batches, into another."""
 
     def each(batch: DataFrame, _: int) -> None:
-        try:
-            stored = batch.sparkSession.read.parquet(table_path).select(*runtime.SPAN_KEY, "span_hash")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            stored = None
-        judged = runtime.dedup_spans(batch, stored)
+        stored = stored_rows(batch.sparkSession, table_path)
+        judged = runtime.dedup_spans(batch, stored.select(*runtime.SPAN_KEY, "span_hash") if stored is not None else None, quota=quota)
         append_new(judged.where("verdict IN ('conflict', 'over_quota')"), rejects_path, [*runtime.SPAN_KEY, "span_hash"])
         append_new(judged.where("verdict = 'new'").drop("verdict"), table_path, list(runtime.SPAN_KEY))
 
