@@ -15,7 +15,7 @@ import json
 import re
 from collections import defaultdict
 from functools import lru_cache
-from itertools import accumulate, pairwise
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ RUN = re.compile(r" ?\S+|\s+(?!\S)|\s")
 #: White space to Python, not to the vocabulary's pattern.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Runs, and words, that a worker keeps as recent ones.
-CACHE = 250_000
+CACHE = 400_000
 
 
 def byte_letters() -> list[str]:
@@ -93,23 +93,32 @@ class PairIndex:
 
 
 class Recent(dict):
-    """What was put in or asked for last: of at most `most` entries, and as many older ones that come back when asked for."""
+    """What was put in or asked for last: at most `most` entries, whose values have WEIGHT bytes on average,, and as many older ones that
+    come back when asked for."""
+
+    WEIGHT = 64
 
     def __init__(self, most: int):
         super().__init__()
-        self.most, self.old = most, {}
+        self.most, self.weight, self.old = most, 0, {}
 
     def __missing__(self, key):
         self[key] = value = self.old[key]
+        self.weight += len(value)
         return value
 
+    def put(self, keys: list, values: list) -> None:
+        self.update(zip(keys, values, strict=True))
+        self.weight += sum(map(len, values))
+
     def lacking(self, keys: set) -> set:
         return {k for k in keys - self.keys() if k not in self.old}
 
     def turn(self) -> None:
-        if len(self) > self.most:
+        if len(self) > self.most or self.weight > self.most * self.WEIGHT:
             self.old = dict(self)
             self.clear()
+            self.weight = 0
 
 
 class ByteBpe:
@@ -144,12 +153,13 @@ class ByteBpe:
         self.words.turn()
         words_of = {run: WORD.findall(run) for run in self.cache.lacking(runs)}
         new = list(self.words.lacking({w for ws in words_of.values() for w in ws}))
-        ids = self.index.encode([[self.first[b] for b in w.encode()] for w in new])
-        packed = np.array([i for x in ids for i in x], "<u4").tobytes()
+        first = self.first.__getitem__
+        ids = self.index.encode([list(map(first, w.encode())) for w in new])
+        packed = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
         ends = list(accumulate(4 * len(x) for x in ids))
-        self.words.update((w, packed[a:b]) for w, a, b in zip(new, [0, *ends], ends, strict=False))
-        words = self.words
-        self.cache.update((run, b"".join([words[w] for w in ws])) for run, ws in words_of.items())
+        self.words.put(new, [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+        of = self.words.__getitem__
+        self.cache.put(list(words_of), [of(ws[0]) if len(ws) == 1 else b"".join(map(of, ws)) for ws in words_of.values()])
 
     def encode(self, many: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -165,8 +175,8 @@ class ByteBpe:
         return [b"".join([self.special[x].to_bytes(4, "little") if k % 2 else b"".join(map(of, x)) for k, x in enumerate(parts)]) for parts in cut]
 
     def decode(self, many: list[bytes]) -> list[str]:
-        of = self.bytes_of
-        return [b"".join([of[i] for i in memoryview(x).cast("I")]).decode("utf-8", "replace") for x in many]
+        of = self.bytes_of.__getitem__
+        return [b"".join(map(of, memoryview(x).cast("I"))).decode("utf-8", "replace") for x in many]
 
 
 @lru_cache(maxsize=2)

@@ -108,3 +108,18 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+#: Chunks of two lines that are not blank, and the rows that any but the first of equal ones takes away.
+ORACLE_SQL = r"""
+WITH t AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, lines, i, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM t)),
+c AS (SELECT doc_id, lines, i AS a, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM l WHERE regexp_matches(line, '[^\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]')),
+r AS (SELECT doc_id, a, b FROM (SELECT doc_id, a, b, row_number() OVER (PARTITION BY array_to_string(lines[a : b], chr(10)) ORDER BY doc_id, a) AS turn FROM c WHERE b IS NOT NULL) WHERE turn > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM r),
+kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) AS text FROM l ANTI JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY 1),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT d.doc_id, CASE WHEN d.text IS NULL OR d.text = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines, coalesce(o.n, 0) AS n_removed,
+  CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN lost o USING (doc_id)
+"""

@@ -291,4 +291,22 @@ def one_of_each(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFr
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).drop("component")
+
+
+#: All pairs of sets that share a shingle, and all that links reach.
+ORACLE_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i : i + 2], ' ') for i in range(1, len(w) - 1)] END) AS s FROM w
+),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON b.s = a.s AND b.doc_id > a.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT u, v FROM common JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+way AS MATERIALIZED (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
+reached AS (SELECT u AS doc_id, v AS other FROM way UNION SELECT r.doc_id, w.v FROM reached r JOIN way w ON w.u = r.other)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(r.least, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(r.least, d.doc_id)) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS least FROM reached GROUP BY 1) r USING (doc_id)
+"""

@@ -1,13 +1,13 @@
 """Operator 6: packing documents into sequences of a fixed length by best-two-fit.
 
 Each document's ids end with an end id; only longer ones are cut, into pieces of the full length and a last shorter
-one.  Full pieces are sequences of their own at once.  The others are dealt by hash over groups of about GROUP pieces,
+one.  Full pieces are sequences of their own at once.  The others are dealt in turn over groups of about GROUP pieces,
 each packed by one task: a sequence is filled greedily with the longest piece that fits; then its shortest piece is
 exchanged for the two unpacked pieces that fill the widened gap most tightly, if they fill it better.  A group of that
 size leaves at most one sequence badly filled, so that the groups cost a part of a thousandth.
 
 Rows: null or empty text is the end id alone.  Repeated rows are pieces of their own.  Ties go to the smaller document
-id, then piece, then start; null ids come first.  No rows give no rows.
+id, then piece, then start; null ids come last.  No rows give no rows.
 """
 
 from __future__ import annotations
@@ -118,7 +118,7 @@ class WordIds:
         ids, word = self.merges.encode(sym, np.repeat(np.arange(len(flat)), size)) if len(flat) else (sym, sym)
         ends = np.searchsorted(word, np.cumsum([0, *map(len, words_of)])) * 4
         packed, ends = ids.astype("<u4").tobytes(), ends.tolist()
-        self.cache.update((r, packed[a:b]) for r, a, b in zip(new, ends, ends[1:], strict=False))
+        self.cache.put(new, [packed[a:b] for a, b in zip(ends, ends[1:], strict=False)])
 
     def encode(self, many: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -250,7 +250,7 @@ def pack(cut: DataFrame, *, capacity: int = CAPACITY, groups: int) -> DataFrame:
                     at += x
             yield from placed(t, seq, offset)
 
-    return cut.repartition(groups, F.xxhash64("doc_id", "piece", "length", "ids_crc32")).mapInArrow(run, schema)
+    return cut.repartition(groups).mapInArrow(run, schema)  # one by one, so that equal rows do not meet in one group
 
 
 def packed(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end: int = END) -> DataFrame:

@@ -38,6 +38,9 @@ MAY_HOLD = re.compile(r"[0-9@]")
 #: Between two tokens of an island lie so many characters at most; a segment has so many tokens at most.
 GAP, MOST = 3, 8
 SAMPLE, ISLANDS, ROUNDS = 20_000, 2000, 80
+#: How far before a span its word is looked for.
+REACH = 24
+WORD_BEFORE = re.compile(r"([^\W\d_]{2,12})[^\w\n]*$")
 
 
 def luhn(digits: str) -> bool:
@@ -96,8 +99,14 @@ def islands(text: str) -> list[list[tuple[int, int]]]:
     return out
 
 
-def features(text: str, start: int, end: int, kind: str, tokens: int) -> list[str]:
-    """What a whole span shows of being of a kind."""
+def before(text: str, start: int) -> str:
+    """The word before a place, lower-cased, if at most REACH characters lie between; else nothing."""
+    m = WORD_BEFORE.search(text[max(0, start - REACH) : start])
+    return m[1].lower() if m else ""
+
+
+def features(text: str, start: int, end: int, kind: str, tokens: int, word: str) -> list[str]:
+    """What a whole span, and the word before it, show of being of a kind."""
     s = text[start:end]
     digits = [c for c in s if "0" <= c <= "9"]
     parts = s.split(".")
@@ -121,6 +130,7 @@ def features(text: str, start: int, end: int, kind: str, tokens: int) -> list[st
         found.append("card-form")
     if "plus" in found and "phone-length" in found and not set(s[1:]) - set("0123456789 ().-"):
         found.append("phone-form")
+    found.append(f"after-{word}")
     return [f"{kind}:{x}" for x in found]
 
 
@@ -130,13 +140,13 @@ class Model:
 
     def candidates(self, text: str, tokens: list[tuple[int, int]]) -> list[list[tuple[int, str, float]]]:
         """For each token after which a segment may end: (first token, type, score) of each candidate."""
-        out = []
+        out, words = [], [before(text, a) for a, _ in tokens]
         for j in range(len(tokens)):
             own = []
             for i in range(max(0, j - MOST + 1), j + 1):
                 start = tokens[i][0]
                 for kind in KINDS:
-                    own.append((i, kind, sum(self.weights.get(f, 0.0) for f in features(text, start, tokens[j][1], kind, j - i + 1))))
+                    own.append((i, kind, sum(self.weights.get(f, 0.0) for f in features(text, start, tokens[j][1], kind, j - i + 1, words[i]))))
             out.append(own)
         return out
 
@@ -168,7 +178,7 @@ def fit(samples: list[tuple[str, list[tuple[int, int]], list[Span]]], penalty: f
     seen_islands = []
     for text, tokens, truth in samples:
         true = {(a, b, k) for k, a, b in truth}
-        segments = [(i, j, kind, [names.setdefault(f, len(names)) for f in features(text, tokens[i][0], tokens[j][1], kind, j - i + 1)]) for j in range(len(tokens)) for i in range(max(0, j - MOST + 1), j + 1) for kind in KINDS]
+        segments = [(i, j, kind, [names.setdefault(f, len(names)) for f in features(text, tokens[i][0], tokens[j][1], kind, j - i + 1, before(text, tokens[i][0]))]) for j in range(len(tokens)) for i in range(max(0, j - MOST + 1), j + 1) for kind in KINDS]
         seen_islands.append((len(tokens), segments, {(i, j, k) for i, j, k, _ in segments} & true))
     w = np.zeros(len(names))
     if not names:
@@ -215,7 +225,7 @@ def _labelled(text: str) -> list[dict]:
     out = []
     for tokens in islands(text):
         if len(tokens) <= 2 * MOST:
-            low, high = max(0, tokens[0][0] - 1), tokens[-1][1]
+            low, high = max(0, tokens[0][0] - REACH), tokens[-1][1]
             truth, taken = [], 0
             for k, a, b in sorted(base, key=lambda s: (s[1], s[0])):
                 i = [x for x, (p, q) in enumerate(tokens) if p < b and q > a]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,7 +28,19 @@ def count_of(spans: Column, kind: str) -> Column:
 
 def free_of(found: list[Span], taken: list[Span]) -> list[Span]:
     """The spans of `found` that overlap none of `taken`."""
-    return [s for s in found if all(s[2] <= t[1] or s[1] >= t[2] for t in taken)]
+    starts, ends = [], []  # of what is taken, as stretches that do not touch
+    for _, a, b in sorted(taken, key=lambda s: s[1]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def free(s: Span) -> bool:
+        i = bisect_left(starts, s[2]) - 1  # the last stretch that starts before the span ends
+        return i < 0 or ends[i] <= s[1]
+
+    return [s for s in found if free(s)]
 
 
 def redacted(text: str, spans: list[dict]) -> str:
