@@ -85,22 +85,22 @@ def shelf(spark: SparkSession) -> Iterator[None]:
             _delete(spark, path)
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of SLICE_ROWS rows and SLICE_BYTES bytes at most; a longer row is a part of its own."""
-    if batch.num_rows > 1 and (batch.num_rows > SLICE_ROWS or batch.nbytes > SLICE_BYTES):
+def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most so many rows and bytes; a longer row is a part of its own."""
+    if batch.num_rows > 1 and (batch.num_rows > rows or batch.nbytes > size):
         half = batch.num_rows // 2
-        yield from slices(batch.slice(0, half))
-        yield from slices(batch.slice(half))
+        yield from slices(batch.slice(0, half), rows, size)
+        yield from slices(batch.slice(half), rows, size)
     elif batch.num_rows:
         yield batch
 
 
-def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function from a function of one slice of a batch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield from map(fn, slices(b))
+            yield from map(fn, slices(b, rows, size))
         pa.default_memory_pool().release_unused()
 
     return run

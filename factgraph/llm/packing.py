@@ -33,7 +33,7 @@ END = 1
 #: Pieces that one task packs together, about.
 GROUP = 20_000
 #: Runs without white space that a worker keeps as recent ones.
-CACHE = 250_000
+CACHE = 500_000
 
 
 class Merges:
@@ -45,26 +45,38 @@ class Merges:
         self.n, self.key, self.rank = n_ids, key[order], order
         self.made = np.array([m[2] for m in merges], np.int64)
 
+    def ranks(self, sym: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The ranks of the pairs that start at these places, none that any merge has where there is no such pair."""
+        none = len(self.key)
+        after = np.minimum(at + 1, len(sym) - 1)
+        pair = sym[at] * self.n + sym[after]
+        found = np.minimum(np.searchsorted(self.key, pair), none - 1)
+        return np.where((self.key[found] == pair) & (word[after] == word[at]) & (after > at), self.rank[found], none)
+
     def encode(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and the number of the word of each, from the first symbols and their words, in order."""
         none, done = len(self.key), []
+        rank = self.ranks(sym, word, np.arange(len(sym)))
         while len(sym) > 1:
-            pair = sym[:-1] * self.n + sym[1:]
-            at = np.minimum(np.searchsorted(self.key, pair), none - 1)
-            rank = np.where((self.key[at] == pair) & (word[1:] == word[:-1]), self.rank[at], none)
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            low = np.repeat(np.minimum.reduceat(np.r_[rank, none], starts), np.diff(np.r_[starts, len(sym)]))
+            low = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, len(sym)]))
             over = low == none
             done.append((sym[over], word[over]))
-            i = np.flatnonzero((rank == low[:-1]) & (rank < none))
+            i = np.flatnonzero((rank == low) & ~over)
             if not len(i):
                 return self._ordered(done)
             first = np.maximum.accumulate(np.where(np.r_[True, np.diff(i) != 1], i, 0))
             i = i[(i - first) % 2 == 0]  # of pairs that overlap, as in aaa, every other one from the left
             sym[i] = self.made[rank[i]]
-            keep = ~over
+            keep, changed = ~over, np.zeros(len(sym), bool)
             keep[i + 1] = False
-            sym, word = sym[keep], word[keep]
+            # a pair is new where its left part is, and where the next symbol that is kept is new
+            changed[i] = changed[np.maximum(i - 1, 0)] = True
+            changed[np.maximum(i - 2, 0)] |= ~keep[np.maximum(i - 1, 0)]
+            sym, word, rank, changed = sym[keep], word[keep], rank[keep], changed[keep]
+            at = np.flatnonzero(changed)
+            if len(at):
+                rank[at] = self.ranks(sym, word, at)
         return self._ordered([*done, (sym, word)])
 
     @staticmethod
@@ -97,13 +109,19 @@ class WordIds:
         self.first = np.array([vocab[c] for c in byte_letters()])
         self.last = np.array([vocab[c + end] for c in byte_letters()])
         self.cache: Recent = Recent(CACHE)
+        # marks that the pattern cuts off from letters before them
+        self.marks = {c for c in ",.;:!?" if self.word.findall(f"ab{c}") == ["ab", c]}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def words(self, run: str) -> list[str]:
         if run.isascii():
-            return [run.lower()] if run.isalpha() else self.word.findall(run.lower())
+            if run.isalpha():
+                return [run.lower()]
+            if run[-1] in self.marks and run[:-1].isalpha():
+                return [run[:-1].lower(), run[-1]]
+            return self.word.findall(run.lower())
         return self.word.findall(self.lib.normalizer.normalize_str(run))
 
     def learn(self, runs: set[str]) -> None:
@@ -157,7 +175,8 @@ def pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end: int = E
                 crc.append(zlib.crc32(part))
         return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(no, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", *PIECES.names])
 
-    return src.mapInArrow(by_batch(one), T.StructType([src.schema["doc_id"], *PIECES.fields]))
+    # in larger slices than other operators: the more words come at once, the fewer come again
+    return src.mapInArrow(by_batch(one, rows=4000, size=16 << 20), T.StructType([src.schema["doc_id"], *PIECES.fields]))
 
 
 class Pool:

@@ -75,11 +75,12 @@ DEEPEST = 64
 class _Node:
     """An open element: its place, the noise it is, and how much of the page's main part it is or holds."""
 
-    __slots__ = ("tag", "place", "chain", "up", "noise", "hint", "main", "within", "tops", "articles", "role", "kids")
+    __slots__ = ("tag", "place", "chain", "up", "noise", "hint", "main", "within", "inside", "tops", "articles", "role", "kids")
 
     def __init__(self, tag: str, attrs: str, up: "_Node | None"):
         self.within = up is not None and (up.main or up.within)
-        name, self.noise, self.hint, self.main = _node(tag, attrs, self.within)
+        self.inside = up is not None and (up.inside or (up.main and up.tag != "main"))
+        name, self.noise, self.hint, self.main = _node(tag, attrs, self.inside)
         self.tag, self.up, self.kids = tag, up, []
         if up and len(up.chain) == DEEPEST:
             self.place, self.chain = up.place, up.chain
@@ -105,10 +106,10 @@ def _named(value: str, words: frozenset[str]) -> bool:
     return any(not words.isdisjoint(x) and x <= words | BESIDE for x in parts)
 
 
-def _node(tag: str, attrs: str, within: bool) -> tuple[str, bool, bool, bool]:
-    """The name of a node, and whether it is noise, has hints of it, or is the main part of a page."""
+def _node(tag: str, attrs: str, inside: bool) -> tuple[str, bool, bool, bool]:
+    """The name of a node, and whether it is noise, has hints of it, or is the main part of a page; inside: of an article."""
     # an aside of an article may be a quote from it
-    noise, hint, main = tag in NOISE and not (tag == "aside" and within), tag in HINTS or tag == "aside", tag in ("article", "main")
+    noise, hint, main = tag in NOISE and not (tag == "aside" and inside), tag in HINTS or tag == "aside", tag in ("article", "main")
     name = tag
     if attrs and not attrs.isspace():
         for m in ATTRIBUTE.finditer(attrs):

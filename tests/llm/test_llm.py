@@ -233,6 +233,7 @@ def test_scripts_hide_no_markup():
 def test_names_and_inline_elements():
     page = '<article><p class="share-price">x <math>b+c</math> y</p><aside>quote</aside><section class="menu-engineering"><p>dishes</p></section><div class="post-comments"><p>me too</p></div><div class="share-buttons">go</div></article><aside>bar</aside>'
     assert [x[1:] for x in pagetext.blocks(page)] == [(pagetext.TEXT_ROLE, "x b+c y"), (pagetext.HINT_ROLE, "quote"), (pagetext.TEXT_ROLE, "dishes"), (pagetext.NOISE_ROLE, "me too"), (pagetext.HINT_ROLE, "go"), (pagetext.NOISE_ROLE, "bar")]
+    assert [r for _, r, _ in pagetext.blocks("<main><aside>bar</aside><p>x</p></main>")] == [pagetext.NOISE_ROLE, pagetext.TEXT_ROLE]
     deep = pagetext.blocks("<div>" * 500 + "in" + "</div>" * 500)
     assert [t for _, _, t in deep] == ["in"]
 
@@ -395,3 +396,142 @@ def test_pipeline_stages(spark):
         at = out
     assert sum(r.length for r in at.collect()) > 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_base_secrets_against_plain_patterns():
+    assign = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    kinds = (("assign", assign, lambda m: len(m[1]) >= 8), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 32))
+    rnd, parts = random.Random(6), ["password", "PASSWD", "Secret", "token", "api_key", "ApiKey", "paſsword", "toKen", ":", "=", " ", '"', "'", "abcDEF12", "x/y+z_9.", "AKIA", "ABCDEFGH1234", "0f1e2d3c", "0123456789abcdef", "é", "\n", "g"]
+    for _ in range(5000):
+        t = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14)))
+        want = sorted(((k, *m.span()) for k, p, fits in kinds for m in p.finditer(t) if fits(m)), key=lambda s: (s[1], [k for k, _, _ in kinds].index(s[0])))
+        assert secretscan.base_spans(t)[0] == want
+
+
+def test_viterbi_against_all_taggings():
+    rnd = np.random.default_rng(3)
+    for _ in range(200):
+        n, more = int(rnd.integers(1, 7)), bool(rnd.integers(0, 2))
+        e, moves = rnd.standard_normal((n, 3)), rnd.standard_normal((3, 3))
+        moves[0, 2] = secretscan.NEVER
+
+        def worth(tags):
+            return sum(e[i, y] for i, y in enumerate(tags)) + sum(moves[a, b] for a, b in zip((0, *tags), tags)) + (moves[tags[-1], 0] if more else 0)
+
+        got = secretscan.viterbi(e, moves, more)
+        assert worth(got) == pytest.approx(max(map(worth, itertools.product(range(3), repeat=n)))) and (0, 2) not in set(zip([0, *got], got))
+
+
+def test_segments_against_all_segmentations():
+    rnd = random.Random(8)
+    texts = ["call +1 826 555 4081 or 10.0.0.2", "mail a@b.example 4111 1111 1111 1111", "7 8 9 @ 1-2 3.4"]
+    for t in texts * 5:
+        tokens = max(pii.islands(t), key=len)
+        names = {f for i in range(len(tokens)) for j in range(i, len(tokens)) for k in pii.KINDS for f in pii.features(t, tokens[i][0], tokens[j][1], k, j - i + 1, pii.before(t, tokens[i][0]))}
+        model = pii.Model({f: rnd.gauss(0, 1) for f in sorted(names)})
+        scored = {(i, j, k): s for j, own in enumerate(model.candidates(t, tokens)) for i, k, s in own}
+
+        def best(at):
+            """The most that segments from this token on can score, by trying them all."""
+            if at == len(tokens):
+                return 0.0
+            return max([best(at + 1)] + [s + best(j + 1) for (i, j, k), s in scored.items() if i == at])
+
+        place = {a: i for i, (a, _) in enumerate(tokens)}, {b: i for i, (_, b) in enumerate(tokens)}
+        got = sum(scored[place[0][a], place[1][b], k] for k, a, b in model.segments(t, tokens))
+        assert got == pytest.approx(best(0))
+
+
+def test_words_before_spans_count():
+    assert pii.before("Please call: 555", 13) == "call" and pii.before("x\n 12", 3) == "" and pii.before("12", 0) == ""
+    assert pii.features("tel 555", 4, 7, "phone", 1, "tel")[-1] == "phone:after-tel"
+
+
+def test_what_models_find_in_texts_they_have_not_seen(spark):
+    """Spans of the models alone, against those of the patterns, in documents that were kept from them."""
+    docs_ = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").where("text IS NOT NULL")
+    seen, kept = docs_.where("doc_id % 2 = 0"), [r.text for r in docs_.where("doc_id % 2 = 1").collect()]
+    right = made = true = 0
+    model = pii.learn(seen)
+    for t in kept:
+        if pii.MAY_HOLD.search(t):
+            base = {s for s in pii.base_spans(t)}
+            own = {s for tokens in pii.islands(t) for s in model.segments(t, tokens)}
+            right, made, true = right + len(base & own), made + len(own), true + len(base)
+    assert true > 300 and right >= 0.95 * true and right >= 0.95 * made
+    right = made = true = false = 0
+    model = secretscan.learn(seen)
+    for t in kept:
+        tokens = secretscan.TOKEN.findall(t)
+        at = [m.span() for m in secretscan.TOKEN.finditer(t)]
+        values = secretscan.base_spans(t)[1]
+        own = [(at[a][0], at[b - 1][1]) for a, b in model.tag(tokens, t)] if tokens else []
+        hit = lambda x, ys: any(x[0] < y[1] and y[0] < x[1] for y in ys)
+        hits = sum(hit(o, values) for o in own)
+        right, made, true, false = right + sum(hit(v, own) for v in values), made + hits, true + len(values), false + len(own) - hits
+    assert true > 100 and right >= 0.95 * true and false <= 0.05 * made
+
+
+def test_spans_that_are_free():
+    rnd = random.Random(2)
+    for _ in range(500):
+        spans = lambda n: [("k", a, a + rnd.randint(1, 6)) for a in (rnd.randrange(40) for _ in range(n))]
+        found, taken = spans(8), spans(5)
+        assert secretscan.free_of(found, taken) == [s for s in found if all(s[2] <= t[1] or s[1] >= t[2] for t in taken)]
+
+
+ODD_ROWS = [(1, None), (2, ""), (3, " \n\t"), (4, "same text of five words"), (4, "same text of five words"), (5, "same text of five words"), (6, "w" * 200_000), (7, "long " * 60_000), (None, "no id at all here")]
+
+
+def test_odd_rows_and_empty_tables(spark):
+    """Nulls, repeated rows, very long texts and no rows, through every operator on texts."""
+    byte, word = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+    odd = docs(spark, ODD_ROWS)
+    for rows, n in ((odd, len(ODD_ROWS)), (docs(spark, []), 0)):
+        assert bpe.round_trip(rows, byte, keys=["doc_id"]).count() == n
+        assert secretscan.scan(rows, secretscan.learn(rows)).count() == n
+        assert langid.identify(rows, langid.learn(rows)).count() == n
+        assert pii.find(rows, pii.learn(rows)).count() == n
+        assert packing.packed(rows, word).where("piece = 0").count() == n
+        assert linechunks.without_repeats(rows).count() == n
+        near = minhash.near_duplicates(rows)
+        assert near.count() == n
+    same = {r.doc_id: (r.n_shingles, r.kept) for r in minhash.near_duplicates(odd).where("doc_id BETWEEN 4 AND 5").collect()}
+    assert same == {4: (1, True), 5: (1, False)}
+    twice = pii.find(docs(spark, [(1, "a@b.example"), (1, "a@b.example")]), pii.learn(odd)).collect()
+    assert [len(r.base) for r in twice] == [1, 1] and twice[0].ids == "x"
+
+
+def test_pipeline_of_odd_rows(spark):
+    import corpus_pipeline
+
+    learned = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = spark.createDataFrame([(10_000 + (i or 0) if i else None, t, None, None, None) for i, t in ODD_ROWS], learned.schema)
+    for rows in (odd, learned.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows, SF)
+            assert name == "best_fit_packing" or out.columns == learned.columns
+            assert out.count() >= 0
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, odd, SF).collect()}
+    assert kept == {10_001, 10_002, 10_003, 10_004, 10_006, 10_007, None}
+    one = corpus_pipeline.language_id(spark, learned.union(odd), SF)
+    assert one.where("doc_id < 10000").count() > 0.9 * learned.count() and one.where("doc_id IN (10001, 10002, 10003)").count() == 0
+
+
+@pytest.mark.parametrize("name", ["op2_secrets", "op4_pii", "op5_html", "op6_packing", "op7_line_dedup", "op9_minhash", "op10_topk"])
+def test_queries_run_and_agree_with_their_sql(spark, name):
+    import duckdb
+
+    from factgraph.llm import registry
+
+    got = registry.QUERIES[name](spark, SF)
+    rows = got.collect()
+    assert rows
+    if name in registry.ORACLES:
+        c = duckdb.connect()
+        for t in ("documents", "embeddings"):
+            c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+        found = c.execute(registry.ORACLES[name])
+        names = [d[0] for d in found.description]
+        assert sorted(names) == sorted(got.columns)
+        assert sorted(str([r[n] for n in names]) for r in rows) == sorted(str(list(x)) for x in found.fetchall())
