@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from factgraph.functions import vocabulary as V
 
+# Types of expression trees, and operators that compare.
 RENAMED = {"REFERENCE": "SYMBOL_REFERENCE", "MEMBER": "PROPERTY_ACCESS", "CALL": "FUNCTION_CALL", "UNARY": "UNARY_OPERATION", "CONSTANT": "CONSTANT_REFERENCE"}
 COMPARISONS = {"LESS_THAN", "LESS_THAN_OR_EQUAL", "GREATER_THAN", "GREATER_THAN_OR_EQUAL", "EQUAL", "NOT_EQUAL"}
 EQUALITIES = {"EQUAL", "EQUALS", "NOT_EQUAL", "NOT_EQUALS"}

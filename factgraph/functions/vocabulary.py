@@ -2,7 +2,6 @@
 
 ENTRY_KINDS = ("ENDPOINT", "SCHEDULED_JOB", "MESSAGE_CONSUMER", "COMMAND_ENTRY_POINT", "UI_ACTION")
 RULE_KINDS = ("CONDITION", "DECISION", "BUSINESS_RULE", "BUSINESS_CONSTRAINT", "VALIDATION_RULE", "AUTHORIZATION_RULE", "SECURITY_RULE", "DATA_RULE", "OPERATIONAL_RULE", "COMPLIANCE_RULE", "TECHNICAL_GUARD", "UNKNOWN_RULE")
-TECHNICAL_KINDS = ("FILE", "PACKAGE", "CLASS", "INTERFACE", "METHOD", "FUNCTION", "PARAMETER", "CONSTANT", "TECHNICAL_GUARD")
 ORIGINS = ("STATIC_EXACT", "STATIC_TYPED", "STATIC_SYNTAX", "FRAMEWORK_DERIVED", "DATABASE_DERIVED", "RUNTIME_OBSERVED", "HEURISTIC")
 ORIGIN_CEILING = {"STATIC_EXACT": 1.0, "DATABASE_DERIVED": 1.0, "RUNTIME_OBSERVED": 1.0, "STATIC_TYPED": 0.98, "STATIC_RESOLVED": 0.98, "FRAMEWORK_DERIVED": 0.92, "STATIC_SYNTAX": 0.75, "STATIC_INFERRED": 0.65, "HEURISTIC": 0.50}
 OTHER_CEILING = 0.30

@@ -155,17 +155,18 @@ def classify_rules(rules: DataFrame) -> DataFrame:
     def when(test: Column, value: float) -> Column:
         return F.when(test, value).otherwise(0.0)
 
+    # fixed values: the terms of the score by their public names
     terms = {
-        "entry_point": when(S.has_prop(p, "entryPointKey"), 0.12),
-        "vocabulary": when(S.is_true(p, "businessVocabulary"), 0.08),
-        "domain_type": when(S.has_prop(p, "domainType"), 0.10),
-        "outcome": when(F.col("impactful"), 0.35),
-        "data_effect": when(S.list_size(p, "dataWrites") > 0, 0.12),
-        "authorization": when(auth, 0.30),
-        "test_evidence": when(S.is_true(p, "verifiedByTest"), 0.10),
-        "framework": when(S.has_prop(p, "annotation"), 0.10),
-        "guard": F.when(technical, -0.65).when(plumbing, -0.15).otherwise(0.0),
-        "ambiguity": F.when(kind == "UNKNOWN_EXPRESSION", -0.25).otherwise(-F.least(F.lit(0.3), S.list_size(p, "ambiguities") * 0.1)),
+        "entryPointProximity": when(S.has_prop(p, "entryPointKey"), 0.12),
+        "businessVocabularyScore": when(S.is_true(p, "businessVocabulary"), 0.08),
+        "domainTypeScore": when(S.has_prop(p, "domainType"), 0.10),
+        "outcomeImpactScore": when(F.col("impactful"), 0.35),
+        "dataSideEffectScore": when(S.list_size(p, "dataWrites") > 0, 0.12),
+        "authorizationScore": when(auth, 0.30),
+        "testEvidenceScore": when(S.is_true(p, "verifiedByTest"), 0.10),
+        "frameworkSignalScore": when(S.has_prop(p, "annotation"), 0.10),
+        "technicalGuardPenalty": F.when(technical, -0.65).when(plumbing, -0.15).otherwise(0.0),
+        "ambiguityPenalty": F.when(kind == "UNKNOWN_EXPRESSION", -0.25).otherwise(-F.least(F.lit(0.3), S.list_size(p, "ambiguities") * 0.1)),
     }
     out = out.withColumn("score_terms", F.struct(*[v.alias(k) for k, v in terms.items()]))
     total = F.lit(0.20)

@@ -22,11 +22,16 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def shared_table(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the plan, and no lost executor undoes it."""
+def shared_path(df: DataFrame, tag: str) -> str:
+    """Where df has been written to in the shared folder."""
     path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def shared_table(df: DataFrame, tag: str) -> DataFrame:
+    """df written to the shared folder and read again: cuts the plan, and no lost executor undoes it."""
+    return df.sparkSession.read.schema(df.schema).parquet(shared_path(df, tag))
 
 
 @lru_cache(maxsize=1)

@@ -7,13 +7,14 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factgraph.functions import semantics as S
 from factgraph.operators import graph, projections, reach, runtime
 from factgraph.plans import bridge
 
-#: Tables that are already written, by application, folder and name.
-_written: dict[tuple[str, str, str], DataFrame] = {}
+#: Where tables are already written, and their schemas, by application, folder and name.
+_written: dict[tuple[str, str, str], tuple[str, T.StructType]] = {}
 
 
 def written(make: Callable[["Tables"], DataFrame]) -> property:
@@ -23,8 +24,10 @@ def written(make: Callable[["Tables"], DataFrame]) -> property:
     def get(t: "Tables") -> DataFrame:
         key = (t.spark.sparkContext.applicationId, t.sf_dir, make.__name__)
         if key not in _written:
-            _written[key] = reach.shared_table(make(t), make.__name__)
-        return _written[key]
+            df = make(t)
+            _written[key] = reach.shared_path(df, make.__name__), df.schema
+        path, schema = _written[key]
+        return t.spark.read.schema(schema).parquet(path)
 
     return property(get)
 

@@ -18,7 +18,7 @@ def rules(spark, kind, props):
 def test_rule_categories(spark):
     null = {"type": "BINARY", "operator": "EQUAL", "left": {"type": "REFERENCE"}, "right": {"type": "LITERAL", "value": None}}
     guard = rules(spark, "CONDITION", {"condition": null})
-    assert (guard.category, guard.score) == ("TECHNICAL_GUARD", 0) and guard.score_terms.guard == -0.65
+    assert (guard.category, guard.score) == ("TECHNICAL_GUARD", 0) and guard.score_terms.technicalGuardPenalty == -0.65
     assert rules(spark, "CONDITION", {"condition": null, "trueOutcomes": ["REJECT"]}).category == "BUSINESS_CONSTRAINT"
     text = rules(spark, "CONDITION", {"condition": "a < b"})
     assert (text.condition_type, text.category, text.ceiling) == ("UNKNOWN_EXPRESSION", "UNKNOWN_RULE", 0.45)
