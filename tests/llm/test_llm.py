@@ -507,13 +507,13 @@ def test_pipeline_of_odd_rows(spark):
 
     learned = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     odd = spark.createDataFrame([(10_000 + (i or 0) if i else None, t, None, None, None) for i, t in ODD_ROWS], learned.schema)
-    for rows in (odd, learned.limit(0)):
+    kept = {}
+    for rows in (learned.limit(0), odd):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, rows, SF)
             assert name == "best_fit_packing" or out.columns == learned.columns
-            assert out.count() >= 0
-    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, odd, SF).collect()}
-    assert kept == {10_001, 10_002, 10_003, 10_004, 10_006, 10_007, None}
+            kept[name] = {r.doc_id for r in out.select("doc_id").collect()}
+    assert kept["near_dedup"] == {10_001, 10_002, 10_003, 10_004, 10_006, 10_007, None}
     one = corpus_pipeline.language_id(spark, learned.union(odd), SF)
     assert one.where("doc_id < 10000").count() > 0.9 * learned.count() and one.where("doc_id IN (10001, 10002, 10003)").count() == 0
 
