@@ -41,10 +41,10 @@ _shelves: list[list[str]] = []
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+def stored(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """df written as Parquet in the shared folder and read again: the plan before it is cut and no executor's loss undoes it."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     if _shelves:
         _shelves[-1].append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
