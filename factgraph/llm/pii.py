@@ -2,18 +2,20 @@
 
 A text is cut into islands: runs of tokens with a digit or an at-sign, with little between them.  Elsewhere nothing
 can be personal data.  Within an island, segments of up to MOST tokens are candidates for each type; features of the
-whole span (its form, digits, check digit; not the words around it) score them, and a dynamic program over the island
+whole span (its form, digits, check digit) and the word before it score them, and a dynamic program over the island
 chooses boundaries and types together.  The weights are the maximum of the penalised likelihood on at most ISLANDS
 islands of about SAMPLE texts, whose labels are what the fixed patterns find.
 
-Rows: null or empty text has no spans.  The patterns' spans stay; the model's are added as kind `crf_<type>` where
+Rows: null or empty text has no spans.  Texts are worked on whole, in time that grows with their length.  The patterns' spans stay; the model's are added as kind `crf_<type>` where
 they overlap none.  Columns named base or spans are replaced; others come back.  No rows give no rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,12 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
 ADDED = tuple(f"crf_{k}" for k in KINDS)
 
-CAPABLE = re.compile(r"[^\s,;:!?\"'<>|=]*[0-9@][^\s,;:!?\"'<>|=]*")
+#: A token lies between two of these and holds one of those.
+BREAK = re.compile(r"[\s,;:!?\"'<>|=]")
 MAY_HOLD = re.compile(r"[0-9@]")
+NO_DIGITS = str.maketrans("", "", "0123456789")
+#: So many spans' scores are kept at a time, of at most so many characters each.
+SCORES, SHORT = 50_000, 40
 #: Between two tokens of an island lie so many characters at most; a segment has so many tokens at most.
 GAP, MOST = 3, 8
 SAMPLE, ISLANDS, ROUNDS = 20_000, 2000, 80
@@ -51,7 +57,7 @@ def luhn(digits: str) -> bool:
 def fits(kind: str, found: str) -> bool:
     """Whether a match of a pattern is kept."""
     if kind == "ip":
-        return all(int(x) <= 255 if len(x) <= 4300 else not x.strip("0") for x in found.split("."))
+        return all(len(x) <= 3 and int(x or 0) <= 255 for x in (part.lstrip("0") for part in found.split(".")))
     digits = re.sub("[^0-9]", "", found)
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
@@ -87,8 +93,12 @@ def base_spans(text: str) -> list[Span]:
 def islands(text: str) -> list[list[tuple[int, int]]]:
     """The tokens (start, end) of each island."""
     out: list[list[tuple[int, int]]] = []
-    for m in CAPABLE.finditer(text):
-        a, b = m.span()
+    at = 0
+    while m := MAY_HOLD.search(text, at):
+        a, end = m.start(), BREAK.search(text, m.end())
+        while a > at and not BREAK.match(text, a - 1):  # what lies before `at` is looked at no more
+            a -= 1
+        at = b = end.start() if end else len(text)
         while b > a and text[b - 1] in ".-(":
             b -= 1
         if b > a:
@@ -105,50 +115,68 @@ def before(text: str, start: int) -> str:
     return m[1].lower() if m else ""
 
 
-def features(text: str, start: int, end: int, kind: str, tokens: int, word: str) -> list[str]:
-    """What a whole span, and the word before it, show of being of a kind."""
-    s = text[start:end]
-    digits = [c for c in s if "0" <= c <= "9"]
-    parts = s.split(".")
-    ats = s.count("@")
-    found = [f"tokens{min(tokens, 5)}", f"digits{min(len(digits), 20) if len(digits) < 20 else 20}", f"ats{min(ats, 2)}"]
+def shown(s: str, tokens: int, word: str) -> list[str]:
+    """What a whole span, and the word before it, show of what it may be."""
+    bare = s.translate(NO_DIGITS)
+    n, ats = len(s) - len(bare), s.count("@")
+    found = [f"tokens{min(tokens, 5)}", f"digits{min(n, 20)}", f"ats{min(ats, 2)}"]
     if ats == 1 and EMAIL.fullmatch(s):
         found.append("email-form")
-    if len(parts) == 4 and all(x.isdecimal() and len(x) <= 3 and int(x) <= 255 for x in parts):
+    if s.count(".") == 3 and all(x.isdecimal() and len(x) <= 3 and int(x) <= 255 for x in s.split(".")):
         found.append("four-octets")
-    if s[0] == "+":
+    plus = s[0] == "+"
+    if plus:
         found.append("plus")
-    if not ats and not any(c.isalpha() for c in s):
+    if not ats and not any(map(str.isalpha, bare)):
         found.append("no-letters")
-        if 13 <= len(digits) <= 19 and luhn("".join(digits)):
+        checked = 13 <= n <= 19 and luhn(re.sub("[^0-9]", "", s))
+        if checked:
             found.append("check-digit")
-        if 9 <= len(digits) <= 15:
+        if 9 <= n <= 15:
             found.append("phone-length")
-        marks = "".join(sorted({c for c in s if not c.isdigit()}))
-        found.append(f"marks{marks[:4]}")
-    if "check-digit" in found and not set(s) - set("0123456789 -"):
-        found.append("card-form")
-    if "plus" in found and "phone-length" in found and not set(s[1:]) - set("0123456789 ().-"):
-        found.append("phone-form")
+        found.append(f"marks{''.join(sorted({c for c in bare if not c.isdigit()}))[:4]}")
+        if checked and not set(bare) - set(" -"):
+            found.append("card-form")
+        if plus and 9 <= n <= 15 and not set(bare[1:]) - set(" ().-"):
+            found.append("phone-form")
     found.append(f"after-{word}")
-    return [f"{kind}:{x}" for x in found]
+    return found
+
+
+def features(text: str, start: int, end: int, kind: str, tokens: int, word: str) -> list[str]:
+    """What a whole span, and the word before it, show of being of a kind."""
+    return [f"{kind}:{x}" for x in shown(text[start:end], tokens, word)]
 
 
 @dataclass
 class Model:
     weights: dict[str, float]
 
-    def candidates(self, text: str, tokens: list[tuple[int, int]]) -> list[list[tuple[int, str, float]]]:
+    def __post_init__(self) -> None:
+        own: dict[str, list[float]] = {}
+        for name, w in self.weights.items():
+            kind, _, x = name.partition(":")
+            own.setdefault(x, [0.0] * len(KINDS))[KINDS.index(kind)] = w
+        self._by_feature = own
+        self._scores: dict[tuple[str, int, str], tuple[float, ...]] = {}
+
+    def scores(self, s: str, tokens: int, word: str) -> tuple[float, ...]:
+        """A span's score as each kind."""
+        if (known := self._scores.get((s, tokens, word))) is None:
+            rows = [w for x in shown(s, tokens, word) if (w := self._by_feature.get(x))]
+            known = tuple(map(sum, zip(*rows, strict=True))) or (0.0,) * len(KINDS)
+            if len(s) <= SHORT:
+                if len(self._scores) >= SCORES:
+                    self._scores.clear()
+                self._scores[s, tokens, word] = known
+        return known
+
+    def candidates(self, text: str, tokens: list[tuple[int, int]]) -> Iterator[list[tuple[int, str, float]]]:
         """For each token after which a segment may end: (first token, type, score) of each candidate."""
-        out, words = [], [before(text, a) for a, _ in tokens]
-        for j in range(len(tokens)):
-            own = []
-            for i in range(max(0, j - MOST + 1), j + 1):
-                start = tokens[i][0]
-                for kind in KINDS:
-                    own.append((i, kind, sum(self.weights.get(f, 0.0) for f in features(text, start, tokens[j][1], kind, j - i + 1, words[i]))))
-            out.append(own)
-        return out
+        words: list[str] = []
+        for j, (a, end) in enumerate(tokens):
+            words.append(before(text, a))
+            yield [(i, kind, score) for i in range(max(0, j - MOST + 1), j + 1) for kind, score in zip(KINDS, self.scores(text[tokens[i][0] : end], j - i + 1, words[i]), strict=True)]
 
     def segments(self, text: str, tokens: list[tuple[int, int]]) -> list[Span]:
         """The best segments of an island; a token outside of any scores 0."""
@@ -221,13 +249,15 @@ def fit(samples: list[tuple[str, list[tuple[int, int]], list[Span]]], penalty: f
 
 
 def _labelled(text: str) -> list[dict]:
-    base = base_spans(text)
-    out = []
+    base = sorted(base_spans(text), key=lambda s: (s[1], s[0]))
+    out, at = [], 0
     for tokens in islands(text):
+        while at < len(base) and base[at][2] <= tokens[0][0]:  # before this and all later islands
+            at += 1
         if len(tokens) <= 2 * MOST:
             low, high = max(0, tokens[0][0] - REACH), tokens[-1][1]
             truth, taken = [], 0
-            for k, a, b in sorted(base, key=lambda s: (s[1], s[0])):
+            for k, a, b in takewhile(lambda s: s[1] < high, (base[x] for x in range(at, len(base)))):
                 i = [x for x, (p, q) in enumerate(tokens) if p < b and q > a]
                 if i and i[0] >= taken:
                     truth.append({"kind": k, "start": i[0], "end": i[-1]})
@@ -256,7 +286,7 @@ def spans_of(text: str, model: Model) -> tuple[list[Span], list[Span]]:
     if not MAY_HOLD.search(text):
         return [], []
     base = base_spans(text)
-    added = [(f"crf_{k}", a, b) for tokens in islands(text) for k, a, b in free_of(model.segments(text, tokens), base)]
+    added = [(f"crf_{k}", a, b) for k, a, b in free_of([s for tokens in islands(text) for s in model.segments(text, tokens)], base)]
     return base, [*base, *sorted(added, key=lambda s: (ADDED.index(s[0]), s[1]))]
 
 
