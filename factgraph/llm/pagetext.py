@@ -6,7 +6,7 @@ entropies, each from 0 (all alike) to 1 (each its own): that of its styles, if i
 text, if it has some.  Their mean is the node's importance.  That of a branch is the mean over all its nodes by the
 pages that have them, in which each level down counts GAMMA times.  It is pulled towards one half where few pages have
 the node, and added to what the node's role on the page says by itself (article text, neutral, or menus, adverts, forms
-and the like).  Text of nodes whose sum is not above 0 is removed: a branch in which no sum is above 0 goes as a whole.
+and the like).  What is named an advert, a notice or a menu never comes back, however distinct.  Text of nodes whose sum is not above 0 is removed: a branch in which no sum is above 0 goes as a whole.
 
 Only nodes that importance decides otherwise than the role alone travel back to the pages; as a rule these are few,
 so that Spark can broadcast them after a check of their size, and else shuffles.  No host is ever gathered in one task.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterable
 
 import pyarrow as pa
 import xxhash
@@ -46,10 +47,11 @@ TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption c
 NOISE = frozenset("head title nav footer aside legend label button dialog menu search".split())
 HINTS = frozenset("form fieldset".split())
 WHOLE = frozenset("html body main".split())
-NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies copyright disclaimer footer header "
-    "masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related share sharing sidebar "
-    "signup social sponsor sponsored subscribe subscription toolbar widget".split()
+NOISE_WORDS = frozenset("copyright disclaimer header masthead promo promotion related share sharing widget".split())
+#: Adverts, notices and menus are often distinct on each page, so that importance never brings these back.
+ADVERT_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies footer menu modal nav navbar navigation "
+    "newsletter notice notices pager pagination popup promoted sidebar signup social sponsor sponsored subscribe subscription toolbar".split()
 )
 #: What readers write is distinct on each page, so that these words rule as elements of noise do.
 READERS = frozenset("comment comments disqus replies reply".split())
@@ -75,12 +77,12 @@ DEEPEST = 64
 class _Node:
     """An open element: its place, the noise it is, and how much of the page's main part it is or holds."""
 
-    __slots__ = ("tag", "place", "chain", "up", "noise", "hint", "main", "within", "inside", "tops", "articles", "role", "kids")
+    __slots__ = ("tag", "place", "chain", "up", "noise", "hint", "main", "within", "inside", "tops", "articles", "role", "kids", "advert")
 
     def __init__(self, tag: str, attrs: str, up: "_Node | None"):
         self.within = up is not None and (up.main or up.within)
         self.inside = up is not None and (up.inside or (up.main and up.tag != "main"))
-        name, self.noise, self.hint, self.main = _node(tag, attrs, self.inside)
+        name, self.noise, self.advert, self.hint, self.main = _node(tag, attrs, self.inside)
         self.tag, self.up, self.kids = tag, up, []
         if up and len(up.chain) == DEEPEST:
             self.place, self.chain = up.place, up.chain
@@ -89,15 +91,33 @@ class _Node:
             self.chain = (self.place, *(up.chain if up else ()))
         if up:
             up.kids.append(name)
-        self.tops = self.articles = 0
         # a header outside of an article is the page's; one of an article has its headline
         self.hint = self.hint or (tag == "header" and not self.within)
-        if self.main:
-            at: _Node | None = self
-            while at:
-                at.tops += not self.within
-                at.articles += tag != "main"
-                at = at.up
+        # of its own; parsed() adds those within
+        self.tops, self.articles = int(self.main and not self.within), int(self.main and tag != "main")
+
+
+class _Stack:
+    """The open elements, with the places of each tag's, so that none is looked for one by one."""
+
+    def __init__(self) -> None:
+        self.nodes: list[_Node] = []
+        self.at: dict[str, list[int]] = {}
+
+    def innermost(self, tags: Iterable[str]) -> int:
+        return max((own[-1] for t in tags if (own := self.at.get(t))), default=-1)
+
+    def push(self, node: _Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close(self, tags: Iterable[str], scope: Iterable[str]) -> None:
+        """Ends the innermost open one of `tags`, with all in it, unless one of `scope` lies between."""
+        i = self.innermost(tags)
+        if i >= 0 and self.innermost(scope) <= i:
+            for x in self.nodes[i:]:
+                self.at[x.tag].pop()
+            del self.nodes[i:]
 
 
 def _named(value: str, words: frozenset[str]) -> bool:
@@ -106,10 +126,11 @@ def _named(value: str, words: frozenset[str]) -> bool:
     return any(not words.isdisjoint(x) and x <= words | BESIDE for x in parts)
 
 
-def _node(tag: str, attrs: str, inside: bool) -> tuple[str, bool, bool, bool]:
-    """The name of a node, and whether it is noise, has hints of it, or is the main part of a page; inside: of an article."""
+def _node(tag: str, attrs: str, inside: bool) -> tuple[str, bool, bool, bool, bool]:
+    """The name of a node, and whether it is noise, is named as an advert or the like, has hints of noise, or is the main
+    part of a page; inside: of an article."""
     # an aside of an article may be a quote from it
-    noise, hint, main = tag in NOISE and not (tag == "aside" and inside), tag in HINTS or tag == "aside", tag in ("article", "main")
+    noise, advert, hint, main = tag in NOISE and not (tag == "aside" and inside), False, tag in HINTS or tag == "aside", tag in ("article", "main")
     name = tag
     if attrs and not attrs.isspace():
         for m in ATTRIBUTE.finditer(attrs):
@@ -122,8 +143,9 @@ def _node(tag: str, attrs: str, inside: bool) -> tuple[str, bool, bool, bool]:
                 name += ("." if key == "class" else "#") + value
                 if tag not in WHOLE:
                     noise = noise or _named(value, READERS)
-                    hint = hint or _named(value, NOISE_WORDS)
-    return name, noise, hint, main
+                    advert = advert or _named(value, ADVERT_WORDS)
+                    hint = hint or _named(value, NOISE_WORDS | ADVERT_WORDS)
+    return name, noise, advert, hint, main
 
 
 def text_hash(text: str) -> int:
@@ -133,8 +155,7 @@ def text_hash(text: str) -> int:
 def parsed(page: str) -> tuple[list[_Node], list[tuple[_Node | None, str]]]:
     """The block elements of a page, each after the one around it, and the blocks of text with the element that has each."""
     out: list[tuple[_Node | None, str]] = []
-    stack: list[_Node] = []
-    nodes: list[_Node] = []
+    stack, nodes = _Stack(), []
     parts: list[str] = []
 
     def flush() -> None:
@@ -142,29 +163,21 @@ def parsed(page: str) -> tuple[list[_Node], list[tuple[_Node | None, str]]]:
             raw = "".join(parts)
             parts.clear()
             if text := " ".join((entities.unescape(raw) if "&" in raw else raw).split()):
-                out.append((stack[-1] if stack else None, text))
+                out.append((stack.nodes[-1] if stack.nodes else None, text))
 
-    def close(tags, scope) -> None:
-        """Ends the innermost open one of `tags`, with all in it, unless one of `scope` lies between."""
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
-            if stack[i].tag in scope:
-                return
-
-    at = 0
-    while m := MARKUP.search(page, at):  # from where a raw element ends, so that nothing in it counts as markup
+    # a tag that begins after the last `>` has no end; comments that never end take the rest
+    at, last = 0, page.rfind(">") + 1
+    while m := MARKUP.search(page, at, last):  # from where a raw element ends, so that nothing in it counts as markup
         if m.start() > at:
             parts.append(page[at : m.start()])
-        at = m.end()
+        at = len(page) if m[0].startswith("<!--") and not m[0].endswith("-->") else m.end()
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
             continue
         if m["end"] or m["end2"]:
             if tag in BLOCKS:
                 flush()
-                close({tag}, ())
+                stack.close((tag,), ())
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
@@ -172,23 +185,28 @@ def parsed(page: str) -> tuple[list[_Node], list[tuple[_Node | None, str]]]:
             parts.append(" ")
         elif tag in BLOCKS:
             flush()
-            if tag in ENDS_P:
-                close({"p"}, SCOPE)
+            if tag in ENDS_P and stack.at.get("p"):
+                stack.close(("p",), SCOPE)
             if tag in ALIKE:
-                close(ALIKE[tag], SCOPE - {"td", "th"} if tag == "tr" else SCOPE)
+                stack.close(ALIKE[tag], SCOPE - {"td", "th"} if tag == "tr" else SCOPE)
             attrs = m["attrs"] or m["attrs2"] or ""
             if not attrs.endswith("/"):
-                stack.append(_Node(tag, attrs, stack[-1] if stack else None))
-                nodes.append(stack[-1])
+                nodes.append(_Node(tag, attrs, stack.nodes[-1] if stack.nodes else None))
+                stack.push(nodes[-1])
         elif tag in ("br", "hr", "img"):
             parts.append(" ")
     if at < len(page):
-        parts.append(page[at:])
+        end = page.find("<!--", at)
+        parts.append(page[at : end if end >= 0 else len(page)])
     flush()
+    for x in reversed(nodes):  # children before parents
+        if x.up:
+            x.up.tops += x.tops
+            x.up.articles += x.articles
     tops, articles = sum(x.main and not x.within for x in nodes), sum(x.main and x.tag != "main" for x in nodes)
     for x in nodes:
         around = x.tops == tops > 0 or (x.within and x.articles == articles > 0)
-        own = NOISE_ROLE if x.noise else HINT_ROLE if x.hint and not around else 0.0
+        own = NOISE_ROLE if x.noise or (x.advert and not around) else HINT_ROLE if x.hint and not around else 0.0
         x.role = min(own, x.up.role) if x.up else own
     for x in nodes:  # children have taken what their parents are
         x.role = x.role or (NO_ROLE if not (x.main or x.within) else TEXT_ROLE if x.tag in TEXT else PART_ROLE)

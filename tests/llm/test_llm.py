@@ -1,11 +1,13 @@
 """The text operators against brute force, libraries and odd rows."""
 
 import hashlib
+import html
 import itertools
 import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -299,6 +301,35 @@ def test_hints_yield_to_the_main_part_and_to_importance(spark):
     assert [r for _, r, _ in pagetext.blocks('<main><p>a</p></main><div class="related"><article><p>b</p></article></div>')] == [pagetext.TEXT_ROLE, pagetext.HINT_ROLE]
 
 
+def test_no_advert_is_text(spark):
+    """On all pages given, the text is that of headings and paragraphs; adverts, however distinct, are not."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = pages.select("page_id", "html").join(pagetext.main_text(pages), "page_id").collect()
+    assert len(got) == pages.count()
+    for r in got:
+        # these pages are plain enough for a pattern: headings and paragraphs within the article
+        inside = re.search("<article>(.*?)</article>", r.html, re.DOTALL)[1]
+        want = [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.findall(r"<(?:h1|p)>(.*?)(?=</h1>|</p>|<p>|\Z)", inside, re.DOTALL)]
+        assert r.text.split("\n\n") == want
+    rows = [(i, "http://a.example/", f'<article><h1>H</h1><p>own {i}</p><div class="{x}"><p>Other {i} of {i * 7}</p></div></article>') for i in range(40) for x in ["ad-slot", "cookie-notice", "sponsored", "main-menu", "sidebar"][i % 5 : i % 5 + 1]]
+    assert {r.text for r in pagetext.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()} <= {f"own {i}" for i in range(40)} | {f"H\n\nown {i}" for i in range(40)}
+
+
+def test_odd_pages(spark):
+    kinds = "page_id bigint, url string, html string, key bigint, host string, turned string, text string, path string"
+    rows = [(1, None, "<p>a</p>"), (None, "http://x.example", None), (2, "", ""), (2, "", ""), (3, "http://x.example", "<article>" * 110_000 + "in"), (4, "http://x.example", "t" + " <p x='" * 140_000), (5, "http://x.example", "<p>" + "w" * 10**6)]
+    got = pagetext.main_text(spark.createDataFrame([(*r, 1, "h", "t", "x", "p") for r in rows], kinds))
+    assert sorted((str(r.page_id), len(r.text)) for r in got.collect()) == [("1", 1), ("2", 0), ("2", 0), ("3", 2), ("4", len(" ".join(("t" + " <p x='" * 140_000).split()))), ("5", 10**6), ("None", 0)]
+    assert pagetext.main_text(spark.createDataFrame([], kinds)).count() == 0
+
+
+@pytest.mark.parametrize("page", ["<article>" * 110_000, " <p x='" * 143_000, " <p x='" * 143_000 + ">", "<blockquote>" * 80_000, "<div>" * 90_000 + "</section>" * 50_000 + "<li>" * 50_000, "<!--" * 250_000])
+def test_odd_markup_takes_time_by_its_length(page):
+    start = time.process_time()
+    pagetext.blocks(page)
+    assert time.process_time() - start < 5
+
+
 def test_vector_searches(spark):
     r = sorted(spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect())
     ids, x = np.array([v.vec_id for v in r]), np.array([v.embedding for v in r], np.float64)
@@ -483,25 +514,47 @@ def test_spans_that_are_free():
 ODD_ROWS = [(1, None), (2, ""), (3, " \n\t"), (4, "same text of five words"), (4, "same text of five words"), (5, "same text of five words"), (6, "w" * 200_000), (7, "long " * 60_000), (None, "no id at all here")]
 
 
-def test_odd_rows_and_empty_tables(spark):
+THROUGH = {
+    "bpe": lambda rows: bpe.round_trip(rows, public_tokenizers.path("byte_bpe_50k.json"), keys=["doc_id"]),
+    "secrets": lambda rows: secretscan.scan(rows, secretscan.learn(rows)),
+    "language": lambda rows: langid.identify(rows, langid.learn(rows)),
+    "pii": lambda rows: pii.find(rows, pii.learn(rows)),
+    "packing": lambda rows: packing.packed(rows, public_tokenizers.path("word_bpe_49k.json")).where("piece = 0"),
+    "lines": linechunks.without_repeats,
+    "near": minhash.near_duplicates,
+}
+
+
+@pytest.mark.parametrize("name", THROUGH)
+def test_odd_rows_and_empty_tables(spark, name):
     """Nulls, repeated rows, very long texts and no rows, through every operator on texts."""
-    byte, word = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+    assert THROUGH[name](docs(spark, ODD_ROWS)).count() == len(ODD_ROWS)
+    assert THROUGH[name](docs(spark, [])).count() == 0
+
+
+def test_repeated_rows(spark):
     odd = docs(spark, ODD_ROWS)
-    for rows, n in ((odd, len(ODD_ROWS)), (docs(spark, []), 0)):
-        assert bpe.round_trip(rows, byte, keys=["doc_id"]).count() == n
-        assert secretscan.scan(rows, secretscan.learn(rows)).count() == n
-        assert langid.identify(rows, langid.learn(rows)).count() == n
-        assert pii.find(rows, pii.learn(rows)).count() == n
-        assert packing.packed(rows, word).where("piece = 0").count() == n
-        assert linechunks.without_repeats(rows).count() == n
-        near = minhash.near_duplicates(rows)
-        assert near.count() == n
     same = {r.doc_id: (r.n_shingles, r.kept) for r in minhash.near_duplicates(odd).where("doc_id BETWEEN 4 AND 5").collect()}
     assert same == {4: (1, True), 5: (1, False)}
     twice = pii.find(docs(spark, [(1, "a@b.example"), (1, "a@b.example")]), pii.learn(odd)).collect()
     assert [len(r.base) for r in twice] == [1, 1] and twice[0].ids == "x"
 
 
+@pytest.mark.parametrize("text,most", [("w" * 10**6, 5), ("call 1 " + "w" * 10**6, 5), ("1" * 10**6, 5), ("1 " * 500_000, 30), ("ab@cd.ef, x " * 80_000, 10), ("a@" + "b." * 400_000 + "_", 5)])
+def test_personal_data_in_very_long_texts(text, most):
+    model = pii.fit([("call 123456789012", [(5, 17)], [("phone", 0, 0)])], rounds=3)
+    start = time.process_time()
+    base, spans = pii.spans_of(text, model)
+    assert spans[: len(base)] == base and len(base) in (0, 1, 80_000)
+    pii._labelled(text)
+    assert time.process_time() - start < most
+
+
+def test_parts_of_an_ip_are_numbers():
+    zeros = "0" * 4301
+    assert pii.fits("ip", f"1.2.3.{zeros}1") and pii.fits("ip", f"{zeros}.0.00.255") and not pii.fits("ip", f"1.2.3.{zeros}256") and not pii.fits("ip", "1.2.3." + "1" * 5000)
+
+
 def test_pipeline_of_odd_rows(spark):
     import corpus_pipeline
 
