@@ -588,3 +588,10 @@ def test_queries_run_and_agree_with_their_sql(spark, name):
         names = [d[0] for d in found.description]
         assert sorted(names) == sorted(got.columns)
         assert sorted(str([r[n] for n in names]) for r in rows) == sorted(str(list(x)) for x in found.fetchall())
+
+
+def test_one_query_for_each_text_operator():
+    import __spark_entry__
+
+    names = list(__spark_entry__.queries())
+    assert [sum(x.startswith(f"op{n}_") for x in names) for n in range(1, 14)] == [1] * 13 and "pipeline" in names
