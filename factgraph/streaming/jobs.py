@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from factgraph.operators import runtime
 from factgraph.operators.ingest import ingest
-from factgraph.sources.facts import append_new, stored_rows
+from factgraph.streaming.spans import judged_spans, write_judged
 
 
 def stream_facts(lines: DataFrame, corpus: DataFrame, facts_path: str, quarantine_path: str, checkpoint: str) -> DataStreamWriter:
@@ -22,26 +21,28 @@ def stream_facts(lines: DataFrame, corpus: DataFrame, facts_path: str, quarantin
     return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
 
 
-def stream_spans(spans: DataFrame, table_path: str, rejects_path: str, checkpoint: str, quota: int | None = 100_000) -> DataStreamWriter:
-    """New spans into a table; spans that restate a stored key otherwise, or exceed the quota of their run over all
-    batches, into another."""
+def stream_spans(spans: DataFrame, table_path: str, rejects_path: str, checkpoint: str, quota: int | None = 100_000, ttl_ms: int | None = None) -> DataStreamWriter:
+    """New spans into a table; spans that restate a key otherwise, or exceed the quota of their run over all batches, into
+    another.  What came before is known from the state store (see `spans`), so that no table is read; the session needs
+    spark.sql.streaming.stateStore.providerClass = spans.PROVIDER when the stream starts."""
 
-    def each(batch: DataFrame, _: int) -> None:
-        stored = stored_rows(batch.sparkSession, table_path)
-        judged = runtime.dedup_spans(batch, stored.select(*runtime.SPAN_KEY, "span_hash") if stored is not None else None, quota=quota)
-        append_new(judged.where("verdict IN ('conflict', 'over_quota')"), rejects_path, [*runtime.SPAN_KEY, "span_hash"])
-        append_new(judged.where("verdict = 'new'").drop("verdict"), table_path, list(runtime.SPAN_KEY))
+    def each(judged: DataFrame, batch: int) -> None:
+        write_judged(judged, batch, table_path, rejects_path)
 
-    return spans.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return judged_spans(spans, quota, ttl_ms).writeStream.foreachBatch(each).outputMode("append").option("checkpointLocation", checkpoint)
 
 
 def late_parents(spans: DataFrame, delay: str = "10 minutes", window: str = "1 hour") -> DataFrame:
-    """Parent and child spans (event_time, run_id, trace_id, span_id, parent_span_id, node_key) of a stream, whichever
-    came first, if both come within the window."""
-    child = spans.withWatermark("event_time", delay).select("run_id", "trace_id", "parent_span_id", F.col("node_key").alias("child_node"), F.col("event_time").alias("child_time")).alias("c")
-    parent = spans.withWatermark("event_time", delay).select(F.col("run_id").alias("r"), F.col("trace_id").alias("t"), F.col("span_id").alias("s"), F.col("node_key").alias("parent_node"), F.col("event_time").alias("parent_time")).alias("p")
+    """run_id, parent_node, child_node, child_span of each child span (event_time, run_id, trace_id, span_id,
+    parent_span_id, node_key) of a stream and its parent, whichever came first, if both come within the window.
+
+    A child whose parent has not come by then is given once, without a parent, when the watermark has passed its window.
+    """
+    timed = spans.withWatermark("event_time", delay)
+    child = timed.where("parent_span_id <> ''").select("run_id", "trace_id", "parent_span_id", F.col("span_id").alias("child_span"), F.col("node_key").alias("child_node"), F.col("event_time").alias("child_time"))
+    parent = timed.select(F.col("run_id").alias("r"), F.col("trace_id").alias("t"), F.col("span_id").alias("s"), F.col("node_key").alias("parent_node"), F.col("event_time").alias("parent_time"))
     near = F.expr(f"run_id = r AND trace_id = t AND parent_span_id = s AND child_time BETWEEN parent_time - INTERVAL {window} AND parent_time + INTERVAL {window}")
-    return child.join(parent, near).select("run_id", "parent_node", "child_node")
+    return child.join(parent, near, "leftOuter").select("run_id", "parent_node", "child_node", "child_span")
 
 
 def stream_events(events: DataFrame, run_id: str, cursor: int = 0) -> DataFrame:

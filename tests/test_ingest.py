@@ -3,14 +3,15 @@
 import datetime
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from factgraph.operators import validate
+from factgraph.operators import runtime, validate
 from factgraph.operators.ingest import ingest
 from factgraph.sources import corpus, facts
-from factgraph.streaming import jobs
+from factgraph.streaming import jobs, spans
 
 TEXT = "one\ntwo\nthree"
 
@@ -59,17 +60,84 @@ def test_a_stream_keeps_to_the_batch_rules(spark, source, tmp_path):
     assert bad == sorted([("f1", n, r) for n, r in WANT] + [("f1", 90, "DUPLICATE_ID_CONFLICT")])
 
 
-def test_spans_over_all_batches(spark, tmp_path):
+@pytest.fixture
+def keyed_state(spark):
+    own = {"spark.sql.streaming.stateStore.providerClass": spans.PROVIDER, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    for name, value in own.items():
+        spark.conf.set(name, value)
+    yield
+    for name in own:
+        spark.conf.unset(name)
+
+
+def test_spans_over_all_batches(spark, keyed_state, tmp_path):
     schema = "upload int, run_id string, trace_id string, span_id string, span_hash string"
     batches = [[(1, "r", "t", f"s{i}", "h") for i in range(3)], [(2, "r", "t", "s1", "h"), (2, "r", "t", "s2", "other"), (2, "r", "t", "s3", "h"), (2, "r", "t", "s4", "h"), (2, "q", "t", "s4", "h")]]
     for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        spans = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        jobs.stream_spans(spans, f"{tmp_path}/spans", f"{tmp_path}/rejects", f"{tmp_path}/cp", quota=4).trigger(availableNow=True).start().awaitTermination()
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        jobs.stream_spans(stream, f"{tmp_path}/spans", f"{tmp_path}/rejects", f"{tmp_path}/cp", quota=4).trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.run_id, r.span_id) for r in spark.read.parquet(f"{tmp_path}/spans").collect()) == [("q", "s4"), ("r", "s0"), ("r", "s1"), ("r", "s2"), ("r", "s3")]
     assert sorted((r.span_id, r.verdict) for r in spark.read.parquet(f"{tmp_path}/rejects").collect()) == [("s2", "conflict"), ("s4", "over_quota")]
 
 
+def test_state_gives_the_verdicts_of_batches(spark, keyed_state, tmp_path):
+    """Three batches, a restart before each: each row's verdict is the batch operator's over what was stored before."""
+    schema = "upload int, run_id string, trace_id string, span_id string, span_hash string, row int"
+    rnd = random.Random(4)
+    stored, want, rows = [], {}, 0
+    for batch in range(3):
+        here = [(batch, rnd.choice(["r", "r", "q"]), f"t{rnd.randrange(3)}", f"s{rnd.randrange(25)}", rnd.choice(["h", "h", "h", "other"]), rows + i) for i in range(90)]
+        rows += len(here)
+        df = spark.createDataFrame(here, schema)
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        known = spark.createDataFrame(stored, "run_id string, trace_id string, span_id string, span_hash string") if stored else None
+        # of rows that are equal in upload and hash, either may be the first
+        verdicts = runtime.dedup_spans(df, known, quota=30).collect()
+        for r in verdicts:
+            want.setdefault((r.upload, r.run_id, r.trace_id, r.span_id, r.span_hash), []).append(r.verdict)
+        stored += [(r.run_id, r.trace_id, r.span_id, r.span_hash) for r in verdicts if r.verdict == "new"]
+        stream = spans.judged_spans(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), quota=30)
+        query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        query.awaitTermination()
+        plan = query._jsq.explainInternal(False)
+        assert "out" not in plan and "Join" not in plan
+    got = {}
+    for r in spark.read.parquet(f"{tmp_path}/out").collect():
+        got.setdefault((r.upload, r.run_id, r.trace_id, r.span_id, r.span_hash), []).append(r.verdict)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert {v for vs in got.values() for v in vs} == {"new", "duplicate", "conflict", "over_quota"}
+
+
+def test_keys_are_forgotten_in_time(spark, keyed_state, tmp_path):
+    schema = "upload int, run_id string, trace_id string, span_id string, span_hash string"
+    for ttl, want in ((None, 1), (1, 2)):
+        for upload in range(2):
+            spark.createDataFrame([(upload, "r", "t", "s", "h")], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in{ttl}")
+            stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in{ttl}")
+            jobs.stream_spans(stream, f"{tmp_path}/spans{ttl}", f"{tmp_path}/rejects{ttl}", f"{tmp_path}/cp{ttl}", None, ttl).trigger(availableNow=True).start().awaitTermination()
+        assert spark.read.parquet(f"{tmp_path}/spans{ttl}").count() == want
+
+
+def test_children_without_parents_come_after_the_watermark(spark, tmp_path):
+    at, minute = datetime.datetime(2024, 1, 1, 12), datetime.timedelta(minutes=1)
+    schema = "event_time timestamp, run_id string, trace_id string, span_id string, parent_span_id string, node_key string"
+    seen = []
+    batches = [
+        [(at, "r", "t", "orphan", "nobody", "o"), (at, "r", "t", "child", "parent", "c"), (at, "r", "t", "root", None, "root"), (at, "r", "t", "top", "", "top")],
+        [(at + 40 * minute, "r", "t", "parent", None, "p")],  # late, but within the hour
+        [(at + 65 * minute, "r", "t", "x", None, "x")],  # the watermark is 55 minutes on
+        [(at + 90 * minute, "r", "t", "y", None, "y")],  # now it has passed the hour
+        [(at + 500 * minute, "r", "t", "z", "x", "z")],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.late_parents(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+        seen.append(sorted((str(r.parent_node), r.child_node) for r in spark.read.schema("run_id string, parent_node string, child_node string, child_span string").parquet(f"{tmp_path}/out").collect()))
+    assert seen == [[], [("p", "c")], [("p", "c")], [("None", "o"), ("p", "c")], [("None", "o"), ("p", "c")]]
+
+
 def run(df, name, spark):
     df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.table(name).collect()
