@@ -100,13 +100,34 @@ def diff_edges(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def carry_reviews(latest: DataFrame, matched: DataFrame, before: DataFrame, after: DataFrame, own: DataFrame) -> DataFrame:
     """Latest reviews (stable_key, decision) of the baseline on the nodes of the new run that have none of their own:
-    as they are where the fingerprints agree, else STALE."""
-    b = before.select(F.col("stable_key").alias("before_key"), F.col("fingerprint").alias("before_print"))
-    a = after.select(F.col("stable_key").alias("after_key"), F.col("fingerprint").alias("after_print"))
-    found = latest.withColumnRenamed("stable_key", "before_key").join(matched, "before_key").join(b, "before_key").join(a, "after_key")
+    as they are where the fingerprints agree, else STALE.
+
+    `latest` may have merge_target, the key of the baseline's node that the reviewed one was merged into, and fingerprint,
+    what the reviewed node was then.  A review of another fingerprint is stale; so is a merge whose target is not in the new
+    run under the same key, or has changed there.  merge_target goes on only where the target is as it was.
+    """
+    text = F.lit(None).cast("string")
+    told = latest.select(
+        F.col("stable_key").alias("before_key"),
+        "decision",
+        (F.col("merge_target") if "merge_target" in latest.columns else text).alias("target"),
+        (F.col("fingerprint") if "fingerprint" in latest.columns else text).alias("reviewed_print"),
+    )
+    old = before.select(F.col("stable_key").alias("before_key"), F.col("fingerprint").alias("before_print"))
+    new = after.select(F.col("stable_key").alias("after_key"), F.col("fingerprint").alias("after_print"))
+    found = told.join(matched.select("before_key", "after_key"), "before_key").join(old, "before_key").join(new, "after_key")
     fresh = found.join(own.select(F.col("stable_key").alias("after_key")), "after_key", "left_anti")
-    same = F.coalesce(F.col("before_print") == F.col("after_print"), F.lit(False))
-    return fresh.select(F.col("after_key").alias("stable_key"), F.when(same, F.col("decision")).otherwise("STALE").alias("decision"), F.when(~same, "REVIEW_BECAME_STALE").alias("change_type"))
+    # targets in both runs, by key; reviews without one do not take part in the join
+    kept = old.join(new, F.col("before_key") == F.col("after_key")).where("before_print = after_print").select(F.col("after_key").alias("target"), F.lit(True).alias("target_kept"))
+    merged = fresh.where("target IS NOT NULL").join(kept, "target", "left").unionByName(fresh.where("target IS NULL"), allowMissingColumns=True)
+    holds = F.coalesce("target_kept", F.lit(False))
+    same = F.coalesce(F.col("before_print") == F.col("after_print"), F.lit(False)) & F.coalesce(F.col("reviewed_print") == F.col("before_print"), F.lit(True)) & (F.col("target").isNull() | holds)
+    return merged.select(
+        F.col("after_key").alias("stable_key"),
+        F.when(same, F.col("decision")).otherwise("STALE").alias("decision"),
+        F.when(holds, F.col("target")).alias("merge_target"),
+        F.when(~same, "REVIEW_BECAME_STALE").alias("change_type"),
+    )
 
 
 def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -211,10 +211,9 @@ def df6_diff_nodes(t: Tables) -> DataFrame:
     return diff.diff_nodes(before, after, diff.match_nodes(before, after)).select("stable_key", "change_type", "impact")
 
 
-@query(EDGE + """, q_b AS (SELECT * FROM q_edge WHERE run_id = 'R1'), q_a AS (SELECT * FROM q_edge WHERE run_id = 'R2')
-SELECT coalesce(b.source_key, a.source_key) AS source_key, coalesce(b.target_key, a.target_key) AS target_key, coalesce(b.kind, a.kind) AS kind,
-  CASE WHEN a.kind IS NULL THEN 'REMOVED' WHEN b.kind IS NULL THEN 'ADDED' ELSE 'CONFIDENCE_CHANGED' END AS change_type
-FROM q_b b FULL JOIN q_a a ON a.source_key = b.source_key AND a.target_key = b.target_key AND a.kind = b.kind WHERE a.kind IS NULL OR b.kind IS NULL OR a.confidence <> b.confidence""")
+@query(EDGE + """ SELECT source_key, target_key, kind,
+  CASE WHEN max(run_id) = 'R1' THEN 'REMOVED' WHEN min(run_id) = 'R2' THEN 'ADDED' ELSE 'CONFIDENCE_CHANGED' END AS change_type
+FROM q_edge GROUP BY source_key, target_key, kind HAVING count(*) = 1 OR min(confidence) <> max(confidence)""")
 def df5_diff_edges(t: Tables) -> DataFrame:
     shaped = t.edges.withColumn("evidence_fingerprint", F.lit(None).cast("string"))
     return diff.diff_edges(shaped.where("run_id = 'R1'"), shaped.where("run_id = 'R2'")).select("source_key", "target_key", "kind", "change_type")
@@ -230,6 +229,73 @@ def df7_carry_reviews(t: Tables) -> DataFrame:
     return diff.carry_reviews(latest, diff.match_nodes(before, after), before, after, own).select("stable_key", "decision")
 
 
+SAME = "{0}.kind = {1}.kind AND {0}.owner_key = {1}.owner_key AND {0}.symbol = {1}.symbol AND {0}.first_threshold = {1}.first_threshold"
+
+
+@query(
+    PAIRS
+    + f""", q_merge AS (SELECT 'order:' || o_orderkey AS stable_key, CASE WHEN o_orderkey % 4 = 0 THEN 'CONFIRMED' ELSE 'MERGED' END AS decision,
+  CASE WHEN o_orderkey % 4 <> 0 THEN 'order:' || (o_orderkey * 7 % 1009) END AS target, o_orderkey % 9 = 0 AS early FROM orders),
+q_carry AS (
+  SELECT m.after_key AS stable_key, r.decision, CASE WHEN {SAME.format("x", "y")} THEN r.target END AS merge_target, coalesce({SAME.format("b", "a")}, false) AND NOT r.early AND (r.target IS NULL OR coalesce({SAME.format("x", "y")}, false)) AS same
+  FROM q_merge r JOIN q_match m ON m.before_key = r.stable_key JOIN q_b b ON b.stable_key = m.before_key JOIN q_a a ON a.stable_key = m.after_key
+  LEFT JOIN q_b x ON x.stable_key = r.target LEFT JOIN q_a y ON y.stable_key = r.target
+  WHERE m.after_key NOT IN (SELECT 'order:' || doc_id FROM labels)
+)
+SELECT stable_key, CASE WHEN same THEN decision ELSE 'STALE' END AS decision, merge_target, CASE WHEN NOT same THEN 'REVIEW_BECAME_STALE' END AS change_type FROM q_carry"""
+)
+def df7_carry_merges(t: Tables) -> DataFrame:
+    """Reviews of all orders, most of them merged into another one that may have changed, gone or been renamed since."""
+    before, after = _runs(t)
+    k = F.col("o_orderkey")
+    latest = t.table("orders").select(
+        F.concat(F.lit("order:"), k).alias("stable_key"),
+        F.when(k % 4 == 0, "CONFIRMED").otherwise("MERGED").alias("decision"),
+        F.when(k % 4 != 0, F.concat(F.lit("order:"), k * 7 % 1009)).alias("merge_target"),
+        F.when(k % 9 == 0, "of an earlier text").alias("fingerprint"),
+    )
+    own = t.table("labels").select(F.concat(F.lit("order:"), "doc_id").alias("stable_key"))
+    return diff.carry_reviews(latest, diff.match_nodes(before, after), before, after, own)
+
+
+#: For each remainder of doc_id by 12: a property that changes between two runs, and what that means.
+TURNS = ["", "operator", "threshold", *(key for key, _ in V.IMPACT_KEYS)]
+
+
+def _told(turn: str, run: int) -> str:
+    """SQL of a node's properties in one of two runs over documents."""
+    operator, value = ("GREATER_THAN" if run and turn == "operator" else "LESS_THAN"), (300 if run and turn == "threshold" else 500)
+    more = f',"{turn}":"run {run}"' if turn in dict(V.IMPACT_KEYS) else f',"other":"run {run}"' if turn == "other" else ""
+    return f"""'{{"normalizedCondition":{{"type":"COMPARISON","operator":"{operator}","right":{{"type":"LITERAL","value":{value}}}}}{more},"filePath":"'"""
+
+
+def _states(run: int) -> str:
+    turns = [*TURNS, "other"]
+    props = "CASE doc_id % 12 " + " ".join(f"WHEN {k} THEN {_told(x, run)}" for k, x in enumerate(turns)) + f" ELSE {_told('', run)} END"
+    path = "CASE WHEN doc_id % 7 = 0 THEN 'moved/' ELSE 'src/' END" if run else "'src/'"
+    text = "CASE WHEN doc_id % 5 = 0 THEN text || '.' ELSE text END" if run else "text"
+    return f"SELECT 'doc:' || doc_id AS stable_key, 'METHOD' AS kind, {props} || {path} || doc_id || '\"}}' AS properties, CASE WHEN doc_id % 11 = {run} THEN 0.5 ELSE 0.9 END AS confidence, {text} AS cited FROM documents"
+
+
+IMPACTS = " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(["", "OPERATOR_CHANGED", "THRESHOLD_CHANGED", *(name for _, name in V.IMPACT_KEYS), "BEHAVIOR_CHANGED"]) if k)
+
+
+@query(f"""WITH q_pair AS (SELECT b.stable_key, CAST(substr(b.stable_key, 5) AS BIGINT) AS k, b.properties AS bp, a.properties AS ap, b.confidence AS bc, a.confidence AS ac, b.cited AS bt, a.cited AS at_ FROM ({_states(0)}) b JOIN ({_states(1)}) a ON a.stable_key = b.stable_key)
+SELECT stable_key, 'MOVED' AS change_type, 'SOURCE_MOVED' AS impact FROM q_pair WHERE bp LIKE '%"filePath":"src/%' AND ap LIKE '%"filePath":"moved/%'
+UNION ALL SELECT stable_key, 'MODIFIED', CASE k % 12 {IMPACTS} END FROM q_pair WHERE split_part(bp, ',"filePath"', 1) <> split_part(ap, ',"filePath"', 1)
+UNION ALL SELECT stable_key, 'CONFIDENCE_CHANGED', 'CONFIDENCE_CHANGED' FROM q_pair WHERE bc <> ac
+UNION ALL SELECT stable_key, 'EVIDENCE_CHANGED', 'SOURCE_EVIDENCE_CHANGED' FROM q_pair WHERE bt <> at_""")
+def df2_compare_pairs(t: Tables) -> DataFrame:
+    """Every kind of change and impact, between two runs whose nodes cite the documents."""
+    t.table("documents").createOrReplaceTempView("documents_of_runs")
+    shaped = []
+    for run in (0, 1):
+        found = t.spark.sql(_states(run).replace("FROM documents", "FROM documents_of_runs"))
+        prints = F.sha2("cited", 256).alias("evidence_fingerprint")
+        shaped.append(found.select("stable_key", "kind", "properties", F.col("confidence").cast("double").alias("confidence"), S.fingerprint(F.col("kind"), F.col("properties")).alias("fingerprint"), S.structural(F.col("kind"), F.col("properties")).alias("structural_fingerprint"), prints))
+    return diff.diff_nodes(*shaped, diff.match_nodes(*shaped)).select("stable_key", "change_type", "impact")
+
+
 @query(ALL + " SELECT n.run_id, n.stable_key, coalesce(r.decision, 'UNREVIEWED') AS decision FROM q_all n LEFT JOIN q_review r ON r.run_id = n.run_id AND r.stable_key = n.stable_key")
 def qry1_latest_review(t: Tables) -> DataFrame:
     return projections.latest_review(t.all_nodes, t.b_review).select("run_id", "stable_key", "decision")

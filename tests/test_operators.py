@@ -157,3 +157,18 @@ def test_append_is_idempotent(spark, tmp_path):
     for _ in range(2):
         facts.append_new(df, str(tmp_path / "t"), ["execution_id", "fact_id"])
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_merges_follow_their_targets(spark):
+    nodes = "stable_key string, fingerprint string"
+    before = spark.createDataFrame([(k, k) for k in ("a", "b", "c", "d", "e", "f", "kept", "changed", "gone", "renamed")], nodes)
+    after = spark.createDataFrame([(k, k) for k in ("a", "b", "c", "d", "e", "f", "kept", "renamed2")] + [("changed", "other")], nodes)
+    matched = spark.createDataFrame([(k, k) for k in ("a", "b", "c", "d", "e", "f", "kept", "changed")] + [("renamed", "renamed2")], "before_key string, after_key string")
+    rows = [("a", "MERGED", "kept", "a"), ("b", "MERGED", "changed", "b"), ("c", "MERGED", "gone", "c"), ("d", "MERGED", "renamed", "d"), ("e", "CONFIRMED", None, None), ("f", "CONFIRMED", None, "earlier"), ("renamed", "EDITED", None, "renamed")]
+    latest = spark.createDataFrame(rows, "stable_key string, decision string, merge_target string, fingerprint string")
+    own = spark.createDataFrame([], "stable_key string")
+    # a match by symbol carries the node's own review, as its fingerprint says; a merge needs its target under the same key
+    got = {r.stable_key: (r.decision, r.merge_target, r.change_type) for r in diff.carry_reviews(latest, matched, before, after, own).collect()}
+    stale = ("STALE", None, "REVIEW_BECAME_STALE")
+    assert got == {"a": ("MERGED", "kept", None), "b": stale, "c": stale, "d": stale, "e": ("CONFIRMED", None, None), "f": stale, "renamed2": stale}
+    assert diff.carry_reviews(latest, matched, before, after, own.union(spark.createDataFrame([("a",)], "stable_key string"))).where("stable_key = 'a'").count() == 0

@@ -8,7 +8,7 @@ import pytest
 from factgraph.plans import registry as queries
 
 SF = "/root/testdata/sf0.001"
-FEW = ["gb6_merge_nodes", "gb10_missing_nodes", "gb4_classify_rules", "val6_dedup_facts", "df1_match_nodes", "rt3_match_spans", "qry24_review_queue", "ops6_ready_tasks", "val1_fact_schema", "val5_check_evidence", "src4_read_otlp", "fn17_endpoint_title"]
+FEW = ["gb6_merge_nodes", "gb10_missing_nodes", "gb4_classify_rules", "val6_dedup_facts", "df1_match_nodes", "df2_compare_pairs", "df5_diff_edges", "df7_carry_merges", "rt3_match_spans", "qry24_review_queue", "ops6_ready_tasks", "val1_fact_schema", "val5_check_evidence", "src4_read_otlp", "fn17_endpoint_title"]
 
 
 @pytest.fixture(scope="module")
