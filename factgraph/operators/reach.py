@@ -6,9 +6,10 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factgraph.functions import semantics as S
 from factgraph.functions import vocabulary as V
 
 
@@ -91,17 +92,35 @@ def scenario_members(nodes: DataFrame, edges: DataFrame, max_depth: int = 8, max
     return members, flags
 
 
-def scenario_model(members: DataFrame, flags: DataFrame) -> DataFrame:
-    """What each scenario holds, by kind, with its asynchronous and unresolved members and its least confidence."""
+#: What a scenario takes from its entry point's properties, as JSON, and what stands there if the entry says nothing.
+FROM_ENTRY = {"actors": ("actors", "[]"), "input_contract": ("inputContract", "{}"), "preconditions": ("preconditions", "[]")}
+
+
+def scenario_model(members: DataFrame, flags: DataFrame, entries: DataFrame) -> DataFrame:
+    """What each scenario holds, in the order in which its paths discovered it: members by kind, asynchronous boundaries
+    and unresolved ends; its least confidence; and actors, input contract and preconditions as its entry point states them.
+
+    entries: run_id, stable_key, properties (JSON) of entry points.  A scenario has 500 members at most.
+    """
     asynchronous = F.col("kind").isin(*V.ASYNC_KINDS) & (F.col("depth") > 0) & ~F.col("unresolved")
-    by_kind = members.groupBy("run_id", "entry_key", "kind").agg(F.array_sort(F.collect_list(F.when(asynchronous, F.col("member_key")))).alias("async_keys"), F.array_sort(F.collect_list(F.when(F.col("unresolved"), F.col("member_key")))).alias("lost"), F.array_sort(F.collect_list("member_key")).alias("keys"), F.min("confidence").alias("confidence"))
-    out = by_kind.groupBy("run_id", "entry_key").agg(
-        F.array_sort(F.flatten(F.collect_list("async_keys"))).alias("async_boundaries"),
-        F.array_sort(F.flatten(F.collect_list("lost"))).alias("unresolved"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "keys")))).alias("members_by_kind"),
-        F.min("confidence").alias("confidence"),
+    met = F.array_sort(F.collect_list(F.struct("position", "member_key", "kind", asynchronous.alias("asynchronous"), "unresolved"))).alias("met")
+    out = members.groupBy("run_id", "entry_key").agg(met, F.min("confidence").alias("confidence"))
+
+    def keys(chosen) -> Column:
+        return F.transform(F.filter("met", chosen), lambda x: x["member_key"])
+
+    kinds = F.array_distinct(F.transform("met", lambda x: x["kind"]))
+    out = out.select(
+        "run_id",
+        "entry_key",
+        keys(lambda x: x["asynchronous"]).alias("async_boundaries"),
+        keys(lambda x: x["unresolved"]).alias("unresolved"),
+        F.map_from_entries(F.transform(kinds, lambda k: F.struct(k, keys(lambda x: x["kind"] == k)))).alias("members_by_kind"),
+        "confidence",
     )
-    return out.join(flags, ["run_id", "entry_key"]).withColumn("path_order_known", F.lit(False))
+    said = entries.select("run_id", F.col("stable_key").alias("entry_key"), *[S.prop(F.col("properties"), key).alias(c) for c, (key, _) in FROM_ENTRY.items()])
+    out = out.join(flags, ["run_id", "entry_key"]).join(said, ["run_id", "entry_key"], "left").withColumn("path_order_known", F.lit(False))
+    return out.withColumns({c: F.coalesce(c, F.lit(none)) for c, (_, none) in FROM_ENTRY.items()})
 
 
 def scenario_nodes(members: DataFrame, prints: DataFrame) -> DataFrame:

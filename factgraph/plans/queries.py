@@ -427,14 +427,68 @@ def qry14_lifted_edges(t: Tables) -> DataFrame:
     return reach.lifted_edges(page, t.edges).select("run_id", "source_key", "target_key")
 
 
-@query()
+def _search(depth: int = 8, most: int = 120) -> str:
+    """SQL of the whole breadth-first search, a few views a level: q_member, and q_cut, the scenarios that budgets cut."""
+    out = ALL + f""",
+q_way AS MATERIALIZED (
+  SELECT e.run_id, e.source_key, e.target_key, e.kind AS edge_kind, e.confidence AS edge_confidence, row_number() OVER (PARTITION BY e.run_id, e.source_key ORDER BY e.target_key, e.kind) AS turn
+  FROM q_edge e SEMI JOIN q_all n ON n.run_id = e.run_id AND n.stable_key = e.target_key WHERE e.kind IN {_in(V.TRAVERSABLE)}
+),
+q_member0 AS MATERIALIZED (SELECT run_id, stable_key AS entry_key, stable_key AS member_key, kind, 0 AS depth, CAST(1 AS BIGINT) AS position, confidence, unresolved FROM q_all WHERE kind IN {_in(V.ENTRY_KINDS)})"""
+    for d in range(depth + 1):
+        seen = " UNION ALL ".join(f"SELECT run_id, entry_key, member_key FROM q_member{k}" for k in range(d + 1))
+        out += f""",
+q_step{d} AS MATERIALIZED (
+  SELECT l.run_id, l.entry_key, l.position AS parent, l.confidence AS path_confidence, w.* EXCLUDE (run_id, source_key) FROM q_member{d} l JOIN q_way w ON w.run_id = l.run_id AND w.source_key = l.member_key
+  WHERE l.unresolved = 0 {f"AND l.kind NOT IN {_in(V.ASYNC_KINDS)}" if d else ""}
+),
+q_seen{d} AS MATERIALIZED ({seen}),
+q_next{d} AS MATERIALIZED (
+  SELECT f.run_id, f.entry_key, f.target_key AS member_key, n.kind, n.unresolved, least(f.path_confidence, f.edge_confidence, n.confidence) AS confidence,
+    z.size + row_number() OVER (PARTITION BY f.run_id, f.entry_key ORDER BY parent, target_key, edge_kind) AS position
+  FROM (SELECT s.* FROM q_step{d} s ANTI JOIN q_seen{d} m ON m.run_id = s.run_id AND m.entry_key = s.entry_key AND m.member_key = s.target_key WHERE turn <= {most + 1}
+    QUALIFY row_number() OVER (PARTITION BY s.run_id, s.entry_key, s.target_key ORDER BY parent, edge_kind) = 1) f
+  JOIN q_all n ON n.run_id = f.run_id AND n.stable_key = f.target_key JOIN (SELECT run_id, entry_key, count(*) AS size FROM q_seen{d} GROUP BY ALL) z ON z.run_id = f.run_id AND z.entry_key = f.entry_key
+  WHERE n.kind <> 'TECHNICAL_GUARD'
+),
+q_cut{d} AS (SELECT run_id, entry_key FROM q_step{d} WHERE turn > {most} UNION SELECT run_id, entry_key FROM q_next{d} {f"WHERE position > {most}" if d < depth else ""})"""
+        if d < depth:
+            out += f""",
+q_member{d + 1} AS MATERIALIZED (SELECT run_id, entry_key, member_key, kind, {d + 1} AS depth, position, confidence, unresolved FROM q_next{d} WHERE position <= {most})"""
+    union = {x: f" {how} ".join(f"SELECT * FROM q_{x}{k}" for k in range(depth + 1)) for x, how in (("member", "UNION ALL"), ("cut", "UNION"))}
+    return out + f", q_member AS MATERIALIZED ({union['member']}), q_cut AS MATERIALIZED ({union['cut']})"
+
+
+SEARCH = _search()
+
+
+@query(SEARCH + " SELECT run_id, entry_key, member_key, kind, depth, position, CAST(round(confidence * 100) AS BIGINT) AS confidence FROM q_member")
 def sc1_scenario_members(t: Tables) -> DataFrame:
-    """By the budgets of a run; tests hold it against a plain search, and sc1_one_step against SQL."""
-    return t.members.select("run_id", "entry_key", "member_key", "kind", "depth", "position", "confidence")
+    """By the budgets of a run."""
+    return t.members.select("run_id", "entry_key", "member_key", "kind", "depth", "position", F.round(F.col("confidence") * 100).cast("long").alias("confidence"))
+
+
+#: An entry's properties by its customer, in both engines' SQL.
+SAID = """'{"actors":["' || c_mktsegment || '"]' || CASE WHEN c_custkey % 3 = 0 THEN ',"inputContract":{"nation":' || c_nationkey || '}' ELSE '' END || CASE WHEN c_custkey % 5 = 0 THEN ',"preconditions":["known"]}' ELSE '}' END"""
 
 
-@query()
+@query(
+    SEARCH
+    + f""", q_kind AS (SELECT run_id, entry_key, kind, min(position) AS first, kind || '=' || string_agg(member_key, ',' ORDER BY position) AS own FROM q_member GROUP BY run_id, entry_key, kind),
+q_kinds AS (SELECT run_id, entry_key, CAST(count(*) AS BIGINT) AS n_kinds, sha256(string_agg(own, ';' ORDER BY first)) AS members FROM q_kind GROUP BY ALL),
+q_sum AS (
+  SELECT run_id, entry_key, CAST(round(min(x.confidence) * 100) AS BIGINT) AS confidence, count(*) FILTER (WHERE x.unresolved = 1) AS n_unresolved, coalesce(string_agg(member_key, ',' ORDER BY position) FILTER (WHERE x.unresolved = 1), '') AS unresolved,
+    count(*) FILTER (WHERE kind IN {_in(V.ASYNC_KINDS)} AND depth > 0 AND x.unresolved = 0) AS n_async FROM q_member x GROUP BY run_id, entry_key
+)
+SELECT s.*, k.n_kinds, k.members, c.run_id IS NOT NULL AS truncated, '["' || c_mktsegment || '"]' AS actors, CASE WHEN c_custkey % 3 = 0 THEN '{{"nation":' || c_nationkey || '}}' ELSE '{{}}' END AS input_contract, CASE WHEN c_custkey % 5 = 0 THEN '["known"]' ELSE '[]' END AS preconditions
+FROM q_sum s JOIN q_kinds k ON k.run_id = s.run_id AND k.entry_key = s.entry_key LEFT JOIN q_cut c ON c.run_id = s.run_id AND c.entry_key = s.entry_key JOIN customer ON 'customer:' || c_custkey = s.entry_key"""
+)
 def sc3_scenario_model(t: Tables) -> DataFrame:
-    model = reach.scenario_model(t.members, t.scenario_flags)
-    sizes = [F.size(c).alias(f"n_{n}") for c, n in (("async_boundaries", "async"), ("unresolved", "unresolved"), ("members_by_kind", "kinds"))]
-    return model.select("run_id", "entry_key", *sizes, "confidence", "truncated")
+    """Members by kind in the order of their discovery, as a hash; entries are customers, who state their own contract."""
+    customers = t.table("customer").select(F.concat(F.lit("customer:"), "c_custkey").alias("stable_key"), F.expr(SAID).alias("properties"))
+    entries = t.members.where("depth = 0").select("run_id", F.col("entry_key").alias("stable_key")).join(customers, "stable_key")
+    model = reach.scenario_model(t.members, t.scenario_flags, entries)
+    sizes = [F.size(c).cast("long").alias(f"n_{n}") for c, n in (("async_boundaries", "async"), ("unresolved", "unresolved"), ("members_by_kind", "kinds"))]
+    told = F.array_join(F.transform(F.map_entries("members_by_kind"), lambda x: F.concat(x["key"], F.lit("="), F.array_join(x["value"], ","))), ";")
+    lost = F.array_join("unresolved", ",").alias("unresolved")
+    return model.select("run_id", "entry_key", *sizes, F.round(F.col("confidence") * 100).cast("long").alias("confidence"), "truncated", F.sha2(told, 256).alias("members"), lost, *reach.FROM_ENTRY)

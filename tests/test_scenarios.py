@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 from factgraph.functions import vocabulary as V
+from factgraph.operators import reach
 from factgraph.plans import registry
 from factgraph.plans.tables import Tables
 
@@ -47,3 +48,16 @@ def test_scenarios_of_the_tables(spark):
     for k, (members, cut) in want.items():
         assert (model[k].truncated, model[k].n_unresolved, model[k].n_kinds) == (cut, sum(m in lost for m, _ in members), len({kinds[m] for m, _ in members}))
         assert model[k].n_async == sum(d > 0 and kinds[m] in V.ASYNC_KINDS and m not in lost for m, d in members)
+
+
+def test_a_model_keeps_the_order_of_discovery(spark):
+    members = [("r", "e", "e", "ENDPOINT", 0, 1, 0.9, False), ("r", "e", "z", "METHOD", 1, 2, 0.8, False), ("r", "e", "a", "EXTERNAL_CALL", 1, 3, 0.7, False), ("r", "e", "b", "METHOD", 2, 4, 0.6, False), ("r", "e", "y", "LOST", 2, 5, 0.0, True), ("r", "e", "x", "LOST", 3, 6, 0.5, True), ("r", "f", "f", "MESSAGE_CONSUMER", 0, 1, 0.9, False)]
+    df = spark.createDataFrame(members, "run_id string, entry_key string, member_key string, kind string, depth int, position bigint, confidence double, unresolved boolean")
+    flags = spark.createDataFrame([("r", "e", True), ("r", "f", False)], "run_id string, entry_key string, truncated boolean")
+    entries = spark.createDataFrame([("r", "e", '{"actors":["clerk"],"inputContract":{"id":"long"},"preconditions":["open","paid"]}')], "run_id string, stable_key string, properties string")
+    got = {r.entry_key: r for r in reach.scenario_model(df, flags, entries).collect()}
+    e, f = got["e"], got["f"]
+    assert (e.async_boundaries, e.unresolved, list(e.members_by_kind.items())) == (["a"], ["y", "x"], [("ENDPOINT", ["e"]), ("METHOD", ["z", "b"]), ("EXTERNAL_CALL", ["a"]), ("LOST", ["y", "x"])])
+    assert (e.actors, e.input_contract, e.preconditions, e.confidence, e.truncated) == ('["clerk"]', '{"id":"long"}', '["open","paid"]', 0.0, True)
+    # an entry of an asynchronous kind is no boundary of its own; what an entry does not state is empty
+    assert (f.async_boundaries, f.actors, f.input_contract, f.preconditions) == ([], "[]", "{}", "[]")
