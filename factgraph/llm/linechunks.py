@@ -1,11 +1,15 @@
 """Operator 7: removal of multi-line passages that repeat anywhere in the corpus, by content-defined line chunks.
 
-Each line that is not blank makes a chunk with the next such line and the blank lines between.  Where a chunk begins and
-ends depends on these two lines alone, and chunks overlap by a line, so that the same passage of two lines or more is cut
-alike wherever it stands, and its equal chunks together reach from its first line to its last.  Of equal chunks the one
-with the smallest (doc_id, text hash, place) stays; the lines of the others go once their bytes are found equal to the
-bytes of that one.  A line that goes has a copy at an earlier place, so that one copy of each line stays.  What goes
-through shuffles besides hashes are the texts, once, and the kept one of each repeated chunk.
+A hash rolls over the hashes of WINDOW lines; where its low BITS bits are zero, a long chunk ends.  Boundaries hang on the
+lines around them alone, so that a passage is cut alike wherever it stands, whatever was put before it.  Long chunks that
+repeat go as wholes.  What they leave of a passage, at its ends or where it is too short to hold two boundaries, is found by
+short chunks, for which each window is a boundary: each line that is not blank makes one with the next such line and the
+blank lines between.  Short chunks within a long one that goes are not looked at; an earlier copy has them all.
+
+Of equal chunks the one with the smallest (doc_id, text hash, place) stays; the lines of the others go once their bytes are
+found equal to the bytes of that one.  A line that goes has a copy at an earlier place, so that one copy of each line stays,
+and what goes are all repeated passages of two lines or more.  What goes through shuffles besides hashes are the texts,
+once, and the kept one of each repeated chunk.
 
 Rows: null text stays null; texts of one line, and blank lines outside of chunks, stay as they are.  Rows without id
 stay as they are.  Repeated rows (same doc_id and text) count as one document and stay alike.  Other columns, of any
@@ -22,41 +26,87 @@ from pyspark.sql import types as T
 
 from factgraph.llm.common import by_batch, stored, table, texts
 
+#: Lines that the rolling hash covers, and how many of its bits are zero at a boundary: a long chunk has 2 ** BITS lines on average.
+WINDOW, BITS = 2, 3
+BASE, ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+Chunk = tuple[int, int]  # first line, line after the last
+
+
+def full_lines(lines: list[str]) -> list[int]:
+    """The places of the lines that are not blank; the others count with these."""
+    return [i for i, x in enumerate(lines) if x.strip()]
+
 
-def chunks(text: str) -> list[tuple[int, int]]:
-    """(first line, line after the last) of each chunk; none for a single line."""
-    full = [i for i, x in enumerate(text.split("\n")) if x.strip()]
+def chunks(text: str) -> list[Chunk]:
+    """The short chunks; none for a single line."""
+    full = full_lines(text.split("\n"))
     return [(x, y + 1) for x, y in zip(full, full[1:])]
 
 
+def boundaries(hashes: list[int]) -> list[int]:
+    """How many lines, of which these are the hashes, stand before each boundary."""
+    out, rolling, drop = [], 0, pow(BASE, WINDOW, 1 << 64)
+    for i, h in enumerate(hashes):
+        rolling = (rolling * BASE + h) & ALL
+        if i >= WINDOW:
+            rolling = (rolling - hashes[i - WINDOW] * drop) & ALL
+        # the high bits of a product are better mixed than its low ones
+        if i >= WINDOW - 1 and not ((rolling ^ (rolling >> 29)) * BASE & ALL) >> (64 - BITS):
+            out.append(i + 1)
+    return out
+
+
+def long_chunks(lines: list[str], full: list[int]) -> list[tuple[int, int]]:
+    """(first, after the last) of each long chunk, as places in `full`, several lines each."""
+    ends = [0, *boundaries([xxhash.xxh3_64_intdigest(lines[i].encode("utf-8", "surrogatepass")) for i in full]), len(full)]
+    return [(x, y) for x, y in zip(ends, ends[1:]) if y - x > 1]
+
+
+PLACE = ["id_key", "text_key", "first", "last"]
+
+
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """id_key, text_key, chunk (from 0), h: the chunks of each document."""
+    """id_key, text_key, first, last, within, h: the chunks of each document; within: the first line of the long chunk that
+    a short one lies in, -1 if in none, null for long ones."""
     src = docs.where("doc_id IS NOT NULL").select("id_key", "text_key", "text")
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        row, no, h = [], [], []
+        row, first, last, within, h = [], [], [], [], []
+
+        def add(k: int, lines: list[str], x: int, y: int, up: int | None) -> None:
+            row.append(k)
+            first.append(x)
+            last.append(y)
+            within.append(up)
+            h.append(xxhash.xxh3_128_digest("\n".join(lines[x:y]).encode("utf-8", "surrogatepass")))
+
         for k, text in enumerate(texts(b)):
-            found = chunks(text)
-            lines = text.split("\n") if found else ()
-            for c, (x, y) in enumerate(found):
-                row.append(k)
-                no.append(c)
-                h.append(xxhash.xxh3_128_digest("\n".join(lines[x:y]).encode("utf-8", "surrogatepass")))
+            lines = text.split("\n") if "\n" in text else ()
+            full = full_lines(lines)
+            if len(full) < 2:
+                continue
+            up = [-1] * len(full)  # of the chunk of each line and the next
+            for x, y in long_chunks(lines, full):
+                add(k, lines, full[x], full[y - 1] + 1, None)
+                up[x : y - 1] = [full[x]] * (y - 1 - x)
+            for i in range(len(full) - 1):
+                add(k, lines, full[i], full[i + 1] + 1, up[i])
         row = pa.array(row, pa.int64())
-        return pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(no, pa.int32()), pa.array(h, pa.binary())], names=["id_key", "text_key", "chunk", "h"])
+        made = [pa.array(x, pa.int32()) for x in (first, last, within)]
+        return pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), *made, pa.array(h, pa.binary())], names=[*PLACE, "within", "h"])
 
-    return src.mapInArrow(by_batch(one), T.StructType([src.schema["id_key"], T.StructField("text_key", T.LongType()), T.StructField("chunk", T.IntegerType()), T.StructField("h", T.BinaryType())]))
+    return src.mapInArrow(by_batch(one), T.StructType([src.schema["id_key"], *T._parse_datatype_string("text_key bigint, first int, last int, within int, h binary").fields]))
 
 
 def _bodies(b: pa.RecordBatch) -> pa.RecordBatch:
     """From text and the chunks asked for with their hashes: the hash and text of each."""
     h, body = [], []
     for text, asked in zip(texts(b), b.column(b.schema.get_field_index("asked")).to_pylist(), strict=True):
-        lines, found = text.split("\n"), chunks(text)
+        lines = text.split("\n")
         for x in asked:
-            first, last = found[x["chunk"]]
             h.append(x["h"])
-            body.append("\n".join(lines[first:last]))
+            body.append("\n".join(lines[x["first"] : x["last"]]))
     return pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array(body, pa.string())], names=["h", "body"])
 
 
@@ -67,12 +117,9 @@ def _without(b: pa.RecordBatch) -> pa.RecordBatch:
     for text, repeats in zip(raw, b.column(b.schema.get_field_index("repeats")).to_pylist(), strict=True):
         lines = (text or "").split("\n")
         gone: set[int] = set()
-        if repeats:
-            found = chunks(text)
-            for x in repeats:
-                first, last = found[x["chunk"]]
-                if "\n".join(lines[first:last]) == x["body"]:
-                    gone.update(range(first, last))
+        for x in repeats or ():
+            if "\n".join(lines[x["first"] : x["last"]]) == x["body"]:
+                gone.update(range(x["first"], x["last"]))
         made.append("\n".join([x for i, x in enumerate(lines) if i not in gone]) if gone else text)
         n_lines.append(len(lines) if text else 0)
         n_removed.append(len(gone))
@@ -80,6 +127,16 @@ def _without(b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), pa.array(made, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], names=[*(b.schema.field(i).name for i in rest), "text", "n_lines", "n_removed"])
 
 
+def _kept(chunks_: DataFrame) -> DataFrame:
+    """h and the place of the one that stays of each repeated chunk."""
+    return stored(chunks_.groupBy("h").agg(F.min(F.struct(*PLACE)).alias("k"), F.count("*").alias("n")).where("n > 1").select("h", "k"), "kept-chunks")
+
+
+def _copies(chunks_: DataFrame, kept: DataFrame) -> DataFrame:
+    """The repeated chunks that do not stay; a hash that many have can be split, as both sides come from tables."""
+    return chunks_.join(kept, "h").where(F.struct(*PLACE) != F.col("k")).select(*PLACE, "h")
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The columns of `docs`, whose text has lost its repeated chunks, with n_lines and n_removed: how many it had and lost."""
     docs = docs.drop("n_lines", "n_removed")
@@ -94,12 +151,17 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     )
     key = ["id_key", "text_key"]
     at = stored(_occurrences(keyed), "chunks")
-    kept = stored(at.groupBy("h").agg(F.min(F.struct(*key, "chunk")).alias("k"), F.count("*").alias("n")).where("n > 1").select("h", "k.*"), "kept-chunks")
-    asked = kept.groupBy(*key).agg(F.collect_list(F.struct("chunk", "h")).alias("asked"))
+    long = at.where("within IS NULL").drop("within")
+    kept_long = _kept(long)
+    gone_long = stored(_copies(long, kept_long), "long-copies")
+    covered = gone_long.select(*key, F.col("first").alias("within")).distinct()
+    short = at.where("within IS NOT NULL").join(covered, [*key, "within"], "left_anti").drop("within")
+    kept_short = _kept(short)
+    asked = kept_long.union(kept_short).select("h", "k.*").groupBy(*key).agg(F.collect_list(F.struct("first", "last", "h")).alias("asked"))
     # both joins below take the same columns of `keyed`, so that the texts are shuffled once
-    bodies = keyed.join(asked.hint("merge"), key).drop(*key).mapInArrow(by_batch(_bodies), "h binary, body string").dropDuplicates(["h"])
-    others = at.join(kept.select("h", F.struct(*key, "chunk").alias("k")), "h").where(F.struct(*key, "chunk") != F.col("k")).select(*key, "chunk", "h").distinct()
-    repeats = others.join(bodies.hint("merge"), "h").groupBy(*key).agg(F.collect_list(F.struct("chunk", "body")).alias("repeats"))
+    bodies = stored(keyed.join(asked.hint("merge"), key).drop(*key).mapInArrow(by_batch(_bodies), "h binary, body string").dropDuplicates(["h"]), "bodies")
+    others = gone_long.union(_copies(short, kept_short)).distinct()
+    repeats = others.join(bodies.hint("merge"), "h").groupBy(*key).agg(F.collect_list(F.struct("first", "last", "body")).alias("repeats"))
     joined = keyed.join(repeats.hint("merge"), key, "left").select("doc_id", "text", "repeats", "own")
     schema = T.StructType([joined.schema["doc_id"], joined.schema["own"], joined.schema["text"], T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     out = joined.mapInArrow(by_batch(_without), schema)
@@ -110,7 +172,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
 
-#: Chunks of two lines that are not blank, and the rows that any but the first of equal ones takes away.
+#: All that repeated passages hold: pairs of lines that are not blank, and what any but the first of equal ones takes away.
 ORACLE_SQL = r"""
 WITH t AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, lines, i, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM t)),

@@ -158,6 +158,21 @@ def linked(rows, k, percent):
     return [min(rows[j][0] for j in range(len(rows)) if top(j) == top(i)) for i in range(len(rows))], [len(s) for s in sets]
 
 
+def test_boundaries_resist_shifts():
+    rnd = random.Random(3)
+    lines = [f"line {rnd.random()}" for _ in range(4000)]
+    cut = lambda x: {"\n".join(x[a:b]) for a, b in linechunks.long_chunks(x, list(range(len(x))))}
+    whole = cut(lines)
+    assert 4000 / 2**linechunks.BITS * 0.8 < len(whole) < 4000 / 2**linechunks.BITS * 1.2
+    # whatever stands before, only the chunks at the seam differ
+    for more in range(1, 12):
+        assert len(whole - cut([f"new {k}" for k in range(more)] + lines)) <= 1
+    assert len(whole - cut(lines[:2000] + ["put in"] + lines[2000:])) <= 2
+    hashes = [rnd.randrange(1 << 64) for _ in range(500)]
+    for i in linechunks.boundaries(hashes):  # a boundary hangs on its window alone
+        assert linechunks.boundaries(hashes[i - linechunks.WINDOW : i]) == [linechunks.WINDOW]
+
+
 def test_near_duplicates_against_all_pairs(spark):
     rnd = random.Random(4)
     words = [f"w{i}" for i in range(400)]
