@@ -2,7 +2,8 @@
 
 facts: run_id, execution_id, analyzer, origin, confidence, kind, stable_key, fact_id, properties (JSON text),
 evidence_ids; with_prints() adds the hashes of their properties once, and what takes facts without them adds them.
-Groupings are aggregates with partial sums; what a key keeps whole are the ids of its facts and evidence.
+Groupings are aggregates with partial sums.  Nodes and edges hold no lists: which facts and evidence each has are rows
+of link tables, which readers join, so that a key with a third of all facts costs what its rows cost.
 """
 
 from __future__ import annotations
@@ -54,31 +55,52 @@ def merge_provenance(facts: DataFrame) -> DataFrame:
     return out.withColumn("frameworks", F.array_sort(F.array_distinct(F.flatten(F.transform("provenance", lambda x: x["frameworks"])))))
 
 
+def _stated(facts: DataFrame) -> DataFrame:
+    """The facts that make nodes."""
+    return facts.where((F.col("kind") != "RELATION") & (F.size("evidence_ids") > 0))
+
+
+def node_facts(facts: DataFrame) -> DataFrame:
+    """run_id, stable_key, fact_id: the facts of each node, once each."""
+    return _stated(facts).select(*RUN_KEY, "fact_id").distinct()
+
+
+def node_evidence(facts: DataFrame) -> DataFrame:
+    """run_id, stable_key, evidence_id: the evidence of each node, once each."""
+    return _stated(facts).select(*RUN_KEY, F.explode("evidence_ids").alias("evidence_id")).distinct()
+
+
+def fact_alternatives(facts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """run_id, stable_key, content: hashes of the facts that behave otherwise than the first of a node in conflict."""
+    said = with_prints(_stated(facts)).select(*RUN_KEY, "behaves", "content").distinct()
+    first = nodes.where("fact_conflict").select(*RUN_KEY, F.col("behaves").alias("first"))
+    return said.join(first, list(RUN_KEY)).where("behaves <> first").select(*RUN_KEY, "content").distinct()
+
+
+def gathered(links: DataFrame, keys: list[str], link: str) -> DataFrame:
+    """The links of each key as one sorted array, `<link>s`, for readers of few keys or of keys with few."""
+    return links.groupBy(*keys).agg(F.array_sort(F.collect_list(link)).alias(f"{link}s"))
+
+
 def merge_nodes(facts: DataFrame) -> DataFrame:
-    """One node of each key: kind and properties of the first fact, ids of all, the least confidence; facts that behave
-    otherwise than the first make a conflict, which is kept beside it and bounds the confidence."""
-    own = with_prints(facts.where((F.col("kind") != "RELATION") & (F.size("evidence_ids") > 0)))
+    """One node of each key: kind, properties and behaviour of the first fact, the least confidence; facts that behave
+    otherwise than the first make a conflict, which bounds the confidence (see fact_alternatives)."""
+    own = with_prints(_stated(facts))
     own = own.withColumn("ceiling", S.confidence_ceiling(F.col("origin"), F.col("confidence"), F.col("properties"), F.lit(False)))
     first = F.min_by(F.struct(S.node_kind(F.col("kind"), F.col("properties")).alias("kind"), "properties", "behaves"), fact_order())
     folded = own.groupBy(*RUN_KEY).agg(
         first.alias("first"),
         F.min("ceiling").alias("confidence"),
-        F.array_sort(F.collect_set("fact_id")).alias("fact_ids"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_ids")))).alias("evidence_ids"),
-        F.collect_set(F.struct(F.col("content").alias("hash"), "behaves")).alias("variants"),
+        (F.min("behaves") != F.max("behaves")).alias("fact_conflict"),
         F.count("*").alias("n_facts"),
     )
-    other = F.filter("variants", lambda x: x["behaves"] != F.col("first.behaves"))
-    conflict = F.size(other) > 0
     return folded.select(
         *RUN_KEY,
         F.col("first.kind").alias("kind"),
         F.col("first.properties").alias("properties"),
-        F.when(conflict, F.least("confidence", F.lit(0.45))).otherwise(F.col("confidence")).alias("confidence"),
-        conflict.alias("fact_conflict"),
-        F.array_sort(F.transform(other, lambda x: x["hash"])).alias("fact_alternatives"),
-        "fact_ids",
-        "evidence_ids",
+        F.col("first.behaves").alias("behaves"),
+        F.when(F.col("fact_conflict"), F.least("confidence", F.lit(0.45))).otherwise(F.col("confidence")).alias("confidence"),
+        "fact_conflict",
         "n_facts",
     )
 
@@ -121,11 +143,18 @@ def missing_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return lost.groupBy(*RUN_KEY).agg(F.min_by("evidence_ids", "fact_order").alias("evidence_ids")).select(*RUN_KEY, F.lit("UNRESOLVED_SYMBOL").alias("kind"), F.lit(0.0).alias("confidence"), F.lit("UNRESOLVED").alias("support"), "evidence_ids")
 
 
+EDGE_KEY = ("run_id", "source_key", "target_key", "kind")
+
+
+def edge_evidence(edges: DataFrame) -> DataFrame:
+    """run_id, source_key, target_key, kind, evidence_id: the evidence of each edge, once each."""
+    return edges.select(*EDGE_KEY, F.explode("evidence_ids").alias("evidence_id")).distinct()
+
+
 def merge_edges(edges: DataFrame, missing: DataFrame) -> DataFrame:
     """One edge of each source, target and kind; no confidence where an end is unresolved."""
     lost = missing.select("run_id", "stable_key", F.lit(True).alias("lost"))
-    folded = edges.groupBy("run_id", "source_key", "target_key", "kind").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_ids")))).alias("evidence_ids"),
+    folded = edges.groupBy(*EDGE_KEY).agg(
         F.min("confidence").alias("confidence"),
         F.min_by("properties", "fact_order").alias("properties"),
         F.count("*").alias("n_facts"),
@@ -185,11 +214,11 @@ def assertion_ceiling(rules: DataFrame) -> DataFrame:
     return rules.withColumn("source_kind", F.col("kind")).withColumn("ceiling", ceiling).withColumn("kind", F.when(F.col("category") == "BUSINESS_CONSTRAINT", "BUSINESS_RULE").otherwise(F.col("category")))
 
 
-def build_assertions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One rule of each node that has a condition, and its links to evidence."""
+def build_assertions(nodes: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One rule of each node that has a condition, and its links to evidence.  evidence: node_evidence()."""
     p = F.col("properties")
-    rules = nodes.where(S.has_prop(p, "normalizedCondition")).select(*RUN_KEY, F.col("kind").alias("rule_kind"), S.prop(p, "normalizedCondition").alias("condition"), "confidence", "evidence_ids")
-    return rules.drop("evidence_ids"), rules.select(*RUN_KEY, F.explode("evidence_ids").alias("evidence_id"))
+    rules = nodes.where(S.has_prop(p, "normalizedCondition")).select(*RUN_KEY, F.col("kind").alias("rule_kind"), S.prop(p, "normalizedCondition").alias("condition"), "confidence")
+    return rules, evidence.join(rules.select(*RUN_KEY), list(RUN_KEY), "left_semi")
 
 
 def merge_relation_evidence(relations: DataFrame, most: int = 32) -> DataFrame:

@@ -73,11 +73,11 @@ def only_changed(nodes: DataFrame, changes: DataFrame) -> DataFrame:
     return nodes.join(changes.select(*KEY), KEY, "left_semi")
 
 
-def execution_filter(nodes: DataFrame, facts: DataFrame, executions: DataFrame, test: Column) -> DataFrame:
-    """Nodes with a fact of an execution that `test` holds for."""
+def execution_filter(nodes: DataFrame, links: DataFrame, facts: DataFrame, executions: DataFrame, test: Column) -> DataFrame:
+    """Nodes with a fact of an execution that `test` holds for.  links: graph.node_facts()."""
     chosen = executions.where(test).select("execution_id")
     facts = facts.join(chosen, "execution_id", "left_semi").select("run_id", "fact_id")
-    hit = nodes.select(*KEY, F.explode("fact_ids").alias("fact_id")).join(facts, ["run_id", "fact_id"], "left_semi").select(*KEY)
+    hit = links.join(facts, ["run_id", "fact_id"], "left_semi").select(*KEY)
     return nodes.join(hit, KEY, "left_semi")
 
 

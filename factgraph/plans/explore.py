@@ -113,7 +113,7 @@ KIDS = EDGE + """, q_kid AS MATERIALIZED (
 
 @query(KIDS + """ SELECT run_id, 'scenario:' || entry_key AS stable_key, count(*) AS n_members, list_sort(list(member_key)) AS member_keys, CAST(round(min(confidence) * 100) AS BIGINT) AS confidence FROM q_kid GROUP BY run_id, entry_key""")
 def sc4_scenario_nodes(t: Tables) -> DataFrame:
-    out = reach.scenario_nodes(contained(t), t.nodes.select("run_id", "stable_key", "fingerprint", "fact_ids"))
+    out = reach.scenario_nodes(contained(t), t.nodes.select("run_id", "stable_key", "fingerprint").join(graph.gathered(t.node_facts, KEY, "fact_id"), KEY))
     return out.select("run_id", "stable_key", F.size("member_keys").cast("long").alias("n_members"), "member_keys", F.round(F.col("confidence") * 100).cast("long").alias("confidence"))
 
 
@@ -169,7 +169,7 @@ def qry7_only_changed(t: Tables) -> DataFrame:
 @query(NODE + " SELECT run_id, stable_key FROM q_node n SEMI JOIN (SELECT run_id, stable_key FROM b_fact WHERE analyzer = 'beta') f USING (run_id, stable_key)")
 def qry8_execution_filter(t: Tables) -> DataFrame:
     executions = t.facts.select("execution_id", "analyzer").distinct()
-    return projections.execution_filter(t.nodes, t.facts, executions, F.col("analyzer") == "beta").select(*KEY)
+    return projections.execution_filter(t.nodes, t.node_facts, t.facts, executions, F.col("analyzer") == "beta").select(*KEY)
 
 
 @query(NODE + " SELECT run_id, stable_key FROM q_node WHERE kind = 'TABLE'")
@@ -238,7 +238,7 @@ def qry18_return_nodes(t: Tables) -> DataFrame:
 @query(NODE + """, q_f AS (SELECT run_id, stable_key, count(*) AS n_facts_shown, min(execution_id) AS first_execution FROM b_fact GROUP BY ALL), q_r AS (SELECT run_id, stable_key, count(*) AS n_reviews, max_by(decision, seq) AS newest FROM b_review GROUP BY ALL)
 SELECT n.run_id, n.stable_key, CAST(f.n_facts_shown AS INTEGER) AS n_facts, CAST(coalesce(r.n_reviews, 0) AS INTEGER) AS n_reviews, r.newest, CASE WHEN first_threshold <> 0 THEN 1 ELSE 0 END AS n_rules FROM q_node n JOIN q_f f USING (run_id, stable_key) LEFT JOIN q_r r USING (run_id, stable_key)""")
 def qry20_node_detail(t: Tables) -> DataFrame:
-    rules, _ = graph.build_assertions(t.nodes)
+    rules, _ = graph.build_assertions(t.nodes, t.node_evidence)
     out = projections.node_detail(t.nodes, t.facts, t.b_review, rules, contained(t), t.b_enrichment)
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
     return out.select(*KEY, size("facts").alias("n_facts"), size("reviews").alias("n_reviews"), F.try_element_at("reviews", F.lit(1))["decision"].alias("newest"), size("rules").alias("n_rules"))

@@ -78,7 +78,8 @@ def contained(t: Tables) -> DataFrame:
     """What entry points contain, in the shape of scenario members one step deep."""
     ends = t.nodes.where("kind = 'ENDPOINT'").select("run_id", F.col("stable_key").alias("source_key"))
     inside = t.edges.where("kind = 'CONTAINS'").join(ends, ["run_id", "source_key"], "left_semi")
-    of = t.nodes.select("run_id", F.col("stable_key").alias("target_key"), F.col("kind").alias("member_kind"), "confidence", "evidence_ids")
+    of = t.nodes.select("run_id", F.col("stable_key").alias("target_key"), F.col("kind").alias("member_kind"), "confidence")
+    of = of.join(t.evidence_lists.withColumnRenamed("stable_key", "target_key"), ["run_id", "target_key"])
     found = inside.select("run_id", "source_key", "target_key").join(of, ["run_id", "target_key"])
     flags = (F.lit(1).alias("depth"), (F.col("member_kind") == "CONDITION").alias("unresolved"), "confidence", "evidence_ids")
     return found.select("run_id", F.col("source_key").alias("entry_key"), F.col("target_key").alias("member_key"), F.col("member_kind").alias("kind"), *flags)
@@ -100,6 +101,26 @@ def qry19_controllers_rollup(t: Tables) -> DataFrame:
     return own.select("run_id", "owner_key", "endpoints", "steps", "unresolved", "ready", "static_ready")
 
 
+@query("SELECT DISTINCT run_id, stable_key, fact_id, execution_id || '|' || fact_id AS evidence_id FROM b_fact WHERE kind <> 'RELATION'")
+def gb6_node_links(t: Tables) -> DataFrame:
+    """The facts and evidence of each node, joined where an evidence id names its fact."""
+    said = F.substring_index("evidence_id", "|", -1)
+    found = graph.node_evidence(t.facts).withColumn("fact_id", said)
+    return found.join(t.node_facts, [*graph.RUN_KEY, "fact_id"]).select(*graph.RUN_KEY, "fact_id", "evidence_id")
+
+
+@query(NODE + """ SELECT DISTINCT n.run_id, n.stable_key, count(DISTINCT f.threshold) AS n_alternatives FROM q_node n JOIN b_fact f ON f.run_id = n.run_id AND f.stable_key = n.stable_key AND f.kind <> 'RELATION'
+WHERE n.fact_conflict = 1 AND f.threshold <> n.first_threshold GROUP BY n.run_id, n.stable_key""")
+def gb6_fact_alternatives(t: Tables) -> DataFrame:
+    return graph.fact_alternatives(t.facts, t.nodes).groupBy(*graph.RUN_KEY).agg(F.count("*").alias("n_alternatives"))
+
+
+@query("""SELECT DISTINCT run_id, source_key, target_key, edge_kind AS kind, execution_id || '|' || fact_id AS evidence_id FROM b_fact WHERE kind = 'RELATION'
+UNION SELECT run_id, owner_key, stable_key, 'CONTAINS', execution_id || '|' || fact_id FROM b_fact WHERE kind <> 'RELATION' AND owner_key <> ''""")
+def gb11_edge_evidence(t: Tables) -> DataFrame:
+    return t.edge_evidence
+
+
 @query(EDGE + " SELECT run_id, source_key, target_key, kind, n_facts, CAST(round(confidence * 100) AS BIGINT) AS confidence FROM q_edge")
 def gb11_merge_edges(t: Tables) -> DataFrame:
     return t.edges.select("run_id", "source_key", "target_key", "kind", "n_facts", F.round(F.col("confidence") * 100).cast("long").alias("confidence"))
@@ -122,7 +143,7 @@ def gb1_ordered_facts(t: Tables) -> DataFrame:
 
 @query(NODE + " SELECT run_id, stable_key, kind AS rule_kind, first_threshold AS threshold FROM q_node WHERE first_threshold <> 0")
 def gb12_assertions(t: Tables) -> DataFrame:
-    rules, _ = graph.build_assertions(t.nodes)
+    rules, _ = graph.build_assertions(t.nodes, t.node_evidence)
     return rules.select("run_id", "stable_key", "rule_kind", F.get_json_object("condition", "$.right.value").cast("int").alias("threshold"))
 
 
@@ -337,8 +358,8 @@ def qry25_search_nodes(t: Tables) -> DataFrame:
 count(*) FILTER (WHERE confidence < 0.7 OR unresolved = 1) AS risks, count(e.title) AS enriched, count(*) FILTER (WHERE kind <> 'TABLE') AS grounded, CAST(floor(count(*) FILTER (WHERE kind <> 'TABLE') * 100 / count(*)) AS BIGINT) AS grounded_percent FROM q_all n LEFT JOIN q_title e ON e.run_id = n.run_id AND e.stable_key = n.stable_key GROUP BY n.run_id""")
 def qry28_overview_metrics(t: Tables) -> DataFrame:
     # tables stand for nodes that have lost their evidence
-    own = F.when(F.col("kind") != "TABLE", F.col("evidence_ids")).otherwise(F.array().cast("array<string>"))
-    return projections.overview_metrics(t.titled.withColumn("evidence_ids", own))
+    own = t.evidence_lists.join(t.all_nodes.where("kind <> 'TABLE'").select(*graph.RUN_KEY), list(graph.RUN_KEY), "left_semi")
+    return projections.overview_metrics(t.titled.join(own, list(graph.RUN_KEY), "left"))
 
 
 @query(ALL + """ SELECT n.run_id, n.stable_key, CASE WHEN e.title IS NULL THEN 0 ELSE 5 END + 10 * (CASE WHEN contains(lower(label || ' ' || n.stable_key || ' ' || kind || coalesce(' ' || title, '')), 'urgent') THEN 1 ELSE 0 END + CASE WHEN contains(lower(label || ' ' || n.stable_key || ' ' || kind || coalesce(' ' || title, '')), 'the') THEN 1 ELSE 0 END) + CAST(floor(confidence * 10) AS INTEGER) AS score

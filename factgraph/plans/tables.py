@@ -86,16 +86,33 @@ class Tables:
     def edges(self) -> DataFrame:
         return graph.merge_edges(self.edge_facts, self.missing)
 
+    @property
+    def node_facts(self) -> DataFrame:
+        return graph.node_facts(self.facts)
+
+    @property
+    def node_evidence(self) -> DataFrame:
+        """Of resolved and unresolved nodes."""
+        return graph.node_evidence(self.facts).union(self.missing.select("run_id", "stable_key", F.explode("evidence_ids").alias("evidence_id")).distinct())
+
+    @property
+    def edge_evidence(self) -> DataFrame:
+        return graph.edge_evidence(self.edge_facts)
+
     @property
     def all_nodes(self) -> DataFrame:
         """Resolved and unresolved nodes with label and flags."""
-        keys = ["run_id", "stable_key", "kind", "confidence", "evidence_ids"]
+        keys = ["run_id", "stable_key", "kind", "confidence"]
         name = F.coalesce(S.prop(F.col("properties"), "name"), F.col("stable_key")).alias("label")
-        known = self.nodes.select(*keys, "fact_ids", "properties", name, "fact_conflict", F.lit(False).alias("unresolved"))
-        none = F.array().cast("array<string>").alias("fact_ids")
-        lost = self.missing.select(*keys, none, F.lit("{}").alias("properties"), F.col("stable_key").alias("label"), F.lit(False).alias("fact_conflict"), F.lit(True).alias("unresolved"))
+        known = self.nodes.select(*keys, "properties", name, "fact_conflict", F.lit(False).alias("unresolved"))
+        lost = self.missing.select(*keys, F.lit("{}").alias("properties"), F.col("stable_key").alias("label"), F.lit(False).alias("fact_conflict"), F.lit(True).alias("unresolved"))
         return known.unionByName(lost).withColumn("framework_internal", F.lit(False))
 
+    @written
+    def evidence_lists(self) -> DataFrame:
+        """The evidence of each node as an array, for those that walk from node to node."""
+        return graph.gathered(self.node_evidence, list(graph.RUN_KEY), "evidence_id")
+
     @property
     def titled(self) -> DataFrame:
         return projections.latest_enrichment(self.all_nodes, self.b_enrichment)
@@ -121,7 +138,9 @@ class Tables:
 
     @property
     def graph(self) -> tuple[DataFrame, DataFrame]:
-        return self.all_nodes.drop("properties", "label", "fact_ids"), self.edges.drop("properties")
+        nodes = self.all_nodes.drop("properties", "label").join(self.evidence_lists, list(graph.RUN_KEY))
+        edges = self.edges.drop("properties").join(graph.gathered(self.edge_evidence, list(graph.EDGE_KEY), "evidence_id"), list(graph.EDGE_KEY))
+        return nodes, edges
 
     @written
     def members(self) -> DataFrame:
