@@ -272,3 +272,29 @@ def udf2_make_evidence(t: Tables) -> DataFrame:
 @query("SELECT path FROM b_file WHERE (path NOT LIKE 'en/%' OR path LIKE 'en/1%') AND NOT regexp_matches(path, '(^|/)(target|build|dist)(/|$)')")
 def src6_ignore_filter(t: Tables) -> DataFrame:
     return corpus.ignore_filter(t.b_file.select("path"), ["en/**", "!en/1*"]).select("path")
+
+
+class SameFirstWord:
+    """An extractor that needs several files: each file follows the last one of its component that has its first word."""
+
+    def __init__(self):
+        self.last, self.n = {}, 0
+
+    def file(self, path: str, text: str):
+        self.n += 1
+        word = text.split(" ", 1)[0]
+        if word in self.last:
+            yield {"kind": "RELATION", "stable_key": f"{self.last[word]}->{path}", "properties": word}
+        self.last[word] = path
+
+    def end(self):
+        yield {"kind": "COMPONENT", "stable_key": "files", "properties": str(self.n)}
+
+
+@query("""WITH q AS (SELECT source AS component, lpad(doc_id::VARCHAR, 12, '0') AS path, split_part(coalesce(text, ''), ' ', 1) AS word FROM documents)
+SELECT component, path, 'RELATION' AS kind, before || '->' || path AS stable_key, word AS properties FROM (SELECT *, lag(path) OVER (PARTITION BY component, word ORDER BY path) AS before FROM q) WHERE before IS NOT NULL
+UNION ALL SELECT component, NULL, 'COMPONENT', 'files', count(*)::VARCHAR FROM q GROUP BY component""")
+def udf1_component_facts(t: Tables) -> DataFrame:
+    """Documents as files, their sources as components."""
+    files = t.table("documents").select(F.col("source").alias("component"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), "text")
+    return facts.extract_component_facts(files, SameFirstWord).drop("fact_id")

@@ -6,8 +6,11 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
 from factgraph.operators import validate
 
@@ -140,3 +143,46 @@ def make_evidence(facts: DataFrame, corpus: DataFrame) -> DataFrame:
     lines = F.slice(F.split("text", "\n"), line, last - line + 1)
     out = both.withColumn("start_line", line).withColumn("end_line", last).withColumn("start_column", F.length(F.substring_index(head, "\n", -1)) + 1).withColumn("end_column", F.length(F.substring_index(F.expr("substring(text, 1, end)"), "\n", -1)) + 1)
     return out.withColumn("snippet_hash", F.concat(F.lit("sha256:"), F.sha2(F.array_join(lines, "\n"), 256))).drop("text")
+
+
+COMPONENT_FACTS = T.StructType([T.StructField(c, T.StringType()) for c in ("component", "path", "kind", "stable_key", "properties")])
+
+
+def component_extractor(make: Callable[[], object], name: str = "extract_component"):
+    """A table function that runs a user's extractor over whole components: facts that need several files of one.
+
+    make() gives a fresh extractor for each component.  Its file(path, text) is called for the component's files in the
+    order of their paths, its end() after the last; both give dicts with kind, stable_key and properties (JSON text), and
+    file() may give path to name another file.  Rows stream in and out: what is held of a component is what the extractor
+    itself keeps.  Files of one component are read by one task, as the extractor asks; texts are not copied by the library.
+    """
+
+    class Extract:
+        @staticmethod
+        def analyze(corpus: AnalyzeArgument) -> AnalyzeResult:
+            needed = {"component", "path", "text"}
+            if not corpus.isTable or not needed <= set(corpus.dataType.names):
+                raise ValueError(f"{name} takes a table with {', '.join(sorted(needed))}")
+            return AnalyzeResult(COMPONENT_FACTS, partitionBy=[PartitioningColumn("component")], orderBy=[OrderingColumn("path")])
+
+        def __init__(self):
+            self.own, self.component = make(), None
+
+        def _rows(self, found, path):
+            for x in found:
+                yield self.component, x.get("path", path), x["kind"], x["stable_key"], x.get("properties")
+
+        def eval(self, row: Row):
+            self.component = row["component"]
+            yield from self._rows(self.own.file(row["path"], row["text"] or ""), row["path"])
+
+        def terminate(self):
+            yield from self._rows(self.own.end(), None)
+
+    return udtf(Extract)
+
+
+def extract_component_facts(corpus: DataFrame, make: Callable[[], object]) -> DataFrame:
+    """COMPONENT_FACTS and fact_id of what component_extractor() finds in `corpus` (component, path, text)."""
+    found = component_extractor(make)(corpus.select("component", "path", "text").asTable())
+    return found.withColumn("fact_id", fact_id(F.concat_ws("|", "component", "kind", "stable_key")))

@@ -188,3 +188,32 @@ def test_sealed_runs(spark):
     with pytest.raises(ValueError, match="RUN_SEALED"):
         validate.reject_if_sealed(runs, nodes)
     validate.reject_if_sealed(runs.where(F.col("run_id") == "q"), nodes)
+
+
+class Imports:
+    """Resolves `import x` to the file of the same component that says `define x`, whichever comes first."""
+
+    def __init__(self):
+        self.defined, self.asked = {}, []
+
+    def file(self, path, text):
+        for line in text.splitlines():
+            verb, _, name = line.partition(" ")
+            if verb == "define":
+                self.defined[name] = path
+                yield {"kind": "SYMBOL", "stable_key": name}
+            elif verb == "import":
+                self.asked.append((path, name))
+
+    def end(self):
+        for path, name in self.asked:
+            yield {"kind": "RELATION" if name in self.defined else "UNRESOLVED", "stable_key": f"{path}->{self.defined.get(name, name)}", "path": path}
+
+
+def test_extractors_of_components(spark):
+    rows = [("a", "1", "import x\nimport y"), ("a", "2", "define x"), ("b", "1", "import x"), ("b", "0", None), (None, "9", "define z"), (None, "8", "import z")]
+    got = facts.extract_component_facts(spark.createDataFrame(rows, "component string, path string, text string").repartition(3), Imports)
+    assert sorted((str(r.component), r.path, r.kind, r.stable_key) for r in got.collect()) == [("None", "8", "RELATION", "8->9"), ("None", "9", "SYMBOL", "z"), ("a", "1", "RELATION", "1->2"), ("a", "1", "UNRESOLVED", "1->y"), ("a", "2", "SYMBOL", "x"), ("b", "1", "UNRESOLVED", "1->x")]
+    assert got.select("fact_id").distinct().count() == 6
+    with pytest.raises(Exception, match="takes a table with"):
+        facts.component_extractor(Imports)(spark.range(1).asTable()).collect()
