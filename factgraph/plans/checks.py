@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factgraph.functions import semantics as S
@@ -12,7 +12,7 @@ from factgraph.operators import enrich, validate
 from factgraph.operators.reach import shared_folder
 from factgraph.plans.base import query
 from factgraph.plans.tables import Tables
-from factgraph.sources import corpus, facts
+from factgraph.sources import corpus, facts, outputs
 
 #: The reason against each raw line, by DuckDB's own JSON functions.
 LINE_REASON = """WITH q_line AS (
@@ -298,3 +298,36 @@ def udf1_component_facts(t: Tables) -> DataFrame:
     """Documents as files, their sources as components."""
     files = t.table("documents").select(F.col("source").alias("component"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), "text")
     return facts.extract_component_facts(files, SameFirstWord).drop("fact_id")
+
+
+# --- documents of executions
+
+
+@query("""WITH q AS (SELECT s_suppkey AS k, s_suppkey % 23 AS flaw, s_suppkey % 7 AS parsed FROM supplier)
+SELECT CAST(k AS VARCHAR) AS execution_id, CASE flaw WHEN 1 THEN 'ANALYZER_EXECUTION_FAILED' WHEN 2 THEN 'MISSING_ANALYZER_OUTPUT' WHEN 3 THEN 'DOUBLED_ANALYZER_OUTPUT' WHEN 4 THEN 'INVALID_ANALYZER_MANIFEST' WHEN 5 THEN 'INVALID_ANALYZER_COVERAGE'
+  WHEN 6 THEN 'INVALID_ANALYZER_STATISTICS' WHEN 7 THEN 'ANALYZER_IDENTITY_MISMATCH' WHEN 8 THEN 'ANALYZER_DIGEST_MISMATCH' WHEN 9 THEN 'ANALYZER_EXECUTION_FAILED' WHEN 10 THEN 'INVALID_ANALYZER_DIAGNOSTIC' WHEN 11 THEN 'INCONSISTENT_ANALYZER_COVERAGE' WHEN 12 THEN 'ANALYZER_METADATA_LIMIT' WHEN 13 THEN 'ANALYZER_IDENTITY_MISMATCH' END AS error,
+  CASE WHEN flaw BETWEEN 1 AND 13 THEN NULL WHEN flaw IN (14, 15, 16) OR parsed < 6 THEN 'PARTIALLY_SUCCEEDED' ELSE 'SUCCEEDED' END AS status, CASE WHEN flaw IN (0, 10, 14) THEN 2 ELSE 1 END AS n_diagnostics FROM q""")
+def val8_from_documents(t: Tables) -> DataFrame:
+    """Documents of an execution for each supplier, written, read again and judged; flaws by the supplier's key."""
+    k = F.col("s_suppkey")
+    flaw = k % 23
+
+    def text(template: str, *values: Column) -> Column:
+        return F.format_string(template, *values)
+
+    analyzer = F.to_json(F.struct(F.when(flaw == 7, "other").otherwise("java").alias("id"), F.when(flaw == 13, "2").otherwise("1").alias("version"), F.when(flaw == 8, "d2").otherwise("d1").alias("imageDigest")))
+    status = F.when(flaw == 9, "FAILED").otherwise("SUCCEEDED")
+    partial = F.when(flaw == 15, '"c1"').otherwise("")
+    manifest = F.when(flaw == 4, '{"status":').otherwise(text('{"analyzer":%s,"status":"%s","capabilitiesCompleted":[],"capabilitiesPartial":[%s],"capabilitiesFailed":[],"factCount":1,"diagnosticCount":1}', analyzer, status, partial))
+    failed = F.when(flaw == 11, 9).otherwise(0)
+    coverage = F.when(flaw == 5, '{"filesParsed":1,"filesParsed":1}').otherwise(text('{"filesDiscovered":6,"filesParsed":%d,"filesFailed":%d,"capabilities":[]%s}', k % 7, failed, F.when(flaw == 12, F.concat(F.lit(',"metadata":"'), F.repeat(F.lit("x"), 1 << 20), F.lit('"'))).otherwise("")))
+    statistics = F.when(flaw == 6, '{"factCount":"many"}').otherwise('{"factCount":1,"diagnosticCount":1}')
+    diagnostic = F.concat(F.lit('{"code":"D","severity":"INFO","message":"m"}\n'), F.when(flaw == 0, '{"code":"E","severity":"WARNING","message":"m"}\n').when(flaw == 10, '{"code":"E"}\n').when(flaw == 14, '{"code":"E","severity":"FATAL","message":"m"}\n').otherwise(""))
+    whole = {"manifest.json": manifest, "coverage.json": coverage, "statistics.json": statistics, "diagnostics.ndjson": diagnostic, "facts.ndjson": F.lit("{}")}
+    docs = F.explode(F.array(*[F.struct(F.lit(name).alias("document"), x.alias("value")) for name, x in whole.items()])).alias("d")
+    rows = t.table("supplier").select(k.cast("string").alias("execution_id"), flaw.alias("flaw"), docs).select("execution_id", "flaw", "d.*").where("NOT (flaw = 2 AND document = 'statistics.json')")
+    root = f"{shared_folder(t.spark)}/outputs-{uuid.uuid4().hex}"
+    for tries, chosen in enumerate((rows, rows.where("flaw = 3 AND document = 'coverage.json'"))):
+        chosen.drop("flaw").repartition("execution_id").write.mode("append" if tries else "error").partitionBy("execution_id", "document").text(root)
+    asked = t.table("supplier").select(k.cast("string").alias("execution_id"), F.when(flaw == 1, 3).when(flaw == 16, 10).otherwise(0).alias("exit_code"), F.lit("java").alias("expected_id"), F.lit("1").alias("expected_version"), F.lit("d1").alias("expected_digest"))
+    return outputs.execution_results(asked, outputs.read_documents(t.spark, root), outputs.read_diagnostics(t.spark, root))

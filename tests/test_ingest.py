@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factgraph.operators import runtime, validate
 from factgraph.operators.ingest import ingest
-from factgraph.sources import corpus, facts
+from factgraph.sources import corpus, facts, outputs
 from factgraph.streaming import jobs, spans
 
 TEXT = "one\ntwo\nthree"
@@ -217,3 +217,37 @@ def test_extractors_of_components(spark):
     assert got.select("fact_id").distinct().count() == 6
     with pytest.raises(Exception, match="takes a table with"):
         facts.component_extractor(Imports)(spark.range(1).asTable()).collect()
+
+
+def test_documents_of_executions(spark, tmp_path):
+    whole = {
+        "manifest.json": '{"analyzer":{"id":"java","version":"1","imageDigest":"d"},"status":"SUCCEEDED","capabilitiesCompleted":["c"],"capabilitiesPartial":[],"capabilitiesFailed":[]}',
+        "coverage.json": '{"filesDiscovered":2,"filesParsed":2,"filesFailed":0,"capabilities":[{"name":"c","status":"COMPLETED"}]}',
+        "statistics.json": '{"factCount":1,"diagnosticCount":0}',
+        "diagnostics.ndjson": "\n",
+        "facts.ndjson": "{}\n",
+    }
+    cases = {
+        "fine": {},
+        "missing": {"facts.ndjson": None},
+        "trailing": {"manifest.json": whole["manifest.json"] + "}"},
+        "silent": {"coverage.json": '{"filesDiscovered":2}'},
+        "large": {"statistics.json": '{"factCount":1,"diagnosticCount":0,"x":"' + "x" * (1 << 20) + '"}'},
+        "long": {"diagnostics.ndjson": '{"code":"a","severity":"INFO","message":"' + "m" * (1 << 16) + '"}\n'},
+        "told": {"diagnostics.ndjson": '{"code":"a","severity":"ERROR","message":"m"}'},
+        "short": {"coverage.json": whole["coverage.json"].replace('"filesParsed":2', '"filesParsed":1')},
+        "exit": {},
+    }
+    for case, changed in cases.items():
+        (tmp_path / "out" / case).mkdir(parents=True)
+        for name, text in (whole | changed).items():
+            if text is not None:
+                (tmp_path / "out" / case / name).write_text(text)
+    (tmp_path / "out" / "fine" / "notes.txt").write_text("no document")
+    asked = spark.createDataFrame([(x, 1 if x == "exit" else 0, "java", "1", "d") for x in [*cases, "absent"]], "execution_id string, exit_code int, expected_id string, expected_version string, expected_digest string")
+    root = f"file://{tmp_path}/out"
+    got = outputs.execution_results(asked, outputs.read_documents(spark, root), outputs.read_diagnostics(spark, root))
+    assert {r.execution_id: r.error or r.status for r in got.collect()} == {
+        "fine": "SUCCEEDED", "missing": "MISSING_ANALYZER_OUTPUT", "absent": "MISSING_ANALYZER_OUTPUT", "trailing": "INVALID_ANALYZER_MANIFEST", "silent": "INVALID_ANALYZER_COVERAGE",
+        "large": "ANALYZER_METADATA_LIMIT", "long": "DIAGNOSTIC_LINE_LIMIT", "told": "PARTIALLY_SUCCEEDED", "short": "PARTIALLY_SUCCEEDED", "exit": "ANALYZER_EXECUTION_FAILED",
+    }
