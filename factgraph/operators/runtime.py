@@ -62,7 +62,10 @@ def match_spans(spans: DataFrame, nodes: DataFrame) -> DataFrame:
     """spans with node_key and status: by stable key alone where they have one, else by a qualified symbol that one node has."""
     by_key = nodes.where("NOT unresolved").select("run_id", F.col("node_key").alias("stable_key"), F.col("node_key").alias("by_key")).distinct()
     symbols = nodes.where("NOT unresolved").select("run_id", "node_key", F.explode(F.array_distinct(F.array_compact("symbols"))).alias("symbol")).groupBy("run_id", "symbol").agg(F.count("*").alias("n"), F.min("node_key").alias("by_symbol"))
-    out = spans.join(by_key, ["run_id", "stable_key"], "left").join(symbols, ["run_id", "symbol"], "left")
+    # spans without a key or symbol meet nothing; they are dealt by their own ids, not to the one task of nulls
+    alone = F.concat(F.lit("\x00"), "trace_id", "span_id")
+    out = spans.withColumns({"_key": F.coalesce("stable_key", alone), "_symbol": F.coalesce("symbol", alone)})
+    out = out.join(by_key.withColumnRenamed("stable_key", "_key"), ["run_id", "_key"], "left").join(symbols.withColumnRenamed("symbol", "_symbol"), ["run_id", "_symbol"], "left").drop("_key", "_symbol")
     keyed = F.col("stable_key").isNotNull() & (F.trim("stable_key") != "")
     qualified = F.coalesce(F.col("symbol").rlike(r"\.|::|#"), F.lit(False))
     status = (
