@@ -13,6 +13,7 @@ id, then piece, then start; null ids come last.  No rows give no rows.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -90,12 +91,13 @@ class WordIds:
     """Ids of a vocabulary file with word ends, as the tokenizers library gives them.
 
     What lies between white space is looked up once: the library's own normalizer and the file's pattern cut it into
-    words.  Texts with its special tokens, or with control characters on which Python and the library differ, go to
+    words, by the library's own tables where it is not ASCII.  Texts with its special tokens, or with control characters on which Python and the library differ, go to
     the library as a whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Regex, Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
@@ -103,7 +105,9 @@ class WordIds:
         with open(path, encoding="utf-8") as f:
             j = json.load(f)
         vocab, end = j["model"]["vocab"], j["model"]["end_of_word_suffix"]
-        self.word = regex.compile(j["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        cut = j["pre_tokenizer"]["pretokenizers"][0]
+        self.word = regex.compile(cut["pattern"]["Regex"])
+        self.cut = Split(Regex(cut["pattern"]["Regex"]), re.sub("(?<!^)(?=[A-Z])", "_", cut["behavior"]).lower(), cut["invert"])
         merges = [m if isinstance(m, list) else m.split(" ") for m in j["model"]["merges"]]
         self.merges = Merges([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], max(vocab.values()) + 1)
         self.first = np.array([vocab[c] for c in byte_letters()])
@@ -122,7 +126,8 @@ class WordIds:
             if run[-1] in self.marks and run[:-1].isalpha():
                 return [run[:-1].lower(), run[-1]]
             return self.word.findall(run.lower())
-        return self.word.findall(self.lib.normalizer.normalize_str(run))
+        # what is a letter or a number beyond ASCII, the library says itself
+        return [w for w, _ in self.cut.pre_tokenize_str(self.lib.normalizer.normalize_str(run))]
 
     def learn(self, runs: set[str]) -> None:
         self.cache.turn()

@@ -65,6 +65,30 @@ def test_packing(spark):
     assert packing.packed(docs(spark, []), path).count() == 0
 
 
+def test_code_points_have_the_ids_of_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, own = Tokenizer.from_file(path), packing.WordIds(path)
+    # all of the first two planes, and every sixteenth beyond
+    points = [c for c in map(chr, [*range(0x20000), *range(0x20000, 0x110000, 16)]) if not "\ud800" <= c <= "\udfff" and not packing.ODD_SPACE.search(c)]
+    for at in range(0, len(points), 4096):
+        chunk = [" ".join(f"a{c}b {c}" for c in points[k : k + 64]) for k in range(at, min(at + 4096, len(points)), 64)]
+        assert own.encode(chunk) == [packed_ids(x.ids) for x in lib.encode_batch(chunk, add_special_tokens=False)]
+
+
+def test_best_two_against_all_pairs():
+    rnd = np.random.default_rng(7)
+    for _ in range(400):
+        room = int(rnd.integers(5, 200))
+        n = rnd.integers(1, room + 1, rnd.integers(0, 25)).tolist()
+        pool = packing.Pool(np.bincount(n, minlength=room + 1))
+        for limit in range(1, room + 1, 3):
+            want = max((a + b for i, a in enumerate(n) for b in n[i + 1 :] if a + b <= limit), default=0)
+            total, a, b = pool.best_two(limit)
+            assert total == want and (not total or (total == a + b and all(n.count(x) >= (2 if a == b else 1) for x in (a, b))))
+
+
 def test_best_two_fit_uses_every_piece_once():
     rnd = np.random.default_rng(1)
     n = rnd.integers(1, 4097, 3000)
