@@ -136,11 +136,18 @@ class Tables:
     def matched(self) -> DataFrame:
         return runtime.match_spans(self.judged.where("verdict = 'new'"), self.span_nodes)
 
+    @written
+    def walked_nodes(self) -> DataFrame:
+        return self.all_nodes.drop("properties", "label").join(self.evidence_lists, list(graph.RUN_KEY))
+
+    @written
+    def walked_edges(self) -> DataFrame:
+        return self.edges.drop("properties").join(graph.gathered(self.edge_evidence, list(graph.EDGE_KEY), "evidence_id"), list(graph.EDGE_KEY))
+
     @property
     def graph(self) -> tuple[DataFrame, DataFrame]:
-        nodes = self.all_nodes.drop("properties", "label").join(self.evidence_lists, list(graph.RUN_KEY))
-        edges = self.edges.drop("properties").join(graph.gathered(self.edge_evidence, list(graph.EDGE_KEY), "evidence_id"), list(graph.EDGE_KEY))
-        return nodes, edges
+        """Nodes and edges with their evidence, written once, as a search reads them on every level."""
+        return self.walked_nodes, self.walked_edges
 
     @written
     def members(self) -> DataFrame:
