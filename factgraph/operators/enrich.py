@@ -85,25 +85,6 @@ def enrichment_progress(endpoints: DataFrame, executions: DataFrame) -> DataFram
     return out.withColumn("percent", F.floor(F.col("ready") * 100 / F.col("total")).cast("long"))
 
 
-def semantic_search(endpoints: DataFrame, text: str, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
-    """endpoints (run_id, stable_key, label, title, description) by how well they fit a query, best first: the whole
-    query, each of its words, and synonyms by stem; at most 100."""
-    label, title, body = (F.lower(F.coalesce(c, F.lit(""))) for c in ("label", "title", "description"))
-    fields, whole = (title, label, body), text.lower().strip()
-    score = F.lit(0)
-    for field, weight in zip(fields, (50, 35, 30), strict=True):
-        score = score + F.when(F.contains(field, F.lit(whole)), weight).otherwise(0)
-    for word in dict.fromkeys(whole.split()):
-        for field, weight in zip(fields, (25, 15, 20), strict=True):
-            score = score + F.when(F.contains(field, F.lit(word)), weight).otherwise(0)
-        for other in (synonyms or {}).get(word, []):
-            stem = other.lower()[: max(4, len(other) - 2)]
-            for field, weight in zip(fields, (30, 20, 25), strict=True):
-                score = score + F.when(F.contains(field, F.lit(stem)), weight).otherwise(0)
-    out = endpoints.withColumn("score", F.least(score, F.lit(100)))
-    return out.where("score > 0").orderBy(F.desc("score"), "run_id", "stable_key")
-
-
 def business_label(nodes: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """nodes with title and subtitle: their enrichment's title, else that of the first rule (pattern, title, subtitle)
     whose pattern the kind and label meet; the rules are one expression."""

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations", "benchmark")
 
 #: Each view may use those before it.  Words in braces differ by engine.
 VIEWS = """
@@ -163,6 +163,18 @@ b_task AS (
 ),
 b_file AS (
   SELECT page_id AS file_id, regexp_replace(url, '^https?://[^/]+/', '') AS path, html AS text FROM pages
+),
+b_searched AS (
+  SELECT 'customer:' || c_custkey AS stable_key, CASE c_custkey % 4 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' WHEN 2 THEN 'Delete' END AS method,
+    '/' || c_mktsegment || CASE c_custkey % 5 WHEN 0 THEN '/cameras' WHEN 1 THEN '/live/stream' ELSE '/items' END AS path, c_name || ' ' || n_name AS label,
+    'org.nation.' || n_name || CASE WHEN c_custkey % 7 = 0 THEN 'AuthController' ELSE 'Controller' END AS owner_key, p_name AS title, text AS description
+  FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN part ON p_partkey = c_custkey LEFT JOIN documents ON doc_id = c_custkey
+),
+b_asked AS (
+  SELECT item_id * 4 AS query_id, split_part(split_part(text, chr(10), 1), '.', 1) AS text FROM benchmark
+  UNION ALL SELECT CAST(n_nationkey * 4 + 1 AS BIGINT), n_name || ' Видеопоток, Удалить' FROM nation
+  UNION ALL SELECT CAST(n_nationkey * 4 + 2 AS BIGINT), ' камер auth ' || n_name || '; камер' FROM nation
+  UNION ALL SELECT CAST(row_number() OVER (ORDER BY p_name) * 4 + 3 AS BIGINT), p_name FROM (SELECT DISTINCT p_name FROM part)
 )
 """
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.operators import enrich, reports
+from factgraph.operators import enrich, reports, search
 from factgraph.plans.base import query
 from factgraph.plans.checks import _executions
 from factgraph.plans.queries import EDGE, contained
@@ -115,13 +115,29 @@ def en9_enrichment_progress(t: Tables) -> DataFrame:
 
 
 
-@query("""WITH q AS (SELECT page_id, lower(url) AS b, lower(split_part(url, '/', 3)) AS t, lower(substr(url, 1, 5)) AS l FROM pages), s AS (SELECT page_id,
-  CASE WHEN contains(t, 'www en') THEN 50 ELSE 0 END + CASE WHEN contains(l, 'www en') THEN 35 ELSE 0 END + CASE WHEN contains(b, 'www en') THEN 30 ELSE 0 END + CASE WHEN contains(t, 'www') THEN 25 ELSE 0 END + CASE WHEN contains(l, 'www') THEN 15 ELSE 0 END
-  + CASE WHEN contains(b, 'www') THEN 20 ELSE 0 END + CASE WHEN contains(t, 'en') THEN 25 ELSE 0 END + CASE WHEN contains(l, 'en') THEN 15 ELSE 0 END + CASE WHEN contains(b, 'en') THEN 20 ELSE 0 END AS score FROM q)
-SELECT page_id, least(100, score) AS score FROM s WHERE score > 0""")
+@query("""WITH q_head AS (SELECT * FROM (VALUES """ + ", ".join(f"('{head}', {i}, {list(others)})" for i, (head, others) in enumerate(search.SYNONYMS.items())) + """) AS t(head, entry, others)),
+q_e AS (SELECT stable_key, lower(coalesce(method, '')) AS m, lower(path) AS p, lower(label) AS l, lower(owner_key) AS o, lower(coalesce(title, '')) AS t, lower(coalesce(description, '')) AS d FROM b_searched),
+q_q AS (SELECT query_id, lower(trim(text)) AS whole, list_filter(string_split_regex(lower(trim(text)), '[\\s,;.:!?"''()\\[\\]{}]+'), lambda x: x <> '') AS words FROM b_asked),
+q_w AS (SELECT * FROM (SELECT query_id, unnest(words) AS word, unnest(range(len(words))) AS place FROM q_q) WHERE length(word) >= 2),
+q_best AS (SELECT word, arg_min(others, CASE WHEN head = word THEN -1 ELSE entry END) AS others FROM (SELECT DISTINCT word FROM q_w) JOIN q_head ON starts_with(word, head) OR starts_with(head, word) GROUP BY word),
+q_s AS (SELECT query_id, word, place, unnest(others) AS syn, unnest(range(len(others))) + 1 AS nth FROM q_w JOIN q_best USING (word)),
+q_hit AS (
+  SELECT query_id, stable_key, -1 AS place, 0 AS nth, 0 AS step, CASE WHEN contains(t, whole) THEN 50 WHEN contains(d, whole) THEN 35 ELSE 30 END AS pts, CASE WHEN contains(t, whole) THEN 'WHOLE_TITLE' WHEN contains(d, whole) THEN 'WHOLE_DESCRIPTION' ELSE 'WHOLE_PLACE' END AS reason
+    FROM q_q CROSS JOIN q_e WHERE len(words) > 0 AND (contains(t, whole) OR contains(d, whole) OR contains(p, whole) OR contains(l, whole))
+  UNION ALL SELECT query_id, stable_key, place, 0, 0, 25, 'WORD_TITLE:' || word FROM q_w CROSS JOIN q_e WHERE contains(t, word)
+  UNION ALL SELECT query_id, stable_key, place, 0, 1, 15, 'WORD_DESCRIPTION:' || word FROM q_w CROSS JOIN q_e WHERE contains(d, word)
+  UNION ALL SELECT query_id, stable_key, place, 0, 2, 20, 'WORD_PLACE:' || word FROM q_w CROSS JOIN q_e WHERE contains(p, word) OR contains(l, word)
+  UNION ALL SELECT query_id, stable_key, place, 0, 3, 15, 'WORD_OWNER:' || word FROM q_w CROSS JOIN q_e WHERE contains(o, word)
+  UNION ALL SELECT query_id, stable_key, place, nth, 4, 30, 'SYNONYM_PATH:' || word || '=' || syn FROM q_s CROSS JOIN q_e WHERE contains(p, syn)
+  UNION ALL SELECT query_id, stable_key, place, nth, 5, 20, 'SYNONYM_OWNER:' || word || '=' || syn FROM q_s CROSS JOIN q_e WHERE contains(o, syn)
+  UNION ALL SELECT query_id, stable_key, place, nth, 6, 25, 'SYNONYM_METHOD:' || word || '=' || syn FROM q_s CROSS JOIN q_e WHERE m = syn),
+q_all AS (SELECT query_id, stable_key, CAST(least(100, sum(pts)) AS INTEGER) AS score, list(reason ORDER BY place, nth, step) AS r FROM q_hit GROUP BY 1, 2)
+SELECT query_id, stable_key, score, r[1] AS reason, array_to_string(r, '|') AS reasons FROM q_all QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, stable_key) <= 100""")
 def en10_semantic_search(t: Tables) -> DataFrame:
-    pages = t.table("pages").select("page_id", F.lit("R1").alias("run_id"), F.col("url").alias("description"), F.split("url", "/")[2].alias("title"), F.substring("url", 1, 5).alias("label"), F.col("url").alias("stable_key"))
-    return enrich.semantic_search(pages, "www en").select("page_id", "score")
+    """Customers as endpoints, with documents as descriptions; passages, nations and parts as queries."""
+    one = F.lit("R1").alias("run_id")
+    out = search.semantic_search(t.b_searched.select(one, "*"), t.b_asked.select(one, "*"))
+    return out.select("query_id", "stable_key", "score", "reason", F.array_join("reasons", "|").alias("reasons"))
 
 
 # --- technologies
