@@ -16,28 +16,98 @@ def enrichment_targets(endpoints: DataFrame, scenarios: DataFrame) -> DataFrame:
     return endpoints.join(s, ["run_id", "stable_key"], "left").select("run_id", "stable_key", F.coalesce("scenario_key", "stable_key").alias("target_key"))
 
 
-def evidence_bundle(facts: DataFrame, evidence: DataFrame, priority: Column, facts_most: int = 32, evidence_most: int = 8, snippet_most: int = 4000, bytes_most: int = 48_000) -> DataFrame:
-    """run_id, node_key, facts, evidence, request_hash: the first facts of each node by priority and evidence by place,
-    redacted and cut, facts only as far as their bytes fit.
-
-    facts: run_id, node_key, fact_id, kind, properties; evidence: run_id, node_key, file_path, start_line, snippet.
+#: Properties of a fact that a bundle may show (fixed values), and what stands where a snippet was cut.
+BUNDLE_FIELDS = (
+    "name", "symbolSignature", "entryPointKey", "actors", "roles", "security", "authorization", "normalizedCondition", "condition", "resolvedConstants", "constants",
+    "trueOutcomes", "falseOutcomes", "outcome", "preconditions", "callPath", "dataReads", "dataWrites", "externalEffects", "exceptions", "relatedTests", "status", "statuses",
+    "httpMethod", "path", "table", "column", "ownerKey", "enclosingMethod", "enclosingDeclaration",
+)
+CUT, CUT_AGAIN = "\n// ... [snippet truncated for AI context]", "\n// ... [truncated]"
+#: What no bundle may cite: absolute, parent and drive paths, environments and keys (a fixed pattern).
+PRIVATE_PATH = r"(?i)^/|\.\./|:|(^|/)(\.env(\..*)?|[^/]+\.(pem|key|p12|pfx))$"
+
+
+def evidence_bundle(
+    nodes: DataFrame, facts: DataFrame, evidence: DataFrame, priority: Column, owners: DataFrame | None = None, allowed: str = ".*",
+    facts_most: int = 32, evidence_most: int = 8, facts_least: int = 8, bytes_most: int = 48_000,
+) -> DataFrame:
+    """run_id, node_key, bundle, bundle_bytes, fact_ids, n_evidence, request_hash, refusal of each node: the JSON text that a
+    model is shown, or why there is none.
+
+    nodes: run_id, node_key, fingerprint; facts: run_id, node_key, fact_id, kind, properties; evidence: run_id, fact_id,
+    evidence_id, file_path, start_line, end_line, snippet, of verified evidence; owners: run_id, owner_key, evidence_id,
+    snippet, of the owners that facts name.
+
+    The first facts by priority and id, of which those whose allowed fields take over 12 000 characters and those without
+    evidence go; the first evidence of each by id.  A snippet without a declaration gets its owner's, is cut at 4000
+    characters and redacted.  A bundle over `bytes_most` has its snippets cut at 1000, then loses facts from the end down to
+    `facts_least`.  Refusals: NO_FACTS, PATH (any cited path is private or not allowed), TOO_LARGE.  All other columns of a
+    refused bundle but its keys are null.
     """
-    by = Window.partitionBy("run_id", "node_key")
-    text = S.redact_secrets(F.col("properties"))
-    f = facts.withColumn("text", text).where(F.length("text") <= 12_000)
-    order = by.orderBy(priority, "fact_id")
-    f = f.withColumn("place", F.row_number().over(order)).where(F.col("place") <= facts_most)
-    room = F.sum(F.octet_length("text")).over(by.orderBy("place"))
-    f = f.withColumn("so_far", room).where((F.col("so_far") <= bytes_most // 2) | (F.col("place") <= 8))
-    held = f.groupBy("run_id", "node_key").agg(F.array_sort(F.collect_list(F.struct("place", "fact_id", "kind", "text"))).alias("facts"), F.sum(F.octet_length("text")).alias("used"))
-    e = evidence.withColumn("place", F.row_number().over(by.orderBy("file_path", "start_line"))).where(F.col("place") <= evidence_most)
-    e = e.withColumn("snippet", F.substring(S.redact_secrets(F.col("snippet")), 1, snippet_most))
-    e = e.groupBy("run_id", "node_key").agg(F.array_sort(F.collect_list(F.struct("place", "file_path", "start_line", "snippet"))).alias("evidence"), F.sum(F.octet_length("snippet")).alias("shown"))
-    out = held.join(e, ["run_id", "node_key"], "left")
-    tight = F.coalesce(F.col("used") + F.col("shown") > bytes_most, F.lit(False))
-    cut = F.transform("evidence", lambda x: F.struct(x["place"].alias("place"), x["file_path"].alias("file_path"), x["start_line"].alias("start_line"), F.substring(x["snippet"], 1, 1000).alias("snippet")))
-    out = out.withColumn("evidence", F.when(tight, cut).otherwise(F.col("evidence")))
-    return out.select("run_id", "node_key", "facts", "evidence", S.text_hash(F.to_json(F.struct("facts", "evidence"))).alias("request_hash"))
+    node, fact = ["run_id", "node_key"], ["run_id", "node_key", "fact_id"]
+    own = facts.select(*fact, "kind", "properties").withColumn("place", F.row_number().over(Window.partitionBy(*node).orderBy(priority, "fact_id"))).where(F.col("place") <= facts_most)
+    props = F.from_json(S.canonical_json(F.col("properties")), "map<string,variant>")
+    own = own.withColumn("shown", F.coalesce(_redact_json(F.to_json(F.map_filter(props, lambda k, _: k.isin(*BUNDLE_FIELDS)))), F.lit("{}")))
+    own = own.withColumn("owner_key", F.trim(F.coalesce(F.get_json_object("properties", "$.ownerKey"), F.lit(""))))
+    e = evidence.join(own.select("run_id", "fact_id").distinct(), ["run_id", "fact_id"], "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("run_id", "fact_id").orderBy("evidence_id"))).where(F.col("nth") <= evidence_most)
+    # a fact of several nodes gives each of them its evidence
+    e = own.where(F.length("shown") <= 12_000).join(e, ["run_id", "fact_id"])
+    bare = (F.col("owner_key") != "") & ~F.col("snippet").rlike(r"\{|public |private ")
+    if owners is not None:
+        first = owners.groupBy("run_id", "owner_key").agg(F.min_by("snippet", "evidence_id").alias("_owner"))
+        first = first.select("run_id", F.col("owner_key").alias("_key"), F.when(F.contains("_owner", F.lit("{")), F.trim(F.substring_index("_owner", "{", 1))).alias("_head"))
+        # evidence that needs no owner is dealt by its own ids
+        e = e.withColumn("_key", F.when(bare, F.col("owner_key")).otherwise(F.concat(F.lit("\x00"), "evidence_id"))).join(first, ["run_id", "_key"], "left")
+        e = e.withColumn("snippet", F.when(F.col("_head") != "", F.concat(F.lit("// in method: "), "_head", F.lit("\n"), "snippet")).otherwise(F.col("snippet")))
+    path = F.replace(F.col("file_path"), F.lit("\\"), F.lit("/"))
+    long = S.redact_secrets(F.when(F.length("snippet") > 4000, F.concat(F.substring("snippet", 1, 3900), F.lit(CUT))).otherwise(F.col("snippet")))
+    e = e.withColumns({"bad": path.rlike(PRIVATE_PATH) | ~path.rlike(allowed), "long": long})
+    e = e.withColumn("short", F.when(F.length("long") > 1000, F.concat(F.substring("long", 1, 950), F.lit(CUT_AGAIN))).otherwise(F.col("long")))
+    cited = {size: F.to_json(F.array_sort(F.collect_list(F.struct("evidence_id", "end_line", F.col("file_path").alias("path"), F.col(size).alias("snippet"), "start_line")))) for size in ("long", "short")}  # at most evidence_most
+    f = e.groupBy(*fact, "place", "kind", "shown").agg(F.count("*").alias("n"), F.bool_or("bad").alias("bad"), *[x.alias(size) for size, x in cited.items()])
+
+    def whole(size: str) -> Column:
+        return F.concat(F.lit('{"evidence":'), size, F.lit(',"factId":'), _quoted("fact_id"), F.lit(',"kind":'), _quoted("kind"), F.lit(',"properties":'), "shown", F.lit("}"))
+
+    f = f.withColumns({size: whole(size) for size in cited})
+    held = f.groupBy(*node).agg(F.bool_or("bad").alias("bad"), F.array_sort(F.collect_list(F.struct("place", "fact_id", "n", "long", "short"))).alias("facts"))  # at most facts_most
+    named = own.select(*node).distinct().withColumn("any", F.lit(True))
+    out = nodes.select(*node, "fingerprint").join(named, node, "left").join(held, node, "left").withColumn("facts", F.coalesce("facts", F.expr("array()").cast("array<struct<place:int,fact_id:string,n:bigint,long:string,short:string>>")))
+    tail = F.concat(F.lit('],"fingerprint":'), F.coalesce(_quoted("fingerprint"), F.lit("null")), F.lit(',"nodeId":'), _quoted("node_key"), F.lit("}"))
+    out = out.withColumn("_tail", tail)
+    frame = F.lit(len('{"facts":[')) + F.octet_length("_tail")
+
+    def size_of(texts: Column) -> Column:
+        """Bytes of a bundle of these facts: theirs, the commas between them, and what stands around."""
+        return F.aggregate(texts, F.lit(0), lambda n, x: n + F.octet_length(x)) + F.greatest(F.size(texts) - 1, F.lit(0)) + frame
+
+    texts = F.when(size_of(F.col("facts.long")) > bytes_most, F.col("facts.short")).otherwise(F.col("facts.long"))
+    out = out.withColumn("_texts", texts)
+    # sums of bytes as facts come; the longest run of them that fits stays
+    start = F.struct(frame.cast("int").alias("so_far"), F.lit(0).alias("kept"))
+    fits = F.aggregate("_texts", start, lambda a, x: F.struct((a["so_far"] + F.octet_length(x) + 1).alias("so_far"), (a["kept"] + (a["so_far"] + F.octet_length(x) <= bytes_most).cast("int")).alias("kept")))
+    out = out.withColumn("_kept", F.greatest(fits["kept"], F.least(F.size("facts"), F.lit(facts_least))))
+    out = out.withColumn("_bundle", F.concat(F.lit('{"facts":['), F.array_join(F.slice("_texts", 1, F.col("_kept")), ","), "_tail"))
+    out = out.withColumn("refusal", F.when(F.col("any").isNull(), "NO_FACTS").when(F.col("bad"), "PATH").when(F.octet_length("_bundle") > bytes_most, "TOO_LARGE"))
+    good, kept = F.col("refusal").isNull(), F.slice("facts", 1, F.col("_kept"))
+    shown = {
+        "bundle": F.col("_bundle"), "bundle_bytes": F.octet_length("_bundle"), "fact_ids": kept["fact_id"], "n_evidence": F.aggregate(kept["n"], F.lit(0).cast("bigint"), lambda a, x: a + x),
+        "request_hash": F.sha2("_bundle", 256),
+    }
+    return out.select(*node, *[F.when(good, x).alias(c) for c, x in shown.items()], "refusal")
+
+
+def _redact_json(text: Column) -> Column:
+    """redact_secrets for JSON text: a value ends with its string, and what a secret's name holds is masked whole."""
+    rest = r'(?:\\[^nrt]|[^\s"\\])+'
+    text = F.regexp_replace(text, r'(?i)("(?:authorization|password|secret|api[-_]?key|token)"\s*:\s*)"(?:\\.|[^"\\])*"', '$1"[REDACTED]"')
+    text = F.regexp_replace(text, r"(?i)(authorization\s*[:=]\s*)(?:(?:bearer|basic)\s*)?" + rest, "$1[REDACTED]")
+    return F.regexp_replace(text, r"(?i)((?:password|secret|api[-_]?key|token)\s*[:=]\s*)" + rest, "$1[REDACTED]")
+
+
+def _quoted(c: str) -> Column:
+    """A string as JSON."""
+    return F.substring(F.to_json(F.array(F.col(c).cast("string"))), F.lit(2), F.length(F.to_json(F.array(F.col(c).cast("string")))) - 2)
 
 
 def path_policy(evidence: DataFrame, allowed: str = r".*") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factgraph.operators.reach import shared_table
+
 #: What parts words (a fixed pattern).
 SEPARATORS = r"""[\s,;.:!?"'()\[\]{}]+"""
 #: Words of queries, and the words of code that mean the same (fixed values).
@@ -116,7 +118,7 @@ def semantic_search(endpoints: DataFrame, queries: DataFrame, synonyms: dict[str
     A word has no separator, so that a field contains it only within one token: words meet the distinct tokens, and these
     their endpoints; texts are read again only where all words of a query of several stand in one field.
     """
-    index = token_index(endpoints)
+    index = shared_table(token_index(endpoints), "tokens")
     asked = queries.select("query_id", "run_id", F.lower(F.trim("text", F.lit(" \t\r\n"))).alias("whole"))
     asked = asked.withColumn("words", _words(F.col("whole"))).withColumn("n_words", F.size(F.array_distinct("words")))
     spread = asked.select("query_id", "run_id", "n_words", F.posexplode("words").alias("place", "word"))
@@ -132,7 +134,7 @@ def semantic_search(endpoints: DataFrame, queries: DataFrame, synonyms: dict[str
     if alike is not None:
         meant = spread.join(alike, "word").select("*", F.posexplode("synonyms").alias("no", "term")).select(*spread.columns, "term", (F.col("no") + 1).alias("nth"), F.concat("word", F.lit("="), "term").alias("said"))
         asks = asks.unionByName(points(meant, "SYNONYM", SYNONYM, 4))
-    hits = tokens_with(asks.select("term").distinct(), index.select("token").distinct())
+    hits = shared_table(tokens_with(asks.select("term").distinct(), index.select("token").distinct()), "hits")
     found = index.join(hits, "token").where("field <> 'method' OR token = term").select("run_id", "stable_key", "field", "term").distinct()
     met = asks.join(found, ["run_id", "term", "field"])
     counted = F.col("points") > 0

@@ -22,14 +22,42 @@ def en1_enrichment_targets(t: Tables) -> DataFrame:
     return enrich.enrichment_targets(t.nodes.where("kind = 'ENDPOINT'"), scenarios)
 
 
-@query("""WITH q AS (SELECT o_custkey AS node_key, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 ELSE 1 END, lpad(CAST(o_orderkey AS STRING), 12, '0')) AS place FROM orders)
-SELECT node_key, CAST(count(*) AS INTEGER) AS n_facts, CAST(min(o_orderkey) FILTER (WHERE place = 1) AS BIGINT) AS first_fact, CAST(coalesce(max(e.n), 0) AS INTEGER) AS n_evidence FROM q
-LEFT JOIN (SELECT o_custkey, least(count(*), 3) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) e ON e.o_custkey = node_key WHERE place <= 5 GROUP BY node_key""")
+HIDE = "regexp_replace(regexp_replace({}, '(authorization\\s*[:=]\\s*)(bearer|basic)?\\s*\\S+', '\\1[REDACTED]', 'gi'), '((?:password|secret|api[-_]?key|token)\\s*[:=]\\s*)\\S+', '\\1[REDACTED]', 'gi')"
+CITED = """'[' || string_agg('{"evidence_id":"' || evidence_id || '","end_line":' || i || ',"path":"' || path || '","snippet":' || to_json({}) || ',"start_line":' || i || '}', ',' ORDER BY evidence_id) || ']'"""
+WHOLE = """'{"evidence":' || {} || ',"factId":"' || fact_id || '","kind":"' || kind || '","properties":' || props || '}'"""
+
+
+@query(f"""WITH q_f AS (SELECT * FROM (SELECT doc_id, 'n' || (doc_id - doc_id % 40) AS node_key, lpad(doc_id::VARCHAR, 12, '0') AS fact_id, CASE WHEN doc_id % 9 = 0 THEN 'BUSINESS_RULE' ELSE 'CONDITION' END AS kind, text,
+  '{{"condition":"' || lang || ' token=[REDACTED]","name":"' || source || '"' || CASE doc_id % 4 WHEN 3 THEN '' ELSE ',"ownerKey":"own' || (doc_id % 4) || '"' END || '}}' AS props, row_number() OVER (PARTITION BY doc_id - doc_id % 40 ORDER BY doc_id % 9 <> 0, doc_id) AS place FROM documents) WHERE place <= 32),
+q_l AS (SELECT q_f.*, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM q_f WHERE text IS NOT NULL),
+q_s AS (SELECT * EXCLUDE (line), fact_id || ':' || lpad(i::VARCHAR, 9, '0') AS evidence_id, CASE WHEN doc_id % 240 = 7 THEN 'docs/.env' ELSE 'docs/' || doc_id || '.txt' END AS path,
+  CASE WHEN doc_id % 4 = 0 AND NOT regexp_matches(line, '\\{{|public |private ') THEN '// in method: void run()' || chr(10) || line ELSE line END AS line FROM q_l WHERE i <= 8),
+q_c AS (SELECT *, {HIDE.format("CASE WHEN length(line) > 4000 THEN substr(line, 1, 3900) || chr(10) || '// ... [snippet truncated for AI context]' ELSE line END")} AS long FROM q_s),
+q_d AS (SELECT *, CASE WHEN length(long) > 1000 THEN substr(long, 1, 950) || chr(10) || '// ... [truncated]' ELSE long END AS short FROM q_c),
+q_e AS (SELECT node_key, fact_id, place, kind, props, count(*) AS n, bool_or(path LIKE '%.env') AS bad, {CITED.replace("{}", "long")} AS long, {CITED.replace("{}", "short")} AS short FROM q_d GROUP BY 1, 2, 3, 4, 5),
+q_g AS (SELECT node_key, fact_id, place, n, bad, {WHOLE.replace("{}", "long")} AS long, {WHOLE.replace("{}", "short")} AS short FROM q_e),
+q_t AS (SELECT *, '],"fingerprint":"f","nodeId":"' || node_key || '"}}' AS tail, sum(octet_length(encode(long)) + 1) OVER (PARTITION BY node_key) - 1 AS whole FROM q_g),
+q_h AS (SELECT *, CASE WHEN whole + 10 + octet_length(encode(tail)) > 48000 THEN short ELSE long END AS x FROM q_t),
+q_r AS (SELECT *, row_number() OVER (PARTITION BY node_key ORDER BY place) AS k, sum(octet_length(encode(x)) + 1) OVER (PARTITION BY node_key ORDER BY place) - 1 + 10 + octet_length(encode(tail)) AS so_far, bool_or(bad) OVER (PARTITION BY node_key) AS refused FROM q_h),
+q_b AS (SELECT node_key, refused, '{{"facts":[' || string_agg(x, ',' ORDER BY place) || any_value(tail) AS bundle, string_agg(fact_id, ',' ORDER BY place) AS facts, sum(n) AS n FROM q_r WHERE k <= 8 OR so_far <= 48000 GROUP BY 1, 2),
+q_n AS (SELECT DISTINCT node_key FROM q_f UNION ALL SELECT 'none'),
+q_o AS (SELECT node_key, bundle, facts, n, CASE WHEN node_key = 'none' THEN 'NO_FACTS' WHEN refused THEN 'PATH' WHEN octet_length(encode(bundle)) > 48000 THEN 'TOO_LARGE' END AS refusal FROM q_n LEFT JOIN q_b USING (node_key))
+SELECT node_key, CASE WHEN refusal IS NULL THEN octet_length(encode(bundle)) END AS bundle_bytes, CASE WHEN refusal IS NULL THEN facts END AS fact_ids, CASE WHEN refusal IS NULL THEN CAST(n AS BIGINT) END AS n_evidence, CASE WHEN refusal IS NULL THEN sha256(bundle) END AS request_hash, refusal FROM q_o""")
 def en2_evidence_bundle(t: Tables) -> DataFrame:
-    o = t.table("orders").select(F.lit("R1").alias("run_id"), F.col("o_custkey").alias("node_key"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("fact_id"), F.col("o_orderstatus").alias("kind"), F.lit('{"a": 1}').alias("properties"), "o_orderkey")
-    seen = o.where("o_orderkey % 2 = 0").select("run_id", "node_key", F.lit("f").alias("file_path"), F.col("o_orderkey").alias("start_line"), F.lit("password: abc").alias("snippet"))
-    out = enrich.evidence_bundle(o.drop("o_orderkey"), seen, F.when(F.col("kind") == "F", 0).otherwise(1), facts_most=5, evidence_most=3)
-    return out.select("node_key", F.size("facts").alias("n_facts"), F.col("facts")[0]["fact_id"].cast("long").alias("first_fact"), F.coalesce(F.size("evidence"), F.lit(0)).alias("n_evidence"))
+    """Documents as facts of nodes, their lines as evidence; some lines get an owner's declaration, some paths are refused."""
+    k = F.col("doc_id")
+    own = t.table("documents").select(F.lit("R1").alias("run_id"), "doc_id", F.concat(F.lit("n"), k - k % 40).alias("node_key"), F.lpad(k.cast("string"), 12, "0").alias("fact_id"), "text", "lang", "source")
+    owner = F.when(k % 4 < 3, F.concat(F.lit("own"), k % 4))
+    props = F.to_json(F.struct(F.lit("x").alias("hidden"), owner.alias("ownerKey"), F.concat("lang", F.lit(" token=abc")).alias("condition"), F.col("source").alias("name")))
+    facts = own.select("run_id", "node_key", "fact_id", F.when(k % 9 == 0, "BUSINESS_RULE").otherwise("CONDITION").alias("kind"), props.alias("properties"))
+    lines = own.select("run_id", "doc_id", "fact_id", F.posexplode(F.split("text", "\n")).alias("i", "snippet")).withColumn("i", F.col("i") + 1)
+    path = F.when(k % 240 == 7, "docs/.env").otherwise(F.concat(F.lit("docs/"), "doc_id", F.lit(".txt")))
+    seen = lines.select("run_id", "fact_id", F.concat("fact_id", F.lit(":"), F.lpad(F.col("i").cast("string"), 9, "0")).alias("evidence_id"), path.alias("file_path"), F.col("i").alias("start_line"), F.col("i").alias("end_line"), "snippet")
+    nodes = own.select("run_id", "node_key").distinct().union(own.agg(F.lit("R1"), F.lit("none"))).withColumn("fingerprint", F.lit("f"))
+    heads = F.when(F.col("owner_key") == "own0", " void run() { token = 1 }").when(F.col("owner_key") == "own1", "no brace")
+    owners = own.select("run_id", owner.alias("owner_key")).distinct().select("run_id", "owner_key", F.lit("e").alias("evidence_id"), heads.alias("snippet")).where("snippet IS NOT NULL")
+    out = enrich.evidence_bundle(nodes, facts, seen, F.when(F.col("kind") == "BUSINESS_RULE", 0).otherwise(1), owners)
+    return out.select("node_key", "bundle_bytes", F.array_join("fact_ids", ",").alias("fact_ids"), "n_evidence", "request_hash", "refusal")
 
 
 @query("""SELECT k % 500 AS node_key, bool_or(path LIKE '%.sql' OR what = 7 OR what = 3) AS refused FROM b_repo GROUP BY 1""")
