@@ -105,10 +105,23 @@ def observed_paths(matched: DataFrame) -> DataFrame:
     return own.select("run_id", "trace_id", "parent_span_id", F.col("node_key").alias("child_node")).join(parent, ["run_id", "trace_id", "parent_span_id"]).select("run_id", "parent_node", "child_node").distinct()
 
 
+def path_page(paths: DataFrame, most: int = 500) -> DataFrame:
+    """The first paths of each run by parent and child, and whether there are more: place, truncated.  Spark keeps the first
+    rows of each task before it shuffles, so that no task ranks all paths of a run."""
+    ranked = paths.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy("parent_node", "child_node"))).where(F.col("place") <= most + 1)
+    return ranked.withColumn("truncated", F.max("place").over(Window.partitionBy("run_id")) > most).where(F.col("place") <= most)
+
+
 def unobserved_nodes(nodes: DataFrame, seen: DataFrame) -> DataFrame:
     return nodes.join(seen.select("run_id", "node_key"), ["run_id", "node_key"], "left_anti")
 
 
+def unobserved_count(nodes: DataFrame, seen: DataFrame) -> DataFrame:
+    """run_id, kind, nodes, unobserved: how many nodes of a kind no span was matched to; kinds wholly seen have 0."""
+    own = nodes.join(seen.select("run_id", "node_key").distinct().withColumn("_seen", F.lit(True)), ["run_id", "node_key"], "left")
+    return own.groupBy("run_id", "kind").agg(F.count("*").alias("nodes"), F.count_if(F.col("_seen").isNull()).alias("unobserved"))
+
+
 def span_page(spans: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
     """A page by start and id, with has_more; limit 1 to 500, offset up to 100 000."""
     limit, offset = min(500, max(1, limit)), min(100_000, max(0, offset))

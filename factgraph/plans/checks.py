@@ -300,6 +300,25 @@ def udf1_component_facts(t: Tables) -> DataFrame:
     return facts.extract_component_facts(files, SameFirstWord).drop("fact_id")
 
 
+# --- files of a corpus
+
+
+@query("""WITH q AS (SELECT 'doc=' || doc_id AS path, octet_length(encode(coalesce(text, ''))) + 1 + CASE WHEN doc_id % 50 = 3 THEN 1 ELSE 0 END AS bytes, doc_id % 50 = 3 AS nul FROM documents),
+q_c AS (SELECT *, row_number() OVER w AS n, sum(bytes) OVER w AS b FROM q WHERE bytes <= 5000 AND NOT nul WINDOW w AS (ORDER BY sha256(path)))
+SELECT path, bytes, CASE WHEN n > 150 THEN 'FILES_LIMIT' WHEN b > 60000 THEN 'BYTES_LIMIT' ELSE 'kept' END AS verdict, n AS files_so_far, CAST(b AS BIGINT) AS bytes_so_far FROM q_c
+UNION ALL SELECT path, bytes, CASE WHEN bytes > 5000 THEN 'FILE_SIZE_LIMIT' ELSE 'BINARY' END, NULL, NULL FROM q WHERE bytes > 5000 OR nul""")
+def src5_read_corpus(t: Tables) -> DataFrame:
+    """Documents written as a file each, one in fifty with a NUL byte, read again within limits."""
+    k = F.col("doc_id")
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(k % 50 == 3, F.lit("\x00")).otherwise(""))
+    root = f"{shared_folder(t.spark)}/files-{uuid.uuid4().hex}"
+    t.table("documents").select(k.alias("doc"), text.alias("value")).repartition("doc").write.partitionBy("doc").text(root)
+    files = corpus.read_files(t.spark, root)
+    # Spark names the file of a folder anew on each run: the folder is its path
+    named = F.concat(F.lit("doc="), F.regexp_extract("path", r"(\d+)/[^/]*$", 1))
+    return corpus.corpus_verdicts(files.withColumn("path", named), file_bytes=5000, files_most=150, bytes_most=60_000)
+
+
 # --- documents of executions
 
 

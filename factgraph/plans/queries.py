@@ -398,6 +398,17 @@ def rt8_unobserved_nodes(t: Tables) -> DataFrame:
     return runtime.unobserved_nodes(t.span_nodes, t.matched.where("node_key IS NOT NULL")).select("node_key")
 
 
+@query(SPANS + """, q_path AS (SELECT DISTINCT c.run_id, p.node_key AS parent_node, c.node_key AS child_node FROM q_span c JOIN q_span p ON p.run_id = c.run_id AND p.trace_id = c.trace_id AND p.span_id = c.parent_span_id WHERE c.node_key IS NOT NULL AND p.node_key IS NOT NULL)
+SELECT run_id, parent_node, child_node, row_number() OVER w AS place, count(*) OVER (PARTITION BY run_id) > 500 AS truncated FROM q_path WINDOW w AS (PARTITION BY run_id ORDER BY parent_node, child_node) QUALIFY row_number() OVER w <= 500""")
+def rt7_path_page(t: Tables) -> DataFrame:
+    return runtime.path_page(runtime.observed_paths(t.matched))
+
+
+@query(SPANS + " SELECT run_id, kind, count(*) AS nodes, count(*) FILTER (WHERE stable_key NOT IN (SELECT node_key FROM q_span WHERE node_key IS NOT NULL)) AS unobserved FROM q_node WHERE run_id = 'R1' GROUP BY 1, 2")
+def rt8_unobserved_count(t: Tables) -> DataFrame:
+    return runtime.unobserved_count(t.nodes.where("run_id = 'R1'").select("run_id", F.col("stable_key").alias("node_key"), "kind"), t.matched.where("node_key IS NOT NULL"))
+
+
 @query("SELECT trace_id, span_id, row_number() OVER (ORDER BY start_nanos, trace_id, span_id) - 10 AS place FROM b_span WHERE upload = 1 ORDER BY start_nanos, trace_id, span_id LIMIT 50 OFFSET 10")
 def rt9_span_page(t: Tables) -> DataFrame:
     return runtime.span_page(t.spans.where("upload = 1"), 50, 10).select("trace_id", "span_id", F.col("place").cast("long").alias("place"))

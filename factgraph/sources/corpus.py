@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factgraph.operators.reach import shared_table
+
 #: What is never read, whatever the rules say (fixed values).
 ALWAYS_IGNORED = (r"(^|/)(\.git|node_modules|target|build|dist|\.venv|__pycache__)(/|$)", r"(^|/)(\.env(\..*)?|id_rsa|.*\.pem|.*\.p12|.*\.jks)$")
 LANGUAGES = {
@@ -68,12 +70,49 @@ FREE_OF_FRAMEWORKS = ("java-spring", "typescript-node", "postgresql")
 SQL_WORDS = ("SQL", "POSTGRESQL", "FLYWAY", "LIQUIBASE")
 
 
-def read_corpus(spark: SparkSession, root: str, max_bytes: int = 1 << 20) -> DataFrame:
-    """path, content, text, bytes, sha256 of every file below root that has no NUL byte and is not too large."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= max_bytes)
+#: Orders of paths' hashes that running totals are kept for.
+SLOTS = 4096
+
+
+def read_files(spark: SparkSession, root: str) -> DataFrame:
+    """path, content, bytes of every file below root that has a byte: Spark's sources leave empty files out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/").split("://")[-1]) + "/", "")
-    out = files.select(path.alias("path"), "content", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    return out.where(~F.contains("content", F.lit(b"\x00"))).withColumn("text", F.try_validate_utf8(F.col("content").cast("string")))
+    return files.select(path.alias("path"), "content", F.col("length").alias("bytes"))
+
+
+def corpus_verdicts(files: DataFrame, file_bytes: int = 1 << 20, files_most: int = 20_000, bytes_most: int = 268_435_456) -> DataFrame:
+    """path, bytes, verdict of each file (path, content, bytes), and files_so_far, bytes_so_far of those that count: kept,
+    FILE_SIZE_LIMIT, BINARY (a NUL byte), FILES_LIMIT or BYTES_LIMIT.
+
+    Files too large or binary don't count.  The others come in the order of the hashes of their paths, which is the same in
+    every run; totals run over those that a limit leaves out too, so that all that follow go as well.  No task sees the
+    whole listing: totals of the SLOTS ranges of hashes are summed up first, then each range counts on from its own.
+    """
+    order = F.sha2("path", 256)
+    seen = files.select("path", "bytes", F.when(F.col("bytes") > file_bytes, "FILE_SIZE_LIMIT").when(F.contains("content", F.lit(b"\x00")), "BINARY").alias("verdict"), order.alias("_order"))
+    seen = shared_table(seen.withColumn("_slot", F.conv(F.substring("_order", 1, 3), 16, 10).cast("int")), "listing")  # texts are not read again for totals
+    counted = seen.where("verdict IS NULL")
+    totals = counted.groupBy("_slot").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+    before = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)  # at most SLOTS rows
+    starts = totals.select("_slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"))
+    own = Window.partitionBy("_slot").orderBy("_order", "path")
+    placed = counted.join(starts, "_slot").withColumns({"files_so_far": F.col("n0") + F.row_number().over(own), "bytes_so_far": F.col("b0") + F.sum("bytes").over(own.rowsBetween(Window.unboundedPreceding, 0))})
+    verdict = F.when(F.col("files_so_far") > files_most, "FILES_LIMIT").when(F.col("bytes_so_far") > bytes_most, "BYTES_LIMIT").otherwise("kept")
+    placed = placed.select("path", "bytes", verdict.alias("verdict"), "files_so_far", "bytes_so_far")
+    return placed.unionByName(seen.where("verdict IS NOT NULL").select("path", "bytes", "verdict"), allowMissingColumns=True)
+
+
+def read_corpus(spark: SparkSession, root: str, rules: list[str] | None = None, file_bytes: int = 1 << 20, files_most: int = 20_000, bytes_most: int = 268_435_456) -> tuple[DataFrame, DataFrame]:
+    """Files (path, content, text, bytes, sha256) below root within the limits, and a row (path, bytes, verdict) for each that
+    a limit or a NUL byte leaves out; files that the rules ignore are in neither.  Contents are read twice: for NUL bytes,
+    and for those that stay."""
+    files = read_files(spark, root)
+    files = ignore_filter(files, rules) if rules is not None else files
+    judged = shared_table(corpus_verdicts(files, file_bytes, files_most, bytes_most), "verdicts")
+    kept = files.join(judged.where("verdict = 'kept'").select("path"), "path", "left_semi")
+    kept = kept.select("path", "content", "bytes", F.sha2("content", 256).alias("sha256"), F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
+    return kept, judged.where("verdict <> 'kept'").select("path", "bytes", "verdict")
 
 
 def rule_regex(rule: str) -> tuple[str, bool]:

@@ -176,13 +176,33 @@ def test_a_folder_as_a_corpus(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src" / "a.py").write_text("x = 1\n")
     (tmp_path / "bin").write_bytes(b"a\x00b")
-    got = corpus.read_corpus(spark, f"file://{tmp_path}").collect()
-    assert [(r.path, r.text, r.bytes) for r in got] == [("src/a.py", "x = 1\n", 6)]
+    got, left = corpus.read_corpus(spark, f"file://{tmp_path}")
+    assert [(r.path, r.text, r.bytes) for r in got.collect()] == [("src/a.py", "x = 1\n", 6)]
+    assert [tuple(r) for r in left.collect()] == [("bin", 3, "BINARY")]
     (tmp_path / "src" / "b.json").write_text('{"factCount": 3,\n "more": 1}')
     docs, odd = facts.read_analyzer_output(spark, str(tmp_path / "src"), "factCount int")
     assert [r.factCount for r in docs.collect()] == [3] and [r.value for r in odd.collect()] == ["x = 1\n"]
 
 
+def test_limits_of_a_corpus(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"f{i}.py").write_text("x" * (i % 7 + 1))
+    (tmp_path / "large.py").write_text("x" * 100)
+    (tmp_path / "empty.py").write_text("")
+    (tmp_path / "skipped.md").write_bytes(b"\x00")
+    names = sorted((f.name for f in tmp_path.iterdir() if f.suffix == ".py" and f.name not in ("large.py", "empty.py")), key=lambda x: hashlib.sha256(x.encode()).hexdigest())
+    for files_most, bytes_most in ((1000, 1000), (10, 1000), (1000, 50), (30, 50), (0, 0)):
+        want, total = {"large.py": "FILE_SIZE_LIMIT"}, 0
+        for n, name in enumerate(names, 1):
+            total += (tmp_path / name).stat().st_size
+            want[name] = "FILES_LIMIT" if n > files_most else "BYTES_LIMIT" if total > bytes_most else "kept"
+        got, left = corpus.read_corpus(spark, f"file://{tmp_path}", ["*.md"], 99, files_most, bytes_most)
+        assert {r.path: r.verdict for r in left.collect()} | {r.path: "kept" for r in got.collect()} == want
+    (tmp_path / "none").mkdir()
+    got, left = corpus.read_corpus(spark, f"file://{tmp_path}/none")
+    assert got.count() == left.count() == 0
+
+
 def test_sealed_runs(spark):
     runs, nodes = spark.createDataFrame([("r",), ("q",)], "run_id string"), spark.createDataFrame([("r", "n")], "run_id string, stable_key string")
     with pytest.raises(ValueError, match="RUN_SEALED"):

@@ -8,7 +8,7 @@ import pytest
 from factgraph.plans import registry as queries
 
 SF = "/root/testdata/sf0.001"
-FEW = ["gb6_merge_nodes", "gb6_node_links", "gb6_fact_alternatives", "gb11_edge_evidence", "gb10_missing_nodes", "gb4_classify_rules", "val6_dedup_facts", "df1_match_nodes", "df2_compare_pairs", "df5_diff_edges", "df7_carry_merges", "rt3_match_spans", "qry24_review_queue", "ops6_ready_tasks", "val1_fact_schema", "val5_check_evidence", "src4_read_otlp", "fn17_endpoint_title", "en10_semantic_search", "en2_evidence_bundle"]
+FEW = ["gb6_merge_nodes", "gb6_node_links", "gb6_fact_alternatives", "gb11_edge_evidence", "gb10_missing_nodes", "gb4_classify_rules", "val6_dedup_facts", "df1_match_nodes", "df2_compare_pairs", "df5_diff_edges", "df7_carry_merges", "rt3_match_spans", "qry24_review_queue", "ops6_ready_tasks", "val1_fact_schema", "val5_check_evidence", "src4_read_otlp", "fn17_endpoint_title", "en10_semantic_search", "en2_evidence_bundle", "src5_read_corpus", "rt7_path_page", "rt8_unobserved_count"]
 
 
 @pytest.fixture(scope="module")
