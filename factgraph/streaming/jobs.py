@@ -50,11 +50,19 @@ def stream_events(events: DataFrame, run_id: str, cursor: int = 0) -> DataFrame:
     return events.where((F.col("run_id") == run_id) & (F.col("sequence") > cursor))
 
 
-def stream_metrics(tasks: DataFrame, window: str = "1 hour", slide: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Counts and means over a trailing window of a stream of tasks (created_at, status, seconds)."""
+def stream_metrics(tasks: DataFrame, calls: DataFrame | None = None, window: str = "1 hour", slide: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
+    """Counts, means and sums over a trailing window of a stream of tasks' changes (created_at, status, seconds) and, if
+    given, one of model calls (created_at, input_tokens, output_tokens, cost, latency_ms): a task counts in the state that
+    each change says.  Both streams are one before they meet their windows, so that one aggregate and one watermark (that
+    of the slower stream) serve all; what nothing counts for stays null."""
+    amounts = {"input_tokens": "bigint", "output_tokens": "bigint", "cost": "double", "latency_ms": "double"}
+    both = tasks.withWatermark("created_at", delay).select("created_at", "status", F.col("seconds").cast("double").alias("seconds"), *[F.lit(None).cast(kind).alias(c) for c, kind in amounts.items()])
+    if calls is not None:
+        both = both.unionByName(calls.withWatermark("created_at", delay).select("created_at", F.lit(None).cast("string").alias("status"), F.lit(None).cast("double").alias("seconds"), *[F.col(c).cast(kind).alias(c) for c, kind in amounts.items()]))
     done = F.col("status") == "SUCCEEDED"
-    return (
-        tasks.withWatermark("created_at", delay)
-        .groupBy(F.window("created_at", window, slide))
-        .agg(F.count_if(done).alias("done"), F.count_if(F.col("status") == "FAILED_PERMANENTLY").alias("failed"), F.avg(F.when(done, F.col("seconds"))).alias("mean_seconds"))
-    )
+    states = {"pending": "PENDING", "running": "RUNNING", "done": "SUCCEEDED", "failed": "FAILED_PERMANENTLY"}
+    found = [F.count_if(F.col("status") == status).alias(name) for name, status in states.items()]
+    found.append(F.avg(F.when(done, F.col("seconds"))).alias("mean_seconds"))
+    if calls is not None:
+        found += [F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cost")] + [F.avg("latency_ms").alias("latency")]
+    return both.groupBy(F.window("created_at", window, slide)).agg(*found)

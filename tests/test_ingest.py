@@ -160,6 +160,18 @@ def test_late_parents_events_and_metrics(spark, tmp_path):
     got = run(jobs.stream_metrics(spark.readStream.schema(schema).parquet(str(tmp_path / "tasks"))), "metrics", spark)
     full = [r for r in got if r.window.start == at - 30 * minute]
     assert [(r.done, r.failed, r.mean_seconds) for r in full] == [(2, 1, 3.0)]
+    more = [(at, "PENDING", None), (at, "RUNNING", None), (at + minute, "RUNNING", None)]
+    spark.createDataFrame(more, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "tasks"))
+    amounts = "created_at timestamp, input_tokens int, output_tokens int, cost double, latency_ms int"
+    made = [(at, 10, 1, 0.5, 100), (at + minute, 20, None, 0.25, 300), (at + 300 * minute, 1, 1, 1.0, 1)]
+    spark.createDataFrame(made, amounts).coalesce(1).write.parquet(str(tmp_path / "calls"))
+    streams = (spark.readStream.schema(x).parquet(str(tmp_path / name)) for name, x in (("tasks", schema), ("calls", amounts)))
+    got = {r.window.start: r for r in run(jobs.stream_metrics(*streams), "all_metrics", spark)}
+    full = got[at - 30 * minute].asDict()
+    full.pop("window")
+    assert full == {"pending": 1, "running": 2, "done": 2, "failed": 1, "mean_seconds": 3.0, "input_tokens": 30, "output_tokens": 1, "cost": 0.75, "latency": 200.0}
+    # calls have come to 300 minutes only, so that no later window is given
+    assert max(got) < at + 300 * minute
 
 
 def test_payloads_that_are_refused(spark):
