@@ -71,7 +71,7 @@ b_line AS (
     || '},' || CASE doc_key % 101 WHEN 3 THEN '' WHEN 5 THEN '"origin":"GUESSED",' ELSE '"origin":"' || origin || '",' END || CASE doc_key % 101 WHEN 2 THEN '"more":1,' ELSE '' END
     || '"confidence":0.9,"evidence":[{"filePath":"a","startLine":1,"startColumn":1,"endLine":1,"endColumn":1,"snippetHash":"sha256:'
     || CASE doc_key % 101 WHEN 6 THEN 'none' ELSE {sha256}(fact_id{sha256_arg}) END || '"}]}' || CASE doc_key % 101 WHEN 1 THEN '}' ELSE '' END AS raw
-  FROM b_fact WHERE run_id = 'R1'
+  FROM b_fact
 ),
 b_rule AS (
   SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN 'AUTHORIZATION_RULE' WHEN 1 THEN 'TECHNICAL_GUARD' WHEN 2 THEN 'VALIDATION_RULE' WHEN 3 THEN 'BUSINESS_RULE' ELSE 'CONDITION' END AS kind,
