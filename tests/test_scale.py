@@ -5,7 +5,9 @@ import os
 import duckdb
 import pytest
 
+from factgraph.operators import graph, reach
 from factgraph.plans import registry as queries
+from factgraph.plans import tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +44,40 @@ def test_prices_within_one_of_each_other(spark, folder):
     price = "l_linenumber, 100 + (l_linenumber * 0.4) % 1 + CASE WHEN l_linenumber = 5 THEN 0.5 ELSE 0 END"
     sf = folder(lineitem=f"SELECT * REPLACE ({price.split(', ', 1)[1]} AS l_extendedprice) FROM {{own}}")
     same_rows(spark, sf, "qry15_pipeline_spine")
+
+
+def test_readers_of_nodes_make_no_relations(spark, folder):
+    """Nor is the table of all facts written for readers of some."""
+    sf = folder()
+    for name in ("gb6_merge_nodes", "gb2_with_provenance", "gb12_assertions", "rt6_runtime_summary"):
+        df = queries.QUERIES[name](spark, sf)
+        df.collect()
+        assert not [f for f in df.inputFiles() if "lineitem" in f], name
+    queries.QUERIES["ops4_facts_by_kind"](spark, sf).collect()
+    assert {k[2] for k in tables._written if k[1] == sf} == {"matched"}
+
+
+def test_odd_and_repeated_relations(spark, folder):
+    """Flags beside A and N, none, and lines that say the same again."""
+    sf = folder(lineitem="SELECT * REPLACE (CASE l_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'X' ELSE l_returnflag END AS l_returnflag) FROM (SELECT * FROM {own} UNION ALL SELECT * FROM {own} WHERE l_orderkey % 3 = 0)")
+    for name in ("gb11_merge_edges", "gb10_missing_nodes", "val6_dedup_facts"):
+        same_rows(spark, sf, name)
+
+
+def test_hashes_as_bytes_keep_their_order(spark):
+    """And texts that are no hashes are believed in their own order."""
+    facts = [("r", "k", f"f{i}", p) for i, p in enumerate(("sha256:" + "0f" * 32, "sha256:" + "a0" * 32, "odd", "sha256:short"))]
+    df = spark.createDataFrame([("r", "e", "a", "STATIC_EXACT", 1.0, "METHOD", k, "f", "{}", ["x"], p, i, p) for i, (_, k, _, p) in enumerate(facts)], "run_id string, execution_id string, analyzer string, origin string, confidence double, kind string, stable_key string, fact_id string, properties string, evidence_ids array<string>, fingerprint string, n int, behaves string")
+    places = {r.fingerprint: r.place for r in graph.ordered_facts(df).collect()}
+    assert sorted(places.values()) == [1, 2, 3, 4] and places["sha256:" + "0f" * 32] < places["sha256:" + "a0" * 32]
+    assert graph.merge_nodes(df).first().fact_conflict
+
+
+def test_scenarios_with_and_without_evidence(spark):
+    nodes = spark.createDataFrame([("r", k, "ENDPOINT" if k == "e" else "METHOD", 0.9, [k], False, False) for k in "eabc"], "run_id string, stable_key string, kind string, confidence double, evidence_ids array<string>, unresolved boolean, framework_internal boolean")
+    edges = spark.createDataFrame([("r", a, b, "CALLS", 0.8, [a + b]) for a, b in ("ea", "eb", "bc", "ca")], "run_id string, source_key string, target_key string, kind string, confidence double, evidence_ids array<string>")
+    full, cut = reach.scenario_members(nodes, edges, max_nodes=3)
+    bare, bare_cut = reach.scenario_members(nodes.drop("evidence_ids"), edges.drop("evidence_ids"), max_nodes=3)
+    assert set(full.columns) - set(bare.columns) == {"evidence_ids"}
+    assert sorted(map(str, full.select(*bare.columns).collect())) == sorted(map(str, bare.collect()))
+    assert cut.collect() == bare_cut.collect() and len(full.where("member_key = 'a'").first().evidence_ids) == 3
