@@ -21,7 +21,8 @@ def read_fact_lines(spark: SparkSession, path: str) -> DataFrame:
     """execution, line_number, raw, oversized, invalid_utf8 of every line of newline-delimited files that isn't blank.
 
     A line ends at a line feed, not at a lone carriage return.  Lines are numbered within their file, by the block that
-    they were read from and their order in it; blank ones count.  Only the counts of blocks are summed over a file.
+    they were read from and their order in it; blank ones count.  Only the counts of blocks are summed over a file; a row
+    for each block goes to all tasks, so that no text is shuffled.
     """
     lines = spark.read.text(path, lineSep="\n").select(
         F.regexp_replace("value", "\r$", "").alias("raw"),
@@ -33,7 +34,7 @@ def read_fact_lines(spark: SparkSession, path: str) -> DataFrame:
     earlier = Window.partitionBy("execution").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     # within a block, ids follow each other
-    numbered = lines.join(before, ["execution", "block"]).withColumn("line_number", F.col("before") + F.col("at") - F.col("first") + 1)
+    numbered = lines.join(F.broadcast(before), ["execution", "block"]).withColumn("line_number", F.col("before") + F.col("at") - F.col("first") + 1)
     flags = ((F.octet_length("raw") > MAX_LINE).alias("oversized"), (~F.is_valid_utf8("raw")).alias("invalid_utf8"))
     return numbered.where("trim(raw) <> ''").select("execution", "line_number", "raw", *flags)
 
