@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -81,6 +83,24 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     return files.select(path.alias("path"), "content", F.col("length").alias("bytes"))
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """Writes each file (path, content) below root, a local or mounted folder that all tasks see.  A file appears whole, and
+    a task that runs again gives the same.  Hadoop's local file system runs chmod for each file and folder that it makes."""
+    top = re.sub("^file:(//)?", "", root)
+
+    def write(rows) -> None:
+        for r in rows:
+            to = os.path.join(top, r.path)
+            os.makedirs(os.path.dirname(to), exist_ok=True)
+            part = os.path.join(top, f".{uuid.uuid4().hex}")
+            with open(part, "wb") as f:
+                f.write(r.content)
+            os.replace(part, to)
+
+    os.makedirs(top, exist_ok=True)
+    files.select("path", "content").foreachPartition(write)
+
+
 def corpus_verdicts(files: DataFrame, file_bytes: int = 1 << 20, files_most: int = 20_000, bytes_most: int = 268_435_456) -> DataFrame:
     """path, bytes, verdict of each file (path, content, bytes), and files_so_far, bytes_so_far of those that count: kept,
     FILE_SIZE_LIMIT, BINARY (a NUL byte), FILES_LIMIT or BYTES_LIMIT.
