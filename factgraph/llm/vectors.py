@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Callable, Iterable, Iterator
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,8 @@ from factgraph.llm.common import stored
 
 #: Vectors of a block, and queries of a part, about.
 BLOCK, QUERIES = 4096, 1024
-#: Parts of queries whose kth scores a worker remembers.
-REMEMBERED = 64
+#: Parts of queries whose kth scores a worker remembers, and that a cell has, at most; cells for each shuffle partition.
+REMEMBERED, CELLS = 64, 4
 
 #: ids, vectors, query ids, queries, the score that each query's kth best has at least -> query ids, ids, scores
 Searcher = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[list, list, list]]
@@ -53,21 +54,46 @@ def _raised(least: np.ndarray, qids: np.ndarray, found: tuple[list, list, list],
     return least
 
 
+def grid(n_vectors: int, n_queries: int, blocks: int, parts: int, cells: int) -> tuple[int, int]:
+    """How many rows and columns of cells there are, about `cells` at most.
+
+    Vectors are shuffled once a row and queries once a column, so that the fewest bytes are shuffled where both sides
+    weigh alike; for as many cells, these bytes grow as the input does.  A task holds one block and the parts of a cell,
+    which are REMEMBERED at most.
+    """
+    rows = max(ceil(parts / REMEMBERED), min(parts, round(sqrt(cells * n_queries / max(1, n_vectors)))), 1)
+    return rows, max(1, min(blocks, ceil(cells / rows)))
+
+
 def search_in_blocks(vectors: DataFrame, queries: DataFrame, search: Searcher, k: int, score: str) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of what `search` finds in each pair of a block of vectors and a part of
     the queries, best first, ties to the smaller vec_id.
 
     vectors, queries: vec_id, embedding; queries have one row of each id.  Vectors are dealt into blocks by a hash of
-    their place, so that repeated ids don't gather in one; each part of the queries goes to every block, k rows of each
+    their place, so that repeated ids don't gather in one; each part of the queries meets every block, k rows of each
     query come back from each, and are cut to k before and after the shuffle.  A worker carries what the kth score of
     a query is at least from one block to its next.
+
+    Blocks and parts meet in the cells of a grid (see grid()): a row of cells has the same parts, a column the same blocks.
     """
-    blocks = 1 + vectors.count() // BLOCK
-    parts = 1 + queries.count() // QUERIES
-    item = F.collect_list(F.struct("vec_id", "embedding"))
-    held = vectors.groupBy(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).alias("block")).agg(item.alias("items"))
+    n_vectors, n_queries = vectors.count(), queries.count()
+    blocks, parts = 1 + n_vectors // BLOCK, 1 + n_queries // QUERIES
+    rows, columns = grid(n_vectors, n_queries, blocks, parts, CELLS * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    item, cell = F.collect_list(F.struct("vec_id", "embedding")), ["row", "column"]
+
+    def place(name: str, n: int) -> Column:
+        return F.pmod(F.col(name), F.lit(n))
+
+    def all_of(n: int) -> Column:
+        return F.explode(F.expr(f"sequence(0L, {n - 1}L)"))
+
+    dealt = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).alias("block"))
+    dealt = dealt.select("*", place("block", columns).alias("column"), all_of(rows).alias("row"))
+    held = dealt.repartition(*cell).groupBy(*cell, "block").agg(item.alias("items"))
     asked = stored(queries.groupBy(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).alias("part")).agg(F.array_sort(item).alias("asked")), "queries")
-    pairs = asked.select("part", "asked", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block")).join(held, "block").select("items", "asked", "part")
+    asked = asked.select("part", "asked", place("part", rows).alias("row"), all_of(columns).alias("column"))
+    # merged by hint: taken for as small as its file, the side of the queries would be broadcast with its copies for all columns
+    pairs = held.join(asked.hint("merge"), cell).select("items", "asked", "part")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: OrderedDict[int, np.ndarray] = OrderedDict()

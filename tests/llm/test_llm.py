@@ -414,6 +414,25 @@ def _found(rows):
     return out
 
 
+def test_queries_meet_blocks_without_the_driver(spark, monkeypatch):
+    """Copies of the queries are not broadcast, cells are several, and their shuffled bytes grow as the input does."""
+    monkeypatch.setattr(vectors, "BLOCK", 100)
+    monkeypatch.setattr(vectors, "QUERIES", 10)
+    x = np.random.default_rng(3).integers(-9, 9, (1000, 8)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(3)
+    out = topk.top_k(df, topk.one_query_each(df, 20), 5)
+    assert "Broadcast" not in out._jdf.queryExecution().toString()
+    best = _found(out.collect())
+    for i in range(0, 1000, 20):
+        s = x @ x[i]
+        assert best[i] == [(j, s[j]) for j in np.lexsort((np.arange(1000), -s)) if j != i][:5]
+    for n in (10**6, 10**7):
+        rows, columns = vectors.grid(n, n // 20, n // 4096 + 1, n // 20480 + 1, 200)
+        assert 150 <= rows * columns <= 400 and rows + columns / 20 <= 10
+    assert vectors.grid(10**9, 5 * 10**7, 250_000, 50_000, 200)[0] * vectors.REMEMBERED >= 50_000
+    assert vectors.grid(0, 0, 1, 1, 200) == (1, 1)
+
+
 @pytest.mark.parametrize("spread", [0.1, 5.0])
 def test_several_blocks_of_vectors_and_queries(spark, monkeypatch, spread):
     """At least three blocks and parts, of vectors in clusters and in all directions alike, against brute force."""
