@@ -41,13 +41,17 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_diagnostics(spark: SparkSession, root: str) -> DataFrame:
-    """execution_id, raw: the lines of diagnostics that are not empty, one row each."""
+    """execution_id, raw: the lines of diagnostics that are not empty, one row each.
+
+    Folders are listed side by side by tasks; files of other names are left out by their paths before any is read.
+    """
     try:
-        lines = spark.read.text(f"{root}/*/*diagnostics.ndjson", lineSep="\n")
+        lines = spark.read.option("recursiveFileLookup", "true").text(root, lineSep="\n")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], "execution_id string, raw string")
+    lines = lines.where(F.col("_metadata.file_path").rlike("/[^/]+/[^/]*diagnostics[.]ndjson(/[^/]*)?$"))
     return lines.where("value <> ''").select(_named(F.col("_metadata.file_path"), root)[0], F.col("value").alias("raw"))
 
 
